@@ -57,3 +57,28 @@ def row_key(*cols: Column) -> Column:
 def unit(key: Column) -> Column:
     """A uniform double in (0, 1) from the first 52 bits of a hex key."""
     return (F.conv(F.substring(key, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+def map_texts(docs: DataFrame, make, columns: str, id_col: str = "doc_id", text_col: str = "text", rows: int = 256) -> DataFrame:
+    """``doc_id`` and what ``make()`` computes from lists of texts, with nulls as None, in tasks.
+
+    ``make`` runs once a task and returns a function from a list of texts to a list of columns for the DDL ``columns``.
+    Texts go through in lists of ``rows``, so a task holds few results at a time.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructField, StructType
+
+    id_type = docs.schema[id_col].dataType
+    schema = StructType([StructField("doc_id", id_type), *StructType.fromDDL(columns).fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            for i in range(0, batch.num_rows, rows):
+                part = batch.slice(i, rows)
+                found = work(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, type=f.type) for c, f in zip(found, list(arrow)[1:], strict=True)]], schema=arrow)
+
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema)

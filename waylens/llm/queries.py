@@ -6,27 +6,57 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waylens.llm import mixing, quality, sharding
+from waylens.llm import media, mixing, pieces, quality, sharding, token_counts, warc
 from waylens.llm.common import table
 
 
+def _model() -> str:
+    """The piece model's place; every executor has the tokenizer package."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "epochs", "picked")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), _model())
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality_filter(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = media.image_columns(table(spark, sf_dir, "documents"))
+    return images.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), _model())
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit", "limit_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_sentencepiece": op2_sentencepiece,
+    "op3_warc": op3_warc,
     "op4_quality_rules": op4_quality_rules,
+    "op6_media": op6_media,
     "op7_sharding": op7_sharding,
+    "op8_token_counts": op8_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {}
