@@ -1,25 +1,106 @@
-"""The corpus pipeline: quality rules first; the other stages follow as their operators land."""
+"""The corpus pipeline: quality rules, near duplicates, personal data, source mixing, SentencePiece ids.
+
+Each stage takes the documents its predecessor kept and returns documents again (the last one returns ids). A row is known
+by its id and the hash of its text, so rows that repeat an id with another text keep their own verdicts, and rows that
+repeat both share one. Null texts and ids are values like others, further columns of any name are carried along, and an
+empty table passes through every stage.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from waylens.llm import quality
-from waylens.llm.common import table
+from waylens.llm import jaccard, mixing, pieces, pii, quality
+from waylens.llm.common import materialize, table
+from waylens.llm.queries import piece_model
 
+#: No SQL has the learned rules, the cues and the lattice; tests hold the stages against brute force.
 ORACLE_SQL = None
+KEY = "__key"
+#: Verdicts of so many rows at most (some 50 bytes each) are broadcast to the documents; more are joined by key.
+BROADCAST_ROWS = 400_000
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(KEY, F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("h")))
+
+
+def _verdicts(rows: DataFrame, name: str) -> DataFrame:
+    """Verdicts by key, written once, and broadcast if few."""
+    rows = materialize(rows, name)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = quality.quality_filter(docs, table(spark, sf_dir, "labels")).where("kept")
-    return docs.join(judged.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    """Documents that fail the base rules or a learned rule go."""
+    rules = quality.learn_rules(quality.labelled_statistics(docs, table(spark, sf_dir, "labels"), "quality", 20_000, "doc_id", "text"))
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("box"), F.col("text"))
+    return quality.apply_rules(quality.statistics(boxed, "box"), rules).where("kept").select("doc_id.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents stays, the one with the smallest id; of rows that repeat it, one."""
+    keyed = _keyed(docs)
+    classes = materialize(jaccard.similar_components(keyed, id_col=KEY), "classes")
+    kept = classes.where("doc_id = component_id").groupBy(F.col("doc_id").alias(KEY)).agg(F.count("*").alias("n"))
+    kept = materialize(kept, "class-heads")
+    heads = _verdicts(kept.select(KEY), "kept")
+    rows = keyed.join(heads, KEY, "left_semi")
+    if not kept.where("n > 1").isEmpty():
+        rows = rows.dropDuplicates([KEY])
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data become their kind in angle brackets; ``n_chars`` follows the text."""
+    keyed = _keyed(docs)
+    found = pii.find_personal_data(keyed, id_col=KEY)
+    spans = found.select(F.col("doc_id").alias(KEY), pii.marked(pii.KINDS).alias("__spans")).where(F.size("__spans") > 0).dropDuplicates([KEY])
+    rows = keyed.join(_verdicts(spans, "spans"), KEY, "left")
+    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(pii.redacted(F.col("text"), F.col("__spans")))
+    rows = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: complete epochs, and once more if it was picked."""
+    keyed = _keyed(docs)
+    mixed = mixing.mix_sources(keyed, id_col=KEY)
+    times = mixed.select(F.col("doc_id").alias(KEY), F.when(F.col("size") > 0, F.col("epochs") + F.col("picked")).otherwise(F.lit(0)).alias("times"))
+    # rows that repeat a key each have a count; counts of one key are dealt to its rows in turn
+    times = materialize(times, "times")
+    if times.select(KEY).distinct().count() < times.count():
+        turn = Window.partitionBy(KEY)
+        times = times.withColumn("turn", F.row_number().over(turn.orderBy("times")))
+        rows = keyed.withColumn("turn", F.row_number().over(turn.orderBy(F.lit(0)))).join(_verdicts(times.where("times > 0"), "taken"), [KEY, "turn"])
+    else:
+        rows = keyed.join(_verdicts(times.where("times > 0"), "taken"), KEY)
+    copies = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return copies.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each text, decoded again and compared."""
+    return pieces.encode_documents(docs, piece_model())
 
 
-STAGES = [("quality rules", quality_rules)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("PII", personal_data),
+    ("mixing sources to target weights", source_mix),
+    ("SentencePiece encoding and decoding", sentencepiece_ids),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to ``documents``, each written as Parquet and read again before the next."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs, f"stage-{i}")
     return docs

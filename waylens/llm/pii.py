@@ -107,11 +107,25 @@ def find_personal_data(docs: DataFrame, min_score: float = 0.8, min_values: int
     return rows.join(found, "__row", "left").select("doc_id", "email", "ip", "card", "phone", F.coalesce("id", F.array().cast("array<struct<s:int,e:int,v:string>>")).alias("id"))
 
 
-def listed(kinds: tuple[str, ...]) -> Column:
-    """``kind:start:end`` of the spans of ``kinds`` by start, then kind as listed, joined with commas."""
+def marked(kinds: tuple[str, ...]) -> Column:
+    """All spans of ``kinds`` as structs s, i, e, k by start, then kind as listed."""
     def tag(i: int, kind: str):
         return lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("i"), x["e"].alias("e"), F.lit(kind).alias("k"))
 
-    tagged = [F.transform(k, tag(i, k)) for i, k in enumerate(kinds)]
-    return F.array_join(F.transform(F.sort_array(F.concat(*tagged)), lambda x: F.concat_ws(":", x["k"], x["s"].cast("string"), x["e"].cast("string"))), ",")
+    return F.sort_array(F.concat(*[F.transform(k, tag(i, k)) for i, k in enumerate(kinds)]))
+
+
+def listed(kinds: tuple[str, ...]) -> Column:
+    """``kind:start:end`` of the spans of ``kinds`` by start, then kind as listed, joined with commas."""
+    return F.array_join(F.transform(marked(kinds), lambda x: F.concat_ws(":", x["k"], x["s"].cast("string"), x["e"].cast("string"))), ",")
+
+
+def redacted(text: Column, spans: Column) -> Column:
+    """The text with each of the sorted ``spans`` replaced by its kind in angle brackets; what overlaps goes with the first."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(a, x):
+        clear = F.when(x["s"] >= a["at"], F.array(F.substring(text, a["at"] + 1, x["s"] - a["at"]), F.concat(F.lit("<"), x["k"], F.lit(">")))).otherwise(F.array().cast("array<string>"))
+        return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.concat(a["out"], clear).alias("out"))
 
+    return F.aggregate(spans, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.lit(2147483647))))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from waylens.llm import media, mixing, pieces, quality, sharding, token_counts, warc
+from waylens.llm import jaccard, media, mixing, pieces, pii, quality, sharding, token_counts, toxicity, warc
 from waylens.llm.common import table
 
 
-def _model() -> str:
+def piece_model() -> str:
     """The piece model's place; every executor has the tokenizer package."""
     import public_tokenizers
 
@@ -23,7 +24,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_documents(table(spark, sf_dir, "documents"), _model())
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), piece_model())
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +37,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = media.image_columns(table(spark, sf_dir, "documents"))
     return images.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
@@ -46,17 +51,34 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), _model())
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), piece_model())
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit", "limit_chars")
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.listed(pii.KINDS[:4]), 256).alias("base_sha256"),
+        pii.listed(pii.KINDS).alias("spans"),
+    )
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_warc": op3_warc,
     "op4_quality_rules": op4_quality_rules,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_media": op6_media,
     "op7_sharding": op7_sharding,
     "op8_token_counts": op8_token_counts,
+    "op9_personal_data": op9_personal_data,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -169,9 +169,9 @@ def score_toxicity(
         scored = rows.select("doc_id", score.alias("score"))
     else:
         vector = VectorAssembler(inputCols=list(FEATURES), outputCol="__features")
-        trees = GBTClassifier(labelCol="label", featuresCol="__features", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=seed, maxBins=64, minInstancesPerNode=3, rawPredictionCol="__raw", probabilityCol="__p", predictionCol="__class")
+        trees = GBTClassifier(labelCol="label", featuresCol="__features", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=seed, maxBins=64, minInstancesPerNode=3, predictionCol="__class")
         model = trees.fit(vector.transform(train.where(fold(F.col("doc_id")) == 1).coalesce(4)))
-        raw = lambda df: model.transform(vector.transform(df)).withColumn("__score", vector_to_array("__p")[1]).drop("__features", "__raw", "__p", "__class")
+        raw = lambda df: model.transform(vector.transform(df)).withColumn("__score", vector_to_array("probability")[1]).drop("__features", "rawPrediction", "probability", "__class")
         scored = raw(rows)
         if both(3):
             calibration = raw(train.where(fold(F.col("doc_id")) == 3)).select(F.col("label").cast("double").alias("label"), "__score")
