@@ -30,9 +30,10 @@ def filter_events(events: DataFrame, pattern: str | None = None, fields: list[st
     return events if pattern is None else events.where(matches(pattern, fields or ["description", "source", "url"], regex))
 
 
-def string_attribute_matches(attrs: Column, pattern: str) -> Column:
-    """Whether a string-valued attribute (JSON text in quotes) has the pattern; numbers and booleans never match."""
-    return F.exists(F.map_values(attrs), lambda v: v.startswith('"') & v.contains(pattern))
+def string_attribute_matches(attrs_json: Column, pattern: str) -> Column:
+    """Whether a string-valued attribute of a JSON object has the pattern; numbers and booleans never match."""
+    values = F.map_values(F.from_json(attrs_json, "map<string,variant>"))
+    return F.exists(values, lambda v: (F.schema_of_variant(v) == "STRING") & F.coalesce(v.cast("string").contains(pattern), F.lit(False)))
 
 
 def find_hits(events: DataFrame, terms: list[str], fields: list[str]) -> DataFrame:
