@@ -28,12 +28,14 @@ from pyspark.sql import DataFrame
 from waylens.llm.common import map_texts
 
 SPACE_MARK = "▁"
+#: Segments of more characters go through the stream on their own and aren't cached.
+SHORT = 64
 
 
 class Pieces:
     """The pieces of a model file and the lattice over them."""
 
-    def __init__(self, path: str, algorithm: str = "bpe", cache: int = 150_000):
+    def __init__(self, path: str, algorithm: str = "bpe", cache: int = 400_000):
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_file=path)
@@ -148,50 +150,70 @@ class Pieces:
             return [i]
         return [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
 
-    def counts(self, segment: str) -> list[int]:
-        """Tokens of each prefix of a segment, from one pass of the lattice: a prefix has one token (or a character's
-        bytes) more than the prefix its backpointer names."""
-        last, out, best, bpe = [""], [0], [0.0], self.algorithm == "bpe"
-        for i in range(1, len(segment) + 1):
+    def _extend(self, segment: str, last: list[str], out: list[int], best: list[float]) -> None:
+        """Runs the lattice on over a segment whose first ``len(last) - 1`` characters it has passed. ``out`` has the tokens
+        of each prefix: one (or a character's bytes) more than the prefix that its last piece follows."""
+        bpe, single = self.algorithm == "bpe", self.id
+        for i in range(len(last), len(segment) + 1):
             if bpe:
                 piece = self._last_bpe(segment, i, last)
             else:
-                k, s = self._last_unigram(segment, i, best)
+                k, score = self._last_unigram(segment, i, best)
                 piece = segment[i - k : i]
-                best.append(s)
+                best.append(score)
             last.append(piece)
-            out.append(out[i - len(piece)] + (1 if piece in self.id else len(self.ids_of(piece))))
-        return out
-
-    def cached(self, segment: str, make):
-        """A cache of two generations: what is asked for again outlives the clearing of the older one."""
-        found = self.young.get(segment)
-        if found is None:
-            found = self.old.pop(segment, None)
-            if found is None:
-                found = make(segment)
-            if len(segment) <= 64:
-                if len(self.young) >= self.size:
-                    self.young, self.old = {}, self.young
-                self.young[segment] = found
+            out.append(out[i - len(piece)] + (1 if piece in single else len(self.ids_of(piece))))
+
+    def values(self, texts: list, finish, long) -> list[list]:
+        """For each text, a value for each of its segments: ``finish(segment, last, out)`` of the lattice, or
+        ``long(segment)`` for segments of more than ``SHORT`` characters.
+
+        Segments meet at boundaries that every path passes. Those not in the cache are taken in sorted order, so that one
+        run of the lattice serves the prefix that neighbours share. The cache has two generations: what is asked for
+        again outlives the clearing of the older one.
+        """
+        split = [self.segments.findall(self.normalized(t)) if t else [] for t in texts]
+        young, old = self.young, self.old
+        missing = {s for segments in split for s in segments if s not in young}
+        for s in missing & old.keys():
+            young[s] = old.pop(s)
+            missing.discard(s)
+        last, out, best, before, longer = [""], [0], [0.0], "", []
+        for s in sorted(missing):
+            if len(s) > SHORT:
+                longer.append(s)
+                young[s] = long(s)
+                continue
+            k = 0
+            for x, y in zip(before, s):  # noqa: B905
+                if x != y:
+                    break
+                k += 1
+            del last[k + 1 :], out[k + 1 :], best[k + 1 :]
+            self._extend(s, last, out, best)
+            young[s] = finish(s, last, out)
+            before = s
+        found = [[young[s] for s in segments] for segments in split]
+        for s in longer:
+            del young[s]
+        if len(young) > self.size:
+            self.young, self.old = {}, young
         return found
 
     def normalized(self, text: str) -> str:
         return SPACE_MARK + text.replace(" ", SPACE_MARK) if text else ""
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a text as int32."""
-        def make(segment: str) -> bytes:
-            return np.array([i for done in self.stream((segment,)) for p in done for i in self.ids_of(p)], np.int32).tobytes()
+    def _path_ids(self, pieces: Iterable[str]) -> bytes:
+        return np.array([i for p in pieces for i in self.ids_of(p)], np.int32).tobytes()
 
-        young = self.young
-        out = []
-        for s in self.segments.findall(self.normalized(text)):
-            found = young.get(s)
-            if found is None:
-                found, young = self.cached(s, make), self.young
-            out.append(found)
-        return np.frombuffer(b"".join(out), np.int32)
+    def encode(self, texts: list) -> list[np.ndarray]:
+        """Ids of each text as int32; a null text has none."""
+        found = self.values(
+            texts,
+            lambda segment, last, out: self._path_ids(self._path(last, len(segment))),
+            lambda segment: b"".join(self._path_ids(done) for done in self.stream((segment,))),
+        )
+        return [np.frombuffer(b"".join(x), np.int32) for x in found]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: bytes join to characters (broken ones become U+FFFD), space marks to spaces, less the first."""
@@ -210,7 +232,7 @@ def encode_documents(docs: DataFrame, model: str, algorithm: str = "bpe", id_col
         pieces = Pieces(model, algorithm)
 
         def work(texts: list) -> list:
-            ids = [None if t is None else pieces.encode(t) for t in texts]
+            ids = [None if t is None else i for t, i in zip(texts, pieces.encode(texts), strict=True)]
             back = [None if i is None else pieces.decode(i.tolist()) for i in ids]
             return [
                 ids,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waylens.llm import jaccard, media, mixing, pieces, pii, quality, sharding, token_counts, toxicity, warc
+from waylens.llm import jaccard, media, mixing, oracle, pieces, pii, quality, sharding, token_counts, toxicity, warc
 from waylens.llm.common import table
 
 
@@ -81,4 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_personal_data": op9_personal_data,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": oracle.MIXING,
+    "op3_warc": oracle.WARC,
+    "op5_jaccard_join": oracle.JACCARD,
+    "op7_sharding": oracle.sharding(),
+}

@@ -14,29 +14,26 @@ from waylens.llm.common import map_texts
 from waylens.llm.pieces import Pieces
 
 
-def prefix_counts(pieces: Pieces, text: str) -> np.ndarray:
-    """Tokens of ``text[:1], text[:2], ...`` as int32."""
-    if not text:
+def _counts(found: list[bytes]) -> np.ndarray:
+    """Joins the counts inside segments to counts from the start of the text."""
+    if not found:
         return np.zeros(0, np.int32)
-
-    def make(segment: str) -> bytes:
-        return np.array(pieces.counts(segment)[1:], np.int32).tobytes()
-
-    young = pieces.young
-    found = []
-    for s in pieces.segments.findall(pieces.normalized(text)):
-        own = young.get(s)
-        if own is None:
-            own, young = pieces.cached(s, make), pieces.young
-        found.append(own)
-    joined = b"".join(found)
-    inside = np.frombuffer(joined, np.int32)
+    inside = np.frombuffer(b"".join(found), np.int32)
     sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-    ends = np.cumsum(sizes)
-    before = np.concatenate(([0], np.cumsum(inside[ends - 1])[:-1]))
+    before = np.concatenate(([0], np.cumsum(inside[np.cumsum(sizes) - 1])[:-1]))
     return (inside + np.repeat(before, sizes).astype(np.int32))[1:]  # the mark in front is no character of the text
 
 
+def prefix_counts(pieces: Pieces, texts: list) -> list[np.ndarray]:
+    """For each text the tokens of ``text[:1], text[:2], ...`` as int32."""
+    def long(segment: str) -> bytes:
+        last, out, best = [""], [0], [0.0]
+        pieces._extend(segment, last, out, best)
+        return np.array(out[1:], np.int32).tobytes()
+
+    return [_counts(x) for x in pieces.values(texts, lambda segment, last, out: np.array(out[1:], np.int32).tobytes(), long)]
+
+
 def tokens_of(counts: bytes, n_chars: int) -> int:
     """Tokens of the first ``n_chars`` characters."""
     own = np.frombuffer(counts, "<i4")
@@ -61,7 +58,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, algorithm: str
         pieces = Pieces(model, algorithm)
 
         def work(texts: list) -> list:
-            counts = [prefix_counts(pieces, t or "") for t in texts]
+            counts = prefix_counts(pieces, texts)
             return [
                 [len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts],
                 [int(c[-1]) if len(c) else 0 for c in counts],
@@ -72,4 +69,4 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, algorithm: str
 
         return work
 
-    return map_texts(docs, make, "n_bytes bigint, n_tokens bigint, over_limit boolean, limit_chars bigint, prefix_counts binary", id_col, text_col, rows=64)
+    return map_texts(docs, make, "n_bytes bigint, n_tokens bigint, over_limit boolean, limit_chars bigint, prefix_counts binary", id_col, text_col, rows=256)

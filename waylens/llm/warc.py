@@ -29,6 +29,8 @@ from waylens.llm.common import materialize, scratch_path, utf8_size
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BUNDLE_BYTES, FRAME_BYTES = 16 << 20, 256 << 10
+#: Payloads that occur more than once are broadcast (some 60 bytes each) up to this number.
+BROADCAST_ROWS = 500_000
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -42,7 +44,7 @@ def digest(sha1: bytes) -> str:
 
 def record(page_id: object, url: str | None, payload: bytes | None, size: int, sha1: bytes, refers_to: object = None, date: str = DATE) -> bytes:
     """One WARC record: a response with its payload, or a revisit (``payload`` None) of record ``refers_to``."""
-    target = "".join(c if " " < c < "\x7f" or c > "\xa0" else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in url or "") or f"urn:page:{page_id}"
+    target = "".join(c if " " < c < "\x7f" or c > "\xa0" else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in url or "") or record_id(page_id)[1:-1]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     block = http if payload is None else http + payload
     head = [
@@ -156,7 +158,9 @@ def write_bundles(pages: DataFrame, folder: str, min_revisit: int = 0, bundle_by
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), html.alias("html"))
     rows = rows.select("*", utf8_size(F.col("html")).alias("size"), F.unhex(F.sha1(F.col("html").cast("binary"))).alias("sha1"))
     same = rows.where(F.col("size") >= min_revisit).groupBy("sha1", "size").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
-    shared = same.where("n > 1").select(F.col("sha1").alias("__sha1"), F.col("size").alias("__size"), "first")
+    shared = materialize(same.where("n > 1").select(F.col("sha1").alias("__sha1"), F.col("size").alias("__size"), "first"), "warc-shared")
+    if shared.count() <= BROADCAST_ROWS:  # else both sides are shuffled, and payloads with them
+        shared = F.broadcast(shared)
     rows = rows.join(shared, (F.col("sha1") == F.col("__sha1")) & (F.col("size") == F.col("__size")), "left")
     revisit = F.coalesce(F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first"))), F.lit(False))
     total = pages.agg(F.sum(utf8_size(F.col(f"`{html_col}`")) + 512)).first()[0] or 0
@@ -184,7 +188,7 @@ def write_bundles(pages: DataFrame, folder: str, min_revisit: int = 0, bundle_by
         if writer:
             writer.close()
 
-    spread = rows.repartition(n, "bundle").sortWithinPartitions("bundle", "page_id")
+    spread = rows.repartitionById(n, "bundle").sortWithinPartitions("bundle", "page_id")
     return materialize(spread.mapInArrow(write, schema), "warc-index")
 
 
@@ -210,8 +214,7 @@ def read_records(index: DataFrame) -> DataFrame:
                     out.append((page_id, int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"][5:], fields["WARC-Type"], refers and refers[10:-1], fields["WARC-Target-URI"], payload))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
-    n = max(1, index.select("bundle").distinct().count())
-    ordered = index.select("page_id", "record_id", "bundle", "frame", "offset", "length").repartition(n, "bundle").sortWithinPartitions("bundle", "frame", "offset")
+    ordered = index.select("page_id", "record_id", "bundle", "frame", "offset", "length").repartition(max(1, index.select("bundle").distinct().count()), "bundle").sortWithinPartitions("bundle", "frame", "offset")
     found = ordered.mapInArrow(read, schema)
     return found.withColumn("refers_to", F.col("refers_to").cast(id_type))
 
