@@ -38,8 +38,8 @@ VERIFY = 8
 #: result the same whatever it is.
 FREQUENT, LEAST_COUNT = 1 << 20, 8
 NEAR = 15
-#: Ids of needed sets that are broadcast at most (16 MB); beyond it they're joined.
-NEEDED = 1 << 21
+#: Ids of documents whose sets are needed that are broadcast at most (some 50 bytes each); more are joined with a shuffle.
+NEEDED = 500_000
 
 
 def _needed_overlap(n: int, percent: int) -> int:
@@ -178,29 +178,18 @@ def candidate_pairs(lists: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets are similar. Sets are made again from the texts of the nodes in question."""
-    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(firsts, "node"), "needed")
+    """The pairs ``a, b`` whose sets are similar. Sets are made again from the texts of one document of each node."""
+    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(firsts, "node").select(F.col("first").alias("__first")).distinct(), "needed")
+    ids = F.broadcast(needed) if needed.count() <= NEEDED else needed
+    docs = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__first")), "left_semi")
     schema = StructType.fromDDL("node bigint, shingles binary")
     arrow = to_arrow_schema(schema)
-    if needed.count() <= NEEDED:
-        wanted = docs.sparkSession.sparkContext.broadcast(np.sort(needed.select("node").toArrow().column(0).to_numpy()))
-    else:
-        wanted = None
-        docs = docs.join(needed.select(F.col("first").alias("__first")).distinct(), F.col("doc_id").eqNullSafe(F.col("__first")), "left_semi")
 
     def run(batches):
-        ids = None if wanted is None else wanted.value
-        done: set[int] = set()
         for _, sets in _batches(batches, 64):
-            out = []
-            for s in sets:
-                if len(s):
-                    node = set_id(s)
-                    if node not in done and (ids is None or (len(ids) and ids[min(np.searchsorted(ids, node), len(ids) - 1)] == node)):
-                        done.add(node)
-                        out.append((node, s.tobytes()))
-            if out:
-                yield _record(arrow, [list(c) for c in zip(*out, strict=True)])
+            found = {set_id(s): s.tobytes() for s in sets if len(s)}
+            if found:
+                yield _record(arrow, [list(found), list(found.values())])
 
     sets = docs.mapInArrow(run, schema).groupBy("node").agg(F.first("shingles").alias("shingles"))
     sets = materialize(sets, "sets")
