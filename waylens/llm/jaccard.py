@@ -3,7 +3,10 @@
 Shingles have one global order: those known to be frequent last, by count, the others by hash. If two sets are similar,
 the ``m``-prefixes of both (``n - ceil(t * n) + m`` first shingles) share ``m`` shingles at least, for any ``m``. Each
 document picks the ``m`` whose prefix is estimated to cost least: a longer prefix has more postings to read, but a partner
-must share more of it before the pair is verified. A pair needs the smaller ``m`` of the two.
+must share more of it before the pair is verified. A pair needs the smaller ``m`` of the two at least, and mostly more:
+shingles that both have and that aren't in both prefixes lie behind the prefix that ends first, ``ceil(t * n) - m`` at
+most, and the sizes of a pair say how many it must share in all. A node can't share more of its prefix than there are
+other nodes' postings for, which rules pairs out before they're counted.
 
 Equal sets are one node. Postings lists may be long (a passage, a group of near copies), so they're never paired in full:
 
@@ -38,6 +41,8 @@ VERIFY = 8
 #: result the same whatever it is.
 FREQUENT, LEAST_COUNT = 1 << 20, 8
 NEAR = 15
+#: Nodes of a block that is held against another.
+BLOCK = 256
 #: Ids of documents whose sets are needed that are broadcast at most (some 50 bytes each); more are joined with a shuffle.
 NEEDED = 500_000
 
@@ -164,22 +169,35 @@ def shared_lists(posts: DataFrame) -> DataFrame:
     return one.where(F.coalesce(~F.col("__copy"), F.lit(True))).drop("__copy")
 
 
-def candidate_pairs(lists: DataFrame) -> DataFrame:
-    """``a, b, shared, need, long``: candidate pairs, the prefix shingles they were seen to share, how many they need, and
-    whether a list was too long for all of its pairs."""
+def _need(one: str, two: str, percent: int) -> str:
+    """SQL of how many prefix shingles two nodes must share; ``one`` and ``two`` hold the names with ``{}`` for n and m."""
+    n1, m1, n2, m2 = one.format("n"), one.format("m"), two.format("n"), two.format("m")
+    overlap = f"(({percent} * ({n1} + {n2}) + {99 + percent}) div {100 + percent})"
+    behind = f"greatest(({percent} * {n1} + 99) div 100 - {m1}, ({percent} * {n2} + 99) div 100 - {m2})"
+    return f"greatest(least({m1}, {m2}), {overlap} - {behind})"
+
+
+def _possible(one: str, two: str, percent: int) -> str:
+    """SQL of whether two nodes can be similar: by their sizes, and by how many prefix shingles each shares with anyone."""
+    need, small, large = _need(one, two, percent), f"least({one.format('n')}, {two.format('n')})", f"greatest({one.format('n')}, {two.format('n')})"
+    return f"({small} * 100 >= {large} * {percent} AND least({one.format('s')}, {two.format('s')}) >= {need})"
+
+
+def candidate_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """``a, b, need``: a row for each shingle that a possible pair was seen to share. Pairs of long lists may share more."""
     order = Window.partitionBy("shingle").orderBy("own", "node")
-    me = F.struct("node", "n", "m")
+    me = F.struct("node", "n", "m", "s")
     near = F.collect_list(me).over(order.rowsBetween(-NEAR, -1))
-    rows = lists.select("node", "n", "m", near.alias("near"), F.first(me).over(order).alias("leader"), F.row_number().over(order).alias("place"))
+    rows = lists.select("node", "n", "m", "s", near.alias("near"), F.first(me).over(order).alias("leader"), F.row_number().over(order).alias("place"))
     rows = rows.where("place > 1").withColumn("long", F.col("place") > NEAR + 1)
     partners = F.when(F.col("long"), F.concat("near", F.array("leader"))).otherwise(F.col("near"))
-    rows = rows.select("node", "n", "m", "long", F.explode(partners).alias("p"))
-    return rows.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"), F.least("n", "p.n").alias("small"), F.greatest("n", "p.n").alias("large"), F.least("m", "p.m").alias("need"), "long")
+    rows = rows.select("node", "n", "m", "s", F.explode(partners).alias("p")).where(_possible("{}", "p.{}", percent))
+    return rows.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"), F.least("m", "p.m").alias("need"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets are similar. Sets are made again from the texts of one document of each node."""
-    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(firsts, "node").select(F.col("first").alias("__first")).distinct(), "needed")
+def _sets(needed: DataFrame, docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``node, shingles`` of the nodes of ``needed``, made again from the text of one document of each."""
+    needed = materialize(needed.select("node").distinct().join(firsts, "node").select(F.col("first").alias("__first")).distinct(), "needed")
     ids = F.broadcast(needed) if needed.count() <= NEEDED else needed
     docs = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__first")), "left_semi")
     schema = StructType.fromDDL("node bigint, shingles binary")
@@ -191,8 +209,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, percent: int
             if found:
                 yield _record(arrow, [list(found), list(found.values())])
 
-    sets = docs.mapInArrow(run, schema).groupBy("node").agg(F.first("shingles").alias("shingles"))
-    sets = materialize(sets, "sets")
+    return materialize(docs.mapInArrow(run, schema).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose sets are similar."""
+    sets = _sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), docs, firsts)
     left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
     result = to_arrow_schema(StructType.fromDDL("a bigint, b bigint"))
@@ -235,9 +257,9 @@ def similar_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id
     one = shared_lists(postings(docs, frequent, counts, percent))
     several = F.coalesce(F.lag("node").over(order), F.lead("node").over(order)).isNotNull()
     lists = materialize(one.withColumn("__several", several).where("__several").drop("__several"), "lists")
+    lists = materialize(lists.join(lists.groupBy("node").agg(F.count("*").cast("int").alias("s")), "node"), "counted-lists")
 
-    close = F.col("small") * 100 >= F.col("large") * percent
-    pairs = candidate_pairs(lists).where(close).groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need"), F.max("large").alias("large"))
+    pairs = candidate_pairs(lists, percent).groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need"))
     pairs = materialize(pairs.where("shared >= need"), "pairs")
 
     best = lambda x, y: pairs.groupBy(F.col(x).alias("n")).agg(F.max_by(F.struct("a", "b"), F.struct("shared", F.col(y))).alias("p")).select("p.*")
@@ -250,10 +272,9 @@ def similar_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id
         links = materialize(links.union(_verified(others, docs, firsts, percent)), "all-links")
         labels = materialize(components(links), "labels")
 
-    rest = _across(lists, labels, pairs, percent)
-    if not rest.isEmpty():
-        links = links.union(_verified(rest, docs, firsts, percent))
-        labels = materialize(components(links), "labels")
+    late = _across(lists, labels, docs, firsts, percent)
+    if late is not None:
+        labels = materialize(components(materialize(links.union(late), "all-links")), "labels")
 
     named = firsts.join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     names = named.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -261,21 +282,61 @@ def similar_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id
     return nodes.join(named, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _across(lists: DataFrame, labels: DataFrame, decided: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of different components that share a list of more than ``NEAR + 1`` nodes."""
+def _across(lists: DataFrame, labels: DataFrame, docs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame | None:
+    """Links between different components that share a list of more than ``NEAR + 1`` nodes; None if there is no such list.
+
+    Lists are grouped by their largest component. The members outside of it are held against all members of the group in
+    blocks of ``BLOCK`` by ``BLOCK`` nodes: a task gets two blocks of sets, counts shared prefix shingles with an index
+    over one of them, verifies the pairs that share enough and returns links only. So rows grow with the group's size
+    times its number of blocks, not with its pairs.
+    """
     own = lists.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     groups = own.groupBy("shingle", "c").agg(F.count("*").alias("k"))
     mixed = groups.groupBy("shingle").agg(F.sum("k").alias("size"), F.count("*").alias("parts"), F.max_by("c", F.struct("k", "c")).alias("main"))
-    mixed = materialize(mixed.where("parts > 1"), "mixed")
-    long = mixed.where(F.col("size") > NEAR + 1)
-    if long.isEmpty():
-        return decided.select("a", "b").limit(0)
-    involved = own.join(long.select("shingle"), "shingle", "left_semi").select("node").distinct()
-    part = materialize(own.join(involved, "node", "left_semi").join(mixed.select("shingle", "main", (F.col("size") > NEAR + 1).alias("long")), "shingle"), "mixed-lists")
-    one = part.where("c <> main").select("shingle", "long", "main", *[F.col(x).alias(f"{x}1") for x in ("node", "c", "n", "m")])
-    two = part.select("shingle", *[F.col(x).alias(f"{x}2") for x in ("node", "c", "n", "m")])
-    met = one.join(two, "shingle").where("c1 <> c2 AND (c2 = main OR node1 < node2)")
-    met = met.where(F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent)
-    met = met.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"), F.least("m1", "m2").alias("need"), "long")
-    met = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need"), F.max("long").alias("long")).where("long AND shared >= need")
-    return materialize(met.join(decided, ["a", "b"], "left_anti").select("a", "b"), "late-pairs")
+    mixed = materialize(mixed.where((F.col("parts") > 1) & (F.col("size") > NEAR + 1)).select("shingle", "main"), "mixed")
+    if mixed.isEmpty():
+        return None
+    members = own.join(mixed, "shingle").groupBy("main", "node").agg(F.first("c").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("s").alias("s"))
+    members = materialize(members, "members")
+    sizes = members.groupBy("main").agg(F.count("*").alias("all"), F.count_if(F.col("c") != F.col("main")).alias("outside"))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    sizes = materialize(sizes.where("outside > 0").select("main", blocks("all").alias("all"), blocks("outside").alias("outside")), "member-blocks")
+    placed = members.join(sizes, "main").withColumns({"x": F.pmod(F.xxhash64("node"), F.col("outside")).cast("int"), "y": F.pmod(F.xxhash64("node"), F.col("all")).cast("int")})
+    count_to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    outside = placed.where("c <> main").select("main", "node", "c", "n", "m", "s", F.lit(True).alias("asks"), F.col("x").alias("i"), F.explode(count_to("all")).alias("j"))
+    every = placed.select("main", "node", "c", "n", "m", "s", F.lit(False).alias("asks"), F.explode(count_to("outside")).alias("i"), F.col("y").alias("j"))
+    prefixes = lists.groupBy("node").agg(F.collect_list("shingle").alias("prefix"))  # a prefix at most
+    sets = _sets(members, docs, firsts).join(prefixes, "node")
+    sent = outside.unionByName(every).join(sets, "node")
+    result = StructType.fromDDL("a bigint, b bigint")
+    arrow = to_arrow_schema(result)
+
+    def links(table: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        asks = table.column("asks").to_numpy()
+        rows = {k: table.column(k).to_numpy() for k in ("node", "c", "n", "m", "s")}
+        sets, prefixes = table.column("shingles"), table.column("prefix")
+        those = np.flatnonzero(~asks)
+        index: dict[int, list[int]] = {}
+        for at, i in enumerate(those.tolist()):
+            for x in prefixes[i].as_py():
+                index.setdefault(x, []).append(at)
+        held = [np.frombuffer(sets[i].as_py(), np.int64) for i in those.tolist()]
+        n2, m2, s2, c2, node2 = (rows[k][those].astype(np.int64) for k in ("n", "m", "s", "c", "node"))
+        behind2 = -(-n2 * percent // 100) - m2
+        for i in np.flatnonzero(asks).tolist():
+            n, m, s, c, node = (int(rows[k][i]) for k in ("n", "m", "s", "c", "node"))
+            met = [index[x] for x in prefixes[i].as_py() if x in index]
+            if not met:
+                continue
+            shared = np.bincount(np.concatenate(met), minlength=len(those))
+            overlap = -(-percent * (n + n2) // (100 + percent))
+            need = np.maximum(np.minimum(m, m2), overlap - np.maximum(_needed_overlap(n, percent) - m, behind2))
+            for at in np.flatnonzero((shared >= need) & (c2 != c) & (np.minimum(n, n2) * 100 >= np.maximum(n, n2) * percent)).tolist():
+                common = len(np.intersect1d(np.frombuffer(sets[i].as_py(), np.int64), held[at], assume_unique=True))
+                if 100 * common >= percent * (n + int(n2[at]) - common):
+                    found.append((max(node, int(node2[at])), min(node, int(node2[at]))))
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.Table.from_arrays([pa.array(a, arrow[0].type), pa.array(b, arrow[1].type)], schema=arrow)
+
+    return materialize(sent.groupBy("main", "i", "j").applyInArrow(links, result).distinct(), "late-links")
