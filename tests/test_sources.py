@@ -64,3 +64,32 @@ def test_discovery_integrity_and_export(spark, files, tmp_path):
     rows = spark.createDataFrame([(1, "x"), (2, None)], "a int, b string")
     assert writers.write_sqlite(rows, str(tmp_path / "t.db")) == 2
     assert sqlite3.connect(tmp_path / "t.db").execute("select a, b from timeline order by a").fetchall() == [("1", "x"), ("2", None)]
+
+
+def test_json_stores(spark):
+    from waylens.sources import json_readers
+
+    def files(value):
+        return spark.createDataFrame([("p", bytearray(json.dumps(value).encode())), ("q", bytearray(b"{}"))], "path string, content binary")
+
+    found = json_readers.permissions(files({"profile": {"content_settings": {"exceptions": {"geolocation": {"https://a.example:443,*": {"setting": 1, "last_modified": str(T)}}, "x": {"b": {}}}}}})).collect()
+    assert sorted((r.timestamp_ns, json.loads(r.attrs_json)["setting"]) for r in found) == [(0, "unspecified"), (NS, "allow")]
+    people = json_readers.profiles(files({"profile": {"info_cache": {"Default": {"name": "Ann", "user_name": "a@x.org", "active_time": 1300000000.5}}}})).collect()
+    assert [(r.timestamp_ns, r.description) for r in people] == [(NS, "Profile Default: Ann (a@x.org)")]
+    assert [r.attrs["host_hash"] for r in json_readers.transport_security(files({"sts": [{"host": "h1", "sts_observed": 1300000000.0}], "version": 2})).collect()] == ["h1"]
+    assert [r.attrs["host_hash"] for r in json_readers.transport_security(files({"h2": {"expiry": 1}, "version": 1})).collect()] == ["h2"]
+
+
+def test_more_chromium_tables(spark, tmp_path):
+    with sqlite3.connect(tmp_path / "db") as db:
+        db.executescript(f"""
+        CREATE TABLE credit_cards(name_on_card, expiration_month, expiration_year, date_modified, use_count, use_date, card_number_encrypted); INSERT INTO credit_cards VALUES ('A', 3, 2030, {T}, 1, 2, x'00');
+        CREATE TABLE origin(origin, aggregate_watchtime_audio_video_s, last_updated_time_s); INSERT INTO origin VALUES ('https://m.example', 9, {T // 1_000_000});
+        CREATE TABLE nel_policies(origin_host, group_name, last_access_us_since_epoch); INSERT INTO nel_policies VALUES ('n.example', 'g', {T});
+        CREATE TABLE reporting_endpoints(origin_host, group_name, url); INSERT INTO reporting_endpoints VALUES ('n.example', 'g', 'https://R.example/x');
+        CREATE TABLE bounces(site, last_site_storage_time, last_user_interaction_time); INSERT INTO bounces VALUES ('b.example', {T + 5}, {T}), ('c.example', {T}, NULL);""")
+    path = str(tmp_path / "db")
+    assert readers.read(spark, "chromium_cards", path).first()["description"] == "stored card: A (exp 03/2030)"
+    assert [(r.timestamp_ns, r.description) for r in readers.read(spark, "chromium_media", path).collect()] == [(NS, "https://m.example — media origin (9s aggregate)")]
+    assert sorted((r.timestamp_ns, r.attrs.get("report_to_host")) for r in readers.read(spark, "chromium_reporting", path).collect()) == [(0, "r.example"), (NS, None)]
+    assert sorted((r.attrs["host"], r.timestamp_ns) for r in readers.read(spark, "chromium_bounces", path).collect()) == [("b.example", NS), ("c.example", NS)]

@@ -274,3 +274,49 @@ def discover_profiles(files: DataFrame) -> DataFrame:
     folder = F.regexp_replace("path", "/[^/]+$", "")
     family = F.when(name == "places.sqlite", "Firefox").when(name == "History.db", "Safari").when(name.isin("History", "Cookies", "Login Data"), "Chromium").when(name == "WebCacheV01.dat", "InternetExplorer")
     return files.select(family.alias("browser"), F.regexp_extract(folder, "([^/]+)$", 1).alias("profile"), folder.alias("path"), tx.user_of(folder).alias("user")).where("browser IS NOT NULL").distinct()
+
+
+@reader("chromium_cards", credit_cards="name_on_card string, expiration_month bigint, expiration_year bigint, date_modified bigint, use_count bigint, use_date bigint")
+def chromium_cards(t: Tables) -> DataFrame:
+    """Stored cards, without their numbers."""
+    label = F.format_string("stored card: %s (exp %02d/%d)", text("name_on_card"), F.coalesce("expiration_month", F.lit(0)), F.coalesce("expiration_year", F.lit(0)))
+    return events(t["credit_cards"], tm.webkit_micros(c("date_modified")), "Chromium", "CreditCard", label, name_on_card=text("name_on_card"), expiration_month=c("expiration_month"), expiration_year=c("expiration_year"), use_count=c("use_count"), use_date=c("use_date"))
+
+
+@reader("chromium_media", playbackSession="url string, duration_ms bigint, position_ms bigint, title string, source_title string, last_updated_time_s bigint", origin="origin string, aggregate_watchtime_audio_video_s bigint, last_updated_time_s bigint", playback="url string, watch_time_s bigint, has_audio bigint, has_video bigint, last_updated_time_s bigint")
+def chromium_media(t: Tables) -> DataFrame:
+    """Playback sessions, origins and playbacks; times are WebKit seconds."""
+    ns = F.when(c("last_updated_time_s") > 0, tm.webkit_micros(tm.saturating_multiply(c("last_updated_time_s"), 1_000_000))).otherwise(0)
+    number = lambda k: F.coalesce(c(k), F.lit(0))
+    shown = F.when(text("title") == "", c("url")).otherwise(F.concat(c("title"), F.lit(" — "), c("url")))
+    session = events(
+        t["playbackSession"].where("url <> ''"), ns, "Chromium", "MediaPlayback", F.concat(shown, F.lit(" (position "), number("position_ms").cast("string"), F.lit("ms / "), number("duration_ms").cast("string"), F.lit("ms)")), url=c("url"), media_kind=F.lit("session"),
+        title=text("title"), source_title=text("source_title"), duration_ms=number("duration_ms"), position_ms=number("position_ms"), last_updated_time_s=number("last_updated_time_s"),
+    )
+    total = number("aggregate_watchtime_audio_video_s")
+    origin = events(t["origin"].where("origin <> ''"), ns, "Chromium", "MediaPlayback", F.concat(c("origin"), F.lit(" — media origin ("), total.cast("string"), F.lit("s aggregate)")), origin=c("origin"), url=c("origin"), media_kind=F.lit("origin"), aggregate_watchtime_s=total, last_updated_time_s=number("last_updated_time_s"))
+    playback = events(t["playback"].where("url <> ''"), ns, "Chromium", "MediaPlayback", F.concat(c("url"), F.lit(" — playback ("), number("watch_time_s").cast("string"), F.lit("s)")), url=c("url"), media_kind=F.lit("playback"), watch_time_s=number("watch_time_s"), last_updated_time_s=number("last_updated_time_s"))
+    return session.unionByName(origin).unionByName(playback)
+
+
+@reader("chromium_reporting", nel_policies="origin_host string, group_name string, last_access_us_since_epoch bigint", reporting_endpoints="origin_host string, group_name string, url string")
+def chromium_reporting(t: Tables) -> DataFrame:
+    """Network error logging policies and reporting endpoints: hosts that were contacted."""
+    used = F.when(c("last_access_us_since_epoch") > 0, tm.webkit_micros(c("last_access_us_since_epoch"))).otherwise(0)
+    policies = events(t["nel_policies"].where("origin_host <> ''"), used, "Chromium", "RecoveredDomain", F.concat(F.lit("NEL policy "), c("origin_host")), host=c("origin_host"), group_name=c("group_name"), source_artifact=F.lit("nel"))
+    to = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)
+    ends = events(t["reporting_endpoints"].where("origin_host <> ''"), F.lit(0), "Chromium", "RecoveredDomain", F.concat(F.lit("reporting endpoint "), c("origin_host")), host=c("origin_host"), group_name=c("group_name"), url=c("url"), report_to_host=F.when(to != "", F.lower(to)), source_artifact=F.lit("reporting"))
+    return policies.unionByName(ends)
+
+
+BOUNCES = ("first_site_storage_time", "last_site_storage_time", "first_user_activation_time", "last_user_activation_time", "first_user_interaction_time", "last_user_interaction_time", "first_stateful_bounce_time", "last_stateful_bounce_time", "first_bounce_time", "last_bounce_time", "first_web_authn_assertion_time", "last_web_authn_assertion_time")
+
+
+@reader("chromium_bounces", bounces="site string, " + ", ".join(f"{x} bigint" for x in BOUNCES))
+def chromium_bounces(t: Tables) -> DataFrame:
+    """Sites of the bounce-tracking table: the latest activation or interaction, else the latest of any of its times."""
+    latest = lambda names: F.greatest(F.lit(0), *[F.coalesce(c(x), F.lit(0)) for x in names])
+    acts = latest([x for x in BOUNCES if "activation" in x or "interaction" in x])
+    when = F.when(acts > 0, acts).otherwise(latest(BOUNCES))
+    ns = F.when(when > 0, tm.webkit_micros(when)).otherwise(0)
+    return events(t["bounces"].where("site <> ''"), ns, "Chromium", "RecoveredDomain", F.concat(F.lit("site state "), c("site")), host=c("site"), source_artifact=F.lit("bounces"), **{x: c(x) for x in BOUNCES})
