@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than space, tab, LF, VT, FF and CR.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
+#: Bytes of texts that a task works on at a time.
+LIST_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,9 +65,10 @@ def map_texts(docs: DataFrame, make, columns: str, id_col: str = "doc_id", text_
     """``doc_id`` and what ``make()`` computes from lists of texts, with nulls as None, in tasks.
 
     ``make`` runs once a task and returns a function from a list of texts to a list of columns for the DDL ``columns``.
-    Texts go through in lists of ``rows``, so a task holds few results at a time.
+    Texts go through in lists of ``rows``, or fewer where they are long, so a task holds few results at a time.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructField, StructType
 
@@ -73,11 +76,22 @@ def map_texts(docs: DataFrame, make, columns: str, id_col: str = "doc_id", text_
     schema = StructType([StructField("doc_id", id_type), *StructType.fromDDL(columns).fields])
     arrow = to_arrow_schema(schema)
 
+    def parts(batch):
+        """Slices of a batch of at most ``rows`` texts and, but for a single longer one, LIST_BYTES of them."""
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+        start, held = 0, 0
+        for i, size in enumerate(sizes):
+            if i > start and (i - start == rows or held + size > LIST_BYTES):
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += size
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
     def run(batches):
         work = make()
         for batch in batches:
-            for i in range(0, batch.num_rows, rows):
-                part = batch.slice(i, rows)
+            for part in parts(batch):
                 found = work(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, type=f.type) for c, f in zip(found, list(arrow)[1:], strict=True)]], schema=arrow)
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -49,7 +50,7 @@ class Pieces:
         self.raw = [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else sp.id_to_piece(i).encode() for i in ids]
         self.algorithm = algorithm
         self.worst = min(self.score.values(), default=0.0) - 10
-        #: For the last characters of a piece, the lengths of pieces that end so, longest first.
+        #: For the last three characters of a piece, the lengths of pieces of three or more that end so, longest first.
         lengths: dict[str, set[int]] = {}
         inner: set[str] = set()
         #: Pieces of several characters that a path can hold; in a BPE model, those that their own characters merge into.
@@ -57,8 +58,8 @@ class Pieces:
         for p in self.id:
             if len(p) > 1:
                 inner.update(p)
-            if p in self.usable:
-                lengths.setdefault(p[-2:], set()).add(len(p))
+            if p in self.usable and len(p) > 2:
+                lengths.setdefault(p[-3:], set()).add(len(p))
         self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in lengths.items()}
         apart = "".join(c for c in "\n\r\t" if c not in inner)
         if any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in self.id):
@@ -89,14 +90,23 @@ class Pieces:
 
     def _last_bpe(self, text: str, i: int, last: list[str]) -> str:
         """Last piece of the encoding of ``text[:i]``; ``last`` has it for the prefixes before, at 0 the piece in front."""
-        for k in self.lengths.get(text[i - 2 : i], ()) if i > 1 else ():
-            if k <= i and (piece := text[i - k : i]) in self.usable:
-                left = last[i - k]
-                if not left:
-                    return piece
-                ok = self.apart.get((left, piece))
-                if ok or ok is None and self.fits(left, piece):
-                    return piece
+        usable, apart = self.usable, self.apart
+        if i > 2:
+            for k in self.lengths.get(text[i - 3 : i], ()):
+                if k <= i and (piece := text[i - k : i]) in usable:
+                    left = last[i - k]
+                    if not left:
+                        return piece
+                    ok = apart.get((left, piece))
+                    if ok or ok is None and self.fits(left, piece):
+                        return piece
+        if i > 1 and (piece := text[i - 2 : i]) in usable:
+            left = last[i - 2]
+            if not left:
+                return piece
+            ok = apart.get((left, piece))
+            if ok or ok is None and self.fits(left, piece):
+                return piece
         return text[i - 1]
 
     def _last_unigram(self, text: str, i: int, best: list[float]) -> tuple[int, float]:
@@ -153,10 +163,10 @@ class Pieces:
     def _extend(self, segment: str, last: list[str], out: list[int], best: list[float]) -> None:
         """Runs the lattice on over a segment whose first ``len(last) - 1`` characters it has passed. ``out`` has the tokens
         of each prefix: one (or a character's bytes) more than the prefix that its last piece follows."""
-        bpe, single = self.algorithm == "bpe", self.id
+        bpe, single, step = self.algorithm == "bpe", self.id, self._last_bpe
         for i in range(len(last), len(segment) + 1):
             if bpe:
-                piece = self._last_bpe(segment, i, last)
+                piece = step(segment, i, last)
             else:
                 k, score = self._last_unigram(segment, i, best)
                 piece = segment[i - k : i]
@@ -203,8 +213,13 @@ class Pieces:
     def normalized(self, text: str) -> str:
         return SPACE_MARK + text.replace(" ", SPACE_MARK) if text else ""
 
-    def _path_ids(self, pieces: Iterable[str]) -> bytes:
-        return np.array([i for p in pieces for i in self.ids_of(p)], np.int32).tobytes()
+    def _path_ids(self, pieces: list[str]) -> bytes:
+        known = self.id
+        try:
+            ids = [known[p] for p in pieces]
+        except KeyError:
+            ids = [i for p in pieces for i in self.ids_of(p)]
+        return array("i", ids).tobytes()
 
     def encode(self, texts: list) -> list[np.ndarray]:
         """Ids of each text as int32; a null text has none."""
@@ -217,7 +232,8 @@ class Pieces:
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: bytes join to characters (broken ones become U+FFFD), space marks to spaces, less the first."""
-        text = b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace").replace(SPACE_MARK, " ")
+        raw = self.raw
+        text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace").replace(SPACE_MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -243,4 +259,4 @@ def encode_documents(docs: DataFrame, model: str, algorithm: str = "bpe", id_col
 
         return work
 
-    return map_texts(docs, make, "ids array<int>, n_tokens bigint, decoded_sha256 string, round_trip boolean", id_col, text_col)
+    return map_texts(docs, make, "ids array<int>, n_tokens bigint, decoded_sha256 string, round_trip boolean", id_col, text_col, rows=1024)

@@ -7,6 +7,8 @@ answer any truncation or budget question without encoding again.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 from pyspark.sql import DataFrame
 
@@ -29,9 +31,9 @@ def prefix_counts(pieces: Pieces, texts: list) -> list[np.ndarray]:
     def long(segment: str) -> bytes:
         last, out, best = [""], [0], [0.0]
         pieces._extend(segment, last, out, best)
-        return np.array(out[1:], np.int32).tobytes()
+        return array("i", out[1:]).tobytes()
 
-    return [_counts(x) for x in pieces.values(texts, lambda segment, last, out: np.array(out[1:], np.int32).tobytes(), long)]
+    return [_counts(x) for x in pieces.values(texts, lambda segment, last, out: array("i", out[1:]).tobytes(), long)]
 
 
 def tokens_of(counts: bytes, n_chars: int) -> int:
