@@ -109,6 +109,23 @@ def test_cues_find_unseen_values(spark):
     assert got[50] == ["someone-at-home"] and not any(v for k, v in got.items() if k != 50)
 
 
+def test_long_values_are_taken_whole(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    digits = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    head = "a1" * 64
+    keys = {i: head + digits(200) for i in range(8)} | {20: digits(5000), 21: digits(300) + "f4041894974608795f" + digits(300), 22: "eyJ-_." * 700, 23: "ab12" * 500_000}
+    docs = spark.createDataFrame([(i, f'set key="{k}" here') for i, k in keys.items()], "doc_id bigint, text string")
+    found = pii.find_personal_data(docs).join(docs, "doc_id")
+    got = {r.doc_id: r for r in found.select("doc_id", "id", pii.redacted(F.col("text"), pii.marked(pii.KINDS)).alias("t")).collect()}
+    assert {i: [(x.s, x.e, x.v) for x in r.id] for i, r in got.items()} == {i: [(9, 9 + len(k), k)] for i, k in keys.items()}
+    assert {r.t for r in got.values()} == {'set key="<id>" here'}
+    # values that share their first characters are distinct for their cue
+    same = spark.createDataFrame([(i, f'set key="{keys[i]}" here') for i in range(8)], "doc_id bigint, text string")
+    assert all(len(r.id) == 1 for r in pii.find_personal_data(same).collect())
+
+
 def test_redaction(spark):
     from pyspark.sql import functions as F
 

@@ -30,8 +30,8 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])"
 # \+[0-9][\x20().0-9-]+[0-9]
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: A word, a delimiter and a value: the cue is the first two, the value is group 2.
-CUE = r"(?<![\p{L}_])([\p{L}_]{2,30}+[\"']?\x20?[:=#]\x20?[\"']?)([A-Za-z0-9@._+/()-]{4,128}+)"
+#: A word, a delimiter and a value: the cue is the first two, the value is group 2, its whole run of characters.
+CUE = r"(?<![\p{L}_])([\p{L}_]{2,30}+[\"']?\x20?[:=#]\x20?[\"']?)([A-Za-z0-9@._+/()-]{4,}+)"
 #: Seeds besides base spans: hexadecimal strings of 16 or more with digits and letters.
 HEX_SEED = r"^(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{16,}$"
 
@@ -91,17 +91,21 @@ def find_personal_data(docs: DataFrame, min_score: float = 0.8, min_values: int
     """``doc_id`` and the spans of every row: arrays ``email, ip, card, phone, id`` of structs (s, e, v).
 
     Null texts count as empty and have no spans. Repeated rows and null ids are searched row by row. Repeated values count
-    once for a cue, so copies of a text don't make a cue. ``id`` spans that touch a base span are left out. An empty table
-    gives no rows. Other columns aren't read.
+    once for a cue, so copies of a text don't make a cue. ``id`` spans of which base spans cover half or more are left out
+    (a long key that has the digits of a card by chance is not). An empty table gives no rows. Other columns aren't read.
     """
     rows = base_spans(docs, id_col, text_col).withColumn("__row", F.monotonically_increasing_id())
     rows = materialize(rows, "pii-spans")  # from here on row ids are fixed
     cues = rows.where(F.size("cue") > 0).select("__row", F.concat("email", "ip", "card", "phone").alias("base"), F.explode("cue").alias("x"))
     value = F.regexp_extract("x.v", CUE, 2)
     cues = cues.select("__row", "base", F.regexp_replace(F.lower(F.regexp_extract("x.v", CUE, 1)), " ", "").alias("cue"), value.alias("value"), (F.col("x.e") - F.length(value)).alias("s"), F.col("x.e").alias("e"))
-    known = F.exists("base", lambda b: (b["s"] < F.col("e")) & (b["e"] > F.col("s")))
-    cues = materialize(cues.select("__row", "cue", "value", "s", "e", known.alias("known"), (known | F.lower("value").rlike(HEX_SEED)).alias("seed")), "pii-cues")
-    edges = materialize(cues.groupBy("cue", "value").agg(F.max("seed").alias("seed")), "pii-edges")
+    touched = F.exists("base", lambda b: (b["s"] < F.col("e")) & (b["e"] > F.col("s")))
+    shared = F.aggregate("base", F.lit(0), lambda a, b: a + F.greatest(F.lit(0), F.least(b["e"], F.col("e")) - F.greatest(b["s"], F.col("s"))))
+    known = touched & (2 * shared >= F.col("e") - F.col("s"))
+    cues = materialize(cues.select("__row", "cue", "value", "s", "e", known.alias("known"), (touched | F.lower("value").rlike(HEX_SEED)).alias("seed")), "pii-cues")
+    # in the graph a digest stands for a long value, so that its rows are narrow
+    node = F.when(F.length("value") > 64, F.sha2("value", 256)).otherwise(F.col("value"))
+    edges = materialize(cues.groupBy("cue", node.alias("value")).agg(F.max("seed").alias("seed")), "pii-edges")
     trusted = score_cues(edges, rounds).where((F.col("score") >= min_score) & (F.col("n_values") >= min_values)).select("cue")
     found = cues.where(~F.col("known")).join(trusted, "cue").groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("s", "e", F.col("value").alias("v")))).alias("id"))
     return rows.join(found, "__row", "left").select("doc_id", "email", "ip", "card", "phone", F.coalesce("id", F.array().cast("array<struct<s:int,e:int,v:string>>")).alias("id"))
