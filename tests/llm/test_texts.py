@@ -126,6 +126,18 @@ def test_long_values_are_taken_whole(spark):
     assert all(len(r.id) == 1 for r in pii.find_personal_data(same).collect())
 
 
+def test_labels_behind_labels(spark):
+    from pyspark.sql import functions as F
+
+    key = [f"24be{i}caf{i}e1d{i}f00d{i}" for i in range(9)]
+    texts = [f"set password={k} and token = \"{k[::-1]}\" now" for k in key[:7]] + ["login: password=hunter2abc", f'note: token = "{key[7]}"', f"é #x a: b: /x/token = \"{key[8]}\" b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = pii.find_personal_data(docs).join(docs, "doc_id")
+    got = {r.doc_id: r for r in found.select("doc_id", "text", "id", pii.redacted(F.col("text"), pii.marked(pii.KINDS)).alias("t")).collect()}
+    assert [got[i].t for i in (0, 7, 8, 9)] == ["set password=<id> and token = \"<id>\" now", "login: password=<id>", 'note: token = "<id>"', "é #x a: b: /x/token = \"<id>\" b"]
+    assert all(r.text[x.s : x.e] == x.v for r in got.values() for x in r.id)
+
+
 def test_redaction(spark):
     from pyspark.sql import functions as F
 

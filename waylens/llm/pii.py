@@ -30,8 +30,10 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])"
 # \+[0-9][\x20().0-9-]+[0-9]
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: A word, a delimiter and a value: the cue is the first two, the value is group 2, its whole run of characters.
-CUE = r"(?<![\p{L}_])([\p{L}_]{2,30}+[\"']?\x20?[:=#]\x20?[\"']?)([A-Za-z0-9@._+/()-]{4,}+)"
+#: A word, a delimiter and a value: the cue is the first two, the value is group 2, its whole run of characters. The match
+#: ends with the cue, so a value that is a label itself (``login: password=...``) is the next match's cue as well. It stays
+#: a value too: nothing tells it from the secret in ``password: correcthorse # note``. No two values overlap.
+CUE = r"(?<![\p{L}_])([\p{L}_]{2,30}+[\"']?\x20?[:=#]\x20?[\"']?)(?=([A-Za-z0-9@._+/()-]{4,}+))"
 #: Seeds besides base spans: hexadecimal strings of 16 or more with digits and letters.
 HEX_SEED = r"^(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{16,}$"
 
@@ -55,13 +57,14 @@ def _spans(matches: str, gaps: str) -> str:
 
 
 def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id`` and arrays of spans: email, ip, card, phone, and cue (with every cue and value)."""
+    """``doc_id`` and arrays of spans: email, ip, card, phone, and cue (every value, and its cue)."""
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
     patterns = {"email": (EMAIL, "@"), "ip": (IP, "."), "card": (CARD, ""), "phone": (PHONE, "+"), "cue": (CUE, "")}
     rows = rows.withColumns({f"__m_{k}": _placed("__text", p, g)[0] for k, (p, g) in patterns.items()})
+    rows = rows.withColumn("__values", F.regexp_extract_all("__text", F.lit(CUE), F.lit(2)))
     gaps = {f"__g_{k}": F.when(F.size(f"__m_{k}") > 0, F.split("__text", p, -1)) for k, (p, _) in patterns.items()}
     rows = rows.withColumns(gaps)
-    rows = rows.select("doc_id", *[F.expr(_spans(f"__m_{k}", f"__g_{k}")).alias(f"__{k}") for k in patterns])
+    rows = rows.select("doc_id", "__values", *[F.expr(_spans(f"__m_{k}", f"__g_{k}")).alias(f"__{k}") for k in patterns])
     digits = lambda v: F.regexp_replace(v, "[^0-9]", "")
     return rows.select(
         "doc_id",
@@ -69,7 +72,7 @@ def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.filter("__ip", lambda x: F.forall(F.split(x["v"], r"\."), lambda p: F.coalesce(p.try_cast("int"), F.lit(256)) <= 255)).alias("ip"),
         F.filter("__card", lambda x: F.call_function("luhn_check", digits(x["v"]))).alias("card"),
         F.filter("__phone", lambda x: F.length(digits(x["v"])).between(9, 15)).alias("phone"),
-        F.col("__cue").alias("cue"),
+        F.zip_with("__cue", "__values", lambda x, v: F.struct(x["e"].alias("s"), (x["e"] + F.length(v)).alias("e"), v.alias("v"), x["v"].alias("cue"))).alias("cue"),
     )
 
 
@@ -91,18 +94,19 @@ def find_personal_data(docs: DataFrame, min_score: float = 0.8, min_values: int
     """``doc_id`` and the spans of every row: arrays ``email, ip, card, phone, id`` of structs (s, e, v).
 
     Null texts count as empty and have no spans. Repeated rows and null ids are searched row by row. Repeated values count
-    once for a cue, so copies of a text don't make a cue. ``id`` spans of which base spans cover half or more are left out
-    (a long key that has the digits of a card by chance is not). An empty table gives no rows. Other columns aren't read.
+    once for a cue, so copies of a text don't make a cue. ``id`` spans of which base spans cover half or more are left out,
+    but for hexadecimal strings that are seeds (a key has the digits of a card by chance). An empty table gives no rows.
+    Other columns aren't read.
     """
     rows = base_spans(docs, id_col, text_col).withColumn("__row", F.monotonically_increasing_id())
     rows = materialize(rows, "pii-spans")  # from here on row ids are fixed
     cues = rows.where(F.size("cue") > 0).select("__row", F.concat("email", "ip", "card", "phone").alias("base"), F.explode("cue").alias("x"))
-    value = F.regexp_extract("x.v", CUE, 2)
-    cues = cues.select("__row", "base", F.regexp_replace(F.lower(F.regexp_extract("x.v", CUE, 1)), " ", "").alias("cue"), value.alias("value"), (F.col("x.e") - F.length(value)).alias("s"), F.col("x.e").alias("e"))
+    cues = cues.select("__row", "base", F.regexp_replace(F.lower("x.cue"), " ", "").alias("cue"), F.col("x.v").alias("value"), "x.s", "x.e")
     touched = F.exists("base", lambda b: (b["s"] < F.col("e")) & (b["e"] > F.col("s")))
     shared = F.aggregate("base", F.lit(0), lambda a, b: a + F.greatest(F.lit(0), F.least(b["e"], F.col("e")) - F.greatest(b["s"], F.col("s"))))
-    known = touched & (2 * shared >= F.col("e") - F.col("s"))
-    cues = materialize(cues.select("__row", "cue", "value", "s", "e", known.alias("known"), (touched | F.lower("value").rlike(HEX_SEED)).alias("seed")), "pii-cues")
+    secret = F.lower("value").rlike(HEX_SEED)
+    known = touched & (2 * shared >= F.col("e") - F.col("s")) & ~secret
+    cues = materialize(cues.select("__row", "cue", "value", "s", "e", known.alias("known"), (touched | secret).alias("seed")), "pii-cues")
     # in the graph a digest stands for a long value, so that its rows are narrow
     node = F.when(F.length("value") > 64, F.sha2("value", 256)).otherwise(F.col("value"))
     edges = materialize(cues.groupBy("cue", node.alias("value")).agg(F.max("seed").alias("seed")), "pii-edges")
