@@ -8,6 +8,9 @@ a bootstrap over *cues*, a word with a delimiter in front of a value (``mail: ``
    values scores low), and a value's confidence is the noisy-or of the scores of its cues, for some rounds;
 3. cues of a high score and enough distinct values find all their values, seen or not, as spans of kind ``id``.
 
+This is the only kind of pattern that is learned. Values without a delimiter before them (``SSN 123-45-6789``), words behind
+a value, labels that end in a digit, values with spaces and values in other scripts are never candidates.
+
 Everything is a column expression, an aggregation or a join. Matches of a pattern get places from the pieces between them:
 ``split`` gives the gaps, ``regexp_extract_all`` the matches, and their lengths add up to code point positions.
 """
