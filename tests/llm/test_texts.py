@@ -223,6 +223,12 @@ def test_bundles_are_plain_zstandard(tmp_path):
     assert len(reader.sizes) > 3
 
 
+def test_capitals_count_in_any_script_and_length():
+    at = toxicity.FEATURES.index("capital_rate")
+    for word in ("ПРИВЕТ", "ΚΑΛΗΜΕΡΑ", "ŁÓDŹ", "İŞÇİ", "ŒUVRE", "HÄUSER"):
+        assert [toxicity._features(f"{word} " * n, {}, {})[at] for n in (3, 300)] == [1.0, 1.0]
+
+
 def test_toxicity_learns_and_ignores_held_out_labels(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))

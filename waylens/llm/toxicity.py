@@ -88,7 +88,7 @@ def _features(text: str, lexicon: dict[str, float], known: dict) -> tuple:
         near += j < len(yous) and yous[j] <= i + NEAR
     letters = max(1, len(text) - text.count(" "))
     per = max(1, n)
-    capitals = sum(map(str.isupper, text)) if len(text) < 200 else len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
+    capitals = sum(map(str.isupper, text))
     marks = len(re.findall(r"[^\w\s]", text))
     return (
         math.log1p(n), insults / per, float(insults), words / per, word_max, stems / per, stem_max, near / max(1, len(hits)), len(yous) / per, capitals / letters,
