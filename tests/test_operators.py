@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from waylens.operators import correlate, indicators, integrity, timeline, visits
+from waylens.operators import correlate, indicators, integrity, search, timeline, visits
 
 
 def visit_rows(spark, rows):
@@ -51,3 +51,10 @@ def test_header_anomalies(spark):
 
     rows = spark.createDataFrame([("ok", head(3, 3)), ("edited", head(4, 3)), ("odd", head(3, 0, 7)), ("no", bytearray(b"x"))], "path string, content binary")
     assert sorted((r.path, r.tag) for r in integrity.header_anomalies(rows).collect()) == [("edited", "ChangeCounterMismatch"), ("odd", "HeaderVersionAnomaly")]
+
+
+def test_search_reads_whole_fields(spark):
+    rows = spark.range(2).select(F.concat(F.repeat(F.lit("x"), search.FIELD_LIMIT), F.when(F.col("id") == 0, "needle").otherwise("")).alias("description"), F.lit("").alias("source"), F.lit("").alias("url"))
+    for regex in (False, True):
+        assert search.filter_events(rows, "needle", regex=regex).count() == 1
+        assert search.filter_events(rows, "needle", regex=regex, limit=search.FIELD_LIMIT).count() == 0

@@ -8,26 +8,26 @@ from pyspark.sql import functions as F
 from waylens.functions.urls import domain_suffixes
 from waylens.plans.model import artifacts
 
-#: Characters of a field that are searched (the reference bound is 1 MiB).
+#: The reference searches the first MiB of a field; given as ``limit`` (in characters), it bounds the search here too.
 FIELD_LIMIT = 1 << 20
 
 
-def matches(pattern: str, fields: list[str], regex: bool = False) -> Column:
-    """Whether one of the columns has the pattern, case-sensitively."""
+def matches(pattern: str, fields: list[str], regex: bool = False, limit: int | None = None) -> Column:
+    """Whether one of the columns has the pattern, case-sensitively, in its first ``limit`` characters or anywhere."""
     out = F.lit(False)
     for f in fields:
-        c = F.substring(F.col(f), 1, FIELD_LIMIT)
+        c = F.col(f) if limit is None else F.substring(F.col(f), 1, limit)
         out = out | F.coalesce(c.rlike(pattern) if regex else c.contains(pattern), F.lit(False))
     return out
 
 
-def filter_events(events: DataFrame, pattern: str | None = None, fields: list[str] | None = None, start_ns: int | None = None, end_ns: int | None = None, regex: bool = False) -> DataFrame:
+def filter_events(events: DataFrame, pattern: str | None = None, fields: list[str] | None = None, start_ns: int | None = None, end_ns: int | None = None, regex: bool = False, limit: int | None = None) -> DataFrame:
     """Events in an inclusive time range whose fields match; both are pushed to the scan where they can be."""
     if start_ns is not None:
         events = events.where(F.col("timestamp_ns") >= start_ns)
     if end_ns is not None:
         events = events.where(F.col("timestamp_ns") <= end_ns)
-    return events if pattern is None else events.where(matches(pattern, fields or ["description", "source", "url"], regex))
+    return events if pattern is None else events.where(matches(pattern, fields or ["description", "source", "url"], regex, limit))
 
 
 def string_attribute_matches(attrs_json: Column, pattern: str) -> Column:
@@ -36,9 +36,9 @@ def string_attribute_matches(attrs_json: Column, pattern: str) -> Column:
     return F.exists(values, lambda v: (F.schema_of_variant(v) == "STRING") & F.coalesce(v.cast("string").contains(pattern), F.lit(False)))
 
 
-def find_hits(events: DataFrame, terms: list[str], fields: list[str]) -> DataFrame:
+def find_hits(events: DataFrame, terms: list[str], fields: list[str], limit: int | None = None) -> DataFrame:
     """A row for each event and term that it contains, with the provenance of its artifact. One pass for all terms."""
-    hit = F.filter(F.array(*[F.when(matches(t, fields), F.lit(t)) for t in terms]), lambda x: x.isNotNull())
+    hit = F.filter(F.array(*[F.when(matches(t, fields, limit=limit), F.lit(t)) for t in terms]), lambda x: x.isNotNull())
     rows = events.withColumn("term", F.explode(hit))
     best = F.coalesce(*[F.when(F.col(f) != "", F.col(f)) for f in fields])
     kinds = F.broadcast(artifacts(events.sparkSession))
