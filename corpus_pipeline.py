@@ -8,7 +8,7 @@ empty table passes through every stage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waylens.llm import jaccard, mixing, pieces, pii, quality
@@ -18,7 +18,8 @@ from waylens.llm.queries import piece_model
 #: No SQL has the learned rules, the cues and the lattice; tests hold the stages against brute force.
 ORACLE_SQL = None
 KEY = "__key"
-#: Verdicts of so many rows at most (some 50 bytes each) are broadcast to the documents; more are joined by key.
+#: Verdicts of so many rows, or spans, at most (some 50 to 150 bytes each) are broadcast to the documents; more are joined by
+#: key.
 BROADCAST_ROWS = 400_000
 
 
@@ -26,9 +27,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn(KEY, F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("h")))
 
 
-def _verdicts(rows: DataFrame, name: str) -> DataFrame:
-    """Verdicts by key, written once, and broadcast if few."""
+def _verdicts(rows: DataFrame, name: str, size: Column | None = None) -> DataFrame:
+    """Verdicts by key, written once, and broadcast if few; ``size`` is what a row counts where its width has no bound."""
     rows = materialize(rows, name)
+    if size is not None:
+        few = (rows.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_ROWS
+        return F.broadcast(rows) if few else rows.hint("merge")
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
@@ -57,7 +61,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     keyed = _keyed(docs)
     found = pii.find_personal_data(keyed, id_col=KEY)
     spans = found.select(F.col("doc_id").alias(KEY), pii.marked(pii.KINDS).alias("__spans")).where(F.size("__spans") > 0).dropDuplicates([KEY])
-    rows = keyed.join(_verdicts(spans, "spans"), KEY, "left")
+    rows = keyed.join(_verdicts(spans, "spans", F.size("__spans")), KEY, "left")
     text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(pii.redacted(F.col("text"), F.col("__spans")))
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:

@@ -30,3 +30,13 @@ def test_odd_rows_and_empty_tables(spark, sf, odd):
             docs = materialize(stage(spark, docs, sf), "test-odd")
             if name != pipeline.STAGES[-1][0]:
                 assert docs.columns == odd.columns
+
+
+def test_spans_are_broadcast_by_their_number(spark, sf, monkeypatch):
+    monkeypatch.setattr(pipeline, "BROADCAST_ROWS", 20)
+    for ids, joined in (([1], "BroadcastHashJoin"), ([1, None], "SortMergeJoin")):
+        docs = spark.createDataFrame([(i, " ".join(f"u{j}@x.org" for j in range(15))) for i in ids] + [(9, "no mail"), (None, None)], "doc_id bigint, text string")
+        clean = pipeline.personal_data(spark, docs, sf)
+        assert joined in clean._jdf.queryExecution().executedPlan().toString()
+        want = [(i, " ".join(["<email>"] * 15)) for i in ids] + [(9, "no mail"), (None, None)]
+        assert sorted(map(str, clean.collect())) == sorted(f"Row(doc_id={i!r}, text={t!r})" for i, t in want)
