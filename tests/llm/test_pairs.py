@@ -7,7 +7,7 @@ import numpy as np
 
 from waylens.llm import jaccard
 from waylens.llm.components import components
-from waylens.llm.shingles import shingle_sets
+from waylens.llm.shingles import shingle_sets, word_hashes
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -38,9 +38,9 @@ def expected(rows):
     return Counter((i, len(s), min(names[find(k)], default=None) if s else i) for k, (i, s) in enumerate(sets))
 
 
-def check(docs):
+def check(docs, **options):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_components(docs).collect())
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_components(docs, **options).collect())
     assert got == expected(rows)
 
 
@@ -53,6 +53,46 @@ def test_documents(documents):
     check(documents)
 
 
+def test_split_lists_small_blocks_and_ids_that_clash(documents):
+    check(documents, hot=10, block_bytes=4096, id_bits=5)
+
+
+def test_words_that_defeat_a_polynomial(spark):
+    """Thue-Morse words have equal polynomials modulo a power of two, whatever its base."""
+    a, b = "a", "b"
+    while len(a) < 2048:
+        a, b = a + b, b + a
+        assert word_hashes([a])[0] != word_hashes([b])[0]
+    words = lambda w: " ".join([w, "one", "two", "three", "four", "five"] * 3)
+    check(spark.createDataFrame([(1, words(a)), (2, words(b)), (3, a), (4, b), (5, words(a) + " six")], "doc_id bigint, text string"))
+
+
+def test_word_hashes_are_the_words_own():
+    """The same word has the same hash wherever it stands, and no two words share one."""
+    import random
+
+    rng = random.Random(3)
+    words = ["x" * n for n in range(1, 200)] + ["".join(rng.choice("abé日") for _ in range(rng.randint(1, 90))) for _ in range(5000)]
+    words = sorted(set(words))
+    texts = [" ".join(words[i::7]) for i in range(7)] + [None, ""] + words
+    hashes, at = word_hashes(texts)
+    alone = hashes[at[9] :]
+    assert len(set(alone.tolist())) == len(words)
+    for i in range(7):
+        assert hashes[at[i] : at[i + 1]].tolist() == alone[i::7].tolist()
+
+
+def test_one_template(spark):
+    """Pages of one template that differ in a slot or two: long lists over many components, and no pair of most."""
+    import random
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    frame = [word() for _ in range(120)]
+    rows = [(i, " ".join([*frame[:60], *(word() for _ in range(5 + i % 40)), *frame[60:]])) for i in range(1200)]
+    check(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), hot=100, block_bytes=1 << 16)
+
+
 def test_many_near_copies_and_a_common_passage(spark):
     """Lists longer than the neighbourhood: a chain of near copies, and a passage in unlike documents."""
     import random

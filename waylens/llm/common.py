@@ -16,11 +16,12 @@ LIST_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares: ``spark.checkpoint.dir``, or a new one of our own where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+    """The folder every executor shares: ``spark.checkpoint.dir``, or a new one of our own where it is unset and driver
+    and executors are one machine (tests); an error on a cluster, whose machines don't share a temporary folder."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="waylens-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -61,6 +62,22 @@ def unit(key: Column) -> Column:
     return (F.conv(F.substring(key, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
+def text_slices(batch, rows: int):
+    """Slices of an Arrow batch, whose second column is a text, of at most ``rows`` texts and, but for a single longer one,
+    LIST_BYTES of them."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+    start, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > start and (i - start == rows or held + size > LIST_BYTES):
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def map_texts(docs: DataFrame, make, columns: str, id_col: str = "doc_id", text_col: str = "text", rows: int = 256) -> DataFrame:
     """``doc_id`` and what ``make()`` computes from lists of texts, with nulls as None, in tasks.
 
@@ -68,7 +85,6 @@ def map_texts(docs: DataFrame, make, columns: str, id_col: str = "doc_id", text_
     Texts go through in lists of ``rows``, or fewer where they are long, so a task holds few results at a time.
     """
     import pyarrow as pa
-    import pyarrow.compute as pc
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructField, StructType
 
@@ -76,22 +92,10 @@ def map_texts(docs: DataFrame, make, columns: str, id_col: str = "doc_id", text_
     schema = StructType([StructField("doc_id", id_type), *StructType.fromDDL(columns).fields])
     arrow = to_arrow_schema(schema)
 
-    def parts(batch):
-        """Slices of a batch of at most ``rows`` texts and, but for a single longer one, LIST_BYTES of them."""
-        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
-        start, held = 0, 0
-        for i, size in enumerate(sizes):
-            if i > start and (i - start == rows or held + size > LIST_BYTES):
-                yield batch.slice(start, i - start)
-                start, held = i, 0
-            held += size
-        if start < batch.num_rows:
-            yield batch.slice(start)
-
     def run(batches):
         work = make()
         for batch in batches:
-            for part in parts(batch):
+            for part in text_slices(batch, rows):
                 found = work(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, type=f.type) for c, f in zip(found, list(arrow)[1:], strict=True)]], schema=arrow)
 

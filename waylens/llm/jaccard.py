@@ -13,23 +13,29 @@ Equal sets are one node. Postings lists may be long (a passage, a group of near
 1. each posting pairs with the list's leader and with ``NEAR`` neighbours, which is all pairs in short lists;
 2. each node verifies its best candidate first, and what that links falls into one component;
 3. other candidates are verified where they join different components;
-4. for long lists that still hold several components, members outside the largest one are paired with the others.
+4. for long lists that still hold several components, members outside the largest one are held against the others.
 
-So links inside a component found already aren't needed, and no link between components is lost.
+So links inside a component found already aren't needed, and no link between components is lost. A list of a very frequent
+shingle is split by node into parts that are paired on their own; their leaders are paired among themselves.
+
+A set's id has 128 bits. The first 64 stand for it in tables; sets that share those with another set get other ones.
 """
 
 from __future__ import annotations
 
+import math
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-from waylens.llm.common import materialize
+from waylens.llm.common import materialize, text_slices
 from waylens.llm.components import components
 from waylens.llm.shingles import set_id, shingle_sets
 
@@ -41,8 +47,10 @@ VERIFY = 8
 #: result the same whatever it is.
 FREQUENT, LEAST_COUNT = 1 << 20, 8
 NEAR = 15
-#: Nodes of a block that is held against another.
-BLOCK = 256
+#: Nodes of a part of a list.
+HOT = 4096
+#: Bytes of the sets of a block that is held against another.
+BLOCK_BYTES = 8 << 20
 #: Ids of documents whose sets are needed that are broadcast at most (some 50 bytes each); more are joined with a shuffle.
 NEEDED = 500_000
 
@@ -54,11 +62,25 @@ def _needed_overlap(n: int, percent: int) -> int:
 
 def _batches(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            part = batch.slice(i, rows)
+        for part in text_slices(batch, rows):
             yield part, shingle_sets(part.column(1).to_pylist())
 
 
+class NodeIds:
+    """64-bit ids of sets: the first ``bits`` bits of the 128, or another number for sets that share them with another."""
+
+    def __init__(self, bits: int = 64, other: dict[tuple[int, int], int] | None = None):
+        self.bits, self.other = bits, other or {}
+
+    def pair(self, shingles: np.ndarray) -> tuple[int, int]:
+        one, two = set_id(shingles)
+        return one >> (64 - self.bits), two
+
+    def of(self, shingles: np.ndarray) -> int:
+        pair = self.pair(shingles)
+        return self.other.get(pair, pair[0]) if self.other else pair[0]
+
+
 def _record(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
@@ -67,18 +89,36 @@ def _input(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
 
-def nodes_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, node, n_shingles`` of every row."""
-    schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), *StructType.fromDDL("node bigint, n_shingles bigint").fields])
+def nodes_of(docs: DataFrame, ids: NodeIds) -> DataFrame:
+    """``doc_id, node, twin, n_shingles`` of every row; ``twin`` is the other half of the id."""
+    schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), *StructType.fromDDL("node bigint, twin bigint, n_shingles bigint").fields])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         for part, sets in _batches(batches):
-            yield _record(arrow, [part.column(0), [set_id(s) for s in sets], [len(s) for s in sets]])
+            one, two = zip(*(ids.pair(s) for s in sets), strict=True)
+            yield _record(arrow, [part.column(0), one, two, [len(s) for s in sets]])
 
     return docs.mapInArrow(run, schema)
 
 
+def told_apart(nodes: DataFrame, ids: NodeIds) -> tuple[DataFrame, NodeIds]:
+    """``nodes`` with one id for each set, and the ids that do so.
+
+    Different sets share 64 bits once in 2 ** 64 pairs: none of a billion sets, some hundred of 10 ** 11. Only those come
+    to the driver.
+    """
+    sets = nodes.where("n_shingles > 0").groupBy("node", "twin").agg(F.count("*").alias("n"))
+    shared = sets.groupBy("node").agg(F.min("twin").alias("stays"), F.count("*").alias("n")).where("n > 1").select("node", "stays")
+    rows = sets.join(shared, "node").where("twin <> stays").select("node", "twin").collect()
+    if not rows:
+        return nodes, ids
+    number = lambda pair: xxhash.xxh3_64_intdigest(struct.pack("<2q", *pair), 1) - (1 << 63)
+    ids = NodeIds(ids.bits, {tuple(r): number(r) for r in rows})
+    other = nodes.sparkSession.createDataFrame([(*pair, new) for pair, new in ids.other.items()], "node bigint, twin bigint, __new bigint")
+    return nodes.join(other, ["node", "twin"], "left").withColumn("node", F.coalesce("__new", "node")).drop("__new"), ids
+
+
 def frequent_shingles(docs: DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles of the prefix regions, sorted, with their counts.
 
@@ -134,12 +174,23 @@ def prefix_of(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray, pe
     return shingles[: base + m], m, int((cost[: base + m] == 0).sum())
 
 
-def postings(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, percent: int) -> DataFrame:
-    """``shingle, node, n, m, own`` for the prefix of every distinct set (of a block; copies elsewhere repeat it)."""
-    schema = StructType.fromDDL("shingle bigint, node bigint, n int, m int, own int")
+def postings(docs: DataFrame, ids: NodeIds, frequent: np.ndarray, counts: np.ndarray, percent: int, hot: int) -> DataFrame:
+    """``shingle, part, node, n, m, own`` for the prefix of every distinct set (of a block; copies elsewhere repeat it).
+
+    ``part`` is 0 in lists that aren't split, else from 1.
+    """
+    schema = StructType.fromDDL("shingle bigint, part int, node bigint, n int, m int, own int")
     arrow = to_arrow_schema(schema)
     known = docs.sparkSession.sparkContext.broadcast((frequent, counts))
 
+    def parts_of(prefix: np.ndarray, node: int) -> np.ndarray:
+        frequent, counts = known.value
+        if not len(frequent):
+            return np.zeros(len(prefix), np.int32)
+        at = np.minimum(np.searchsorted(frequent, prefix), len(frequent) - 1)
+        parts = np.where(frequent[at] == prefix, counts[at] // hot, 0)
+        return np.where(parts > 0, 1 + node % (parts + 1), 0).astype(np.int32)
+
     def run(batches):
         frequent, counts = known.value
         done: set[int] = set()
@@ -148,25 +199,30 @@ def postings(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, percent:
             if len(done) > 1_000_000:
                 done.clear()
             for s in sets:
-                if len(s) and (node := set_id(s)) not in done:
+                if len(s) and (node := ids.of(s)) not in done:
                     done.add(node)
                     prefix, m, own = prefix_of(s, frequent, counts, percent)
-                    found.append((prefix, node, len(s), m, own))
+                    found.append((prefix, parts_of(prefix, node), node, len(s), m, own))
             if found:
                 sizes = [len(x[0]) for x in found]
-                yield _record(arrow, [np.concatenate([x[0] for x in found]), *(np.repeat(np.array([x[i] for x in found], t), sizes) for i, t in ((1, np.int64), (2, np.int32), (3, np.int32), (4, np.int32)))])
+                repeated = (np.repeat(np.array([x[i] for x in found], t), sizes) for i, t in ((2, np.int64), (3, np.int32), (4, np.int32), (5, np.int32)))
+                yield _record(arrow, [np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]), *repeated])
 
     return docs.mapInArrow(run, schema)
 
 
-def shared_lists(posts: DataFrame) -> DataFrame:
-    """Postings of shingles that several nodes have: with the list's leader, the ``NEAR`` nodes before, and the place.
+def _in_list() -> Window:
+    """A list or its part in order: first the node with the fewest frequent shingles behind its own, its leader, the likely
+    centre of a group of near copies."""
+    return Window.partitionBy("shingle", "part").orderBy("own", "node")
 
-    The leader is the node with the fewest shingles of its own, the likely centre of a group of near copies.
-    """
-    order = Window.partitionBy("shingle").orderBy("own", "node")
-    one = posts.withColumn("__copy", F.lag("node").over(order) == F.col("node"))
-    return one.where(F.coalesce(~F.col("__copy"), F.lit(True))).drop("__copy")
+
+def shared_lists(posts: DataFrame) -> DataFrame:
+    """Postings without repeated rows, of shingles that several nodes have (those of split lists stay)."""
+    copy = F.coalesce(F.lag("node").over(_in_list()) == F.col("node"), F.lit(False))
+    one = posts.withColumn("__copy", copy).where("NOT __copy").drop("__copy")
+    several = F.coalesce(F.lag("node").over(_in_list()), F.lead("node").over(_in_list())).isNotNull() | (F.col("part") > 0)
+    return one.withColumn("__several", several).where("__several").drop("__several")
 
 
 def _need(one: str, two: str, percent: int) -> str:
@@ -183,38 +239,43 @@ def _possible(one: str, two: str, percent: int) -> str:
     return f"({small} * 100 >= {large} * {percent} AND least({one.format('s')}, {two.format('s')}) >= {need})"
 
 
-def candidate_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """``a, b, need``: a row for each shingle that a possible pair was seen to share. Pairs of long lists may share more."""
-    order = Window.partitionBy("shingle").orderBy("own", "node")
+def _partners(rows: DataFrame, order: Window, percent: int) -> DataFrame:
+    """``a, b, need`` of each row with the ``NEAR`` rows before it and the first of its list."""
     me = F.struct("node", "n", "m", "s")
     near = F.collect_list(me).over(order.rowsBetween(-NEAR, -1))
-    rows = lists.select("node", "n", "m", "s", near.alias("near"), F.first(me).over(order).alias("leader"), F.row_number().over(order).alias("place"))
-    rows = rows.where("place > 1").withColumn("long", F.col("place") > NEAR + 1)
-    partners = F.when(F.col("long"), F.concat("near", F.array("leader"))).otherwise(F.col("near"))
-    rows = rows.select("node", "n", "m", "s", F.explode(partners).alias("p")).where(_possible("{}", "p.{}", percent))
+    rows = rows.select("node", "n", "m", "s", near.alias("near"), F.first(me).over(order).alias("leader"), F.row_number().over(order).alias("place"))
+    partners = F.when(F.col("place") > NEAR + 1, F.concat("near", F.array("leader"))).otherwise(F.col("near"))
+    rows = rows.where("place > 1").select("node", "n", "m", "s", F.explode(partners).alias("p")).where(_possible("{}", "p.{}", percent))
     return rows.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"), F.least("m", "p.m").alias("need"))
 
 
-def _sets(needed: DataFrame, docs: DataFrame, firsts: DataFrame) -> DataFrame:
+def candidate_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """``a, b, need``: a row for each shingle that a possible pair was seen to share. Pairs of long lists may share more."""
+    leaders = lists.where("part > 0").groupBy("shingle", "part").agg(F.min(F.struct("own", "node", "n", "m", "s")).alias("x")).select("shingle", "x.*")
+    among = _partners(leaders, Window.partitionBy("shingle").orderBy("own", "node"), percent)
+    return _partners(lists, _in_list(), percent).union(among)
+
+
+def _sets(needed: DataFrame, docs: DataFrame, firsts: DataFrame, ids: NodeIds) -> DataFrame:
     """``node, shingles`` of the nodes of ``needed``, made again from the text of one document of each."""
     needed = materialize(needed.select("node").distinct().join(firsts, "node").select(F.col("first").alias("__first")).distinct(), "needed")
-    ids = F.broadcast(needed) if needed.count() <= NEEDED else needed
-    docs = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__first")), "left_semi")
+    wanted = F.broadcast(needed) if needed.count() <= NEEDED else needed
+    docs = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("__first")), "left_semi")
     schema = StructType.fromDDL("node bigint, shingles binary")
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         for _, sets in _batches(batches, 64):
-            found = {set_id(s): s.tobytes() for s in sets if len(s)}
+            found = {ids.of(s): s.tobytes() for s in sets if len(s)}
             if found:
                 yield _record(arrow, [list(found), list(found.values())])
 
     return materialize(docs.mapInArrow(run, schema).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, ids: NodeIds, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose sets are similar."""
-    sets = _sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), docs, firsts)
+    sets = _sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), docs, firsts, ids)
     left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
     result = to_arrow_schema(StructType.fromDDL("a bigint, b bigint"))
@@ -240,23 +301,21 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(left, "a", "left").join(right, "b", "left").withColumns({"ca": F.coalesce("__ca", "a"), "cb": F.coalesce("__cb", "b")}).drop("__ca", "__cb")
 
 
-def similar_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, block_bytes: int = BLOCK_BYTES, id_bits: int = 64) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row: documents link where ``100 * |A and B| >= percent * |A or B|``,
     and a component's id is its smallest doc_id.
 
     Null and empty texts and texts without words have no shingles and link with nothing, other such texts included. Texts
     of fewer than five words have one shingle, all of them. Repeated rows are one node; the smallest id that isn't null
-    names a component, null if there is none. An empty table gives no rows. Other columns aren't read. Shingles and sets
-    are told apart by 64-bit hashes.
+    names a component, null if there is none. An empty table gives no rows. Other columns aren't read. Shingles are told
+    apart by 64-bit hashes, sets by 128 bits. ``hot``, ``block_bytes`` and ``id_bits`` change the work, never the result.
     """
     docs = _input(docs, id_col, text_col)
-    nodes = materialize(nodes_of(docs), "nodes")
+    nodes = materialize(nodes_of(docs, NodeIds(id_bits)), "nodes")
+    nodes, ids = told_apart(nodes, NodeIds(id_bits))
     firsts = materialize(nodes.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first")), "firsts")
     frequent, counts = frequent_shingles(docs, percent)
-    order = Window.partitionBy("shingle").orderBy("own", "node")
-    one = shared_lists(postings(docs, frequent, counts, percent))
-    several = F.coalesce(F.lag("node").over(order), F.lead("node").over(order)).isNotNull()
-    lists = materialize(one.withColumn("__several", several).where("__several").drop("__several"), "lists")
+    lists = materialize(shared_lists(postings(docs, ids, frequent, counts, percent, hot)), "lists")
     lists = materialize(lists.join(lists.groupBy("node").agg(F.count("*").cast("int").alias("s")), "node"), "counted-lists")
 
     pairs = candidate_pairs(lists, percent).groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need"))
@@ -264,15 +323,15 @@ def similar_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id
 
     best = lambda x, y: pairs.groupBy(F.col(x).alias("n")).agg(F.max_by(F.struct("a", "b"), F.struct("shared", F.col(y))).alias("p")).select("p.*")
     first = materialize(best("a", "b").union(best("b", "a")).distinct(), "first-pairs")
-    links = _verified(first, docs, firsts, percent)
+    links = _verified(first, docs, firsts, ids, percent)
     labels = materialize(components(links), "labels")
 
     others = materialize(_labelled(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), labels).where("ca <> cb").select("a", "b"), "other-pairs")
     if not others.isEmpty():
-        links = materialize(links.union(_verified(others, docs, firsts, percent)), "all-links")
+        links = materialize(links.union(_verified(others, docs, firsts, ids, percent)), "all-links")
         labels = materialize(components(links), "labels")
 
-    late = _across(lists, labels, docs, firsts, percent)
+    late = _across(lists, labels, docs, firsts, ids, percent, block_bytes)
     if late is not None:
         labels = materialize(components(materialize(links.union(late), "all-links")), "labels")
 
@@ -282,13 +341,14 @@ def similar_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id
     return nodes.join(named, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _across(lists: DataFrame, labels: DataFrame, docs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame | None:
+def _across(lists: DataFrame, labels: DataFrame, docs: DataFrame, firsts: DataFrame, ids: NodeIds, percent: int, block_bytes: int) -> DataFrame | None:
     """Links between different components that share a list of more than ``NEAR + 1`` nodes; None if there is no such list.
 
-    Lists are grouped by their largest component. The members outside of it are held against all members of the group in
-    blocks of ``BLOCK`` by ``BLOCK`` nodes: a task gets two blocks of sets, counts shared prefix shingles with an index
-    over one of them, verifies the pairs that share enough and returns links only. So rows grow with the group's size
-    times its number of blocks, not with its pairs.
+    Lists are grouped by their largest component. The members outside of it are held against the group's members in the
+    same band of set sizes and the two beside it (sizes of a link differ by no more), in blocks of ``block_bytes`` of sets:
+    a task gets two blocks, counts shared prefix shingles with an index over one of them, and verifies pairs that share
+    enough, as long as links found there haven't brought their components together. So a set travels once for each
+    block it is held against, a block holds thousands of usual texts, and a task returns fewer links than components.
     """
     own = lists.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     groups = own.groupBy("shingle", "c").agg(F.count("*").alias("k"))
@@ -296,47 +356,63 @@ def _across(lists: DataFrame, labels: DataFrame, docs: DataFrame, firsts: DataFr
     mixed = materialize(mixed.where((F.col("parts") > 1) & (F.col("size") > NEAR + 1)).select("shingle", "main"), "mixed")
     if mixed.isEmpty():
         return None
-    members = own.join(mixed, "shingle").groupBy("main", "node").agg(F.first("c").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("s").alias("s"))
-    members = materialize(members, "members")
-    sizes = members.groupBy("main").agg(F.count("*").alias("all"), F.count_if(F.col("c") != F.col("main")).alias("outside"))
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    sizes = materialize(sizes.where("outside > 0").select("main", blocks("all").alias("all"), blocks("outside").alias("outside")), "member-blocks")
-    placed = members.join(sizes, "main").withColumns({"x": F.pmod(F.xxhash64("node"), F.col("outside")).cast("int"), "y": F.pmod(F.xxhash64("node"), F.col("all")).cast("int")})
-    count_to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    outside = placed.where("c <> main").select("main", "node", "c", "n", "m", "s", F.lit(True).alias("asks"), F.col("x").alias("i"), F.explode(count_to("all")).alias("j"))
-    every = placed.select("main", "node", "c", "n", "m", "s", F.lit(False).alias("asks"), F.explode(count_to("outside")).alias("i"), F.col("y").alias("j"))
-    prefixes = lists.groupBy("node").agg(F.collect_list("shingle").alias("prefix"))  # a prefix at most
-    sets = _sets(members, docs, firsts).join(prefixes, "node")
-    sent = outside.unionByName(every).join(sets, "node")
+    members = own.join(mixed, "shingle").groupBy("main", "node").agg(F.first("c").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
+    members = materialize(members.withColumn("band", F.floor(F.log("n") / (math.log(100 / percent) + 1e-9))), "members")
+    blocks = lambda n: F.ceil(F.coalesce(F.sum(n), F.lit(0)) * 8 / block_bytes).cast("int")
+    bands = materialize(members.groupBy("main", "band").agg(blocks(F.col("n")).alias("all"), blocks(F.when(F.col("c") != F.col("main"), F.col("n"))).alias("outside")), "bands")
+    asking = bands.where("outside > 0").select("main", F.col("band").alias("q"), "outside", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"))
+    cells = materialize(asking.join(bands.select("main", "band", "all"), ["main", "band"]).withColumnRenamed("band", "r"), "cells")
+    count_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    asks = members.where("c <> main").withColumnRenamed("band", "q").join(cells, ["main", "q"])
+    asks = asks.select("main", "q", "r", "node", "c", "n", "m", F.lit(True).alias("asks"), place("outside").alias("i"), count_to("all").alias("j"))
+    those = members.withColumnRenamed("band", "r").join(cells, ["main", "r"])
+    those = those.select("main", "q", "r", "node", "c", "n", "m", F.lit(False).alias("asks"), count_to("outside").alias("i"), place("all").alias("j"))
+    wanted = materialize(asks.select("node").union(those.select("node")).distinct(), "held")
+    prefixes = lists.join(wanted, "node", "left_semi").groupBy("node").agg(F.collect_list("shingle").alias("prefix"))  # a prefix at most
+    sets = materialize(_sets(wanted, docs, firsts, ids).join(prefixes, "node"), "held-sets")
+    sent = asks.unionByName(those).join(sets, "node")
     result = StructType.fromDDL("a bigint, b bigint")
     arrow = to_arrow_schema(result)
 
     def links(table: pa.Table) -> pa.Table:
         found: list[tuple[int, int]] = []
         asks = table.column("asks").to_numpy()
-        rows = {k: table.column(k).to_numpy() for k in ("node", "c", "n", "m", "s")}
+        rows = {k: table.column(k).to_numpy() for k in ("node", "c", "n", "m")}
         sets, prefixes = table.column("shingles"), table.column("prefix")
         those = np.flatnonzero(~asks)
         index: dict[int, list[int]] = {}
         for at, i in enumerate(those.tolist()):
             for x in prefixes[i].as_py():
                 index.setdefault(x, []).append(at)
-        held = [np.frombuffer(sets[i].as_py(), np.int64) for i in those.tolist()]
-        n2, m2, s2, c2, node2 = (rows[k][those].astype(np.int64) for k in ("n", "m", "s", "c", "node"))
+        n2, m2, c2, node2 = (rows[k][those].astype(np.int64) for k in ("n", "m", "c", "node"))
         behind2 = -(-n2 * percent // 100) - m2
+        parent: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while (up := parent.get(c, c)) != c:
+                parent[c] = parent.get(up, up)
+                c = up
+            return c
+
         for i in np.flatnonzero(asks).tolist():
-            n, m, s, c, node = (int(rows[k][i]) for k in ("n", "m", "s", "c", "node"))
+            n, m, c, node = (int(rows[k][i]) for k in ("n", "m", "c", "node"))
             met = [index[x] for x in prefixes[i].as_py() if x in index]
             if not met:
                 continue
             shared = np.bincount(np.concatenate(met), minlength=len(those))
             overlap = -(-percent * (n + n2) // (100 + percent))
             need = np.maximum(np.minimum(m, m2), overlap - np.maximum(_needed_overlap(n, percent) - m, behind2))
+            mine = None
             for at in np.flatnonzero((shared >= need) & (c2 != c) & (np.minimum(n, n2) * 100 >= np.maximum(n, n2) * percent)).tolist():
-                common = len(np.intersect1d(np.frombuffer(sets[i].as_py(), np.int64), held[at], assume_unique=True))
+                if top(c) == top(int(c2[at])):
+                    continue
+                mine = np.frombuffer(sets[i].as_py(), np.int64) if mine is None else mine
+                common = len(np.intersect1d(mine, np.frombuffer(sets[int(those[at])].as_py(), np.int64), assume_unique=True))
                 if 100 * common >= percent * (n + int(n2[at]) - common):
                     found.append((max(node, int(node2[at])), min(node, int(node2[at]))))
+                    parent[top(c)] = top(int(c2[at]))
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.Table.from_arrays([pa.array(a, arrow[0].type), pa.array(b, arrow[1].type)], schema=arrow)
 
-    return materialize(sent.groupBy("main", "i", "j").applyInArrow(links, result).distinct(), "late-links")
+    return materialize(sent.groupBy("main", "q", "r", "i", "j").applyInArrow(links, result).distinct(), "late-links")

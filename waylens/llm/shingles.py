@@ -9,21 +9,10 @@ import xxhash
 SIZE = 5
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0, 1, ... n - 1 modulo 2 ** 64; kept and doubled as longer texts come."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        _powers[base] = have
-    return have[:n]
+#: Words of more bytes are hashed one by one; shorter ones eight bytes at a time, all words at once.
+SHORT_WORD = 64
+#: For n bytes left of a word, the mask of its next eight.
+_LEFT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -33,16 +22,28 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts (A-Z lower-cased), and where each text's words begin, one more at the end."""
+    """64-bit hashes of the words of all texts (A-Z lower-cased), and where each text's words begin, one more at the end.
+
+    Eight bytes at a time are mixed into a state that begins with the word's size, so words of one size up to eight bytes
+    never collide; words over SHORT_WORD bytes take xxh3.
+    """
     parts = [b"" if t is None else t.encode("utf-8", "surrogatepass").lower() for t in texts]
-    data = np.frombuffer(b"\n".join([b"", *parts, b""]), np.uint8)
+    raw = b"\n".join([b"", *parts, bytes(8)])
+    n = len(raw) - 8
+    data = np.frombuffer(raw, np.uint8)
     begins = np.cumsum([1, *(len(p) + 1 for p in parts)])
-    space = _SPACE[data]
+    space = _SPACE[data[:n]]
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    sums = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data)))
-    hashes = (sums[ends - 1] - sums[starts - 1]) * _power(_INVERSE, len(data))[starts]
-    return _mix(hashes ^ ((ends - starts).astype(np.uint64) << np.uint64(48))), np.searchsorted(starts, begins)
+    sizes = ends - starts
+    lanes = np.ndarray((n,), "<u8", raw, strides=(1,))
+    hashes = _mix(sizes.astype(np.uint64))
+    for done in range(0, min(SHORT_WORD, int(sizes.max(initial=0))), 8):
+        at = np.flatnonzero(sizes > done) if done else slice(None)
+        hashes[at] = _mix(hashes[at] ^ (lanes[starts[at] + done] & _LEFT[np.minimum(sizes[at] - done, 8)]))
+    for i in np.flatnonzero(sizes > SHORT_WORD).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]])
+    return hashes, np.searchsorted(starts, begins)
 
 
 def shingle_sets(texts: list) -> list[np.ndarray]:
@@ -69,6 +70,7 @@ def shingle_sets(texts: list) -> list[np.ndarray]:
     return out
 
 
-def set_id(shingles: np.ndarray) -> int:
-    """Signed 64-bit id of a set; equal sets have equal ids."""
-    return int(np.array([xxhash.xxh3_64_intdigest(shingles.tobytes(), len(shingles))], np.uint64).view(np.int64)[0])
+def set_id(shingles: np.ndarray) -> tuple[int, int]:
+    """128-bit id of a set as two signed 64-bit halves; equal sets have equal ids."""
+    digest = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes(), len(shingles)), np.int64)
+    return int(digest[0]), int(digest[1])
