@@ -2,7 +2,8 @@
 
 A payload becomes an image 576 samples wide. Rows are filtered (Sub for the first row, Up below it), deflated and put into
 IHDR, IDAT and IEND chunks with their CRC-32. Reading walks the chunks, tests every checksum, inflates and undoes all five
-row filters with numpy. The feature is the 64-bit low-frequency hash: the image is averaged to 32 x 32, transformed by a
+row filters with numpy. Both happen in jobs of their own
+with the written column between them. The feature is the 64-bit low-frequency hash: the image is averaged to 32 x 32, transformed by a
 two-dimensional cosine transform, and the signs of its lowest 8 x 8 coefficients against their median are the bits.
 """
 
@@ -14,8 +15,9 @@ import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from waylens.llm.common import map_texts
+from waylens.llm.common import map_texts, materialize
 
 WIDTH = 576
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -45,34 +47,29 @@ def encode_png(payload: bytes, width: int = WIDTH, level: int = 1) -> bytes:
 
 
 def _unfiltered(lines: np.ndarray, width: int) -> np.ndarray:
-    """Undoes the filter of each row of 8-bit samples."""
-    kinds, rows = lines[:, 0], lines[:, 1:].copy()
-    if (kinds[1:] == 2).all() and kinds[0] <= 2:  # sums down the columns at once
+    """Undoes the filter of each row of 8-bit samples.
+
+    A sample depends on those left, above and above left of it, all on the two diagonals before its own, so a diagonal is
+    undone at once. Images of Sub and Up rows alone are sums along rows and down columns.
+    """
+    kinds, rows = lines[:, 0], lines[:, 1:]
+    if (kinds > 4).any():
+        raise ValueError(f"unknown row filter {kinds.max()}")
+    if (kinds[1:] == 2).all() and kinds[0] <= 2:
+        rows = rows.copy()
         if kinds[0] == 1:
             rows[0] = np.cumsum(rows[0], dtype=np.uint8)
         return np.cumsum(rows, axis=0, dtype=np.uint8)
-    above = np.zeros(width, np.uint8)
-    for kind, row in zip(kinds.tolist(), rows, strict=True):
-        if kind == 1:
-            row[:] = np.cumsum(row, dtype=np.uint8)
-        elif kind == 2:
-            row += above
-        elif kind in (3, 4):
-            left = corner = 0
-            for x in range(width):
-                up = int(above[x])
-                if kind == 3:
-                    guess = (left + up) // 2
-                else:
-                    p = left + up - corner
-                    near = (abs(p - left), abs(p - up), abs(p - corner))
-                    guess = left if near[0] <= near[1] and near[0] <= near[2] else up if near[1] <= near[2] else corner
-                left = row[x] = (int(row[x]) + guess) & 255
-                left, corner = int(left), up
-        elif kind:
-            raise ValueError(f"unknown row filter {kind}")
-        above = row
-    return rows
+    height = len(rows)
+    done = np.zeros((height + 1, width + 1), np.int16)  # a border of zeros above and on the left
+    for d in range(height + width - 1):
+        y = np.arange(max(0, d - width + 1), min(height - 1, d) + 1)
+        x = d - y
+        left, up, corner, kind = done[y + 1, x], done[y, x + 1], done[y, x], kinds[y]
+        to_left, to_up, to_corner = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+        near = np.where((to_left <= to_up) & (to_left <= to_corner), left, np.where(to_up <= to_corner, up, corner))
+        done[y + 1, x + 1] = (rows[y, x] + np.choose(kind, (0, left, up, (left + up) // 2, near))) & 255
+    return done[1:, 1:].astype(np.uint8)
 
 
 def decode_png(data: bytes) -> np.ndarray:
@@ -117,27 +114,45 @@ def cosine_hash(image: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def image_columns(docs: DataFrame, width: int = WIDTH, level: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, media, feature_bits`` and what was read back from ``media``: sizes, digests, checksum of the tail.
-
-    Null texts count as empty: one row of 255s. Equal texts give equal bytes and features; repeated rows and null ids are
-    kept row by row, texts of any length are stored whole, an empty table gives no rows. Other columns aren't read.
-    """
+def encode_images(docs: DataFrame, width: int = WIDTH, level: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_bytes, media``: the PNG of each text. Null texts count as empty: one row of 255s."""
     def make():
         def work(texts: list) -> list:
-            out: list[list] = [[] for _ in range(9)]
-            for text in texts:
-                data = (text or "").encode("utf-8", "surrogatepass")
-                media = encode_png(padded(data, width), width, level)
+            data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+            return [[len(d) for d in data], [encode_png(padded(d, width), width, level) for d in data]]
+
+        return work
+
+    return map_texts(docs, make, "n_bytes bigint, media binary", id_col, text_col, rows=64)
+
+
+def read_images(images: DataFrame) -> DataFrame:
+    """Sizes, digests, checksum of the tail and the feature of each image of ``media``, beside ``doc_id, n_bytes``."""
+    def make():
+        def work(stored: list) -> list:
+            out: list[list] = [[] for _ in range(6)]
+            for media in stored:
                 image = decode_png(media)
-                stored = image.tobytes()
-                feature = cosine_hash(image)
-                row = (media, feature, len(data), len(stored), hashlib.sha256(stored).hexdigest(), zlib.crc32(stored[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature.hex())
+                payload = image.tobytes()
+                row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), cosine_hash(image).hex())
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
             return out
 
         return work
 
-    columns = "media binary, feature_bits binary, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return map_texts(docs, make, columns, id_col, text_col, rows=64)
+    named = images.select(F.struct("doc_id", "n_bytes").alias("row"), "media")
+    columns = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    return map_texts(named, make, columns, "row", "media", rows=64).select("doc_id.*", *[c.split()[0] for c in columns.split(", ")])
+
+
+def image_columns(docs: DataFrame, width: int = WIDTH, level: int = 1, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The stored images, ``doc_id, n_bytes, media``, and what was read back from them, ``doc_id, n_bytes, payload_bytes,
+    payload_sha256, tail_crc32, media_bytes, media_sha256, feature``.
+
+    Images are written to the shared folder as a binary column; features come from those bytes. Null texts count as
+    empty; equal texts give equal bytes and features; repeated rows and null ids are kept row by row, texts of any
+    length are stored whole, an empty table gives no rows. Other columns aren't read.
+    """
+    stored = materialize(encode_images(docs, width, level, id_col, text_col), "media")
+    return stored, read_images(stored)
