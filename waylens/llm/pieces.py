@@ -13,7 +13,8 @@ What makes a path best depends on the kind of model:
   before it: the surviving path into each position is the BPE encoding of that prefix, and ids equal the library's.
 
 Spaces become U+2581, one is put in front, and characters without a piece become their UTF-8 bytes' pieces. No piece has
-U+2581 after another character, so words can be encoded one by one and kept in a bounded cache.
+U+2581 after another character, so all paths pass the boundary in front of a word. The stream commits there too, and what
+it commits for a word is kept in a bounded cache.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ from pyspark.sql import DataFrame
 from waylens.llm.common import map_texts
 
 SPACE_MARK = "▁"
-#: Segments of more characters go through the stream on their own and aren't cached.
-SHORT = 64
+#: Characters that go into the stream at a time, and the most of a word that the cache keeps.
+CHUNK, KEPT = 64, 256
+#: A text that other normalizations change: spaces to fold, compositions, compatibility forms, controls.
+PROBE = "  Ａ ﬁ  e\u0301 é ½ ①\t\u200b\u00a0A\n "
 
 
 class Pieces:
@@ -40,6 +43,9 @@ class Pieces:
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_file=path)
+        # the library itself shows the normalization: only spaces are replaced, and one is put in front
+        if sp.normalize(PROBE) != SPACE_MARK + PROBE.replace(" ", SPACE_MARK):
+            raise ValueError("the model normalizes texts in another way than by space marks alone")
         ids = range(sp.vocab_size())
         plain = [i for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.id = {sp.id_to_piece(i): i for i in plain}
@@ -134,23 +140,27 @@ class Pieces:
             ends.add(i - len(last[i]))
         return max(0, ends.pop())
 
-    def stream(self, chunks: Iterable[str]) -> Iterator[list[str]]:
-        """Commits pieces of a normalized text that comes in chunks; the window never exceeds a few times ``longest``."""
-        text, last, best, bpe = "", [""], [0.0], self.algorithm == "bpe"
+    def stream(self, chunks: Iterable[str], text: str = "", last: list[str] | None = None, best: list[float] | None = None) -> Iterator[list[str]]:
+        """Commits pieces of a normalized text that comes in chunks; the window never exceeds a few times ``longest`` and a
+        chunk. ``text``, ``last`` and ``best`` are a prefix that a lattice has passed; it runs on in those lists."""
+        bpe, step, longest = self.algorithm == "bpe", self._last_bpe, self.longest
+        last, best, full = [""] if last is None else last, [0.0] if best is None else best, 4 * longest
         for chunk in chunks:
-            for c in chunk:
-                text += c
-                i = len(text)
+            text += chunk
+            i, n = len(last), len(text)
+            while i <= n:
                 if bpe:
-                    last.append(self._last_bpe(text, i, last))
+                    last.append(step(text, i, last))
                 else:
                     k, s = self._last_unigram(text, i, best)
-                    last.append(text[i - k :])
+                    last.append(text[i - k : i])
                     best.append(s)
-                if i >= 4 * self.longest and i % self.longest == 0 and (edge := self._converged(last)):
+                if i >= full and i % longest == 0 and (edge := self._converged(last)):
                     yield self._path(last, edge)
                     # what lies before the edge is no longer pointed at by any live position
-                    text, last, best = text[edge:], last[edge:], best[edge:]
+                    text, i, n = text[edge:], i - edge, n - edge
+                    del last[:edge], best[:edge]
+                i += 1
         if text:
             yield self._path(last, len(text))
 
@@ -160,27 +170,12 @@ class Pieces:
             return [i]
         return [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
 
-    def _extend(self, segment: str, last: list[str], out: list[int], best: list[float]) -> None:
-        """Runs the lattice on over a segment whose first ``len(last) - 1`` characters it has passed. ``out`` has the tokens
-        of each prefix: one (or a character's bytes) more than the prefix that its last piece follows."""
-        bpe, single, step = self.algorithm == "bpe", self.id, self._last_bpe
-        for i in range(len(last), len(segment) + 1):
-            if bpe:
-                piece = step(segment, i, last)
-            else:
-                k, score = self._last_unigram(segment, i, best)
-                piece = segment[i - k : i]
-                best.append(score)
-            last.append(piece)
-            out.append(out[i - len(piece)] + (1 if piece in single else len(self.ids_of(piece))))
-
-    def values(self, texts: list, finish, long) -> list[list]:
-        """For each text, a value for each of its segments: ``finish(segment, last, out)`` of the lattice, or
-        ``long(segment)`` for segments of more than ``SHORT`` characters.
-
-        Segments meet at boundaries that every path passes. Those not in the cache are taken in sorted order, so that one
-        run of the lattice serves the prefix that neighbours share. The cache has two generations: what is asked for
-        again outlives the clearing of the older one.
+    def values(self, texts: list, passed) -> list[list]:
+        """For each text, ``passed(word, last, out, best)`` for each of its words: a lattice that begins at the word's start,
+        where all paths meet, or has passed a prefix of it.
+
+        Words not in the cache are taken in sorted order, so that one run of the lattice serves the prefix that neighbours
+        share. The cache has two generations: what is asked for again outlives the clearing of the older one.
         """
         split = [self.segments.findall(self.normalized(t)) if t else [] for t in texts]
         young, old = self.young, self.old
@@ -190,19 +185,18 @@ class Pieces:
             missing.discard(s)
         last, out, best, before, longer = [""], [0], [0.0], "", []
         for s in sorted(missing):
-            if len(s) > SHORT:
-                longer.append(s)
-                young[s] = long(s)
-                continue
             k = 0
             for x, y in zip(before, s):  # noqa: B905
                 if x != y:
                     break
                 k += 1
             del last[k + 1 :], out[k + 1 :], best[k + 1 :]
-            self._extend(s, last, out, best)
-            young[s] = finish(s, last, out)
+            young[s] = passed(s, last, out, best)
             before = s
+            if len(last) <= len(s):  # the stream has dropped what it committed
+                last, out, best, before = [""], [0], [0.0], ""
+            if len(s) > KEPT:
+                longer.append(s)
         found = [[young[s] for s in segments] for segments in split]
         for s in longer:
             del young[s]
@@ -210,6 +204,13 @@ class Pieces:
             self.young, self.old = {}, young
         return found
 
+    def _committed(self, word: str, last: list[str], out: list[int], best: list[float]) -> bytes:
+        """Ids of a word as the stream commits them."""
+        at = len(last) - 1
+        chunks = (word[i : i + CHUNK] for i in range(at, len(word), CHUNK))
+        done = [self._path_ids(p) for p in self.stream(chunks, word[:at], last, best)]
+        return done[0] if len(done) == 1 else b"".join(done)
+
     def normalized(self, text: str) -> str:
         return SPACE_MARK + text.replace(" ", SPACE_MARK) if text else ""
 
@@ -223,11 +224,7 @@ class Pieces:
 
     def encode(self, texts: list) -> list[np.ndarray]:
         """Ids of each text as int32; a null text has none."""
-        found = self.values(
-            texts,
-            lambda segment, last, out: self._path_ids(self._path(last, len(segment))),
-            lambda segment: b"".join(self._path_ids(done) for done in self.stream((segment,))),
-        )
+        found = self.values(texts, self._committed)
         return [np.frombuffer(b"".join(x), np.int32) for x in found]
 
     def decode(self, ids: Iterable[int]) -> str:

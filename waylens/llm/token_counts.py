@@ -28,12 +28,22 @@ def _counts(found: list[bytes]) -> np.ndarray:
 
 def prefix_counts(pieces: Pieces, texts: list) -> list[np.ndarray]:
     """For each text the tokens of ``text[:1], text[:2], ...`` as int32."""
-    def long(segment: str) -> bytes:
-        last, out, best = [""], [0], [0.0]
-        pieces._extend(segment, last, out, best)
+    def passed(word: str, last: list[str], out: list[int], best: list[float]) -> bytes:
+        """Runs the lattice on. ``out`` has the tokens of each prefix: one (or a character's bytes) more than the prefix that
+        its last piece follows."""
+        bpe, single, step = pieces.algorithm == "bpe", pieces.id, pieces._last_bpe
+        for i in range(len(last), len(word) + 1):
+            if bpe:
+                piece = step(word, i, last)
+            else:
+                k, score = pieces._last_unigram(word, i, best)
+                piece = word[i - k : i]
+                best.append(score)
+            last.append(piece)
+            out.append(out[i - len(piece)] + (1 if piece in single else len(pieces.ids_of(piece))))
         return array("i", out[1:]).tobytes()
 
-    return [_counts(x) for x in pieces.values(texts, lambda segment, last, out: array("i", out[1:]).tobytes(), long)]
+    return [_counts(x) for x in pieces.values(texts, passed)]
 
 
 def tokens_of(counts: bytes, n_chars: int) -> int:
