@@ -18,7 +18,7 @@ def odd(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     from pyspark.sql import functions as F
 
-    for name in ("size", "label", "kept", "node", "n_words", "target", "row_number", "bundle"):
+    for name in ("size", "label", "kept", "node", "n_words", "target", "row_number", "bundle", "key", "box", "times", "turn", "n", "spans", "at", "__key", "__spans", "__copy", "__text", "a`b.c"):
         df = df.withColumn(name, F.lit("clash"))
     return df
 

@@ -138,6 +138,57 @@ def test_labels_behind_labels(spark):
     assert all(r.text[x.s : x.e] == x.v for r in got.values() for x in r.id)
 
 
+def test_contexts_find_unseen_values(spark):
+    """Prose without delimiters: two words before, and a word behind."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("bdfgklmn") for _ in range(6))
+    rows = [f"{word()} write to me at u{i}@x{i}.org when {word()} done, {word()}" for i in range(40)]
+    rows += [f"{word()} {word()} in {1900 + i} {word()}" for i in range(40)] + ["they write to me at X-77123/4 when late", "call passport1: 12A4 in 2077 then"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    found = {r.doc_id: [x.v for x in r.id] for r in pii.find_personal_data(docs).collect() if r.id}
+    assert found == {80: ["X-77123/4"]}
+
+
+def test_scores_against_brute_force(spark):
+    rng = random.Random(13)
+    edges = list({(f"p{rng.randint(0, 12)}", f"v{rng.randint(0, 60)}") for _ in range(260)})
+    seed = {v: rng.random() < 0.6 for v in {v for _, v in edges}}
+    confidence = {v: float(seed[v]) for v in seed}
+    for _ in range(3):
+        values = {p: [v for q, v in edges if q == p] for p in {p for p, _ in edges}}
+        score = {p: sum(confidence[v] for v in vs) / len(vs) for p, vs in values.items()}
+        for v in seed:
+            rest = 1.0
+            for p, w in edges:
+                if w == v and score[p] >= 0.5:
+                    rest *= max(1e-9, 1 - score[p])
+            confidence[v] = max(float(seed[v]), 1 - rest)
+    got = {r.pattern: (r.score, r.n_values) for r in pii.score_patterns(spark.createDataFrame([(p, v, seed[v]) for p, v in edges], "pattern string, value string, seed boolean")).collect()}
+    assert got.keys() == score.keys() and all(abs(got[p][0] - score[p]) < 1e-9 and got[p][1] == len(values[p]) for p in got)
+
+
+def test_covered_characters_against_brute_force(spark):
+    rng = random.Random(14)
+    spans = lambda n: [(s := rng.randint(0, 150), s + rng.randint(1, 30)) for _ in range(n)]
+    made = {r: (spans(rng.randint(0, 12)), sorted(set(spans(rng.randint(1, 9))))) for r in range(40)}
+    box = "struct<s:int,e:int,v:string,p:array<string>>"
+    bases = spark.createDataFrame([(r, (s, e, "", [])) for r, (b, _) in made.items() for s, e in b], f"__row bigint, b {box}")
+    tried = spark.createDataFrame([(r, True, (s, e, "", [])) for r, (_, c) in made.items() for s, e in c], f"__row bigint, is_cue boolean, x {box}")
+    got = {(r["__row"], r.x.s, r.x.e): r.covered for r in pii._covered(tried, bases).collect()}
+    assert got == {(r, s, e): sum(any(x <= i < y for x, y in b) for i in range(s, e)) for r, (b, c) in made.items() for s, e in c}
+
+
+def test_many_matches_in_one_text(spark):
+    """100,000 addresses in one text: the work grows with the matches, not with their square."""
+    import time
+
+    text = " ".join(f"u{i}@x.org key: a{i}b" for i in range(100_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    began = time.time()
+    row = pii.find_personal_data(docs).select("email").first()
+    assert len(row.email) == 100_000 and all(text[x.s : x.e] == x.v for x in row.email[::997]) and time.time() - began < 60
+
+
 def test_redaction(spark):
     from pyspark.sql import functions as F
 
@@ -147,6 +198,27 @@ def test_redaction(spark):
     assert text == "é <email>, <phone>, card <card> at <ip> end"
 
 
+def test_redaction_against_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(15)
+    made = [("", []), ("😀" * 2048, []), ("é😀\n" * 1024, [(0, 3072)]), ("ab" * 1024, [(2047, 2048)])]
+    for _ in range(60):
+        text = "".join(rng.choice("aé日😀\n ") for _ in range(rng.choice((5, 1023, 1024, 1025, 5000))))
+        made.append((text, sorted((s := rng.randrange(len(text)), min(len(text), s + rng.randint(1, rng.choice((4, 3000))))) for _ in range(rng.randint(0, 8)))))
+    want = []
+    for text, spans in made:
+        out, at = "", 0
+        for s, e in spans:
+            if s >= at:
+                out += text[at:s] + "<k>"
+            at = max(at, e)
+        want.append(out + text[at:])
+    rows = spark.createDataFrame([(i, t, [(s, 0, e, "k") for s, e in x]) for i, (t, x) in enumerate(made)], "i int, t string, x array<struct<s:int,i:int,e:int,k:string>>")
+    got = {r.i: r.r for r in rows.select("i", pii.redacted(F.col("t"), F.col("x")).alias("r")).collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_png_filters_and_checksums():
     rng = np.random.default_rng(1)
     width, image = 40, rng.integers(0, 256, (10, 40))
@@ -167,16 +239,20 @@ def test_png_filters_and_checksums():
 
 
 def test_images(odd):
-    got = media.image_columns(odd).collect()
+    images, features = media.image_columns(odd)
+    stored_media = {r.media for r in images.collect()}
+    got = features.collect()
+    assert len(got) == images.count() == odd.count()
     texts = sorted((r.doc_id or -1, r.text or "") for r in odd.collect())
     seen = {}
     for r, (i, text) in zip(sorted(got, key=lambda r: (r.doc_id or -1, r.n_bytes)), sorted(texts, key=lambda x: (x[0], len(x[1].encode()))), strict=True):
         stored = media.padded(text.encode())
         assert (r.doc_id or -1) == i and r.n_bytes == len(text.encode()) and r.payload_bytes == len(stored) and r.payload_bytes % 576 == 0
         assert r.payload_sha256 == hashlib.sha256(stored).hexdigest() and r.tail_crc32 == zlib.crc32(stored[-32:])
-        assert media.decode_png(r.media).tobytes() == stored and r.media_sha256 == hashlib.sha256(r.media).hexdigest() and r.media_bytes == len(r.media)
+        image = next(m for m in stored_media if hashlib.sha256(m).hexdigest() == r.media_sha256)
+        assert media.decode_png(image).tobytes() == stored and r.media_bytes == len(image)
         assert seen.setdefault(text, (r.feature, r.media_sha256)) == (r.feature, r.media_sha256)
-    assert media.image_columns(odd.limit(0)).count() == 0
+    assert media.image_columns(odd.limit(0))[1].count() == 0
 
 
 def test_archive(spark, sf):

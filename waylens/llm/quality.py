@@ -106,6 +106,7 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, label_col: str, fit_
     )
     ids = materialize(sample, "quality-labels")
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(ids.select(F.col("__id").alias("doc_id"))), "doc_id", "left_semi")
+    own = own.groupBy("doc_id").agg(F.min("text").alias("text"))  # one row an id, however often it's repeated
     stats = statistics(own).where(~F.col("base_failed"))
     return materialize(stats.join(F.broadcast(ids), stats["doc_id"] == ids["__id"]).select("doc_id", "label", *FEATURES), "quality-statistics")
 

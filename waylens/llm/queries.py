@@ -42,8 +42,8 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images = media.image_columns(table(spark, sf_dir, "documents"))
-    return images.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    _, features = media.image_columns(table(spark, sf_dir, "documents"))
+    return features
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,12 +137,14 @@ def fold(id_col) -> object:
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, fit_limit: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, text, label`` of the rows that fitting may read, at most ``fit_limit`` ids (these are broadcast)."""
+    """``doc_id, text, label`` of the rows that fitting may read, at most ``fit_limit`` (their ids are broadcast); an id that
+    is repeated has its smallest text."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(F.col(id_col)) != 2))
     known = known.groupBy(F.col(id_col).alias("__id")).agg((F.max(label_col) > 0).cast("int").alias("label"))
     sample = materialize(known.orderBy(F.md5(F.col("__id").cast("string")), "__id").limit(fit_limit), "toxicity-labels")
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return materialize(own.join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).drop("__id"), "toxicity-texts")
+    own = own.join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # one row an id, however often it's repeated
+    return materialize(own.select("doc_id", "text", "label"), "toxicity-texts")
 
 
 def score_toxicity(
