@@ -17,14 +17,25 @@ from waylens.llm.queries import piece_model
 
 #: No SQL has the learned rules, the cues and the lattice; tests hold the stages against brute force.
 ORACLE_SQL = None
-KEY = "__key"
+KEY, BOX = "key", "box"
 #: Verdicts of so many rows, or spans, at most (some 50 to 150 bytes each) are broadcast to the documents; more are joined by
 #: key.
 BROADCAST_ROWS = 400_000
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(KEY, F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("h")))
+def _name(column: str) -> Column:
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def _boxed(docs: DataFrame, *more: str) -> DataFrame:
+    """``key, text, box`` and ``more``: the whole row in one struct, so its columns' names meet no other. The key is the id
+    and the hash of the text, and the columns ``more`` if there are any."""
+    key = F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"), *[F.col(c) for c in more])
+    return docs.select(key.alias(KEY), "text", *more, F.struct(*[_name(c).alias(c) for c in docs.columns]).alias(BOX))
+
+
+def _unboxed(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    return rows.select(*[changed.get(c, F.col(BOX).getField(c)).alias(c) for c in docs.columns])
 
 
 def _verdicts(rows: DataFrame, name: str, size: Column | None = None) -> DataFrame:
@@ -37,57 +48,60 @@ def _verdicts(rows: DataFrame, name: str, size: Column | None = None) -> DataFra
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or a learned rule go."""
+    """Documents that fail the base rules or a learned rule go. Null and empty texts have no words, so they go; rows that
+    repeat a text share its verdict."""
     rules = quality.learn_rules(quality.labelled_statistics(docs, table(spark, sf_dir, "labels"), "quality", 20_000, "doc_id", "text"))
-    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("box"), F.col("text"))
-    return quality.apply_rules(quality.statistics(boxed, "box"), rules).where("kept").select("doc_id.*")
+    judged = quality.apply_rules(quality.statistics(_boxed(docs), BOX), rules).where("kept")
+    return _unboxed(judged.select(F.col("doc_id").alias(BOX)), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents stays, the one with the smallest id; of rows that repeat it, one."""
-    keyed = _keyed(docs)
-    classes = materialize(jaccard.similar_components(keyed, id_col=KEY), "classes")
+    """One document of each group of linked documents stays, the one with the smallest id (null ids last, equal ids by the
+    text's hash); of rows that repeat it, one. Null and empty texts link with nothing and stay, one a key."""
+    rows = _boxed(docs)
+    classes = materialize(jaccard.similar_components(rows, id_col=KEY), "classes")
     kept = classes.where("doc_id = component_id").groupBy(F.col("doc_id").alias(KEY)).agg(F.count("*").alias("n"))
     kept = materialize(kept, "class-heads")
-    heads = _verdicts(kept.select(KEY), "kept")
-    rows = keyed.join(heads, KEY, "left_semi")
+    rows = rows.join(_verdicts(kept.select(KEY), "kept"), KEY, "left_semi")
     if not kept.where("n > 1").isEmpty():
         rows = rows.dropDuplicates([KEY])
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _unboxed(rows, docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data become their kind in angle brackets; ``n_chars`` follows the text."""
-    keyed = _keyed(docs)
-    found = pii.find_personal_data(keyed, id_col=KEY)
-    spans = found.select(F.col("doc_id").alias(KEY), pii.marked(pii.KINDS).alias("__spans")).where(F.size("__spans") > 0).dropDuplicates([KEY])
-    rows = keyed.join(_verdicts(spans, "spans", F.size("__spans")), KEY, "left")
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(pii.redacted(F.col("text"), F.col("__spans")))
-    rows = rows.withColumn("text", text)
+    """Spans of personal data become their kind in angle brackets; ``n_chars`` follows the text. Of spans that overlap the
+    first names the kind. Null and empty texts stay as they are; all rows stay."""
+    rows = _boxed(docs)
+    found = pii.find_personal_data(rows, id_col=KEY)
+    spans = found.select(F.col("doc_id").alias(KEY), pii.marked(pii.KINDS).alias("spans")).where(F.size("spans") > 0).dropDuplicates([KEY])
+    rows = rows.join(_verdicts(spans, "spans", F.size("spans")), KEY, "left")
+    rows = rows.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(pii.redacted(F.col("text"), F.col("spans"))))
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+        changed["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return _unboxed(rows, docs, **changed)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: complete epochs, and once more if it was picked."""
-    keyed = _keyed(docs)
-    mixed = mixing.mix_sources(keyed, id_col=KEY)
+    """Each document as often as the mix takes it: complete epochs, and once more if it was picked. Texts without words have
+    no size and are never taken. Rows that repeat id, text and source each have a count, dealt in the order of the rows'
+    hashes."""
+    rows = _boxed(docs, "source")
+    mixed = mixing.mix_sources(rows, id_col=KEY)
     times = mixed.select(F.col("doc_id").alias(KEY), F.when(F.col("size") > 0, F.col("epochs") + F.col("picked")).otherwise(F.lit(0)).alias("times"))
-    # rows that repeat a key each have a count; counts of one key are dealt to its rows in turn
     times = materialize(times, "times")
     if times.select(KEY).distinct().count() < times.count():
         turn = Window.partitionBy(KEY)
+        hashed = F.xxhash64(*[F.col(BOX).getField(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
         times = times.withColumn("turn", F.row_number().over(turn.orderBy("times")))
-        rows = keyed.withColumn("turn", F.row_number().over(turn.orderBy(F.lit(0)))).join(_verdicts(times.where("times > 0"), "taken"), [KEY, "turn"])
+        rows = rows.withColumn("turn", F.row_number().over(turn.orderBy(hashed))).join(_verdicts(times.where("times > 0"), "taken"), [KEY, "turn"])
     else:
-        rows = keyed.join(_verdicts(times.where("times > 0"), "taken"), KEY)
-    copies = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    return copies.select(*[F.col(f"`{c}`") for c in docs.columns])
+        rows = rows.join(_verdicts(times.where("times > 0"), "taken"), KEY)
+    return _unboxed(rows.select(BOX, F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))), docs)
 
 
 def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each text, decoded again and compared."""
+    """Ids of each text, decoded again and compared; a null text has none, an empty one an empty array."""
     return pieces.encode_documents(docs, piece_model())
 
 
