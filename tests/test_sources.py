@@ -92,4 +92,77 @@ def test_more_chromium_tables(spark, tmp_path):
     assert readers.read(spark, "chromium_cards", path).first()["description"] == "stored card: A (exp 03/2030)"
     assert [(r.timestamp_ns, r.description) for r in readers.read(spark, "chromium_media", path).collect()] == [(NS, "https://m.example — media origin (9s aggregate)")]
     assert sorted((r.timestamp_ns, r.attrs.get("report_to_host")) for r in readers.read(spark, "chromium_reporting", path).collect()) == [(0, "r.example"), (NS, None)]
-    assert sorted((r.attrs["host"], r.timestamp_ns) for r in readers.read(spark, "chromium_bounces", path).collect()) == [("b.example", NS), ("c.example", NS)]
+    assert sorted((r.attrs["host"], r.timestamp_ns) for r in readers.chromium_bounces(sqlite.evidence_files(spark, path)).collect()) == [("b.example", NS), ("c.example", NS)]
+
+
+def test_rows_in_the_log(spark, tmp_path):
+    """Committed rows that only the write-ahead log has are read; rows of a transaction that never ended aren't."""
+    import shutil
+
+    folder = tmp_path / "copy"
+    folder.mkdir()
+    db = sqlite3.connect(tmp_path / "History", isolation_level=None)
+    db.execute("PRAGMA journal_mode=WAL")
+    db.execute("CREATE TABLE urls(id, url, title, visit_count, last_visit_time)")
+    db.execute(f"INSERT INTO urls VALUES (1, 'https://a.example/', 'A', 1, {T})")
+    db.execute("PRAGMA wal_checkpoint(TRUNCATE)")
+    for i in range(2, 400):
+        db.execute(f"INSERT INTO urls VALUES ({i}, 'https://b.example/{'x' * 300}', 'B', 1, {T})")
+    db.execute("PRAGMA cache_spill=ON")
+    db.execute("PRAGMA cache_size=1")
+    db.execute("BEGIN")
+    for i in range(400, 900):
+        db.execute(f"INSERT INTO urls VALUES ({i}, 'https://c.example/{'x' * 300}', 'C', 1, {T})")
+    for name in ("History", "History-wal"):
+        shutil.copy(tmp_path / name, folder / name)
+    db.close()
+    found = readers.read(spark, "chromium_history", str(folder)).collect()
+    assert sorted({r.attrs["title"] for r in found}) == ["A", "B"] and len(found) == 399
+
+
+def test_lz4_blocks():
+    from waylens.sources.binary import lz4_block
+
+    assert lz4_block(b"\x50hello", 5) == b"hello"
+    assert lz4_block(b"\x1fa\x01\x00\x05\x50hello", 1 + 4 + 15 + 5 + 5) == b"a" * 25 + b"hello"
+    assert lz4_block(b"\x24ab\x02\x00\x10c", 11) == b"ab" + b"abababab" + b"c"
+    for bad, size in ((b"\x50hel", 5), (b"\x10a\x09\x00", 5), (b"\x50hello", 4), (b"\xf0", 3)):
+        with pytest.raises(ValueError):
+            lz4_block(bad, size)
+
+
+def test_session_logs(spark, tmp_path):
+    import struct
+
+    from waylens.sources.binary import chromium_session
+
+    def record(kind, body):
+        return struct.pack("<HB", len(body) + 1, kind) + body
+
+    def navigation(tab, index, url, title):
+        u, t = url.encode(), title.encode("utf-16-le")
+        body = struct.pack("<iii", tab, index, len(u)) + u.ljust(-(-len(u) // 4) * 4, b"\0") + struct.pack("<i", len(title)) + t
+        return record(6, struct.pack("<I", len(body)) + body)
+
+    log = b"SNSS" + struct.pack("<i", 3)
+    log += record(0, struct.pack("<ii", 7, 1)) + navigation(1, 0, "https://a.example/", "A") + navigation(1, 1, "https://bb.example/", "") + record(7, struct.pack("<ii", 1, 1)) + record(12, struct.pack("<i?", 1, True))
+    log += record(0, struct.pack("<ii", 7, 2)) + navigation(2, 0, "https://gone.example/", "G") + record(16, struct.pack("<iiq", 2, 0, 0)) + record(21, struct.pack("<iiq", 1, 0, T))
+    log += record(0, struct.pack("<ii", 8, 3)) + navigation(3, 0, "https://c.example/", "Ç") + record(99, b"?") + b"\xff\xff\x06cut"
+    files = spark.createDataFrame([("d/Session_1", bytearray(log)), ("d/other", bytearray(b"no"))], "path string, content binary")
+    got = sorted((r.timestamp_ns, r.description, r.attrs["tab_id"], r.attrs["window_id"], r.attrs["pinned"], r.attrs["index"]) for r in chromium_session(files).collect())
+    assert got == [(0, "Ç", "3", "8", "false", "0"), (NS, "https://bb.example/", "1", "7", "true", "1")]
+
+
+def test_property_lists_and_compressed_sessions(spark):
+    import plistlib
+    import struct
+
+    from waylens.sources import binary, json_readers
+
+    tree = {"WebBookmarkType": "WebBookmarkTypeList", "Children": [{"WebBookmarkType": "WebBookmarkTypeLeaf", "URLString": "https://s.example/", "URIDictionary": {"title": "S"}}]}
+    files = spark.createDataFrame([("a", bytearray(plistlib.dumps(tree, fmt=plistlib.FMT_BINARY))), ("b", bytearray(b"broken"))], "path string, content binary")
+    assert [(r.description, r.attrs["url"]) for r in binary.safari_bookmarks(files).collect()] == [("S", "https://s.example/")]
+    body = json.dumps({"windows": [{"tabs": [{"lastAccessed": 1300000000000, "entries": [{"url": "https://x.example/", "title": ""}]}, {"entries": []}]}]}).encode()
+    block = bytes([0xF0, *([255] * ((len(body) - 15) // 255)), (len(body) - 15) % 255]) + body
+    files = spark.createDataFrame([("s", bytearray(b"mozLz40\0" + struct.pack("<I", len(body)) + block)), ("t", bytearray(b"mozLz40\0\x01"))], "path string, content binary")
+    assert [(r.timestamp_ns, r.description) for r in json_readers.firefox_session(files).collect()] == [(NS, "https://x.example/")]

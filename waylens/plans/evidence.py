@@ -1,0 +1,76 @@
+"""Browser stores made of tables: SQLite files as bytes, written in tasks.
+
+A store is described by SQL for each of its tables; the first column, ``store``, says which file a row belongs to. The same
+SQL runs in Spark, where its rows become files for the readers, and in DuckDB, where it stands for what the files hold.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterable
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from waylens.plans.activity import table
+from waylens.plans.scratch import cut
+
+#: Tables of the driver that SQL may name in braces.
+SOURCES = ("events", "pages", "documents", "orders", "customer", "supplier", "part", "nation")
+
+
+def select(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """The rows of SQL that names driver tables in braces."""
+    used = {t: table(spark, sf_dir, t) for t in SOURCES if "{" + t + "}" in sql}
+    return spark.sql(sql, **used)
+
+
+def duckdb(sql: str) -> str:
+    for t in SOURCES:
+        sql = sql.replace("{" + t + "}", t)
+    return sql
+
+
+def sqlite_bytes(rows: Iterable[tuple[str, list[str], str]]) -> bytes:
+    """A SQLite file of rows ``table, columns, values as JSON``."""
+    import sqlite3
+
+    db = sqlite3.connect(":memory:")
+    made: set[str] = set()
+    for name, columns, values in rows:
+        if name not in made:
+            made.add(name)
+            db.execute(f'CREATE TABLE "{name}" ({", ".join(f"{chr(34)}{c}{chr(34)}" for c in columns)})')
+        own = json.loads(values)
+        db.execute(f'INSERT INTO "{name}" VALUES ({", ".join("?" * len(columns))})', [own.get(c) for c in columns])
+    db.commit()
+    data = db.serialize()
+    db.close()
+    return data
+
+
+def sqlite_stores(tables: dict[str, DataFrame], folder: str = "profile") -> DataFrame:
+    """``path, content``: a SQLite file for each value of ``store``, of the tables' other columns."""
+    rows = None
+    for name, df in tables.items():
+        columns = [c for c in df.columns if c != "store"]
+        own = df.select(F.col("store").cast("string").alias("store"), F.lit(name).alias("name"), F.array(*[F.lit(c) for c in columns]).alias("columns"), F.to_json(F.struct(*columns)).alias("row"))
+        rows = own if rows is None else rows.unionByName(own)
+    schema = StructType.fromDDL("path string, content binary")
+    arrow = to_arrow_schema(schema)
+
+    def make(key: tuple, group: pa.Table) -> pa.Table:
+        own = zip(*(group.column(c).to_pylist() for c in ("name", "columns", "row")), strict=True)
+        return pa.Table.from_arrays([pa.array([f"{folder}/{key[0].as_py()}"]), pa.array([sqlite_bytes(own)], pa.binary())], schema=arrow)
+
+    return cut(rows.groupBy("store").applyInArrow(make, schema), "stores")
+
+
+def text_stores(lines: DataFrame, folder: str = "profile") -> DataFrame:
+    """``path, content``: a file for each ``store`` of its ``line`` values, by ``at``."""
+    joined = lines.groupBy(F.col("store").cast("string").alias("store")).agg(F.sort_array(F.collect_list(F.struct("at", "line"))).alias("l"))
+    content = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
+    return cut(joined.select(F.concat(F.lit(f"{folder}/"), "store").alias("path"), content.cast("binary").alias("content")), "stores")

@@ -5,16 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` below ``spark.checkpoint.dir`` (one of our own where it is unset) and reads it back."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place below ``spark.checkpoint.dir``, or below a folder of our own where that is unset and driver and executors
+    are one machine; an error on a cluster, whose machines don't share a temporary folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="waylens-")
         spark.conf.set("spark.checkpoint.dir", path)
-    path = f"{path.rstrip('/')}/waylens-events/{name}-{uuid.uuid4().hex}"
+    return f"{path.rstrip('/')}/waylens-events/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back."""
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

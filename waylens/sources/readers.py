@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from waylens.functions import text as tx
 from waylens.functions import times as tm
-from waylens.sources.sqlite import evidence_files, sqlite_table
+from waylens.sources.sqlite import evidence_files, sqlite_rows, sqlite_tables
 
 Tables = dict[str, DataFrame]
 READERS: dict[str, tuple[dict[str, str], Callable[[Tables], DataFrame]]] = {}
 
 
-def events(rows: DataFrame, ns: Column, browser: str, artifact: str, description: Column, **attrs: Column) -> DataFrame:
+def events(rows: DataFrame, ns: Column, browser: str, artifact: str, description: Column, /, **attrs: Column) -> DataFrame:
     packed = F.to_json(F.struct(*[c.alias(k) for k, c in attrs.items()]))
     found = rows.select(ns.cast("long").alias("timestamp_ns"), F.lit(browser).alias("browser"), F.lit(artifact).alias("artifact"), "source", description.alias("description"), packed.alias("attrs_json"))
     return found.withColumn("attrs", F.from_json("attrs_json", "map<string,string>"))
@@ -32,11 +32,15 @@ def reader(name: str, **tables: str):
     return register
 
 
+def read_files(files: DataFrame, name: str) -> DataFrame:
+    """Events of SQLite files (``path, content``) by one reader."""
+    tables, make = READERS[name]
+    return make(sqlite_tables(files, tables))
+
+
 def read(spark: SparkSession, name: str, path: str) -> DataFrame:
     """Events of all SQLite files below ``path`` by one reader."""
-    tables, make = READERS[name]
-    files = evidence_files(spark, path)
-    return make({t: sqlite_table(files, t, ddl) for t, ddl in tables.items()})
+    return read_files(evidence_files(spark, path), name)
 
 
 def c(name: str) -> Column:
@@ -47,6 +51,10 @@ def text(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def number(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(0))
+
+
 def or_else(a: Column, b: Column) -> Column:
     return F.when(a != "", a).otherwise(b)
 
@@ -94,6 +102,12 @@ def chromium_cookies(t: Tables, store: str = "default") -> DataFrame:
     )
 
 
+@reader("extension_cookies", **READERS["chromium_cookies"][0])
+def extension_cookies(t: Tables) -> DataFrame:
+    """The cookie store of extensions."""
+    return chromium_cookies(t, "extension")
+
+
 @reader("chromium_autofill", autofill="name string, value string, count bigint, date_created bigint, date_last_used bigint")
 def chromium_autofill(t: Tables) -> DataFrame:
     rows = t["autofill"].where("date_created > 0")
@@ -279,15 +293,59 @@ def discover_profiles(files: DataFrame) -> DataFrame:
 @reader("chromium_cards", credit_cards="name_on_card string, expiration_month bigint, expiration_year bigint, date_modified bigint, use_count bigint, use_date bigint")
 def chromium_cards(t: Tables) -> DataFrame:
     """Stored cards, without their numbers."""
-    label = F.format_string("stored card: %s (exp %02d/%d)", text("name_on_card"), F.coalesce("expiration_month", F.lit(0)), F.coalesce("expiration_year", F.lit(0)))
-    return events(t["credit_cards"], tm.webkit_micros(c("date_modified")), "Chromium", "CreditCard", label, name_on_card=text("name_on_card"), expiration_month=c("expiration_month"), expiration_year=c("expiration_year"), use_count=c("use_count"), use_date=c("use_date"))
+    label = F.format_string("stored card: %s (exp %02d/%d)", text("name_on_card"), number("expiration_month"), number("expiration_year"))
+    return events(
+        t["credit_cards"], tm.webkit_micros(c("date_modified")), "Chromium", "CreditCard", label, name_on_card=text("name_on_card"), expiration_month=number("expiration_month"), expiration_year=number("expiration_year"), use_count=c("use_count"), use_date=c("use_date"),
+        card_type=F.lit("local"), card_number=F.lit("ENCRYPTED"),
+    )
+
+
+@reader("chromium_server_cards", masked_credit_cards="name_on_card string, network string, last_four string, exp_month bigint, exp_year bigint, bank_name string")
+def chromium_server_cards(t: Tables) -> DataFrame:
+    label = F.concat(F.lit("server card: "), text("network"), F.lit(" ****"), text("last_four"), F.lit(" ("), text("name_on_card"), F.lit(")"))
+    return events(
+        t["masked_credit_cards"], F.lit(0), "Chromium", "CreditCard", label, name_on_card=text("name_on_card"), network=text("network"), last_four=text("last_four"), expiration_month=number("exp_month"), expiration_year=number("exp_year"), bank_name=text("bank_name"), card_type=F.lit("masked_server"),
+    )
+
+
+@reader("chromium_tokens", token_service="service string")
+def chromium_tokens(t: Tables) -> DataFrame:
+    rows = t["token_service"].where("service IS NOT NULL")
+    return events(rows, F.lit(0), "Chromium", "AuthToken", F.concat(F.lit("auth token for service: "), c("service")), service=c("service"), token=F.lit("ENCRYPTED"))
+
+
+@reader(
+    "chromium_profiles", autofill_profiles="guid string, date_modified bigint, use_count bigint, use_date bigint", autofill_profile_names="rowid bigint, guid string, first_name string, middle_name string, last_name string",
+    autofill_profile_emails="rowid bigint, guid string, email string", autofill_profile_phones="rowid bigint, guid string, number string",
+)
+def chromium_profiles(t: Tables) -> DataFrame:
+    """Address profiles with the first name, mail address and phone number of their guid."""
+    def first(table: str, value: Column, name: str) -> DataFrame:
+        return t[table].groupBy("source", "guid").agg(F.min_by(F.struct(value.alias("v")), F.coalesce("rowid", F.lit(0)))["v"].alias(name))
+
+    full = F.array_join(F.filter(F.array("first_name", "middle_name", "last_name"), lambda x: x != ""), " ")
+    rows = t["autofill_profiles"].where("guid IS NOT NULL AND date_modified IS NOT NULL AND use_count IS NOT NULL AND use_date IS NOT NULL")
+    for table, value, name in (("autofill_profile_names", full, "full_name"), ("autofill_profile_emails", c("email"), "email"), ("autofill_profile_phones", c("number"), "phone")):
+        rows = rows.join(first(table, value, name), ["source", "guid"], "left")
+    label = F.concat(F.lit("autofill profile: "), text("full_name"), F.lit(" <"), text("email"), F.lit("> "), text("phone"))
+    return events(rows, tm.webkit_micros(c("date_modified")), "Chromium", "Autofill", label, guid=c("guid"), full_name=text("full_name"), email=text("email"), phone=text("phone"), use_count=c("use_count"), use_date=c("use_date"))
+
+
+def chromium_web_data(files: DataFrame) -> DataFrame:
+    """All of a Web Data file: stored and server cards, tokens and address profiles of the tables it has."""
+    names = ("chromium_cards", "chromium_server_cards", "chromium_tokens", "chromium_profiles")
+    tables = sqlite_tables(files, {t: ddl for n in names for t, ddl in READERS[n][0].items()})
+    out = None
+    for n in names:
+        found = READERS[n][1](tables)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 @reader("chromium_media", playbackSession="url string, duration_ms bigint, position_ms bigint, title string, source_title string, last_updated_time_s bigint", origin="origin string, aggregate_watchtime_audio_video_s bigint, last_updated_time_s bigint", playback="url string, watch_time_s bigint, has_audio bigint, has_video bigint, last_updated_time_s bigint")
 def chromium_media(t: Tables) -> DataFrame:
     """Playback sessions, origins and playbacks; times are WebKit seconds."""
     ns = F.when(c("last_updated_time_s") > 0, tm.webkit_micros(tm.saturating_multiply(c("last_updated_time_s"), 1_000_000))).otherwise(0)
-    number = lambda k: F.coalesce(c(k), F.lit(0))
     shown = F.when(text("title") == "", c("url")).otherwise(F.concat(c("title"), F.lit(" — "), c("url")))
     session = events(
         t["playbackSession"].where("url <> ''"), ns, "Chromium", "MediaPlayback", F.concat(shown, F.lit(" (position "), number("position_ms").cast("string"), F.lit("ms / "), number("duration_ms").cast("string"), F.lit("ms)")), url=c("url"), media_kind=F.lit("session"),
@@ -309,14 +367,13 @@ def chromium_reporting(t: Tables) -> DataFrame:
     return policies.unionByName(ends)
 
 
-BOUNCES = ("first_site_storage_time", "last_site_storage_time", "first_user_activation_time", "last_user_activation_time", "first_user_interaction_time", "last_user_interaction_time", "first_stateful_bounce_time", "last_stateful_bounce_time", "first_bounce_time", "last_bounce_time", "first_web_authn_assertion_time", "last_web_authn_assertion_time")
-
-
-@reader("chromium_bounces", bounces="site string, " + ", ".join(f"{x} bigint" for x in BOUNCES))
-def chromium_bounces(t: Tables) -> DataFrame:
-    """Sites of the bounce-tracking table: the latest activation or interaction, else the latest of any of its times."""
-    latest = lambda names: F.greatest(F.lit(0), *[F.coalesce(c(x), F.lit(0)) for x in names])
-    acts = latest([x for x in BOUNCES if "activation" in x or "interaction" in x])
-    when = F.when(acts > 0, acts).otherwise(latest(BOUNCES))
-    ns = F.when(when > 0, tm.webkit_micros(when)).otherwise(0)
-    return events(t["bounces"].where("site <> ''"), ns, "Chromium", "RecoveredDomain", F.concat(F.lit("site state "), c("site")), host=c("site"), source_artifact=F.lit("bounces"), **{x: c(x) for x in BOUNCES})
+def chromium_bounces(files: DataFrame) -> DataFrame:
+    """Sites of the bounce-tracking table, whose columns vary: the latest activation or interaction, else the latest of any
+    of its times."""
+    rows = sqlite_rows(files, "bounces").withColumn("cells", F.from_json("row", "map<string,string>"))
+    times = F.map_filter("cells", lambda k, v: k.endswith("_time"))
+    latest = lambda m: F.coalesce(F.array_max(F.transform(F.map_values(m), lambda v: F.greatest(F.lit(0).cast("long"), F.coalesce(v.try_cast("long"), F.lit(0))))), F.lit(0))
+    acts = latest(F.map_filter(times, lambda k, v: k.contains("activation") | k.contains("interaction")))
+    rows = rows.select("source", F.element_at("cells", F.lit("site")).alias("site"), F.when(acts > 0, acts).otherwise(latest(times)).alias("when"), F.to_json(times).alias("times")).where("site <> ''")
+    ns = F.when(c("when") > 0, tm.webkit_micros(c("when"))).otherwise(0)
+    return events(rows, ns, "Chromium", "RecoveredDomain", F.concat(F.lit("site state "), c("site")), host=c("site"), source_artifact=F.lit("bounces"), times=c("times"))

@@ -1,19 +1,28 @@
 """SQLite evidence files as DataFrames.
 
 Spark reads the files (any store it knows) and deals them to tasks; a task opens a file's bytes in memory, read-only, and
-yields the rows of one table. Missing tables give no rows, missing columns nulls, and rows of another type are skipped.
+yields the rows of the tables asked for. Missing tables give no rows, missing columns nulls, and rows of another type are
+skipped. Committed frames of a ``-wal`` file beside the database are laid over its pages first: a live profile's newest
+rows are there.
 """
 
 from __future__ import annotations
 
+import json
+import struct
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
+from waylens.plans.scratch import cut
+
 ROWS = 4096
+#: A database's first bytes, and the two magic numbers of a write-ahead log, whose last bit is the byte order of its sums.
+MAGIC, WAL_MAGIC = b"SQLite format 3", (0x377F0682, 0x377F0683)
 
 
 def evidence_files(spark: SparkSession, path: str) -> DataFrame:
@@ -21,57 +30,153 @@ def evidence_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
 
-def sqlite_table(files: DataFrame, table: str, columns: str) -> DataFrame:
-    """Rows of ``table`` in each file of ``files``: ``source`` (its path) and ``columns``, a DDL of names and types."""
-    wanted = StructType.fromDDL(columns)
-    schema = StructType([StructField("source", StringType()), *wanted.fields])
+def _with_logs(files: DataFrame) -> DataFrame:
+    """``path, content, wal`` of the files that are no companions. Only databases with a log travel to it."""
+    wal = files.where(F.col("path").endswith("-wal")).select(F.regexp_replace("path", "-wal$", "").alias("path"), F.col("content").alias("wal"))
+    own = files.where(~F.col("path").rlike("-(wal|shm|journal)$")).select("path", "content")
+    logged = wal.select("path").distinct()
+    alone = own.join(logged, "path", "left_anti").withColumn("wal", F.lit(None).cast("binary"))
+    return alone.unionByName(own.join(logged, "path", "left_semi").join(wal, "path"))
+
+
+def _sums(data: memoryview, order: str, s0: int, s1: int) -> tuple[int, int]:
+    words = struct.unpack(f"{order}{len(data) // 4}I", data)
+    for x, y in zip(words[::2], words[1::2], strict=True):
+        s0 = (s0 + x + s1) & 0xFFFFFFFF
+        s1 = (s1 + y + s0) & 0xFFFFFFFF
+    return s0, s1
+
+
+def overlaid(data: bytes, wal: bytes | None) -> bytes:
+    """A database with the pages of its log's committed frames, in rollback mode so that it opens from bytes alone.
+
+    Frames count up to the last commit before the first one with another salt or a wrong checksum.
+    """
+    pages: dict[int, memoryview] = {}
+    size = 0
+    if wal and len(wal) > 32:
+        log = memoryview(wal)
+        magic, _, page, _, salt1, salt2, sum0, sum1 = struct.unpack(">8I", log[:32])
+        order = ">" if magic & 1 else "<"
+        if magic in WAL_MAGIC and page >= 512 and _sums(log[:24], order, 0, 0) == (sum0, sum1):
+            held: dict[int, memoryview] = {}
+            for at in range(32, len(wal) - page - 23, page + 24):
+                number, commit, one, two, s0, s1 = struct.unpack(">6I", log[at : at + 24])
+                body = log[at + 24 : at + 24 + page]
+                sum0, sum1 = _sums(body, order, *_sums(log[at : at + 8], order, sum0, sum1))
+                if (one, two) != (salt1, salt2) or (s0, s1) != (sum0, sum1):
+                    break
+                held[number] = body
+                if commit:
+                    pages.update(held)
+                    held, size = {}, commit * page
+    if pages:
+        out = bytearray(data[:size].ljust(size, b"\0"))
+        for number, body in pages.items():
+            if number * len(body) <= size:
+                out[(number - 1) * len(body) : number * len(body)] = body
+        data = bytes(out)
+    return data[:18] + b"\x01\x01" + data[20:]
+
+
+def _opened(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, object]]:
+    """The path and an open connection of each SQLite file; closed when the next is asked for."""
+    import sqlite3
+
+    for batch in batches:
+        for path, content, wal in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            data, log = content.as_py(), wal.as_py()
+            if (not data or data[:15] != MAGIC) and not (data == b"" and log):
+                continue
+            db = sqlite3.connect(":memory:")
+            db.text_factory = bytes
+            try:
+                db.deserialize(overlaid(data, log))
+                yield path, db
+            except sqlite3.Error:
+                continue
+            finally:
+                db.close()
+
+
+def _cast(value, kind: pa.DataType):
+    if value is None:
+        return None
+    if pa.types.is_integer(kind):
+        return int(value)
+    if pa.types.is_floating(kind):
+        return float(value)
+    if pa.types.is_binary(kind):
+        return value if isinstance(value, bytes) else str(value).encode()
+    return value if isinstance(value, str) else value.decode("utf-8", "replace") if isinstance(value, bytes) else str(value)
+
+
+def sqlite_tables(files: DataFrame, tables: dict[str, str]) -> dict[str, DataFrame]:
+    """Rows of each table in each of ``files``: ``source`` (the file's path) and the columns of its DDL.
+
+    A file is opened once for all of its tables; where there are several their rows are written to the shared folder.
+    """
+    wanted = {t: StructType.fromDDL(ddl) for t, ddl in tables.items()}
+    schema = StructType([StructField("source", StringType()), *[StructField(t, s) for t, s in wanted.items()]])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sqlite3
 
-        def cast(value, kind: pa.DataType):
-            if value is None:
-                return None
-            if pa.types.is_integer(kind):
-                return int(value)
-            if pa.types.is_floating(kind):
-                return float(value)
-            if pa.types.is_binary(kind):
-                return value if isinstance(value, bytes) else str(value).encode()
-            return value if isinstance(value, str) else value.decode("utf-8", "replace") if isinstance(value, bytes) else str(value)
-
-        kinds = [f.type for f in arrow][1:]
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = content.as_py()
-                if not data or data[:15] != b"SQLite format 3":
-                    continue
-                db = sqlite3.connect(":memory:")
-                db.text_factory = bytes
+        for path, db in _opened(batches):
+            for at, (name, columns) in enumerate(wanted.items(), 1):
                 try:
-                    # WAL mode can't be opened from bytes alone; the header's version bytes say rollback mode instead
-                    db.deserialize(data[:18] + b"\x01\x01" + data[20:])
-                    have = {r[1].decode() for r in db.execute(f'PRAGMA table_info("{table}")')}
+                    have = {r[1].decode() for r in db.execute(f'PRAGMA table_info("{name}")')}
                     if not have:
                         continue
-                    names = ", ".join(f'"{f.name}"' if f.name in have else "NULL" for f in wanted.fields)
-                    cursor = db.execute(f'SELECT {names} FROM "{table}"')
+                    kinds = [f.type for f in arrow.field(at).type]
+                    picked = ", ".join(f'"{f.name}"' if f.name in have else "NULL" for f in columns.fields)
+                    cursor = db.execute(f'SELECT {picked} FROM "{name}"')
                     while rows := cursor.fetchmany(ROWS):
                         kept = []
                         for row in rows:
                             try:
-                                kept.append((path, *(cast(v, k) for v, k in zip(row, kinds, strict=True))))
+                                kept.append({f.name: _cast(v, k) for f, v, k in zip(columns.fields, row, kinds, strict=True)})
                             except (TypeError, ValueError):
                                 continue
                         if kept:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*kept, strict=True), arrow, strict=True)], schema=arrow)
+                            cells = [pa.array([path] * len(kept)), *[pa.array(kept if i == at else [None] * len(kept), arrow.field(i).type) for i in range(1, len(arrow))]]
+                            yield pa.RecordBatch.from_arrays(cells, schema=arrow)
                 except sqlite3.Error:
                     continue
-                finally:
-                    db.close()
 
-    return files.select("path", "content").mapInArrow(run, schema)
+    rows = _with_logs(files).mapInArrow(run, schema)
+    if len(tables) > 1:
+        rows = cut(rows, "sqlite-rows")
+    return {t: rows.where(F.col(t).isNotNull()).select("source", f"{t}.*") for t in tables}
+
+
+def sqlite_table(files: DataFrame, table: str, columns: str) -> DataFrame:
+    return sqlite_tables(files, {table: columns})[table]
+
+
+def sqlite_rows(files: DataFrame, table: str) -> DataFrame:
+    """``source, row`` of a table whose columns vary: each row as JSON of what it holds, blobs left out."""
+    schema = StructType.fromDDL("source string, row string")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        import sqlite3
+
+        for path, db in _opened(batches):
+            try:
+                cursor = db.execute(f'SELECT * FROM "{table}"')
+            except sqlite3.Error:
+                continue
+            names = [d[0] for d in cursor.description]
+            while rows := cursor.fetchmany(ROWS):
+                out = []
+                for row in rows:
+                    own = {k: v.decode("utf-8", "replace") if isinstance(v, bytes) else v for k, v in zip(names, row, strict=True) if v is not None}
+                    out.append(json.dumps(own))
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(out)), pa.array(out)], schema=arrow)
+
+    return _with_logs(files).mapInArrow(run, schema)
 
 
 def integrity_failures(files: DataFrame) -> DataFrame:
@@ -84,12 +189,12 @@ def integrity_failures(files: DataFrame) -> DataFrame:
 
         for batch in batches:
             out = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for path, content, wal in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 data, message = content.as_py(), None
-                if data and data[:15] == b"SQLite format 3":
+                if data and data[:15] == MAGIC:
                     db = sqlite3.connect(":memory:")
                     try:
-                        db.deserialize(data[:18] + b"\x01\x01" + data[20:])
+                        db.deserialize(overlaid(data, wal.as_py()))
                         found = db.execute("PRAGMA integrity_check(1)").fetchone()[0]
                         message = None if found == "ok" else found
                     except sqlite3.Error as e:
@@ -101,4 +206,4 @@ def integrity_failures(files: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
-    return files.select("path", "content").mapInArrow(run, schema)
+    return _with_logs(files).mapInArrow(run, schema)
