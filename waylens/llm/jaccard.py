@@ -49,8 +49,8 @@ FREQUENT, LEAST_COUNT = 1 << 20, 8
 NEAR = 15
 #: Nodes of a part of a list.
 HOT = 4096
-#: Bytes of the sets of a block that is held against another.
-BLOCK_BYTES = 8 << 20
+#: Bytes of the sets of a block that is held against another, and its nodes.
+BLOCK_BYTES, BLOCK_NODES = 8 << 20, 1024
 #: Ids of documents whose sets are needed that are broadcast at most (some 50 bytes each); more are joined with a shuffle.
 NEEDED = 500_000
 
@@ -345,8 +345,8 @@ def _across(lists: DataFrame, labels: DataFrame, docs: DataFrame, firsts: DataFr
     """Links between different components that share a list of more than ``NEAR + 1`` nodes; None if there is no such list.
 
     Lists are grouped by their largest component. The members outside of it are held against the group's members in the
-    same band of set sizes and the two beside it (sizes of a link differ by no more), in blocks of ``block_bytes`` of sets:
-    a task gets two blocks, counts shared prefix shingles with an index over one of them, and verifies pairs that share
+    same band of set sizes and the two beside it (sizes of a link differ by no more), in blocks of ``block_bytes`` of sets
+    and BLOCK_NODES nodes: a task gets two blocks, counts shared prefix shingles with an index over one of them, and verifies pairs that share
     enough, as long as links found there haven't brought their components together. So a set travels once for each
     block it is held against, a block holds thousands of usual texts, and a task returns fewer links than components.
     """
@@ -358,7 +358,7 @@ def _across(lists: DataFrame, labels: DataFrame, docs: DataFrame, firsts: DataFr
         return None
     members = own.join(mixed, "shingle").groupBy("main", "node").agg(F.first("c").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
     members = materialize(members.withColumn("band", F.floor(F.log("n") / (math.log(100 / percent) + 1e-9))), "members")
-    blocks = lambda n: F.ceil(F.coalesce(F.sum(n), F.lit(0)) * 8 / block_bytes).cast("int")
+    blocks = lambda n: F.ceil(F.greatest(F.coalesce(F.sum(n), F.lit(0)) * 8 / block_bytes, F.count(n) / BLOCK_NODES)).cast("int")
     bands = materialize(members.groupBy("main", "band").agg(blocks(F.col("n")).alias("all"), blocks(F.when(F.col("c") != F.col("main"), F.col("n"))).alias("outside")), "bands")
     asking = bands.where("outside > 0").select("main", F.col("band").alias("q"), "outside", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"))
     cells = materialize(asking.join(bands.select("main", "band", "all"), ["main", "band"]).withColumnRenamed("band", "r"), "cells")
