@@ -36,7 +36,7 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
 
-def encode_png(payload: bytes, width: int = WIDTH, level: int = 1) -> bytes:
+def encode_png(payload: bytes, width: int = WIDTH, level: int = 6) -> bytes:
     rows = np.frombuffer(payload, np.uint8).reshape(-1, width)
     out = np.empty((len(rows), width + 1), np.uint8)
     out[0, 0], out[1:, 0] = 1, 2
@@ -114,7 +114,7 @@ def cosine_hash(image: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def encode_images(docs: DataFrame, width: int = WIDTH, level: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_images(docs: DataFrame, width: int = WIDTH, level: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, media``: the PNG of each text. Null texts count as empty: one row of 255s."""
     def make():
         def work(texts: list) -> list:
@@ -146,7 +146,7 @@ def read_images(images: DataFrame) -> DataFrame:
     return map_texts(named, make, columns, "row", "media", rows=64).select("doc_id.*", *[c.split()[0] for c in columns.split(", ")])
 
 
-def image_columns(docs: DataFrame, width: int = WIDTH, level: int = 1, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def image_columns(docs: DataFrame, width: int = WIDTH, level: int = 6, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The stored images, ``doc_id, n_bytes, media``, and what was read back from them, ``doc_id, n_bytes, payload_bytes,
     payload_sha256, tail_crc32, media_bytes, media_sha256, feature``.
 
