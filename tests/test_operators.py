@@ -58,3 +58,82 @@ def test_search_reads_whole_fields(spark):
     for regex in (False, True):
         assert search.filter_events(rows, "needle", regex=regex).count() == 1
         assert search.filter_events(rows, "needle", regex=regex, limit=search.FIELD_LIMIT).count() == 0
+
+
+def depths(rows):
+    """nav_depth of visits ``(seq, profile, visit_id, from_visit, ...)`` as a walk finds it."""
+    link = {(p, v): f for _, p, v, f, *_ in sorted(rows)}
+    out = {}
+    for s, p, _, f, *_ in rows:
+        seen, at = set(), f
+        while at and (p, at) in link and at not in seen and len(seen) < 4096:
+            seen.add(at)
+            at = link[p, at]
+        out[s] = len(seen)
+    return out
+
+
+def test_long_cycles_and_ways_into_them(spark):
+    import random
+
+    rng = random.Random(5)
+    ring, tail = list(range(1, 3001)), list(range(5000, 5040))
+    links = [(v, ring[(i + 1) % len(ring)]) for i, v in enumerate(ring)] + list(zip(tail, [17, *tail], strict=False))  # noqa: B905
+    links += [(9001, 9002), (9002, 9001), (9003, 9003), (9004, 9003), (9005, 0), (9006, 9005)] + [(9100 + i, rng.randrange(9095, 9160)) for i in range(60)]
+    rows = [(i, 1, v, f, f"u{v}", False, None) for i, (v, f) in enumerate(links)]
+    got = {r.seq: r.nav_depth for r in visits.referrer_chains(visit_rows(spark, rows)).collect()}
+    assert got == depths(rows)
+
+
+def chains(rows):
+    """Redirect chains as walks over events find them: chain, position, visit id, role."""
+    rows = sorted(rows)
+    first = {}
+    for r in rows:
+        first.setdefault((r[1], r[2]), r)
+    out, n = [], 0
+    for r in rows:
+        parent = first.get((r[1], r[3]))
+        if not r[5] or parent and parent[5]:
+            continue
+        run = [r]
+        while True:
+            child = next((c for c in rows if c[5] and c[1] == r[1] and c[3] == run[-1][2] and c not in run), None)
+            if child is None:
+                break
+            run.append(child)
+        ids = ([parent[2]] if parent else []) + [x[2] for x in run]
+        out += [(n, i, v, "landing" if i == len(ids) - 1 else "start" if i == 0 else "hop") for i, v in enumerate(ids)]
+        n += 1
+    return out
+
+
+def test_redirects_with_repeated_visit_ids(spark):
+    rows = [(0, 1, 1, 0, "a", False, None), (1, 1, 2, 1, "b", True, "server"), (2, 1, 2, 1, "b", True, "server"), (3, 1, 3, 2, "c", True, "client"), (4, 1, 4, 3, "d", True, "client"), (5, 1, 4, 3, "d", True, "client"), (6, 2, 2, 1, "z", True, None)]
+    got = sorted((r.chain_id, r.position, r.visit_id, r.role) for r in visits.redirect_chains(visit_rows(spark, rows)).collect())
+    assert got == sorted(chains(rows)) and len(got) == 9
+
+
+def test_many_events_in_one_moment(spark):
+    """20,000 events at one time: each sees the next 512, so pairs grow with events, not with their square."""
+    n = 20_000
+    e = spark.range(n).select(F.col("id").alias("seq"), F.lit(5).cast("long").alias("timestamp_ns"), F.concat(F.lit("h"), (F.col("id") % 2).cast("string")).alias("host"))
+    got = correlate.cooccurrence(e, F.col("host"), 10).collect()
+    want = sum(1 for i in range(n - 600, n) for j in range(i + 1, min(n, i + 513)) if (j - i) % 2) + (n - 600) * 256
+    assert [(r.src, r.dst, r.weight) for r in got] == [("h0", "h1", want)]
+
+
+def test_sessions_over_ranges(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(i, rng.choice((1, 1, 1, 1, 2, 3)), rng.randrange(0, 200_000)) for i in range(3000)]
+    e = spark.createDataFrame(rows, "seq bigint, profile bigint, timestamp_ns bigint")
+    got = {r.seq: r.session_id for r in timeline.sessionize(e, 100).collect()}
+    want = {}
+    for p in (1, 2, 3):
+        own, n = sorted((t, i) for i, q, t in rows if q == p), 0
+        for k, (t, i) in enumerate(own):
+            n += k > 0 and t - own[k - 1][0] > 100
+            want[i] = n
+    assert got == want

@@ -34,7 +34,7 @@ def registrable_domain(host: Column) -> Column:
     labels = F.filter(F.split(h, r"\."), lambda x: x != "")
     last, second, third = F.element_at(labels, -1), F.try_element_at(labels, F.lit(-2)), F.try_element_at(labels, F.lit(-3))
     country = (F.length(last) == 2) & second.isin(*SECOND_LEVEL)
-    return F.when(is_ip_literal(h), h).when(F.size(labels) <= 2, h).when(country, F.concat_ws(".", third, second, last)).otherwise(F.concat_ws(".", second, last))
+    return F.when(h.isNull(), h).when(is_ip_literal(h), h).when(F.size(labels) <= 2, h).when(country, F.concat_ws(".", third, second, last)).otherwise(F.concat_ws(".", second, last))
 
 
 def domain_of(value: Column) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waylens.operators.ordering import with_previous
+
 
 def cleared_history(urls: DataFrame, sequence: DataFrame) -> DataFrame:
     """``HistoryCleared`` for an empty table with a used sequence, ``AutoIncrementGap`` for a sequence above five times the
@@ -17,16 +19,16 @@ def cleared_history(urls: DataFrame, sequence: DataFrame) -> DataFrame:
 
 def id_gaps(visits: DataFrame) -> DataFrame:
     """The first gap of visit ids in each ``db``: ``after_id, next_id``."""
-    previous = F.lag("id").over(Window.partitionBy("db").orderBy("id"))
-    rows = visits.select("db", "id", previous.alias("after_id")).where(F.col("id") - F.col("after_id") > 1)
-    return rows.groupBy("db").agg(F.min(F.struct("after_id", F.col("id").alias("next_id"))).alias("g")).select("db", "g.*")
+    rows = with_previous(visits.select("db", "id"), "db", ["id"], ["id"])
+    gaps = rows.select("db", F.col("previous.id").alias("after_id"), F.col("id").alias("next_id")).where("next_id - after_id > 1")
+    return gaps.groupBy("db").agg(F.min(F.struct("after_id", "next_id")).alias("g")).select("db", "g.*")
 
 
 def time_reversals(visits: DataFrame) -> DataFrame:
     """The first visit of each ``db`` whose time lies before that of the visit with the id before."""
-    previous = F.lag("ts").over(Window.partitionBy("db").orderBy("id"))
-    rows = visits.select("db", "id", "ts", previous.alias("before")).where("ts < before")
-    return rows.groupBy("db").agg(F.min(F.struct("id", "ts", "before")).alias("r")).select("db", "r.*")
+    rows = with_previous(visits.select("db", "id", "ts"), "db", ["id"], ["ts"])
+    found = rows.select("db", "id", "ts", F.col("previous.ts").alias("before")).where("ts < before")
+    return found.groupBy("db").agg(F.min(F.struct("id", "ts", "before")).alias("r")).select("db", "r.*")
 
 
 def visit_count_mismatches(urls: DataFrame, visits: DataFrame) -> DataFrame:

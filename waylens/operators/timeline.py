@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waylens.operators.ordering import running_total, with_previous
+
 
 def deduplicated(events: DataFrame) -> DataFrame:
     """The first event (by ``seq``) of each url, time and artifact; untimed events too.
@@ -23,15 +25,18 @@ def timeline_stats(events: DataFrame) -> DataFrame:
 
 
 def sessionize(events: DataFrame, idle_ns: int = 30 * 60 * 10**9, by: str = "profile", recorded: Column | None = None) -> DataFrame:
-    """Adds ``session_id`` from 0 in each profile: a gap above ``idle_ns``, or another recorded session, begins a new one."""
-    order = Window.partitionBy(by).orderBy("timestamp_ns", "seq")
-    gap = F.col("timestamp_ns") - F.lag("timestamp_ns").over(order)
-    starts = gap > idle_ns
-    if recorded is not None:
-        events = events.withColumn("__recorded", recorded)
-        starts = starts | (F.col("__recorded") != F.lag("__recorded").over(order))
-    flagged = events.withColumn("__new", F.coalesce(starts, F.lit(False)).cast("long"))
-    return flagged.withColumn("session_id", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__new", "__recorded")
+    """Adds ``session_id`` from 0 in each profile: a gap above ``idle_ns``, or another recorded session, begins a new one.
+
+    Events are cut into ranges of profile and time, so a profile with a third of all events is many tasks' work.
+    """
+    order = ["timestamp_ns", "seq"]
+    marked = events.withColumn("__recorded", F.lit(None) if recorded is None else recorded)
+    rows = with_previous(marked, by, order, ["timestamp_ns", "__recorded"])
+    starts = (F.col("timestamp_ns") - F.col("previous.timestamp_ns") > idle_ns) | (F.col("__recorded") != F.col("previous.__recorded"))
+    if recorded is None:
+        starts = F.col("timestamp_ns") - F.col("previous.timestamp_ns") > idle_ns
+    flagged = rows.withColumn("__new", F.coalesce(starts, F.lit(False)).cast("long")).drop("previous", "__recorded")
+    return running_total(flagged, by, order, "__new", "session_id").drop("__new")
 
 
 def session_summary(sessions: DataFrame, by: str = "profile") -> DataFrame:

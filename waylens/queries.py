@@ -141,32 +141,41 @@ def collapse_redirects(spark, sf_dir):
     return timeline.collapse_redirects(_history(spark, sf_dir)).select("seq", "url")
 
 
-EDGES = HOSTED.replace("WITH base", "WITH RECURSIVE base") + f""", he AS (SELECT * FROM hd WHERE artifact = 'History'),
-edges AS (SELECT p.fullhost AS src, e.fullhost AS dst, CASE WHEN e.is_redirect THEN 'redirect' ELSE 'referrer' END AS kind, count(*) AS weight
-  FROM he e JOIN he p ON p.profile = e.profile AND p.visit_id = e.from_visit WHERE e.from_visit <> 0 AND p.fullhost <> e.fullhost GROUP BY 1, 2, 3),
-nodes AS (SELECT id, CAST(max(n) AS BIGINT) AS events FROM (SELECT fullhost AS id, count(*) AS n FROM he GROUP BY 1 UNION ALL SELECT src, 0 FROM edges UNION ALL SELECT dst, 0 FROM edges) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {correlate.MAX_NODES})"""
+PLACED = HOSTED + ", t AS (SELECT seq, timestamp_ns AS ts, domain AS host, row_number() OVER (ORDER BY timestamp_ns, seq) AS place FROM hd WHERE timestamp_ns <> 0 AND {0})"
+NEAR = f"SELECT least(a.host, b.host) AS src, greatest(a.host, b.host) AS dst, count(*) AS weight FROM t a JOIN t b ON b.place > a.place AND b.place <= a.place + {correlate.NEIGHBOURS} AND b.ts - a.ts <= {{0}} WHERE a.host <> b.host GROUP BY 1, 2"
+EDGES = PLACED.format("artifact = 'History'").replace("WITH base", "WITH RECURSIVE base") + f""", he AS (SELECT * FROM hd WHERE artifact = 'History'),
+edges AS (SELECT p.domain AS src, e.domain AS dst, CASE WHEN e.is_redirect THEN 'redirect' ELSE 'referrer' END AS kind, count(*) AS weight
+  FROM he e JOIN he p ON p.profile = e.profile AND p.visit_id = e.from_visit WHERE e.from_visit <> 0 AND p.domain <> e.domain GROUP BY 1, 2, 3 UNION ALL SELECT src, dst, 'co-occurrence', weight FROM ({NEAR.format(600 * 10**9)})),
+nodes AS (SELECT domain AS id, count(*) AS events, list_sort(list(DISTINCT browser)) AS browsers FROM he GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {correlate.MAX_NODES})"""
 
 
-def _graph(spark, sf_dir):
+def _graph(spark, sf_dir, **caps):
     chained = visits.referrer_chains(_history(spark, sf_dir))
-    host = ur.host_of(F.col("url"))
-    edges = correlate.directed_edges(chained, host, ur.host_of(F.col("referrer_url")))
-    return edges, correlate.graph_nodes(chained, edges, host)
+    return correlate.entity_graph(chained, ur.domain_of(F.col("url")), ur.domain_of(F.col("referrer_url")), 600 * 10**9, **caps)
 
 
-@query(EDGES + " SELECT id, events FROM nodes")
+@query(EDGES + " SELECT * FROM nodes")
 def entity_graph_nodes(spark, sf_dir):
-    return _graph(spark, sf_dir)[1]
+    return _graph(spark, sf_dir)[0]
 
 
 @query(EDGES + f" SELECT src, dst, kind, weight FROM edges WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes) ORDER BY weight DESC, src, dst, kind LIMIT {correlate.MAX_EDGES}")
 def entity_graph_edges(spark, sf_dir):
-    return correlate.graph_edges(*_graph(spark, sf_dir))
+    return _graph(spark, sf_dir)[1]
+
 
+@query(EDGES + " SELECT (SELECT count(*) FROM nodes) > 2 AS nodes_truncated, (SELECT count(*) FROM edges WHERE src IN (SELECT id FROM nodes ORDER BY events DESC, id LIMIT 2) AND dst IN (SELECT id FROM nodes ORDER BY events DESC, id LIMIT 2)) > 3 AS edges_truncated")
+def entity_graph_flags(spark, sf_dir):
+    return _graph(spark, sf_dir, most_nodes=2, most_edges=3)[2]
 
-@query(HOSTED + f""", t AS (SELECT seq, timestamp_ns AS ts, fullhost AS host, row_number() OVER (ORDER BY timestamp_ns, seq) AS place FROM hd WHERE timestamp_ns <> 0)
-SELECT least(a.host, b.host) AS src, greatest(a.host, b.host) AS dst, count(*) AS weight FROM t a JOIN t b ON b.place > a.place AND b.place <= a.place + {correlate.NEIGHBOURS} AND b.ts - a.ts <= 600000000000 WHERE a.host <> b.host GROUP BY 1, 2""")
+
+@query(PLACED.format("true") + " " + NEAR.format(600 * 10**9))
 def cooccurrence(spark, sf_dir):
+    return correlate.cooccurrence(activity(spark, sf_dir), ur.domain_of(F.col("url")), 600 * 10**9)
+
+
+@query(PLACED.format("true").replace("domain AS host", "fullhost AS host") + " " + NEAR.format(600 * 10**9))
+def cooccurrence_by_host(spark, sf_dir):
     return correlate.cooccurrence(activity(spark, sf_dir), ur.host_of(F.col("url")), 600 * 10**9)
 
 
