@@ -62,3 +62,20 @@ def test_text(spark):
     assert one(spark, tx.user_of(F.lit("/img/home/a/Users/Bob/x"))) == "Bob"
     assert one(spark, tx.csv_field(F.lit('=a"b'))) == '"\'=a""b"'
     assert one(spark, tx.firefox_type(long(5))) == "redirect_permanent"
+
+
+def test_rendered_and_parsed_times(spark):
+    import pytest
+
+    from waylens.functions.times import duration_ns, rfc3339, timestamp_ns
+
+    cases = [(0, "1970-01-01T00:00:00+00:00"), (1_500_000_000_120_000_000, "2017-07-14T02:40:00.120+00:00"), (-1, "1969-12-31T23:59:59.999999999+00:00"), (1_000_000, "1970-01-01T00:00:00.001+00:00"), (-(2**63), "1677-09-21T00:12:43.145224192+00:00"), (None, None)]
+    rows = spark.createDataFrame([(n,) for n, _ in cases], "n bigint")
+    assert [r.t for r in rows.select(rfc3339(F.col("n")).alias("t")).collect()] == [t for _, t in cases]
+    zones = rows.limit(1).select(*[rfc3339(F.lit(1_700_000_000_000_000_000), z).alias(z) for z in ("America/New_York", "Asia/Kathmandu")]).first()
+    assert list(zones) == ["2023-11-14T17:13:20-05:00", "2023-11-15T03:58:20+05:45"]
+    assert [duration_ns(x) for x in ("90", "2m", "-1h", "1d")] == [90 * 10**9, 120 * 10**9, -3600 * 10**9, 86400 * 10**9]
+    assert [timestamp_ns(x) for x in ("1970-01-02", "1970-01-01T00:00:01.5Z", "1970-01-01T01:00:00+01:00", "-7")] == [86400 * 10**9, 1_500_000_000, 0, -7]
+    for bad in ("5w", "x", "2020-13-01", "1.5"):
+        with pytest.raises(ValueError):
+            (duration_ns if bad == "5w" else timestamp_ns)(bad)

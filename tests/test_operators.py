@@ -137,3 +137,33 @@ def test_sessions_over_ranges(spark):
             n += k > 0 and t - own[k - 1][0] > 100
             want[i] = n
     assert got == want
+
+
+def test_fields_of_events(spark):
+    """Only text counts as text; bounds are UTF-8 bytes on a character's edge."""
+    rows = [(1, "seen é", "src", '{"url": "https://A.example/x", "n": 5, "flag": true, "host": "B.example", "deep": {"a": "zzz"}}'), (2, None, "s2 http://c.example:80/?q=1 end", "{}"), (3, "d", "s", None)]
+    e = spark.createDataFrame(rows, "seq bigint, description string, source string, attrs_json string").withColumn("timestamp_ns", F.lit(0))
+    got = {r.seq: {(x.field, x.text) for x in r.t} for r in e.select("seq", search.text_fields(e).alias("t")).collect()}
+    assert got[1] == {("description", "seen é"), ("source", "src"), ("url", "https://A.example/x"), ("host", "B.example")} and got[2] == {("source", rows[1][2])}
+    found = lambda p, *f: [r.seq for r in search.filter_events(e, p, list(f) or None).collect()]
+    assert found("5") == [] and found("zzz") == [] and found("example") == [1, 2] and found("example", "host") == [1] and found("true") == []
+    assert {(r.seq, r.field, r.host) for r in search.event_hosts(e).collect()} == {(1, "url", "a.example"), (1, "host", "b.example"), (2, "source", "c.example")}
+    cut = e.where("seq = 1").select(*[search.bounded(F.col("description"), n).alias(str(n)) for n in (4, 5, 6, 7, 8)]).first()
+    assert list(cut) == ["seen", "seen ", "seen ", "seen é", "seen é"]
+
+
+def test_hits_of_recovered_rows(spark):
+    rows = spark.createDataFrame([(1, {"title": "evil", "URL": "https://evil.example/"}), (2, {"b": "an evil b", "c": "evil c", "url": "none"}), (3, {"x": "evi", "y": "l"}), (4, {"evil_key": "v"})], "row bigint, fields map<string,string>")
+    got = {(r.row, r.term): r.match for r in search.carved_hits(rows, ["evil", "zz"]).collect()}
+    assert got == {(1, "evil"): "https://evil.example/", (2, "evil"): "evil c", (4, "evil"): '{"evil_key":"v"}'}
+
+
+def test_needle_and_unknown_kinds(spark):
+    from waylens.sources import writers
+
+    rows = [(1, 0, "Chromium", "Strange", "s", "d", {"url": "https://X.example/ABC", "title": None}), (2, 1_500_000_000_123_456_789, "Safari", "History", "s", 'q"', {"title": "abc"}), (3, 1, "Safari", "History", "s", "abc", {})]
+    e = spark.createDataFrame(rows, "seq bigint, timestamp_ns bigint, browser string, artifact string, source string, description string, attrs map<string,string>")
+    assert sorted(r.seq for r in search.needle(e, "aBc").collect()) == [1, 2]
+    assert writers.bodyfile(e).count() == writers.l2t_csv(e).count() == 3 and search.find_hits(e, ["d", "abc"], ["description"]).count() == 2
+    shown = [r.timestamp for r in writers.export_rows(e.where("seq = 2"), "Asia/Kolkata").collect()]
+    assert shown == ["2017-07-14T08:10:00.123456789+05:30"]

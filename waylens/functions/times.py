@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,3 +75,38 @@ def friendly_date(c: Column) -> Column:
     """``YYYY-MM-DD HH:MM:SS.mmm`` in UTC of a raw timestamp in any of the known units; null past the year 9999."""
     ms = infer_millis(c)
     return F.when(ms < 253_402_300_800_000, F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd HH:mm:ss.SSS"))
+
+
+def rfc3339(ns: Column, zone: str = "UTC") -> Column:
+    """RFC 3339 in an IANA zone, with the fraction's thousands as far as they aren't zero."""
+    whole = F.floor(ns.cast("decimal(20,0)") / F.lit(1_000_000_000)).cast("long")
+    part = F.pmod(ns, F.lit(1_000_000_000).cast("long"))
+    utc = F.timestamp_add("SECOND", whole, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
+    ahead = F.timestamp_diff("MINUTE", utc, local)
+    digits = F.lpad(part.cast("string"), 9, "0")
+    fraction = F.when(part == 0, "").when(part % 1_000_000 == 0, F.concat(F.lit("."), F.left(digits, F.lit(3)))).when(part % 1_000 == 0, F.concat(F.lit("."), F.left(digits, F.lit(6)))).otherwise(F.concat(F.lit("."), digits))
+    sign = F.when(ahead < 0, "-").otherwise("+")
+    return F.concat(F.replace(local.cast("string"), F.lit(" "), F.lit("T")), fraction, sign, F.format_string("%02d:%02d", F.floor(F.abs(ahead) / 60), F.abs(ahead) % 60))
+
+
+def duration_ns(text: str) -> int:
+    """Nanoseconds of ``90``, ``90s``, ``5m``, ``2h`` or ``1d``; ValueError for others."""
+    found = re.fullmatch(r"\s*(-?[0-9]+)\s*([smhd]?)\s*", text)
+    if not found:
+        raise ValueError(f"not a duration in s, m, h or d: {text!r}")
+    value = int(found[1]) * {"": 1, "s": 1, "m": 60, "h": 3600, "d": 86400}[found[2]] * 1_000_000_000
+    return max(LONG_MIN, min(LONG_MAX, value))
+
+
+def timestamp_ns(text: str) -> int:
+    """Unix nanoseconds of an RFC 3339 time, a date (its midnight in UTC) or a plain number of them; ValueError for others."""
+    found = re.fullmatch(r"([0-9]{4}-[0-9]{2}-[0-9]{2})(?:[Tt ]([0-9]{2}:[0-9]{2}:[0-9]{2})(\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2}))?", text)
+    if found:
+        zone = "+00:00" if found[4] in (None, "Z", "z") else found[4]
+        moment = datetime.datetime.fromisoformat(f"{found[1]}T{found[2] or '00:00:00'}{zone}")
+        seconds = (moment - datetime.datetime(1970, 1, 1, tzinfo=datetime.UTC)) // datetime.timedelta(seconds=1)
+        return seconds * 1_000_000_000 + int((found[3] or ".0")[1:10].ljust(9, "0"))
+    if re.fullmatch(r"[+-]?[0-9]+", text) and LONG_MIN <= int(text) <= LONG_MAX:
+        return int(text)
+    raise ValueError(f"not RFC 3339, a date or nanoseconds: {text!r}")

@@ -5,44 +5,129 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waylens.functions.urls import domain_suffixes
-from waylens.plans.model import artifacts
+from waylens.functions.urls import domain_suffixes, host_of
+from waylens.plans.model import ENVELOPE, attribute, with_kinds
 
-#: The reference searches the first MiB of a field; given as ``limit`` (in characters), it bounds the search here too.
+#: A URL in running text.
+URL = r"https?://[^\s\"'<>]+"
+
+#: A bound that callers may give for a field, in UTF-8 bytes.
 FIELD_LIMIT = 1 << 20
+#: Attributes that name what an event is about, the most telling first, and those that hold bare hosts.
+LOCATORS = ("url", "domain", "origin", "target_path")
+BARE_HOSTS = ("host", "domain", "report_to_host")
+
+
+def bounded(c: Column, limit: int | None) -> Column:
+    """The characters that lie whole in the first ``limit`` UTF-8 bytes; all of them without a limit."""
+    if limit is None:
+        return c
+    raw = c.cast("binary")
+    # a byte 10xxxxxx behind the cut says that it falls into a character, which then goes
+    inside = F.hex(F.substring(raw, limit + 1, 1)).rlike("^[89AB]")
+    head = F.substring(raw, 1, limit)
+    return F.when(F.octet_length(c) <= limit, c).when(inside, F.regexp_replace(F.make_valid_utf8(head), "\uFFFD+$", "")).otherwise(head.cast("string"))
 
 
 def matches(pattern: str, fields: list[str], regex: bool = False, limit: int | None = None) -> Column:
-    """Whether one of the columns has the pattern, case-sensitively, in its first ``limit`` characters or anywhere."""
+    """Whether one of the columns has the pattern, case-sensitively, in its first ``limit`` bytes or anywhere."""
     out = F.lit(False)
     for f in fields:
-        c = F.col(f) if limit is None else F.substring(F.col(f), 1, limit)
+        c = bounded(F.col(f), limit)
         out = out | F.coalesce(c.rlike(pattern) if regex else c.contains(pattern), F.lit(False))
     return out
 
 
+def text_fields(events: DataFrame, fields: list[str] | None = None, limit: int | None = None) -> Column:
+    """The searchable fields of an event as structs ``field, text``: description, source and each attribute that is text.
+    Numbers, booleans and nested values of ``attrs_json`` aren't text; columns beside the envelope count if they are
+    strings."""
+    named = [F.struct(F.lit(c).alias("field"), bounded(F.col(c), limit).alias("text")) for c in ("description", "source") if c in events.columns]
+    known = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    if "attrs_json" in known:
+        typed = F.map_entries(F.from_json("attrs_json", "map<string,variant>"))
+        strings = F.filter(typed, lambda e: F.schema_of_variant(e["value"]) == "STRING")
+        own = F.transform(strings, lambda e: F.struct(e["key"].alias("field"), bounded(e["value"].cast("string"), limit).alias("text")))
+        every = F.concat(F.array(*named), F.coalesce(own, F.array().cast("array<struct<field:string,text:string>>")))
+    else:
+        named += [F.struct(F.lit(c).alias("field"), bounded(F.col(f"`{c}`"), limit).alias("text")) for c, t in known.items() if c not in ENVELOPE and t == "string"]
+        every = F.array(*named)
+    every = F.filter(every, lambda x: x["text"].isNotNull())
+    return F.filter(every, lambda x: x["field"].isin(*fields)) if fields else every
+
+
 def filter_events(events: DataFrame, pattern: str | None = None, fields: list[str] | None = None, start_ns: int | None = None, end_ns: int | None = None, regex: bool = False, limit: int | None = None) -> DataFrame:
-    """Events in an inclusive time range whose fields match; both are pushed to the scan where they can be."""
+    """Events in an inclusive time range with the pattern in one of ``fields``, or in any of their text without them.
+
+    The time range is pushed to the scan; where all ``fields`` are columns, so is the pattern.
+    """
     if start_ns is not None:
         events = events.where(F.col("timestamp_ns") >= start_ns)
     if end_ns is not None:
         events = events.where(F.col("timestamp_ns") <= end_ns)
-    return events if pattern is None else events.where(matches(pattern, fields or ["description", "source", "url"], regex, limit))
+    if pattern is None:
+        return events
+    if fields and all(f in events.columns for f in fields):
+        return events.where(matches(pattern, fields, regex, limit))
+    return events.where(F.exists(text_fields(events, fields, limit), lambda x: x["text"].rlike(pattern) if regex else x["text"].contains(pattern)))
+
+
+def needle(events: DataFrame, text: str) -> DataFrame:
+    """Events whose url or title has ``text`` in any case; those with neither go."""
+    held = [F.lower(attribute(events, k)).contains(text.lower()) for k in ("url", "title")]
+    return events.where(F.coalesce(held[0], F.lit(False)) | F.coalesce(held[1], F.lit(False)))
 
 
-def string_attribute_matches(attrs_json: Column, pattern: str) -> Column:
-    """Whether a string-valued attribute of a JSON object has the pattern; numbers and booleans never match."""
-    values = F.map_values(F.from_json(attrs_json, "map<string,variant>"))
-    return F.exists(values, lambda v: (F.schema_of_variant(v) == "STRING") & F.coalesce(v.cast("string").contains(pattern), F.lit(False)))
+def best_match(events: DataFrame) -> Column:
+    """What an event is about: its url, domain, origin or target, the first that isn't empty, else its description."""
+    held = [attribute(events, k) for k in LOCATORS]
+    return F.coalesce(*[F.when(c != "", c) for c in held], F.col("description"))
 
 
-def find_hits(events: DataFrame, terms: list[str], fields: list[str], limit: int | None = None) -> DataFrame:
+def find_hits(events: DataFrame, terms: list[str], fields: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """A row for each event and term that it contains, with the provenance of its artifact. One pass for all terms."""
-    hit = F.filter(F.array(*[F.when(matches(t, fields, limit=limit), F.lit(t)) for t in terms]), lambda x: x.isNotNull())
-    rows = events.withColumn("term", F.explode(hit))
-    best = F.coalesce(*[F.when(F.col(f) != "", F.col(f)) for f in fields])
-    kinds = F.broadcast(artifacts(events.sparkSession))
-    return rows.join(kinds, "artifact").select("seq", "term", "timestamp_ns", "browser", best.alias("match"), F.col("src").alias("evidence_source"), "state", "action", "confidence", "rule_id")
+    if fields and all(f in events.columns for f in fields):
+        held = [F.when(matches(t, fields, limit=limit), F.lit(t)) for t in terms]
+        rows = events.withColumn("term", F.explode(F.filter(F.array(*held), lambda x: x.isNotNull())))
+    else:
+        texts = events.withColumn("__texts", text_fields(events, fields, limit))
+        has = lambda t: F.exists("__texts", lambda x: x["text"].contains(t))
+        held = [F.when(has(t), F.lit(t)) for t in terms]
+        rows = texts.withColumn("term", F.explode(F.filter(F.array(*held), lambda x: x.isNotNull()))).drop("__texts")
+    return _hits(rows, "term", best_match(events), None)
+
+
+def _hits(rows: DataFrame, term: str, match: Column, action: str | None) -> DataFrame:
+    known = with_kinds(rows.withColumn("match", match), "src", "state", "basis", "action", "confidence", "rule_id")
+    return known.select("seq", F.col(term).alias("term"), "timestamp_ns", "browser", "match", F.col("src").alias("evidence_source"), "state", "basis", (F.lit(action) if action else F.col("action")).alias("action"), "confidence", "rule_id")
+
+
+def indicator_hits(events: DataFrame, found: DataFrame) -> DataFrame:
+    """Hits of indicators ``seq, kind, value``: the kind is the term, and whatever the artifact claims, a string that is
+    there was only observed."""
+    return _hits(events.join(found.select("seq", "kind", "value"), "seq"), "kind", F.col("value"), "observed_string")
+
+
+def carved_hits(carved: DataFrame, terms: list[str]) -> DataFrame:
+    """``row, term, match`` of recovered rows ``row, fields`` (a map of texts): the url that has the term, else the last
+    other field by name that has it, else the whole row as JSON."""
+    whole = F.to_json("fields")
+    urls = lambda t: F.filter(F.map_entries("fields"), lambda e: (F.lower(e["key"]) == "url") & e["value"].contains(t))
+    others = lambda t: F.filter(F.array_sort(F.map_entries("fields")), lambda e: (F.lower(e["key"]) != "url") & e["value"].contains(t))
+    held = [
+        F.struct(F.lit(t).alias("term"), F.coalesce(F.get(urls(t), F.lit(0))["value"], F.try_element_at(others(t), F.lit(-1))["value"], F.when(whole.contains(t), whole)).alias("match"))
+        for t in terms
+    ]
+    return carved.select("row", F.explode(F.array(*held)).alias("h")).select("row", "h.*").where("match IS NOT NULL")
+
+
+def event_hosts(events: DataFrame, limit: int | None = None) -> DataFrame:
+    """``seq, field, host``: the host of every URL in any text of an event, and bare hosts of the attributes that hold one."""
+    rows = events.select("seq", F.explode(text_fields(events, None, limit)).alias("x")).select("seq", "x.*")
+    bare = F.col("field").isin(*BARE_HOSTS) & ~F.col("text").contains("://")
+    urls = F.transform(F.regexp_extract_all("text", F.lit(URL), F.lit(0)), lambda u: F.lower(host_of(u)))
+    hosts = F.when(bare, F.array(F.lower(F.trim("text")))).otherwise(urls)
+    return rows.select("seq", "field", F.explode(hosts).alias("host")).where("host <> ''")
 
 
 def normalized_blocklist(lines: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 EVENT_SCHEMA = "seq bigint, timestamp_ns bigint, browser string, artifact string, source string, description string, attrs map<string,string>"
 
@@ -43,3 +44,30 @@ def artifacts(spark: SparkSession) -> DataFrame:
     """26 rows: broadcast wherever it is joined."""
     rows = [(*a, CONFIDENCE[a[2]], f"find.{a[1]}.{a[2]}.v1") for a in ARTIFACTS]
     return spark.createDataFrame(rows, "artifact string, src string, state string, basis string, action string, slot string, label string, confidence string, rule_id string")
+
+
+#: Columns of an event that aren't attributes.
+ENVELOPE = ("seq", "timestamp_ns", "browser", "artifact", "source", "description", "attrs", "attrs_json")
+
+
+def attributes(events: DataFrame) -> Column:
+    """All attributes of an event as text: its map, or else what columns it has beside the envelope, nulls left out."""
+    if "attrs" in events.columns:
+        return F.col("attrs")
+    named = [F.struct(F.lit(c).alias("key"), F.col(f"`{c}`").cast("string").alias("value")) for c in events.columns if c not in ENVELOPE]
+    return F.map_from_entries(F.filter(F.array(*named), lambda x: x["value"].isNotNull())) if named else F.create_map().cast("map<string,string>")
+
+
+def attribute(events: DataFrame, name: str) -> Column:
+    """One attribute as text; null if the event doesn't have it."""
+    if name in events.columns:
+        return F.col(f"`{name}`").cast("string")
+    return F.element_at("attrs", F.lit(name)) if "attrs" in events.columns else F.lit(None).cast("string")
+
+
+def with_kinds(events: DataFrame, *columns: str) -> DataFrame:
+    """Events with ``columns`` of their artifact's kind; kinds that aren't listed have the values of an observed string."""
+    unknown = {"src": "history", "state": "live", "basis": "explicit", "action": "observed_string", "slot": "M", "label": "Event Time", "confidence": "high", "rule_id": "find.history.live.v1"}
+    kinds = artifacts(events.sparkSession).select(F.col("artifact").alias("__kind"), *[F.col(c).alias(f"__{c}") for c in columns])
+    joined = events.join(F.broadcast(kinds), F.col("artifact") == F.col("__kind"), "left")
+    return joined.withColumns({c: F.coalesce(f"__{c}", F.lit(unknown[c])) for c in columns}).drop("__kind", *[f"__{c}" for c in columns])

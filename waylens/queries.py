@@ -13,7 +13,9 @@ from waylens.functions.cookies import interpret_cookie
 from waylens.functions.times import friendly_date
 from waylens.operators import correlate, findings, indicators, integrity, search, timeline, views, visits
 from waylens.plans.activity import SQL, activity, table, with_copies
+from waylens.plans.scratch import scratch_path
 from waylens.sources import writers
+from waylens.sources.sqlite import evidence_files, sqlite_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -204,10 +206,10 @@ def tabs_open_at(spark, sf_dir):
     return timeline.tabs_open_at(activity(spark, sf_dir), PIVOT, "Cache").select("seq", "timestamp_ns")
 
 
-KINDS_SQL = "(VALUES " + ", ".join(f"('{a}', '{s}', '{st}', '{ac}', '{'high' if st == 'live' else 'low'}', 'find.{s}.{st}.v1')" for a, s, st, ac in (("History", "history", "live", "visited"), ("Downloads", "download", "live", "downloaded"), ("Autofill", "history", "live", "observed_string"), ("Cache", "cache", "live", "observed_string"))) + ") k(artifact, evidence_source, state, action, confidence, rule_id)"
+KINDS_SQL = "(VALUES " + ", ".join(f"('{a}', '{s}', '{st}', '{'surrounding_page' if a == 'Cache' else 'explicit'}', '{ac}', '{'high' if st == 'live' else 'low'}', 'find.{s}.{st}.v1')" for a, s, st, ac in (("History", "history", "live", "visited"), ("Downloads", "download", "live", "downloaded"), ("Autofill", "history", "live", "observed_string"), ("Cache", "cache", "live", "observed_string"))) + ") k(artifact, evidence_source, state, basis, action, confidence, rule_id)"
 
 
-@query(SQL + f"SELECT e.seq, t.term, e.timestamp_ns, e.browser, e.url AS match, k.evidence_source, k.state, k.action, k.confidence, k.rule_id FROM ev e JOIN (VALUES ('blog.'), ('example.org'), ('ref=x')) t(term) ON contains(e.url, t.term) JOIN {KINDS_SQL} ON k.artifact = e.artifact")
+@query(SQL + f"SELECT e.seq, t.term, e.timestamp_ns, e.browser, e.url AS match, k.evidence_source, k.state, k.basis, k.action, k.confidence, k.rule_id FROM ev e JOIN (VALUES ('blog.'), ('example.org'), ('ref=x')) t(term) ON contains(e.url, t.term) JOIN {KINDS_SQL} ON k.artifact = e.artifact")
 def find_hits(spark, sf_dir):
     return search.find_hits(activity(spark, sf_dir), ["blog.", "example.org", "ref=x"], ["url", "description"])
 
@@ -519,17 +521,77 @@ def bodyfile(spark, sf_dir):
     return writers.bodyfile(activity(spark, sf_dir))
 
 
-@query(SQL + f"""SELECT strftime(make_timestamp(timestamp_ns // 1000), '%m/%d/%Y') || ',' || strftime(make_timestamp(timestamp_ns // 1000), '%H:%M:%S') || ',UTC,' || CASE WHEN {SLOT} = 'A' THEN '.A..' ELSE '...B' END || ',WEBHIST,' || browser || ' ' || artifact || ',' || {LABEL} || ',,,'
-|| description || ',' || description || ' [' || url || '],2,' || source || ',,,waylens,from_visit=' || from_visit || '; url=' || url || '; visit_id=' || visit_id AS line FROM ev""")
+STAMP = "strftime(make_timestamp(timestamp_ns // 1000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN timestamp_ns % 1000000000 = 0 THEN '' WHEN timestamp_ns % 1000000 = 0 THEN '.' || lpad(CAST(timestamp_ns % 1000000000 // 1000000 AS VARCHAR), 3, '0') ELSE '.' || lpad(CAST(timestamp_ns % 1000000000 // 1000 AS VARCHAR), 6, '0') END || '+00:00'"
+QUOTED = """CASE WHEN regexp_matches({0}, '[",\n\r]') THEN '"' || replace({0}, '"', '""') || '"' ELSE {0} END"""
+#: What the query string of a URL says, for URLs of no search engine.
+SAID = """(SELECT url, string_agg(replace(x, '=', ': '), ' | ' ORDER BY i) || ' [Query String Parser]' AS said FROM (
+SELECT url, unnest(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&')) AS x, generate_subscripts(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), 1) AS i FROM (SELECT DISTINCT url FROM pages) WHERE regexp_matches(url, '\\?[^#]')) WHERE x LIKE '%=_%' GROUP BY 1)"""
+EXTRA = "concat_ws('; ', 'chain_end=' || chain_end, 'from_visit=' || from_visit, 'host=' || fullhost, 'is_redirect=' || is_redirect, 'k=' || k, 'profile=' || profile, 'redirect_kind=' || redirect_kind, 'url=' || url, 'user=' || 'u' || profile, 'visit_id=' || visit_id)"
+
+
+def _attributed(spark, sf_dir):
+    return activity(spark, sf_dir).withColumns({"host": ur.host_of(F.col("url")), "user": F.concat(F.lit("u"), F.col("profile").cast("string"))})
+
+
+@query(HOSTED + f""" SELECT strftime(make_timestamp(timestamp_ns // 1000), '%m/%d/%Y') || ',' || strftime(make_timestamp(timestamp_ns // 1000), '%H:%M:%S') || ',UTC,' || CASE WHEN {SLOT} = 'A' THEN '.A..' ELSE '...B' END || ',WEBHIST,' || browser || ' ' || artifact || ',' || {LABEL} || ',u' || profile || ',' || fullhost || ','
+|| description || ',' || description || ' [' || url || '],2,' || source || ',,,waylens,' || {QUOTED.format(EXTRA)} AS line FROM hd""")
 def l2t_csv(spark, sf_dir):
-    return writers.l2t_csv(activity(spark, sf_dir))
+    return writers.l2t_csv(_attributed(spark, sf_dir))
 
 
-@query(SQL + "SELECT CAST(timestamp_ns AS VARCHAR) AS timestamp_ns, browser, artifact, source, description, url, CAST(seq AS VARCHAR) AS seq, CAST(profile AS VARCHAR) AS profile FROM ev")
+@query(SQL + f"SELECT {STAMP} AS timestamp, browser, artifact, ev.url, '' AS title, description, coalesce(said, '') AS interpretation, source FROM ev LEFT JOIN {SAID} s ON s.url = ev.url")
 def export_rows(spark, sf_dir):
     return writers.export_rows(activity(spark, sf_dir))
 
 
+@query(SQL + f"SELECT concat_ws(',', {STAMP}, browser, artifact, {QUOTED.format('ev.url')}, '', {QUOTED.format('description')}, {QUOTED.format("coalesce(said, '')")}, source) AS line FROM ev LEFT JOIN {SAID} s ON s.url = ev.url")
+def export_csv(spark, sf_dir):
+    return writers.export_lines(activity(spark, sf_dir), "csv")
+
+
+@query(SQL + f"SELECT '[' || {STAMP} || '] ' || browser || '/' || artifact || ': ' || description || '  <' || ev.url || '>' || CASE WHEN said IS NULL THEN '' ELSE '  {{' || said || '}}' END AS line FROM ev LEFT JOIN {SAID} s ON s.url = ev.url")
+def export_text(spark, sf_dir):
+    return writers.export_lines(activity(spark, sf_dir), "text")
+
+
+@query(SQL + f"SELECT to_json({{'artifact': artifact, 'browser': browser, 'description': description, 'interpretation': coalesce(said, ''), 'source': source, 'timestamp': {STAMP}, 'title': '', 'url': ev.url}}) AS line FROM ev LEFT JOIN {SAID} s ON s.url = ev.url")
+def export_jsonl(spark, sf_dir):
+    return writers.export_lines(activity(spark, sf_dir), "jsonl")
+
+
+@query(SQL + f"SELECT '{{\"artifact\":\"' || artifact || '\",\"browser\":\"' || browser || '\",\"chain_end\":' || chain_end || ',\"description\":\"' || description || '\",\"from_visit\":' || from_visit || ',\"is_redirect\":' || is_redirect || ',\"k\":' || k || ',\"profile\":' || profile || CASE WHEN redirect_kind IS NULL THEN '' ELSE ',\"redirect_kind\":\"' || redirect_kind || '\"' END || ',\"source\":\"' || source || '\",\"timestamp\":\"' || {STAMP} || '\",\"timestamp_ns\":' || timestamp_ns || ',\"title\":\"\",\"url\":\"' || url || '\",\"visit_id\":' || visit_id || '}}' AS line FROM ev")
+def event_jsonl(spark, sf_dir):
+    return writers.event_lines(activity(spark, sf_dir), "jsonl")
+
+
+@query(SQL + f"SELECT concat_ws(',', {STAMP}, browser, artifact, {QUOTED.format('url')}, '') AS line FROM ev")
+def event_csv(spark, sf_dir):
+    return writers.event_lines(activity(spark, sf_dir), "csv")
+
+
+@query(SQL + f"SELECT concat_ws(',', {STAMP}, browser, artifact, source, {QUOTED.format('description')}) AS line FROM ev")
+def event_source_csv(spark, sf_dir):
+    return writers.event_lines(activity(spark, sf_dir), "source_csv")
+
+
+@query(SQL + f"SELECT '[' || {STAMP} || '] ' || browser || '/' || artifact || ': ' || description || '  <' || url || '>' AS line FROM ev")
+def event_text(spark, sf_dir):
+    return writers.event_lines(activity(spark, sf_dir), "text")
+
+
+@query(SQL + f"SELECT concat_ws(',', 'blog.', k.evidence_source, k.state, k.confidence, k.rule_id, k.basis, k.action, {QUOTED.format('e.url')}) AS line FROM ev e JOIN {KINDS_SQL} ON k.artifact = e.artifact WHERE contains(e.url, 'blog.')")
+def find_hits_csv(spark, sf_dir):
+    return writers.hit_lines(search.find_hits(activity(spark, sf_dir), ["blog."]), "csv")
+
+
+@query(SQL + "SELECT CAST(sum(n) AS BIGINT) AS n, count(DISTINCT shown) AS times FROM (SELECT count(*) AS n, " + STAMP + " AS shown FROM ev GROUP BY 2)")
+def export_sqlite(spark, sf_dir):
+    folder = scratch_path(spark, "export")
+    writers.write_sqlite(writers.export_rows(activity(spark, sf_dir)), folder)
+    back = sqlite_table(evidence_files(spark, folder), "timeline", "timestamp string")
+    return back.agg(F.count("*").alias("n"), F.count_distinct("timestamp").alias("times"))
+
+
 @query("SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5, octet_length(encode(text)) AS bytes FROM documents")
 def file_hashes(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
