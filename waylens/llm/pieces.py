@@ -39,7 +39,7 @@ PROBE = "  Ａ ﬁ  e\u0301 é ½ ①\t\u200b\u00a0A\n "
 class Pieces:
     """The pieces of a model file and the lattice over them."""
 
-    def __init__(self, path: str, algorithm: str = "bpe", cache: int = 400_000):
+    def __init__(self, path: str, algorithm: str = "bpe", cache: int = 250_000):
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_file=path)
@@ -89,7 +89,7 @@ class Pieces:
         """Whether two pieces stay apart next to each other."""
         ok = self.apart.get((left, right))
         if ok is None:
-            if len(self.apart) > 1_000_000:
+            if len(self.apart) > 250_000:
                 self.apart.clear()
             ok = self.apart[left, right] = self.merged(left + right) == [left, right]
         return ok
@@ -177,9 +177,16 @@ class Pieces:
         Words not in the cache are taken in sorted order, so that one run of the lattice serves the prefix that neighbours
         share. The cache has two generations: what is asked for again outlives the clearing of the older one.
         """
-        split = [self.segments.findall(self.normalized(t)) if t else [] for t in texts]
-        young, old = self.young, self.old
-        missing = {s for segments in split for s in segments if s not in young}
+        young, old, words = self.young, self.old, self.segments.findall
+        found, open_rows, missing = [], [], set()
+        for t in texts:
+            own = words(self.normalized(t)) if t else []
+            row = list(map(young.get, own))
+            new = [(k, own[k]) for k, v in enumerate(row) if v is None]
+            if new:  # only words that aren't known yet are held on to
+                open_rows.append((row, new))
+                missing.update(s for _, s in new)
+            found.append(row)
         for s in missing & old.keys():
             young[s] = old.pop(s)
             missing.discard(s)
@@ -197,7 +204,9 @@ class Pieces:
                 last, out, best, before = [""], [0], [0.0], ""
             if len(s) > KEPT:
                 longer.append(s)
-        found = [[young[s] for s in segments] for segments in split]
+        for row, new in open_rows:
+            for k, s in new:
+                row[k] = young[s]
         for s in longer:
             del young[s]
         if len(young) > self.size:
@@ -256,4 +265,4 @@ def encode_documents(docs: DataFrame, model: str, algorithm: str = "bpe", id_col
 
         return work
 
-    return map_texts(docs, make, "ids array<int>, n_tokens bigint, decoded_sha256 string, round_trip boolean", id_col, text_col, rows=1024)
+    return map_texts(docs, make, "ids array<int>, n_tokens bigint, decoded_sha256 string, round_trip boolean", id_col, text_col, rows=512)
