@@ -189,3 +189,37 @@ def classify_term(term: Column) -> Column:
         .when(hexadecimal & (F.length(t) == 32), "md5").when(hexadecimal & (F.length(t) == 40), "sha1").when(hexadecimal & (F.length(t) == 64), "sha256")
         .when(t.rlike(domain) & (F.length(t) <= 253), "domain").otherwise("literal")
     )
+
+
+_PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?"
+
+
+def resolve_ref(base: Column, reference: Column) -> Column:
+    """The absolute URL of a reference in a page at ``base``, without its fragment; null for an empty one, and for a relative
+    one where the base is no URL. Dot segments are resolved."""
+    ref = F.trim(reference)
+    part = lambda c, i: F.regexp_extract(c, _PARTS, i)
+    scheme, host, path, query = (part(ref, i) for i in (1, 2, 3, 4))
+    own_scheme, own_host, own_path, own_query = (part(F.trim(base), i) for i in (1, 2, 3, 4))
+    folder = F.regexp_replace(own_path, "[^/]*$", "")
+    merged = F.when(path == "", own_path).when(path.startswith("/"), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
+    asked = F.when((path == "") & (query == ""), own_query).otherwise(query)
+    absolute = (
+        F.when(scheme != "", F.concat(F.lower(scheme), F.lit(":"), F.lower(host), F.when(host != "", _rooted(path)).otherwise(path), query))
+        .when((own_scheme != "") & (own_host != ""), F.when(host != "", F.concat(F.lower(own_scheme), F.lit(":"), F.lower(host), _rooted(path), query)).otherwise(F.concat(F.lower(own_scheme), F.lit(":"), F.lower(own_host), _rooted(merged), asked)))
+    )
+    return F.when(ref != "", absolute)
+
+
+def _rooted(path: Column) -> Column:
+    """An absolute path without dot segments."""
+    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(parts, none, lambda a, x: F.when(x == "..", F.slice(a, F.lit(1), F.greatest(F.lit(0), F.size(a) - 1))).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
+    last = F.element_at(parts, -1)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise(""))
+
+
+def authority_host(url: Column) -> Column:
+    """The host as it stands in a URL, in its own case; null without an authority. Integrity rules compare it so."""
+    return _none_if_empty(F.regexp_extract(url, r"^[^:]*://(?:[^/?#]*@)?([^/?#:@]*)", 1))

@@ -5,6 +5,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
+
+from waylens.functions import arrays
+from waylens.functions import urls as ur
+from waylens.operators.search import URL, text_fields
 
 EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IPV4 = r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"
@@ -15,13 +20,16 @@ BASE58 = r"\b[13][1-9A-HJ-NP-Za-km-z]{25,34}\b"
 BECH32 = r"\b(?i:bc1)[0-9A-Za-z]{11,87}\b"
 
 
+def _matches(text: Column, pattern: str) -> Column:
+    """Structs s, e, v of a pattern's matches; places are UTF-8 bytes."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return arrays.let(found, lambda m: F.when(F.size(m) > 0, arrays.spans(m, F.split(text, pattern, -1), F.octet_length)).otherwise(F.array().cast("array<struct<s:int,e:int,v:string>>")))
+
+
 def _found(rows: DataFrame, text: str, pattern: str) -> DataFrame:
-    """A row for each match: its value and byte offset, from the lengths of matches and gaps."""
-    m = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    rows = rows.withColumn("__m", m).where(F.size("__m") > 0).withColumn("__g", F.split(text, pattern, -1))
-    start = "aggregate(slice(__g, 1, i + 1), 0, (a, x) -> a + octet_length(x)) + aggregate(slice(__m, 1, i), 0, (a, x) -> a + octet_length(x))"
-    found = F.expr(f"transform(__m, (v, i) -> struct(v AS value, CAST({start} AS bigint) AS offset))")
-    return rows.withColumn("__x", F.explode(found)).select(*[c for c in rows.columns if c[:2] != "__" and c != text], "__x.value", "__x.offset")
+    """A row for each match: its value and byte offset."""
+    rest = [c for c in rows.columns if c != text]
+    return rows.select(*rest, F.explode(_matches(F.col(text), pattern)).alias("__x")).select(*rest, F.col("__x.v").alias("value"), F.col("__x.s").cast("long").alias("offset"))
 
 
 def emails(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -30,88 +38,137 @@ def emails(rows: DataFrame, text: str = "text") -> DataFrame:
 
 def ipv4(rows: DataFrame, text: str = "text") -> DataFrame:
     """Four octets up to 255 without leading zeros."""
-    octet = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-    return _found(rows, text, IPV4).where(F.col("value").rlike(rf"^{octet}(\.{octet}){{3}}$"))
+    return _found(rows, text, IPV4).where(F.col("value").rlike(OCTETS))
 
 
 def cards(rows: DataFrame, text: str = "text") -> DataFrame:
     return _found(rows, text, CARD).where(F.call_function("luhn_check", "value"))
 
 
+def _ethereum_note(value: Column) -> Column:
+    body = F.substring(value, 3, 40)
+    return F.when(body.rlike("[a-f]") & body.rlike("[A-F]"), "mixed case, checksum not verified").otherwise("no checksum")
+
+
 def ethereum(rows: DataFrame, text: str = "text") -> DataFrame:
-    body = F.substring("value", 3, 40)
-    mixed = body.rlike("[a-f]") & body.rlike("[A-F]")
-    return _found(rows, text, ETHEREUM).withColumn("note", F.when(mixed, "mixed case, checksum not verified").otherwise("no checksum"))
+    return _found(rows, text, ETHEREUM).withColumn("note", _ethereum_note(F.col("value")))
 
 
-def ipv6(rows: DataFrame, text: str = "text") -> DataFrame:
-    """IPv6 addresses that the standard parser accepts."""
+def _is_ipv6(value: str) -> bool:
     import ipaddress
 
-    @F.pandas_udf("boolean")
-    def valid(values: pd.Series) -> pd.Series:
-        def ok(v: str) -> bool:
-            try:
-                ipaddress.IPv6Address(v)
-            except ValueError:
-                return False
-            return True
+    try:
+        ipaddress.IPv6Address(value)
+    except ValueError:
+        return False
+    return True
 
-        return values.map(ok)
 
-    return _found(rows, text, IPV6).where(valid("value"))
+#: The alphabets of both kinds of Bitcoin address, and the checksum's generator and constants.
+BASE58_LETTERS = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+BECH32_LETTERS = "qpzry9x8gf2tvdw0s3jn54khce6mua7l"
+GENERATOR, BECH32_SUM, BECH32M_SUM = (0x3B6A57B2, 0x26508E6D, 0x1EA119FA, 0x3D4233DD, 0x2A1462B3), 1, 0x2BC830A3
 
 
-def bitcoin(rows: DataFrame, text: str = "text") -> DataFrame:
-    """Base58 addresses with a right double-SHA-256 checksum, and Bech32 or Bech32m ones with a right polynomial."""
+def _is_base58(value: str) -> bool:
+    """Whether 25 bytes come out whose last four are the double SHA-256 of the others."""
     import hashlib
 
-    @F.pandas_udf("boolean")
-    def base58(values: pd.Series) -> pd.Series:
-        alphabet = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
-
-        def ok(v: str) -> bool:
-            n = 0
-            for c in v:
-                n = n * 58 + alphabet.index(c)
-            raw = n.to_bytes(25, "big") if n < 1 << 200 else b""
-            return len(raw) == 25 and len(v) - len(v.lstrip("1")) == len(raw) - len(raw.lstrip(b"\0")) and hashlib.sha256(hashlib.sha256(raw[:21]).digest()).digest()[:4] == raw[21:]
-
-        return values.map(ok)
-
-    @F.pandas_udf("boolean")
-    def bech32(values: pd.Series) -> pd.Series:
-        letters = "qpzry9x8gf2tvdw0s3jn54khce6mua7l"
-        generator = (0x3B6A57B2, 0x26508E6D, 0x1EA119FA, 0x3D4233DD, 0x2A1462B3)
-
-        def ok(v: str) -> bool:
-            if v not in (v.lower(), v.upper()):
-                return False
-            head, data = v.lower()[:2], v.lower()[3:]
-            if any(c not in letters for c in data) or len(data) < 8:
-                return False
-            check = 1
-            for x in [*(ord(c) >> 5 for c in head), 0, *(ord(c) & 31 for c in head), *(letters.index(c) for c in data)]:
-                top = check >> 25
-                check = (check & 0x1FFFFFF) << 5 ^ x
-                for i, g in enumerate(generator):
-                    check ^= g if top >> i & 1 else 0
-            return check == (1 if data[0] == "q" else 0x2BC830A3)
-
-        return values.map(ok)
-
-    old = _found(rows, text, BASE58).where(base58("value")).withColumn("kind", F.lit("btc_base58"))
-    return old.unionByName(_found(rows, text, BECH32).where(bech32("value")).withColumn("kind", F.lit("btc_bech32")))
-
-
-def all_indicators(rows: DataFrame, text: str = "text") -> DataFrame:
-    """Mail, IPv4, card and Ethereum indicators in one table."""
-    kinds = {"email": emails, "ipv4": ipv4, "card": cards}
-    out = ethereum(rows, text).drop("note").withColumn("kind", F.lit("eth"))
-    for kind, find in kinds.items():
-        out = out.unionByName(find(rows, text).withColumn("kind", F.lit(kind)))
+    n = 0
+    for c in value:
+        n = n * 58 + BASE58_LETTERS.index(c)
+    raw = n.to_bytes(25, "big") if n < 1 << 200 else b""
+    return len(raw) == 25 and len(value) - len(value.lstrip("1")) == len(raw) - len(raw.lstrip(b"\0")) and hashlib.sha256(hashlib.sha256(raw[:21]).digest()).digest()[:4] == raw[21:]
+
+
+def _is_bech32(value: str) -> bool:
+    if value not in (value.lower(), value.upper()):
+        return False
+    head, data = value.lower()[:2], value.lower()[3:]
+    if any(c not in BECH32_LETTERS for c in data) or len(data) < 8:
+        return False
+    check = 1
+    for x in [*(ord(c) >> 5 for c in head), 0, *(ord(c) & 31 for c in head), *(BECH32_LETTERS.index(c) for c in data)]:
+        top = check >> 25
+        check = (check & 0x1FFFFFF) << 5 ^ x
+        for i, g in enumerate(GENERATOR):
+            check ^= g if top >> i & 1 else 0
+    return check == (BECH32_SUM if data[0] == "q" else BECH32M_SUM)
+
+
+TESTS = {"ipv6": _is_ipv6, "btc_base58": _is_base58, "btc_bech32": _is_bech32}
+
+
+@F.pandas_udf(BooleanType())
+def _passes(kinds: pd.Series, values: pd.Series) -> pd.Series:
+    """Whether a value passes the test of its kind; null values of other kinds aren't looked at."""
+    return pd.Series([None if v is None else TESTS[k](v) for k, v in zip(kinds, values, strict=True)], dtype="object")
+
+
+def ipv6(rows: DataFrame, text: str = "text") -> DataFrame:
+    """IPv6 addresses that the standard parser accepts."""
+    return _found(rows, text, IPV6).where(_passes(F.lit("ipv6"), F.col("value")))
+
+
+def bitcoin(rows: DataFrame, text: str = "text") -> DataFrame:
+    """Base58 addresses with a right double-SHA-256 checksum, and Bech32 or Bech32m ones with a right polynomial."""
+    kinds = {"btc_base58": BASE58, "btc_bech32": BECH32}
+    out = None
+    for kind, pattern in kinds.items():
+        found = _found(rows, text, pattern).where(_passes(F.lit(kind), F.col("value"))).withColumn("kind", F.lit(kind))
+        out = found if out is None else out.unionByName(found)
     return out
 
 
-def urls_in(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"https?://[^\s\"'<>]+"), F.lit(0))
+#: What each kind looks like; some are tested further.
+KINDS = {"email": EMAIL, "ipv4": IPV4, "ipv6": IPV6, "card": CARD, "btc_base58": BASE58, "btc_bech32": BECH32, "eth": ETHEREUM}
+OCTETS = r"^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$"
+
+
+def all_indicators(rows: DataFrame, text: str = "text", kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
+    """Indicators of all ``kinds`` and search terms of URLs: the other columns, ``kind, value, offset, note``.
+
+    A text is read once: its matches of every kind become one array, which is exploded and tested.
+    """
+    rest = [c for c in rows.columns if c != text]
+
+    def tagged(kind: str) -> Column:
+        return F.transform(_matches(F.col(text), KINDS[kind]), lambda x: F.struct(F.lit(kind).alias("kind"), x["v"].alias("value"), x["s"].cast("long").alias("offset"), F.lit(None).cast("string").alias("note")))
+
+    def searched(x: Column) -> Column:
+        found = ur.search_query(x["v"])
+        return F.struct(F.lit("search_term").alias("kind"), found["term"].alias("value"), x["s"].cast("long").alias("offset"), found["engine"].alias("note"))
+
+    terms = F.when(F.contains(F.col(text), F.lit("://")), F.transform(_matches(F.col(text), URL), searched)).otherwise(F.array().cast("array<struct<kind:string,value:string,offset:bigint,note:string>>"))
+    found = rows.select(*rest, F.explode(F.concat(*[tagged(k) for k in kinds], terms)).alias("__x")).select(*rest, "__x.*").where("value IS NOT NULL")
+    kind, value = F.col("kind"), F.col("value")
+    found = found.where(F.when(kind == "ipv4", value.rlike(OCTETS)).when(kind == "card", F.call_function("luhn_check", value)).otherwise(True))
+    if set(kinds) & set(TESTS):
+        found = found.where(F.coalesce(_passes(kind, F.when(kind.isin(*TESTS), value)), F.lit(True)))
+    note = F.when(kind == "card", "Luhn-valid").when(kind == "eth", _ethereum_note(value)).otherwise(F.col("note"))
+    return found.withColumn("note", note)
+
+
+def event_indicators(events: DataFrame, limit: int | None = None) -> DataFrame:
+    """``seq, field, kind, value, offset, note`` of every text of an event."""
+    texts = events.select("seq", F.explode(text_fields(events, None, limit)).alias("x")).select("seq", "x.field", "x.text")
+    return all_indicators(texts)
+
+
+def scanned_urls(files: DataFrame) -> DataFrame:
+    """``source, url`` of raw bytes (``path, content``), once each; a URL inside another one is found too. Zero bytes end one."""
+    text = F.translate(F.make_valid_utf8(F.col("content")), "\0", " ")
+    found = F.regexp_extract_all(text, F.lit(r"(?=(https?://[^\s\"'<>]+))"), F.lit(1))
+    return files.select(F.col("path").alias("source"), F.explode(found).alias("url")).where(ur.host_of(F.col("url")).isNotNull()).distinct()
+
+
+def scanned_cookies(files: DataFrame) -> DataFrame:
+    """``source, cookie`` of what follows ``Cookie: `` in raw bytes, to the line's end, once each."""
+    text = F.translate(F.make_valid_utf8(F.col("content")), "\0", " ")
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"Cookie: ([^\r\n]*)"), F.lit(1)), lambda x: F.trim(x))
+    return files.select(F.col("path").alias("source"), F.explode(found).alias("cookie")).where("cookie <> ''").distinct()
+
+
+def processes(memory_events: DataFrame) -> DataFrame:
+    """Distinct processes that events of a memory image come from."""
+    return memory_events.where("pid IS NOT NULL").select("pid", "process").distinct()

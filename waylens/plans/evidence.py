@@ -43,7 +43,10 @@ def sqlite_bytes(rows: Iterable[tuple[str, list[str], str]]) -> bytes:
     for name, columns, values in rows:
         if name not in made:
             made.add(name)
-            db.execute(f'CREATE TABLE "{name}" ({", ".join(f"{chr(34)}{c}{chr(34)}" for c in columns)})')
+            if name == "sqlite_sequence":  # the library keeps this one; it's there once a table numbers its rows
+                db.execute("CREATE TABLE numbered (id INTEGER PRIMARY KEY AUTOINCREMENT)")
+            else:
+                db.execute(f'CREATE TABLE "{name}" ({", ".join(f"{chr(34)}{c}{chr(34)}" for c in columns)})')
         own = json.loads(values)
         db.execute(f'INSERT INTO "{name}" VALUES ({", ".join("?" * len(columns))})', [own.get(c) for c in columns])
     db.commit()
@@ -74,3 +77,27 @@ def text_stores(lines: DataFrame, folder: str = "profile") -> DataFrame:
     joined = lines.groupBy(F.col("store").cast("string").alias("store")).agg(F.sort_array(F.collect_list(F.struct("at", "line"))).alias("l"))
     content = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
     return cut(joined.select(F.concat(F.lit(f"{folder}/"), "store").alias("path"), content.cast("binary").alias("content")), "stores")
+
+
+def simple_cache_files(entries: DataFrame) -> DataFrame:
+    """``path, content``: entry files of a simple cache for rows ``name, url, status, content_type, encoding, body``."""
+    schema = StructType.fromDDL("path string, content binary")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        import gzip
+        import struct
+
+        for batch in batches:
+            out = []
+            for name, url, status, kind, encoding, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                body = gzip.compress(body, mtime=0) if encoding == "gzip" else body
+                head = f"HTTP/1.1 {status} OK\0Content-Type: {kind}\0" + (f"Content-Encoding: {encoding}\0" if encoding else "") + "\0"
+                key = f"_dk_https://top.example https://top.example {url}".encode()
+                end = lambda size: struct.pack("<QIIII", 0xF4FA6F45970D41D8, 1, 0, size, 0)
+                head_bytes = b"\4\0\0\0" + head.encode()
+                out.append((f"cache/{name}_0", struct.pack("<QIIII", 0xFCFB6D1BA7725C30, 5, len(key), 0, 0) + key + body + end(len(body)) + head_bytes + end(len(head_bytes))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+    return cut(entries.select("name", "url", "status", "content_type", "encoding", "body").mapInArrow(run, schema), "cache-files")
