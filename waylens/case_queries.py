@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waylens import reader_queries as rq
+from waylens.functions import text as tx
 from waylens.functions import urls as ur
+from waylens.functions.cookies import interpret_cookie
 from waylens.operators import findings, indicators, integrity, profiles, reports, search
 from waylens.plans import evidence
 from waylens.plans.activity import SQL, activity, table
@@ -362,3 +364,58 @@ def read_profile(spark, sf_dir):
 def recovered_domains(spark, sf_dir):
     files = evidence.sqlite_stores({"bounces": evidence.select(spark, sf_dir, rq._BOUNCE)}).withColumn("path", F.concat("path", F.lit("/DIPS")))
     return dispatch.recovered_domains(files).groupBy("domain", "source_artifact").agg(F.count("*").alias("n"))
+
+
+# interpretations
+
+_Q = "concat('w', CAST(event_id AS STRING))"
+SEARCHES = f"SELECT event_id, CAST(event_id % 8 AS INT) AS k, CASE event_id % 8 WHEN 0 THEN concat('https://www.google.co.uk/search?q=', {_Q}, '+x&num=20&safe=off') WHEN 1 THEN concat('https://bing.com/?a=1&q=', {_Q}) WHEN 2 THEN concat('https://duckduckgo.com/?q=', {_Q}, '%21') WHEN 3 THEN concat('https://m.youtube.com/results?search_query=', {_Q}) WHEN 4 THEN concat('https://www.amazon.de/s?field-keywords=', {_Q}) WHEN 5 THEN concat('https://shop.example/?query=', {_Q}) WHEN 6 THEN concat('https://shop.example/p/', {_Q}) ELSE concat('https://www.google.com/webhp#q=', {_Q}, '&tbs=qdr:d', CAST(event_id % 9 + 1 AS STRING)) END AS url FROM {{events}}"
+
+
+@query(f"WITH s AS ({SEARCHES}) SELECT event_id, ['Google', 'Bing', 'DuckDuckGo', 'YouTube', 'Amazon', 'Generic', NULL, 'Google'][k + 1] AS engine, 'w' || event_id || CASE k WHEN 0 THEN ' x' WHEN 2 THEN '!' ELSE '' END AS term FROM s WHERE k <> 6")
+def search_queries(spark, sf_dir):
+    return evidence.select(spark, sf_dir, SEARCHES).select("event_id", ur.search_query(F.col("url")).alias("s")).where("s IS NOT NULL").select("event_id", "s.engine", "s.term")
+
+
+@query(
+    f"WITH s AS ({SEARCHES}) SELECT event_id, CASE k WHEN 0 THEN 'Searched for \"w' || event_id || ' x\" [ Showing 20 results per page | SafeSearch: off]' WHEN 1 THEN 'a: 1 | q: w' || event_id || ' [Query String Parser]' WHEN 2 THEN 'q: w' || event_id || '! [Query String Parser]' WHEN 3 THEN 'search_query: w' || event_id || ' [Query String Parser]' "
+    "WHEN 4 THEN 'field-keywords: w' || event_id || ' [Query String Parser]' WHEN 5 THEN 'query: w' || event_id || ' [Query String Parser]' WHEN 7 THEN 'Searched for \"w' || event_id || '\" [ Results in the past ' || (event_id % 9 + 1) || ' days]' END AS said FROM s"
+)
+def interpreted_urls(spark, sf_dir):
+    return evidence.select(spark, sf_dir, SEARCHES).select("event_id", ur.interpret_url(F.col("url")).alias("said"))
+
+
+_AT = "(1300000000 + event_id * 7)"
+COOKIES = f"SELECT event_id, CAST(event_id % 7 AS INT) AS k, CASE event_id % 7 WHEN 0 THEN '_ga' WHEN 1 THEN '__utmc' WHEN 2 THEN '__qca' WHEN 3 THEN 'BIGipServer' WHEN 4 THEN '__utma' ELSE 't' END AS name, CASE event_id % 7 WHEN 0 THEN concat('GA1.2.', CAST(user_id AS STRING), '.', CAST({_AT} AS STRING)) WHEN 1 THEN CAST(event_id AS STRING) WHEN 2 THEN concat('P0-12-', CAST({_AT} AS STRING), '000') WHEN 3 THEN concat(CAST(67305985 + event_id AS STRING), '.20480.0000') WHEN 4 THEN concat('1.2.', CAST({_AT} AS STRING), '.', CAST({_AT} AS STRING), '.', CAST({_AT} AS STRING), '.5') WHEN 5 THEN concat('x timestamp=', CAST({_AT} AS STRING), '123;') ELSE event_type END AS value, {_AT} AS at_s, user_id FROM {{events}}"
+_SHOWN = "strftime(make_timestamp(at_s * 1000000), '%Y-%m-%d %H:%M:%S.000')"
+
+
+@query(
+    f"WITH c AS ({COOKIES}) SELECT event_id, CASE k WHEN 0 THEN 'Client ID: ' || user_id || '.' || at_s || ' | First Visit: ' || {_SHOWN} || ' | [Google Analytics Cookie]' WHEN 1 THEN 'Domain Hash: ' || event_id || ' | [Google Analytics Cookie]' WHEN 2 THEN {_SHOWN} || ' [Quantcast Cookie Timestamp]' "
+    "WHEN 3 THEN 'Server IP: ' || ((67305985 + event_id) & 255) || '.' || ((67305985 + event_id) // 256 & 255) || '.' || ((67305985 + event_id) // 65536 & 255) || '.' || ((67305985 + event_id) // 16777216 & 255) || ' | Server Port: 80 [BIG-IP Cookie]' "
+    f"WHEN 4 THEN 'Domain Hash: 1 | Unique Visitor ID: 2 | First Visit: ' || {_SHOWN} || ' | Previous Visit: ' || {_SHOWN} || ' | Last Visit: ' || {_SHOWN} || ' | Number of Sessions: 5 | [Google Analytics Cookie]' WHEN 5 THEN replace({_SHOWN}, '.000', '.123') || ' [potential timestamp]' END AS said FROM c"
+)
+def interpreted_cookies(spark, sf_dir):
+    return evidence.select(spark, sf_dir, COOKIES).select("event_id", interpret_cookie(F.col("name"), F.col("value")).alias("said"))
+
+
+TERMS = "SELECT event_id, CASE event_id % 9 WHEN 0 THEN concat('https://x.example/', CAST(event_id AS STRING)) WHEN 1 THEN concat('10.0.0.', CAST(event_id % 300 AS STRING)) WHEN 2 THEN concat('fe80::', CAST(event_id % 9999 AS STRING)) WHEN 3 THEN lpad(CAST(event_id AS STRING), 32, 'a') WHEN 4 THEN lpad(CAST(event_id AS STRING), 40, 'B') WHEN 5 THEN lpad(CAST(event_id AS STRING), 64, '0') WHEN 6 THEN concat('h', CAST(event_id AS STRING), '.example.com') WHEN 7 THEN concat('-h', CAST(event_id AS STRING), '.com') ELSE concat('two words ', event_type) END AS term FROM {events}"
+
+
+@query(f"SELECT event_id, CASE WHEN event_id % 9 = 1 AND event_id % 300 > 255 THEN 'literal' ELSE ['url', 'ipv4', 'ipv6', 'md5', 'sha1', 'sha256', 'domain', 'literal', 'literal'][CAST(event_id % 9 + 1 AS INT)] END AS kind FROM ({TERMS})")
+def classified_terms(spark, sf_dir):
+    return evidence.select(spark, sf_dir, TERMS).select("event_id", ur.classify_term(F.col("term")).alias("kind"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'h' || user_id || '.example' WHEN 1 THEN 'x.co.uk' WHEN 2 THEN '10.0.0.1' END AS first_domain, CASE event_id % 4 WHEN 0 THEN 'h' || user_id || '.example,cdn.example' WHEN 1 THEN 'x.co.uk,cdn.example' WHEN 2 THEN '10.0.0.1,cdn.example' ELSE 'cdn.example' END AS domains FROM (SELECT event_id, user_id FROM events) UNION ALL SELECT -1, NULL, '' WHERE false")
+def attribute_domains(spark, sf_dir):
+    url = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("https://www.h"), F.col("user_id").cast("string"), F.lit(".example/p"))).when(F.col("event_id") % 4 == 1, "http://a.b.X.co.uk:8080").when(F.col("event_id") % 4 == 2, "http://10.0.0.1/")
+    attrs = F.map_filter(F.create_map(F.lit("referrer_url"), url, F.lit("host"), F.lit(".img.cdn.example"), F.lit("origin"), F.lit("")), lambda k, v: v.isNotNull())
+    rows = table(spark, sf_dir, "events").select("event_id", attrs.alias("attrs"))
+    first = F.when(F.col("event_id") % 4 < 3, ur.primary_domain(F.col("attrs")))
+    return rows.select("event_id", first.alias("first_domain"), F.array_join(ur.attribute_domains(F.col("attrs")), ",").alias("domains"))
+
+
+@query("SELECT event_id, ['clicked link', 'typed URL', 'bookmark', 'subframe (auto)', 'subframe (manual)', 'generated', 'start page', 'form submit', 'reload', 'keyword search', 'keyword search', 'unknown'][CAST(event_id % 12 + 1 AS INT)] AS label FROM events")
+def transition_labels(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", tx.transition_label(tx.transition_core(F.col("event_id") % 12)).alias("label"))

@@ -86,5 +86,10 @@ def generic_timestamp(value: Column) -> Column:
     return F.concat(F.coalesce(whole, friendly_date(_long(F.get(runs, F.lit(0))))), F.lit(" [potential timestamp]"))
 
 
+#: Layouts in the order in which they're tried.
+LAYOUTS = (google_analytics, quantcast, lambda _, value: load_balancer(value), lambda _, value: generic_timestamp(value))
+
+
 def interpret_cookie(name: Column, value: Column) -> Column:
-    return F.coalesce(google_analytics(name, value), quantcast(name, value), load_balancer(value), generic_timestamp(value))
+    """What the first layout that fits says of a cookie; null if none does."""
+    return F.coalesce(*[layout(name, value) for layout in LAYOUTS])

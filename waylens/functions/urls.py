@@ -79,26 +79,28 @@ def first_value(pairs: Column, key: str) -> Column:
     return F.get(F.filter(pairs, lambda x: x["k"] == key), F.lit(0))["v"]
 
 
+#: Search engines by their hosts, and the keys of their terms. The last one stands for all other hosts.
+ENGINES = (
+    ("Google", r"^www\.google(\.|$)|(^|\.)google\.com$", ("q",)),
+    ("Bing", r"(^|\.)bing\.com$", ("q",)),
+    ("DuckDuckGo", r"(^|\.)duckduckgo\.com$", ("q",)),
+    ("YouTube", r"(^|\.)youtube(-nocookie)?\.com$", ("search_query",)),
+    ("Amazon", r"amazon\.", ("k", "field-keywords")),
+    ("Generic", "", ("q", "p", "query", "search")),
+)
+
+
 def search_query(url: Column) -> Column:
     """Struct ``engine, term`` of a search URL; null for others."""
     host, pairs = host_of(F.when(url.contains("://"), url)), url_pairs(url)
-
-    def ends(suffix: str) -> Column:
-        return (host == suffix) | host.endswith("." + suffix)
-
-    def term(*keys: str) -> Column:
-        return F.coalesce(*[_none_if_empty(first_value(pairs, k)) for k in keys])
-
-    def found(engine: str, *keys: str) -> Column:
-        t = term(*keys)
-        return F.when(t.isNotNull(), F.struct(F.lit(engine).alias("engine"), t.alias("term")))
-
-    google = (host == "www.google") | host.startswith("www.google.") | ends("google.com")
-    known = (
-        F.when(google, found("Google", "q")).when(ends("bing.com"), found("Bing", "q")).when(ends("duckduckgo.com"), found("DuckDuckGo", "q"))
-        .when(ends("youtube.com") | ends("youtube-nocookie.com"), found("YouTube", "search_query")).when(host.contains("amazon."), found("Amazon", "k", "field-keywords"))
-    )
-    return F.when(host.isNotNull(), F.coalesce(known, found("Generic", "q", "p", "query", "search")))
+    terms = []
+    for engine, hosts, keys in ENGINES:
+        term = F.coalesce(*[_none_if_empty(first_value(pairs, k)) for k in keys])
+        terms.append((host.rlike(hosts), F.when(term.isNotNull(), F.struct(F.lit(engine).alias("engine"), term.alias("term")))))
+    own = F.when(*terms[0])
+    for test, found in terms[1:-1]:
+        own = own.when(test, found)
+    return F.when(host.isNotNull(), F.coalesce(own, terms[-1][1]))
 
 
 def query_string(url: Column) -> Column:
@@ -110,49 +112,71 @@ def query_string(url: Column) -> Column:
     return F.when(url.contains("://") & (text != ""), F.concat(text, F.lit(" [Query String Parser]")))
 
 
+#: Units of a span of time, kinds of results, places in a list of suggestions, and what each option of a
+#: search says, in their order: its keys, a text with a place for each, and what a value is called (any other, last).
+UNITS = {"s": "second", "n": "minute", "h": "hour", "d": "day", "w": "week", "m": "month", "y": "year"}
+RESULTS = {"dfn": "Dictionary definition", "clir": "Translated sites", "li": "Verbatim results", "vid": "Video results", "nws": "News results", "sbd": "Sorted by date"}
+ORDINALS = ("zeroth", "first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth")
+OPTIONS = (
+    (("pws",), "Google personalization turned {}", ("1", "on", "off")),
+    (("num",), "Showing {} results per page", None),
+    (("filter",), "{} results filter on", ("1", "Omitted", "Similar")),
+    (("btnl",), '"I\'m Feeling Lucky" search {}', ("1", "on", "off")),
+    (("safe",), "SafeSearch: {}", None),
+    (("as_qdr",), "past", None),
+    (("tbs",), "results", None),
+    (("biw", "bih"), "Browser screen {}x{}", None),
+    (("pq",), "previous", None),
+    (("oq", "aq"), "typed", None),
+    (("as_sitesearch",), "Search only {}", None),
+    (("as_filetype",), "Show only {} files", None),
+    (("sourceid",), "Using {}", None),
+)
+
+
+def _filled(template: str, values: list[Column]) -> Column:
+    """A text with values in its places; null if one is null."""
+    pieces = [F.lit(p) for p in template.split("{}")]
+    return F.concat(pieces[0], *[x for pair in zip(values, pieces[1:], strict=True) for x in pair])
+
+
+def _past(c: Column) -> Column:
+    unit = F.try_element_at(F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv]), F.substring(c, 1, 1))
+    n = F.regexp_extract(c, r"^.([0-9]*)", 1)
+    return F.when(n == "", _filled("Results in the past {}", [unit])).otherwise(_filled("Results in the past {} {}s", [n, unit]))
+
+
+def _results(c: Column) -> Column:
+    kinds = {"img": "Sites with images"} | {k + end: label for k, label in RESULTS.items() for end in ("", ":1")}
+    ends = [F.regexp_extract(F.regexp_replace(c, "^cdr:1,", ""), f"{k}:([^,]*)", 1) for k in ("cd_min", "cd_max")]
+    named = F.try_element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), c)
+    return F.when(c.startswith("qdr:"), _past(F.regexp_replace(c, "^qdr:", ""))).when(c.startswith("cdr:1,"), _filled("Results in custom range {} - {}", ends)).otherwise(named)
+
+
 def google_search(url: Column) -> Column:
     """Terms and options of a Google search URL."""
-    host = host_of(F.when(url.contains("://"), url))
+    host, fragment, pairs = host_of(F.when(url.contains("://"), url)), F.coalesce(fragment_of(url), F.lit("")), url_pairs(url)
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    fragment = F.coalesce(fragment_of(url), F.lit(""))
-    pairs = url_pairs(url)
-    value = lambda k: first_value(pairs, k)
-    q, pq, oq = value("q"), value("pq"), value("oq")
-    units = {"s": "second", "n": "minute", "h": "hour", "d": "day", "w": "week", "m": "month", "y": "year"}
-
-    def past(c: Column) -> Column:
-        unit = F.element_at(F.create_map(*[F.lit(x) for kv in units.items() for x in kv]), F.substring(c, 1, 1))
-        n = F.regexp_extract(c, r"^.([0-9]*)", 1)
-        return F.when(unit.isNotNull(), F.when(n == "", F.concat(F.lit("Results in the past "), unit)).otherwise(F.concat(F.lit("Results in the past "), n, F.lit(" "), unit, F.lit("s"))))
-
-    labels = {"dfn": "Dictionary definition", "clir": "Translated sites", "li": "Verbatim results", "vid": "Video results", "nws": "News results", "sbd": "Sorted by date"}
-    tbs = value("tbs")
-    custom = F.regexp_replace(tbs, "^cdr:1,", "")
-    ranged = F.concat(F.lit("Results in custom range "), F.regexp_extract(custom, r"cd_min:([^,]*)", 1), F.lit(" - "), F.regexp_extract(custom, r"cd_max:([^,]*)", 1))
-    named = F.when(tbs == "img", "Sites with images")
-    for k, label in labels.items():
-        named = named.when(tbs.isin(k, f"{k}:1"), label)
-    ordinals = F.array(*[F.lit(x) for x in ("zeroth", "first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth")])
-    which = F.get(ordinals, value("aq").try_cast("int"))
-    typed = F.concat(F.lit('Typed "'), oq, F.lit('" before clicking on '), F.coalesce(F.concat(F.lit("the "), which, F.lit(" suggestion")), F.lit("a suggestion")))
-    extras = [
-        F.concat(F.lit("Google personalization turned "), F.when(value("pws") == "1", "on").when(value("pws").isNotNull(), "off")),
-        F.concat(F.lit("Showing "), value("num"), F.lit(" results per page")),
-        F.concat(F.when(value("filter") == "1", "Omitted").when(value("filter").isNotNull(), "Similar"), F.lit(" results filter on")),
-        F.concat(F.lit('"I\'m Feeling Lucky" search '), F.when(value("btnl") == "1", "on").when(value("btnl").isNotNull(), "off")),
-        F.concat(F.lit("SafeSearch: "), value("safe")),
-        past(value("as_qdr")),
-        F.when(tbs.startswith("qdr:"), past(F.regexp_replace(tbs, "^qdr:", ""))).when(tbs.startswith("cdr:1,"), ranged).otherwise(named),
-        F.concat(F.lit("Browser screen "), value("biw"), F.lit("x"), value("bih")),
-        F.when(pq != q, F.concat(F.lit('Previous query: "'), pq, F.lit('"'))),
-        F.when(oq != q, typed),
-        F.concat(F.lit("Search only "), value("as_sitesearch")),
-        F.concat(F.lit("Show only "), value("as_filetype"), F.lit(" files")),
-        F.concat(F.lit("Using "), value("sourceid")),
-    ]
-    more = F.concat_ws(" | ", *extras)
-    base = F.concat(F.lit('Searched for "'), q, F.lit('"'))
-    is_search = ((host == "www.google") | host.startswith("www.google.")) & (path.isin("/search", "/webhp") | fragment.startswith("q=") | (fragment == "q"))
+    q = first_value(pairs, "q")
+
+    def said(keys: tuple[str, ...], text: str, called: tuple[str, str, str] | None) -> Column:
+        values = [first_value(pairs, k) for k in keys]
+        if text == "past":
+            return _past(values[0])
+        if text == "results":
+            return _results(values[0])
+        if text == "previous":
+            return F.when(values[0] != q, _filled('Previous query: "{}"', values))
+        if text == "typed":
+            place = F.get(F.array(*[F.lit(x) for x in ORDINALS]), values[1].try_cast("int"))
+            return F.when(values[0] != q, _filled('Typed "{}" before clicking on {}', [values[0], F.coalesce(_filled("the {} suggestion", [place]), F.lit("a suggestion"))]))
+        if called:
+            values = [F.when(values[0] == called[0], called[1]).when(values[0].isNotNull(), called[2])]
+        return _filled(text, values)
+
+    more = F.concat_ws(" | ", *[said(*option) for option in OPTIONS])
+    is_search = host.rlike(r"^www\.google(\.|$)") & (path.isin("/search", "/webhp") | fragment.rlike("^q(=|$)"))
+    base = _filled('Searched for "{}"', [q])
     return F.when(is_search & q.isNotNull(), F.when(more == "", base).otherwise(F.concat(base, F.lit(" [ "), more, F.lit("]"))))
 
 
