@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new place below ``spark.checkpoint.dir``, or below a folder of our own where that is unset and driver and executors
@@ -15,9 +19,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="waylens-")
+        folder = tempfile.mkdtemp(prefix="waylens-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", path)
-    return f"{path.rstrip('/')}/waylens-events/{name}-{uuid.uuid4().hex}"
+    path = f"{path.rstrip('/')}/waylens-events/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def forget() -> int:
+    """Deletes what this driver wrote to the shared folder, once results that read it are written elsewhere; how many tables
+    went. Stores that this process can't reach keep theirs."""
+    from pyarrow import fs
+
+    n = 0
+    while _written:
+        store, place = fs.FileSystem.from_uri(_written.pop())
+        if store.get_file_info(place).type != fs.FileType.NotFound:
+            store.delete_dir(place)
+            n += 1
+    return n
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
