@@ -305,6 +305,31 @@ def test_capitals_count_in_any_script_and_length():
         assert [toxicity._features(f"{word} " * n, {}, {})[at] for n in (3, 300)] == [1.0, 1.0]
 
 
+def test_features_against_brute_force(spark, odd, documents):
+    """Each feature by its definition, over lists of words and pairs of places."""
+    lexicon = {"the": 1.5, "ides-": 2.5, "zor": 2.0, "idio-": 3.0}
+    texts = [r.text for r in odd.collect()] + [r.text for r in documents.limit(50).collect()] + ["You IDIOT!! y0u are an 1d10t, ZOR zor.", "sooooo st-u-p-i-d you", "THE 123 !!! $$$"]
+    texts = [t for t in texts if len(t or "") < 20_000]
+    rows = toxicity.features(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), lexicon).collect()
+    for r in rows:
+        text = texts[r.doc_id] or ""
+        tokens = text.split()
+        words = [toxicity.plain(t) for t in tokens]
+        weight = [lexicon.get(w, 0.0) for w, _ in words]
+        stem = [max([lexicon.get(w[:n] + "-", 0.0) for n in (4, 5) if len(w) > n], default=0.0) for w, _ in words]
+        hit = [i for i, (w, _) in enumerate(words) if w in toxicity.INSULTS or weight[i] or stem[i]]
+        you = [i for i, (w, _) in enumerate(words) if w in toxicity.SECOND_PERSON]
+        n = max(1, len(tokens))
+        insults = sum(words[i][0] in toxicity.INSULTS for i in hit)
+        want = {
+            "log_words": np.log(1 + len(tokens)), "insult_rate": insults / n, "insult_count": insults, "word_rate": sum(w > 0 for w in weight) / n, "word_max": max([*weight, 0.0]), "stem_rate": sum(s > 0 for s in stem) / n, "stem_max": max([*stem, 0.0]),
+            "hits_near_you": sum(any(abs(i - j) <= 5 for j in you) for i in hit) / max(1, len(hit)), "you_rate": len(you) / n, "capital_rate": sum(c.isupper() for c in text) / max(1, sum(c != " " for c in text)),
+            "shout_rate": sum(t.isupper() and len(w) > 2 for t, (w, _) in zip(tokens, words, strict=True)) / n, "bang_rate": sum(c == "!" for c in text) / n, "punct_rate": len([c for c in text if not re.match(r"[\w\s]", c)]) / n,
+            "obfuscated_rate": sum(h for _, h in words) / n, "disguised_hits": sum(words[i][1] for i in hit),
+        }
+        assert set(want) == set(toxicity.FEATURES) and all(abs(r[k] - v) < 1e-9 for k, v in want.items()), r.doc_id
+
+
 def test_toxicity_learns_and_ignores_held_out_labels(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))

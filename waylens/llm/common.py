@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -22,7 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="waylens-")
+        folder = tempfile.mkdtemp(prefix="waylens-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = "file://" + folder
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
