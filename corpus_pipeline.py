@@ -56,8 +56,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents stays, the one with the smallest id (null ids last, equal ids by the
-    text's hash); of rows that repeat it, one. Null and empty texts link with nothing and stay, one a key."""
+    """One document of each group of linked documents stays, the one with the smallest id (a null id before all others, equal ids
+    by the text's hash); of rows that repeat it, one. Null and empty texts link with nothing and stay, one a key."""
     rows = _boxed(docs)
     classes = materialize(jaccard.similar_components(rows, id_col=KEY), "classes")
     kept = classes.where("doc_id = component_id").groupBy(F.col("doc_id").alias(KEY)).agg(F.count("*").alias("n"))
