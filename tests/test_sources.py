@@ -167,3 +167,60 @@ def test_property_lists_and_compressed_sessions(spark):
     block = bytes([0xF0, *([255] * ((len(body) - 15) // 255)), (len(body) - 15) % 255]) + body
     files = spark.createDataFrame([("s", bytearray(b"mozLz40\0" + struct.pack("<I", len(body)) + block)), ("t", bytearray(b"mozLz40\0\x01"))], "path string, content binary")
     assert [(r.timestamp_ns, r.description) for r in json_readers.firefox_session(files).collect()] == [(NS, "https://x.example/")]
+
+
+def test_leveldb_tables_and_broken_logs(spark):
+    """A sorted table with shared key prefixes and a compressed block, and logs that end early."""
+    import struct
+
+    import pyarrow as pa
+
+    from waylens.sources import leveldb
+
+    def number(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def block(entries):
+        out, before = b"", b""
+        for key, value in entries:
+            same = 0
+            while same < min(len(before), len(key)) and before[same] == key[same]:
+                same += 1
+            out += number(same) + number(len(key) - same) + number(len(value)) + key[same:] + value
+            before = key
+        return out + struct.pack("<II", 0, 1)
+
+    inner = lambda key, seq, put: key + struct.pack("<Q", seq << 8 | put)
+    body = block([(inner(b"map-1-a", 9, 1), "vé".encode("utf-16-le")), (inner(b"map-1-b", 7, 0), b""), (inner(b"namespace-x-h.example", 3, 1), b"1")])
+    packed = pa.Codec("snappy").compress(body).to_pybytes()
+    data = packed + b"\1" + bytes(4)
+    index = block([(inner(b"z", 1, 1), number(0) + number(len(packed)))])
+    at = len(data)
+    data += index + b"\0" + bytes(4)
+    table = data + (number(0) + number(0) + number(at) + number(len(index))).ljust(40, b"\0") + struct.pack("<Q", leveldb.TABLE_END)
+    files = spark.createDataFrame([("d/1.ldb", bytearray(table)), ("d/2.ldb", bytearray(b"short")), ("d/3.log", bytearray(b"\0\0\0\0\xff\x7f\1abc")), ("d/CURRENT", bytearray(b"x"))], "path string, content binary")
+    got = sorted((bytes(r.key), None if r.value is None else bytes(r.value), r.seq, r.deleted) for r in leveldb.records(files).collect())
+    assert got == [(b"map-1-a", "vé".encode("utf-16-le"), 9, False), (b"map-1-b", None, 7, True), (b"namespace-x-h.example", b"1", 3, False)]
+    assert sorted((r.description, r.attrs["deleted"]) for r in leveldb.session_storage(files).collect()) == [("h.example — a = vé", "false"), ("h.example — b = ", "true")]
+
+
+def test_cached_bodies():
+    import gzip
+    import zlib
+
+    import zstandard
+
+    from waylens.sources.cache import decode_body, simple_entry
+
+    body = b"page " * 200
+    raw = zlib.compressobj(wbits=-15)
+    for encoding, data in (("", body), ("identity", body), ("GZip", gzip.compress(body)), ("deflate", zlib.compress(body)), ("deflate", raw.compress(body) + raw.flush()), ("zstd", zstandard.compress(body)), ("gzip, zstd", zstandard.compress(gzip.compress(body)))):
+        assert decode_body(data, encoding) == (body, None), encoding
+    assert decode_body(body, "br")[0] == body and "br" in decode_body(body, "br")[1]
+    assert decode_body(b"broken", "gzip")[0] == b"broken" and decode_body(b"broken", "gzip")[1]
+    bomb = gzip.compress(bytes(10_000_000))
+    assert decode_body(bomb, "gzip")[0] == bomb and "beyond" in decode_body(bomb, "gzip")[1]
+    assert simple_entry(b"x" * 100) is None and simple_entry(b"") is None

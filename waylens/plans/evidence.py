@@ -101,3 +101,33 @@ def simple_cache_files(entries: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
     return cut(entries.select("name", "url", "status", "content_type", "encoding", "body").mapInArrow(run, schema), "cache-files")
+
+
+def leveldb_logs(rows: DataFrame, folder: str = "store") -> DataFrame:
+    """``path, content``: a LevelDB log for each ``store`` of its records ``seq, key, value`` (null: deleted), one a batch."""
+    schema = StructType.fromDDL("path string, content binary")
+    arrow = to_arrow_schema(schema)
+
+    def make(key: tuple, group: pa.Table) -> pa.Table:
+        import struct
+
+        def sized(data: bytes) -> bytes:
+            n, out = len(data), b""
+            while n > 127:
+                out, n = out + bytes([n & 127 | 128]), n >> 7
+            return out + bytes([n]) + data
+
+        out = bytearray()
+        for seq, name, value in sorted(zip(*(group.column(c).to_pylist() for c in ("seq", "key", "value")), strict=True)):
+            left, first = struct.pack("<QI", seq, 1) + (b"\0" + sized(name) if value is None else b"\1" + sized(name) + sized(value)), True
+            while left or first:
+                room = 32768 - len(out) % 32768
+                if room < 7:
+                    out += bytes(room)
+                    continue
+                part, left = left[: room - 7], left[room - 7 :]
+                out += struct.pack("<IHB", 0, len(part), (1 if not left else 2) if first else (4 if not left else 3)) + part
+                first = False
+        return pa.Table.from_arrays([pa.array([f"{folder}/{key[0].as_py()}/000003.log"]), pa.array([bytes(out)], pa.binary())], schema=arrow)
+
+    return cut(rows.select(F.col("store").cast("string").alias("store"), "seq", "key", "value").groupBy("store").applyInArrow(make, schema), "leveldb")

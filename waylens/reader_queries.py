@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from waylens.plans import evidence
 from waylens.plans.scratch import scratch_path
-from waylens.sources import binary, json_readers, readers
+from waylens.sources import binary, json_readers, leveldb, readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -349,3 +349,44 @@ ORACLE_SQL["read_discovery"] = (
     "SELECT DISTINCT CASE WHEN name = 'places.sqlite' THEN 'Firefox' WHEN name = 'History.db' THEN 'Safari' WHEN name IN ('History', 'Cookies') THEN 'Chromium' ELSE 'InternetExplorer' END AS browser, list_last(string_split(folder, '/')) AS profile, folder AS path, string_split(folder, '/')[4] AS \"user\" "
     "FROM n WHERE name <> 'notes.txt'"
 )
+
+
+_WEB = f"SELECT {STORE}, event_id, user_id % 40 AS site, event_type, CASE WHEN event_id % 9 = 0 THEN 1 ELSE 0 END AS gone FROM {{events}}"
+_ORIGIN = "concat('https://h', CAST(site AS STRING), '.example')"
+
+
+def read_chromium_local_storage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of changing length and encoding, deleted ones, times of origins that change, and records of other shapes."""
+    web = evidence.select(spark, sf_dir, _WEB)
+    number = F.col("event_id")
+    value = F.concat(F.unhex(F.lit("01")), F.repeat(F.col("event_type"), (number % 50 + 1).cast("int")).cast("binary"))
+    data = web.select("store", number.alias("seq"), F.concat(F.lit("_").cast("binary"), F.expr(_ORIGIN).cast("binary"), F.unhex(F.lit("0001")), F.concat(F.lit("k"), number.cast("string")).cast("binary")).alias("key"), F.when(F.col("gone") == 0, value).alias("value"))
+    # field 1, seven bits a byte: 24 * 2^49, plus the event's number in the lowest three
+    low = lambda n: F.hex((F.shiftright(number, 7 * n).bitwiseAND(127) + 128).cast("long"))
+    times = web.where("event_id % 3 = 0").select("store", (number + 1_000_000).alias("seq"), F.concat(F.lit("META:").cast("binary"), F.expr(_ORIGIN).cast("binary")).alias("key"), F.unhex(F.concat(F.lit("08"), low(0), low(1), low(2), F.lit("8080808018"))).alias("value"))
+    other = web.where("event_id % 100 = 1").select("store", (number + 2_000_000).alias("seq"), F.lit("VERSION").cast("binary").alias("key"), F.lit("1").cast("binary").alias("value"))
+    found = leveldb.local_storage(evidence.leveldb_logs(data.unionByName(times).unionByName(other)))
+    return shown(found)
+
+
+QUERIES["read_chromium_local_storage"] = read_chromium_local_storage
+ORACLE_SQL["read_chromium_local_storage"] = (
+    f"WITH w AS ({evidence.duckdb(_WEB)}), m AS (SELECT store, site, max(event_id) AS meta FROM w WHERE event_id % 3 = 0 GROUP BY 1, 2), d AS (SELECT w.*, meta, 'https://h' || site || '.example' AS origin, CASE WHEN gone = 1 THEN '' ELSE repeat(event_type, CAST(event_id % 50 + 1 AS INT)) END AS v FROM w LEFT JOIN m USING (store, site)) "
+    f"SELECT CASE WHEN meta IS NULL THEN 0 ELSE {ns_of_webkit('(meta + 13510798882111488)')} END AS timestamp_ns, 'Chromium' AS browser, 'LocalStorage' AS artifact, origin || ' — k' || event_id || ' = ' || v AS description, 'deleted=' || (gone = 1) || '; key=k' || event_id || '; origin=' || origin || '; record=data; seq=' || event_id || '; storage_type=local_storage; value=' || v AS attrs FROM d "
+    "UNION ALL SELECT 0, 'Chromium', 'LocalStorage', 'unrecognized local_storage record (key 7 bytes)', 'deleted=false; key_hex=56455253494f4e; record=other; seq=' || (event_id + 2000000) || '; storage_type=local_storage' FROM w WHERE event_id % 100 = 1"
+)
+
+
+def read_chromium_session_storage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    web = evidence.select(spark, sf_dir, _WEB)
+    number = F.col("event_id")
+    data = web.select("store", number.alias("seq"), F.concat(F.lit("map-"), F.col("site").cast("string"), F.lit("-k"), number.cast("string")).cast("binary").alias("key"), F.when(F.col("gone") == 0, F.encode(F.concat(F.col("event_type"), F.lit("é")), "UTF-16LE")).alias("value"))
+    owners = web.where("event_id % 50 = 7").select("store", (number + 1_000_000).alias("seq"), F.concat(F.lit("namespace-a_b-h"), number.cast("string"), F.lit(".example")).cast("binary").alias("key"), F.col("site").cast("string").cast("binary").alias("value"))
+    return shown(leveldb.session_storage(evidence.leveldb_logs(data.unionByName(owners))))
+
+
+QUERIES["read_chromium_session_storage"] = read_chromium_session_storage
+ORACLE_SQL["read_chromium_session_storage"] = (
+    f"WITH w AS ({evidence.duckdb(_WEB)}), o AS (SELECT store, site, 'h' || max(event_id) || '.example' AS host FROM w WHERE event_id % 50 = 7 GROUP BY 1, 2), d AS (SELECT w.*, host, CASE WHEN gone = 1 THEN '' ELSE event_type || 'é' END AS v FROM w LEFT JOIN o USING (store, site)) "
+    "SELECT 0 AS timestamp_ns, 'Chromium' AS browser, 'LocalStorage' AS artifact, coalesce(host, '<unknown host>') || ' — k' || event_id || ' = ' || v AS description, concat_ws('; ', 'deleted=' || (gone = 1), 'host=' || host, 'key=k' || event_id, 'map_id=' || site, 'record=map', 'seq=' || event_id, 'storage_type=session_storage', 'value=' || v) AS attrs FROM d"
+)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waylens.sources import binary, json_readers, readers
+from waylens.sources import binary, json_readers, leveldb, readers
 from waylens.sources.sqlite import evidence_files
 
 Reader = Callable[[DataFrame], DataFrame]
@@ -28,6 +28,7 @@ DISPATCH: dict[str, list[Reader]] = {
     r"permissions\.sqlite": _sqlite("firefox_permissions"), r"webappsstore\.sqlite": _sqlite("firefox_local_storage"), r"logins\.json": [json_readers.firefox_logins], r"extensions\.json": [json_readers.firefox_extensions],
     r"(sessionstore|recovery|previous)\.(js|jsonlz4|baklz4)": [json_readers.firefox_session], r"History\.db": _sqlite("safari_history"), r"Cookies\.db": _sqlite("safari_cookies"), r"Bookmarks\.plist": [binary.safari_bookmarks],
     r"Downloads\.plist": [binary.safari_downloads], r"Extensions\.plist": [binary.safari_extensions], r"TopSites\.plist": [binary.safari_top_sites],
+    r"Local Storage/leveldb/[0-9]+\.(log|ldb)": [leveldb.local_storage], r"Session Storage/[0-9]+\.(log|ldb)": [leveldb.session_storage],
 }
 #: Files whose hosts survive a clearing of the history.
 RESIDUE = ("Network Persistent State", "Reporting and NEL", "TransportSecurity", "DIPS")

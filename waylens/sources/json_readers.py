@@ -55,7 +55,7 @@ def transport_security(files: DataFrame) -> DataFrame:
     return events(rows, ns, "Chromium", "RecoveredDomain", F.lit("HSTS entry (hashed host)"), host_hash=c("hash"), enumerable=F.lit(False), source_artifact=F.lit("transport_security"))
 
 
-#: The settings that are read, by their path, and those that hold a WebKit time.
+#: The settings that are read, by their path, those that hold a WebKit time, and the note of contacted hosts.
 PREFERENCES = (
     "homepage", "homepage_is_newtabpage", "session.restore_on_startup", "download.default_directory", "savefile.default_directory", "profile.name", "profile.created_by_version", "profile.exit_type",
     "google.services.last_username", "google.services.last_account_id", "intl.accept_languages", "intl.selected_languages", "extensions.last_chrome_version", "credentials_enable_service", "autofill.enabled", "safebrowsing.enabled",
