@@ -15,7 +15,7 @@ from waylens.operators import findings, indicators, integrity, profiles, reports
 from waylens.plans import evidence
 from waylens.plans.activity import SQL, activity, table
 from waylens.queries import HOST
-from waylens.sources import cache, dispatch, readers
+from waylens.sources import cache, detection, dispatch, readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -419,3 +419,24 @@ def attribute_domains(spark, sf_dir):
 @query("SELECT event_id, ['clicked link', 'typed URL', 'bookmark', 'subframe (auto)', 'subframe (manual)', 'generated', 'start page', 'form submit', 'reload', 'keyword search', 'keyword search', 'unknown'][CAST(event_id % 12 + 1 AS INT)] AS label FROM events")
 def transition_labels(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", tx.transition_label(tx.transition_core(F.col("event_id") % 12)).alias("label"))
+
+
+# detection
+
+UNKNOWN = "SELECT event_id, concat('d/f', CAST(event_id AS STRING), CASE WHEN event_id % 10 = 0 THEN '/WebCacheV01.dat' ELSE '' END) AS path, CASE event_id % 5 WHEN 0 THEN '00000000EFCDAB8900' WHEN 1 THEN '6D6F7A4C7A34300001' WHEN 2 THEN '455646090D' WHEN 3 THEN lpad(CAST(event_id AS STRING), 8, '0') ELSE '' END AS hexed FROM {events}"
+
+
+@query(
+    f"SELECT path, CASE event_id % 5 WHEN 0 THEN CASE WHEN event_id % 10 = 0 THEN 'IE/Edge-Legacy WebCacheV01 (ESE)' ELSE 'ESE database' END WHEN 1 THEN 'Firefox mozLz4 (jsonlz4)' WHEN 2 THEN 'EnCase/EWF disk image (E01)' ELSE 'unknown (possible raw disk or memory image)' END AS kind, CASE event_id % 5 WHEN 0 THEN CASE WHEN event_id % 10 = 0 THEN 'high' ELSE 'medium' END WHEN 1 THEN 'high' WHEN 2 THEN 'high' ELSE 'low' END AS confidence FROM ({UNKNOWN}) "
+    "UNION ALL SELECT DISTINCT 'profile/' || CAST(floor(event_id / 2500) AS BIGINT) || t.s, t.kind, t.confidence FROM events, (VALUES ('a', 'Chromium History (SQLite)', 'high'), ('b', 'Firefox places (SQLite)', 'high'), ('c', 'SQLite database (unrecognized schema)', 'medium')) t(s, kind, confidence)"
+)
+def detect_files(spark, sf_dir):
+    made = lambda end, **t: evidence.sqlite_stores({k: evidence.select(spark, sf_dir, sql) for k, sql in t.items()}).withColumn("path", F.concat("path", F.lit(end)))
+    others = evidence.select(spark, sf_dir, UNKNOWN).select("path", F.unhex("hexed").alias("content"))
+    files = others.unionByName(made("a", urls=rq.URLS, visits=rq.VISITS)).unionByName(made("b", moz_places=rq.PLACES)).unionByName(made("c", mine=rq.PLACES))
+    return detection.detect_files(files).select("path", "kind", "confidence")
+
+
+@query(f"SELECT folder AS path, CASE min(CASE name WHEN 'History' THEN 1 WHEN 'places.sqlite' THEN 2 WHEN 'History.db' THEN 3 END) WHEN 1 THEN 'Chromium profile' WHEN 2 THEN 'Firefox profile' WHEN 3 THEN 'Safari profile' ELSE 'browser evidence directory (home/image layout)' END AS kind, CASE WHEN count(*) FILTER (WHERE name IN ('History', 'places.sqlite', 'History.db')) > 0 THEN 'high' ELSE 'medium' END AS confidence FROM (SELECT regexp_replace(path, '/[^/]+$', '') AS folder, list_last(string_split(path, '/')) AS name FROM ({evidence.duckdb(rq.PATHS)})) GROUP BY 1")
+def detect_folders(spark, sf_dir):
+    return detection.detect_folders(evidence.select(spark, sf_dir, rq.PATHS))
