@@ -50,7 +50,7 @@ def _planted(*kinds: str) -> str:
         if kind in kinds:
             before = " + ".join(["3", *[f"length({v}) + 3" for v in list(PARTS.values())[:i]]])
             shown = "'word ' || event_id" if kind == "search_term" else value
-            rows.append(f"SELECT event_id AS seq, '{kind}' AS kind, {shown} AS value, CAST({before} AS BIGINT) AS \"offset\", {_NOTES.get(kind, 'NULL')} AS note FROM events WHERE {_HOLDS.get(kind, 'true')}")
+            rows.append(f"SELECT event_id AS seq, '{kind}' AS kind, {shown} AS value, CAST({before} AS BIGINT) AS \"offset\", {_NOTES.get(kind, 'CAST(NULL AS VARCHAR)')} AS note FROM events WHERE {_HOLDS.get(kind, 'true')}")
     return " UNION ALL ".join(rows)
 
 
@@ -176,7 +176,7 @@ def _headers(spark, sf_dir):
     return evidence.select(spark, sf_dir, HEADERS).select("path", F.unhex("hexed").alias("content"))
 
 
-@query("SELECT 'f' || event_id AS path, t.tag, event_id % 2 AS free_pages, event_id % 3 + 1 AS header_pages, 2 AS file_pages FROM events, (VALUES ('FreelistGrowth'), ('PageCountMismatch')) t(tag) WHERE event_id < 2000 AND CASE t.tag WHEN 'FreelistGrowth' THEN event_id % 2 > 0 ELSE event_id % 5 = event_id % 4 AND event_id % 3 <> 1 END")
+@query("SELECT 'f' || event_id AS path, t.tag, event_id % 2 AS free_pages, event_id % 3 + 1 AS header_pages, CAST(2 AS BIGINT) AS file_pages FROM events, (VALUES ('FreelistGrowth'), ('PageCountMismatch')) t(tag) WHERE event_id < 2000 AND CASE t.tag WHEN 'FreelistGrowth' THEN event_id % 2 > 0 ELSE event_id % 5 = event_id % 4 AND event_id % 3 <> 1 END")
 def page_anomalies(spark, sf_dir):
     return integrity.page_anomalies(_headers(spark, sf_dir))
 

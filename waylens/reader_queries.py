@@ -372,7 +372,7 @@ def read_chromium_local_storage(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["read_chromium_local_storage"] = read_chromium_local_storage
 ORACLE_SQL["read_chromium_local_storage"] = (
     f"WITH w AS ({evidence.duckdb(_WEB)}), m AS (SELECT store, site, max(event_id) AS meta FROM w WHERE event_id % 3 = 0 GROUP BY 1, 2), d AS (SELECT w.*, meta, 'https://h' || site || '.example' AS origin, CASE WHEN gone = 1 THEN '' ELSE repeat(event_type, CAST(event_id % 50 + 1 AS INT)) END AS v FROM w LEFT JOIN m USING (store, site)) "
-    f"SELECT CASE WHEN meta IS NULL THEN 0 ELSE {ns_of_webkit('(meta + 13510798882111488)')} END AS timestamp_ns, 'Chromium' AS browser, 'LocalStorage' AS artifact, origin || ' — k' || event_id || ' = ' || v AS description, 'deleted=' || (gone = 1) || '; key=k' || event_id || '; origin=' || origin || '; record=data; seq=' || event_id || '; storage_type=local_storage; value=' || v AS attrs FROM d "
+    f"SELECT CASE WHEN meta IS NULL THEN CAST(0 AS BIGINT) ELSE {ns_of_webkit('(meta + 13510798882111488)')} END AS timestamp_ns, 'Chromium' AS browser, 'LocalStorage' AS artifact, origin || ' — k' || event_id || ' = ' || v AS description, 'deleted=' || (gone = 1) || '; key=k' || event_id || '; origin=' || origin || '; record=data; seq=' || event_id || '; storage_type=local_storage; value=' || v AS attrs FROM d "
     "UNION ALL SELECT 0, 'Chromium', 'LocalStorage', 'unrecognized local_storage record (key 7 bytes)', 'deleted=false; key_hex=56455253494f4e; record=other; seq=' || (event_id + 2000000) || '; storage_type=local_storage' FROM w WHERE event_id % 100 = 1"
 )
 
@@ -388,5 +388,5 @@ def read_chromium_session_storage(spark: SparkSession, sf_dir: str) -> DataFrame
 QUERIES["read_chromium_session_storage"] = read_chromium_session_storage
 ORACLE_SQL["read_chromium_session_storage"] = (
     f"WITH w AS ({evidence.duckdb(_WEB)}), o AS (SELECT store, site, 'h' || max(event_id) || '.example' AS host FROM w WHERE event_id % 50 = 7 GROUP BY 1, 2), d AS (SELECT w.*, host, CASE WHEN gone = 1 THEN '' ELSE event_type || 'é' END AS v FROM w LEFT JOIN o USING (store, site)) "
-    "SELECT 0 AS timestamp_ns, 'Chromium' AS browser, 'LocalStorage' AS artifact, coalesce(host, '<unknown host>') || ' — k' || event_id || ' = ' || v AS description, concat_ws('; ', 'deleted=' || (gone = 1), 'host=' || host, 'key=k' || event_id, 'map_id=' || site, 'record=map', 'seq=' || event_id, 'storage_type=session_storage', 'value=' || v) AS attrs FROM d"
+    "SELECT CAST(0 AS BIGINT) AS timestamp_ns, 'Chromium' AS browser, 'LocalStorage' AS artifact, coalesce(host, '<unknown host>') || ' — k' || event_id || ' = ' || v AS description, concat_ws('; ', 'deleted=' || (gone = 1), 'host=' || host, 'key=k' || event_id, 'map_id=' || site, 'record=map', 'seq=' || event_id, 'storage_type=session_storage', 'value=' || v) AS attrs FROM d"
 )
