@@ -75,3 +75,20 @@ CRC = """bits AS (SELECT i, CAST(i AS BIGINT) AS v, 0 AS k FROM range(256) t(i)
 tab AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
 crc AS (SELECT row_number, xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda v: CAST('0x' || v AS BIGINT)),
   lambda c, x: xor(c >> 8, t[CAST((xor(c, x) & 255) + 1 AS INT)]), 4294967295)) AS text_crc32 FROM d, tab)"""
+
+IMPORTANCE = r"""
+WITH RECURSIVE bits AS (SELECT i, CAST(i AS BIGINT) AS v, 0 AS k FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+tab AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+d AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'UPPER', 'LOWER'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'UPPER', 'LOWER'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+c AS (SELECT w, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(w)), '..'), lambda v: CAST('0x' || v AS BIGINT))),
+  lambda c, x: xor(c >> 8, t[CAST((xor(c, x) & 255) + 1 AS INT)]))) % 10000 AS bucket FROM (SELECT w FROM d UNION SELECT w FROM b), tab),
+s AS (SELECT bucket, count(*) AS s FROM d JOIN c USING (w) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN c USING (w) GROUP BY 1),
+g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM d) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM b) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM (SELECT DISTINCT bucket FROM c) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+f AS (SELECT doc_id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM d JOIN c USING (w) JOIN g USING (bucket) GROUP BY 1),
+e AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM documents LEFT JOIN f USING (doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, (SELECT count(*) FROM e WHERE n_features >= 20) * 10 // 100 AS most FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= most THEN place END AS rank FROM r""".replace("UPPER", UPPER).replace("LOWER", LOWER)

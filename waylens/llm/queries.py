@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waylens.llm import jaccard, media, mixing, oracle, pieces, pii, quality, sharding, token_counts, toxicity, warc
+from waylens.llm import importance, jaccard, media, mixing, oracle, pieces, pii, quality, sharding, simhash, token_counts, toxicity, warc, whitening
 from waylens.llm.common import table
 
 
@@ -69,6 +69,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_sentencepiece": op2_sentencepiece,
@@ -80,10 +92,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_personal_data": op9_personal_data,
     "op10_toxicity": op10_toxicity,
+    "op11_whitening": op11_whitening,
+    "op12_importance": op12_importance,
+    "op13_simhash": op13_simhash,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": oracle.MIXING,
     "op3_warc": oracle.WARC,
     "op5_jaccard_join": oracle.JACCARD,
     "op7_sharding": oracle.sharding(),
+    "op12_importance": oracle.IMPORTANCE,
 }
