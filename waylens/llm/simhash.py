@@ -100,19 +100,18 @@ def tile_links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_
     Tiles are cut into parts of ``tile_rows`` fingerprints on average by a hash, so a crowded tile is many parts, each with
     pairs of its own. There are at most 17^4 tiles, whose numbers of parts are broadcast.
     """
-    spark = distinct.sparkSession
     keyed = distinct.select("fp", tile_of(F.col("fp")).alias("tile"))
     sizes = materialize(keyed.groupBy("tile").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("parts")), "tiles")
     parts = keyed.join(F.broadcast(sizes), "tile").groupBy("tile", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part"))
     parts = materialize(parts.agg(F.collect_list("fp").alias("fps")), "tile-parts")
 
-    steps = spark.createDataFrame([(list(s),) for s in near_tiles(radius)], "step array<int>")
+    steps = F.explode(F.array(*[F.array(*map(F.lit, s)) for s in near_tiles(radius)])).alias("step")
     counts = [F.floor(F.col("tile") / SIDE**q) % SIDE for q in range(QUARTERS)]
     moved = [(c + F.col("step")[q]).cast("int") for q, c in enumerate(counts)]
     valid = moved[0].between(0, SIDE - 1)
     for m in moved[1:]:
         valid = valid & m.between(0, SIDE - 1)
-    pairs = sizes.select("tile").join(F.broadcast(steps)).where(valid).select("tile", sum((m * SIDE**q for q, m in enumerate(moved)), F.lit(0)).alias("other"))  # tiles times steps, a fixed number
+    pairs = sizes.select("tile", steps).where(valid).select("tile", sum((m * SIDE**q for q, m in enumerate(moved)), F.lit(0)).alias("other"))
     pairs = pairs.join(F.broadcast(sizes.select(F.col("tile").alias("other"), F.col("parts").alias("others"))), "other")
     pairs = materialize(pairs, "tile-pairs")
     sent = parts.join(pairs.hint("broadcast") if pairs.count() <= BROADCAST_ROWS else pairs, "tile")
