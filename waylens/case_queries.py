@@ -11,11 +11,15 @@ from waylens import reader_queries as rq
 from waylens.functions import text as tx
 from waylens.functions import urls as ur
 from waylens.functions.cookies import interpret_cookie
-from waylens.operators import findings, indicators, integrity, profiles, reports, search
+from waylens.operators import catalog, findings, indicators, integrity, profiles, reports, search
+from waylens.operators.ordering import ranked
 from waylens.plans import evidence
-from waylens.plans.activity import SQL, activity, table
-from waylens.queries import HOST
-from waylens.sources import cache, detection, dispatch, readers
+from waylens.plans.activity import SQL, activity, table, with_copies
+from waylens.plans.model import ARTIFACTS
+from waylens.plans.scratch import scratch_path
+from waylens.queries import DOMAIN, HOST, KINDS_SQL, QUOTED, STAMP
+from waylens.sources import cache, detection, discovery, dispatch, manifest, ordered, readers, safari_cache, stylesheets, windows
+from waylens.sources.sqlite import evidence_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -40,7 +44,7 @@ PARTS = {
 _JOINED = ", ' | ', ".join(PARTS.values())
 TEXTS = f"SELECT event_id AS seq, concat('é ', {_JOINED}, ' end') AS text FROM {{events}}"
 _HOLDS = {"ipv4": "event_id % 300 <= 255", "card": "event_id % 3 > 0", "btc_base58": "event_id % 4 > 0", "btc_bech32": "event_id % 5 > 0"}
-_NOTES = {"card": "'Luhn-valid'", "eth": "CASE WHEN event_id % 2 = 0 THEN 'no checksum' ELSE 'mixed case, checksum not verified' END", "search_term": "'Bing'"}
+_NOTES = {"card": "'Luhn-valid'", "btc_base58": "'checksum-valid'", "btc_bech32": "'checksum-valid'", "eth": "CASE WHEN event_id % 2 = 0 THEN 'no checksum' ELSE 'mixed case, checksum not verified' END", "search_term": "'Bing'"}
 
 
 def _planted(*kinds: str) -> str:
@@ -86,17 +90,20 @@ MEMORY = "SELECT page_id, concat('p', CAST(page_id AS STRING)) AS path, concat('
 
 
 def _memory(spark, sf_dir):
-    return evidence.select(spark, sf_dir, MEMORY).select("path", F.col("text").cast("binary").alias("content"))
+    """All texts in a few raw files, read in ranges far shorter than a file: many a match lies across the end of one."""
+    folder = scratch_path(spark, "memory")
+    evidence.select(spark, sf_dir, MEMORY).select("text").write.text(folder)
+    return windows.read_windows(spark, folder, window=4096, overlap=1024, task_bytes=1 << 20)
 
 
-@query("SELECT 'p' || page_id AS source, u.url FROM pages, LATERAL (VALUES ('https://m' || page_id || '.example/a?u=http://in.example/' || page_id), ('http://in.example/' || page_id), ('https://q.example/')) u(url)")
+@query("SELECT u.url, CAST(count(*) AS BIGINT) AS n FROM pages, LATERAL (VALUES ('https://m' || page_id || '.example/a?u=http://in.example/' || page_id), ('http://in.example/' || page_id), ('https://q.example/')) u(url) GROUP BY 1")
 def memory_urls(spark, sf_dir):
-    return indicators.scanned_urls(_memory(spark, sf_dir))
+    return indicators.url_matches(_memory(spark, sf_dir)).groupBy("url").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'p' || page_id AS source, 'id=' || page_id AS cookie FROM pages")
+@query("SELECT 'id=' || page_id AS cookie, CAST(count(*) AS BIGINT) AS n FROM pages GROUP BY 1")
 def memory_cookies(spark, sf_dir):
-    return indicators.scanned_cookies(_memory(spark, sf_dir))
+    return indicators.cookie_matches(_memory(spark, sf_dir)).groupBy("cookie").agg(F.count("*").alias("n"))
 
 
 @query("SELECT DISTINCT user_id AS pid, event_type AS process FROM events WHERE event_id % 7 > 0")
@@ -118,6 +125,27 @@ def carved_hits(spark, sf_dir):
     return search.carved_hits(rows, ["click"])
 
 
+# many terms from a file
+
+#: Twenty pieces of each page's url, and a short one of some; the file has comments and blanks besides.
+MANY_TERMS = (
+    "SELECT concat(CASE WHEN i % 3 = 0 THEN '  ' ELSE '' END, substr(url, CAST(1 + (page_id * 7 + i * 5) % greatest(length(url) - 4, 1) AS INT), CAST(9 + (page_id + i) % 17 AS INT))) AS value FROM {pages} CROSS JOIN (SELECT explode(sequence(0, 19)) AS i) "
+    "UNION ALL SELECT substr(url, CAST(9 + page_id % 5 AS INT), CAST(1 + page_id % 3 AS INT)) FROM {pages} WHERE page_id % 125 = 0 UNION ALL SELECT concat('# page ', CAST(page_id AS STRING)) FROM {pages} UNION ALL SELECT '  ' FROM {pages}"
+)
+
+
+def _terms(spark, sf_dir):
+    folder = scratch_path(spark, "terms")
+    evidence.select(spark, sf_dir, MANY_TERMS).write.text(folder)
+    return search.read_terms(spark, folder)
+
+
+@query(SQL + f", terms AS (SELECT DISTINCT trim(value) AS term FROM ({MANY_TERMS.replace('(SELECT explode(sequence(0, 19)) AS i)', 'range(20) t(i)')}) WHERE trim(value) <> '' AND trim(value) NOT LIKE '#%') "
+       f"SELECT e.seq, t.term, e.timestamp_ns, e.browser, e.url AS match, k.evidence_source, k.state, k.basis, k.action, k.confidence, k.rule_id FROM ev e JOIN (SELECT url, term FROM (SELECT DISTINCT url FROM ev) u JOIN terms ON contains(u.url, term)) t ON t.url = e.url JOIN {KINDS_SQL} ON k.artifact = e.artifact")
+def find_many_terms(spark, sf_dir):
+    return search.find_many(activity(spark, sf_dir), _terms(spark, sf_dir), ["url"])
+
+
 # profiles
 
 def _profiles(spark, sf_dir):
@@ -168,7 +196,7 @@ def assistant_records(spark, sf_dir):
 _FOUR = "lpad(hex(CAST({} AS BIGINT)), 8, '0')"
 HEADERS = (
     "SELECT event_id, concat('f', CAST(event_id AS STRING)) AS path, concat('53514C69746520666F726D6174203300', '0200', '0', CAST(event_id % 4 AS STRING), '01', '00402020', "
-    + ", ".join([_FOUR.format("event_id % 5 + 1"), _FOUR.format("event_id % 3 + 1"), "'00000000'", _FOUR.format("event_id % 2"), "repeat('00', 52)", _FOUR.format("event_id % 4 + 1"), "'002E6300'"]) + ", repeat('00', 412), repeat('00', 512)) AS hexed FROM {events} WHERE event_id < 2000"
+    + ", ".join([_FOUR.format("event_id % 5 + 1"), _FOUR.format("event_id % 3 + 1"), "'00000000'", _FOUR.format("event_id % 2"), "repeat('00', 52)", _FOUR.format("event_id % 4 + 1"), "'002E6300'"]) + ", repeat('00', 412), repeat('00', 512)) AS hexed FROM {events}"
 )
 
 
@@ -176,12 +204,12 @@ def _headers(spark, sf_dir):
     return evidence.select(spark, sf_dir, HEADERS).select("path", F.unhex("hexed").alias("content"))
 
 
-@query("SELECT 'f' || event_id AS path, t.tag, event_id % 2 AS free_pages, event_id % 3 + 1 AS header_pages, CAST(2 AS BIGINT) AS file_pages FROM events, (VALUES ('FreelistGrowth'), ('PageCountMismatch')) t(tag) WHERE event_id < 2000 AND CASE t.tag WHEN 'FreelistGrowth' THEN event_id % 2 > 0 ELSE event_id % 5 = event_id % 4 AND event_id % 3 <> 1 END")
+@query("SELECT 'f' || event_id AS path, t.tag, event_id % 2 AS free_pages, event_id % 3 + 1 AS header_pages, CAST(2 AS BIGINT) AS file_pages FROM events, (VALUES ('FreelistGrowth'), ('PageCountMismatch')) t(tag) WHERE CASE t.tag WHEN 'FreelistGrowth' THEN event_id % 2 > 0 ELSE event_id % 5 = event_id % 4 AND event_id % 3 <> 1 END")
 def page_anomalies(spark, sf_dir):
     return integrity.page_anomalies(_headers(spark, sf_dir))
 
 
-@query("SELECT 'f' || event_id AS path, t.tag FROM events, (VALUES ('ChangeCounterMismatch'), ('HeaderVersionAnomaly')) t(tag) WHERE event_id < 2000 AND CASE t.tag WHEN 'ChangeCounterMismatch' THEN event_id % 5 <> event_id % 4 ELSE event_id % 4 IN (0, 3) END")
+@query("SELECT 'f' || event_id AS path, t.tag FROM events, (VALUES ('ChangeCounterMismatch'), ('HeaderVersionAnomaly')) t(tag) WHERE CASE t.tag WHEN 'ChangeCounterMismatch' THEN event_id % 5 <> event_id % 4 ELSE event_id % 4 IN (0, 3) END")
 def header_anomalies(spark, sf_dir):
     return integrity.header_anomalies(_headers(spark, sf_dir)).select("path", "tag")
 
@@ -279,9 +307,135 @@ def top_domains(spark, sf_dir):
     return reports.top_domains(activity(spark, sf_dir))
 
 
-@query("SELECT (SELECT count(*) FROM nation) AS profiles, (SELECT count(*) FROM events) AS events, (SELECT count(*) FROM supplier) AS integrity, (SELECT count(*) FROM part) AS carved")
-def triage_counts(spark, sf_dir):
-    return reports.triage_counts(*[table(spark, sf_dir, t) for t in ("events", "nation", "supplier", "part")])
+#: A file a page, some of them changed, gone or new since.
+_BEFORE, _AFTER = "page_id % 7 <> 3", "page_id % 5 <> 2"
+_NOW = "CASE WHEN page_id % 4 = 1 THEN html || '!' ELSE html END"
+
+
+def _manifests(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").where("html IS NOT NULL")
+    path = F.concat(F.lit("d"), (F.col("page_id") % 9).cast("string"), F.lit("/p"), F.col("page_id").cast("string"))
+    found = []
+    for kept, content in ((_BEFORE, F.col("html")), (_AFTER, F.when(F.col("page_id") % 4 == 1, F.concat("html", F.lit("!"))).otherwise(F.col("html")))):
+        folder = scratch_path(spark, "files")
+        evidence.write_files(pages.where(kept).select(path.alias("path"), content.cast("binary").alias("content")), folder)
+        made = manifest.manifest(manifest.listed(spark, folder))
+        found.append(made.withColumn("path", F.regexp_extract("path", "(d[0-9]+/p[0-9]+)$", 1)))
+    return found
+
+
+@query(f"SELECT 'd' || page_id % 9 || '/p' || page_id AS path, octet_length(encode(html)) AS size_bytes, sha256(html) AS sha256, md5(html) AS md5, CAST(NULL AS VARCHAR) AS error FROM pages WHERE html IS NOT NULL AND {_BEFORE}")
+def custody_manifest(spark, sf_dir):
+    """Files hashed from a listing, the manifest written in order and read again."""
+    folder = scratch_path(spark, "manifest")
+    ordered.write_ordered(manifest.manifest_lines(_manifests(spark, sf_dir)[0], {"tool": "waylens"}), folder, ["at", "path"], suffix="jsonl")
+    return manifest.read_manifest(spark, folder)
+
+
+@query(f"SELECT 'd' || page_id % 9 || '/p' || page_id AS path, CASE WHEN NOT ({_BEFORE}) THEN 'added' WHEN NOT ({_AFTER}) THEN 'removed' WHEN page_id % 4 = 1 THEN 'changed' ELSE 'same' END AS status, CASE WHEN {_BEFORE} THEN sha256(html) END AS before_sha256, CASE WHEN {_AFTER} THEN sha256({_NOW}) END AS after_sha256 FROM pages WHERE html IS NOT NULL AND (({_BEFORE}) OR ({_AFTER}))")
+def compared_manifests(spark, sf_dir):
+    return manifest.compared(*_manifests(spark, sf_dir))
+
+
+# ordered outputs
+
+def _ordered(spark, rows, order, **options):
+    """The lines as they stand in the written files, with their places in the whole order."""
+    folder = scratch_path(spark, "ordered")
+    ordered.write_ordered(rows, folder, order, **options)
+    return ranked(ordered.read_ordered(spark, folder), "file", "at").select("rank", "line")
+
+
+_LINE = f"'[' || {STAMP} || '] ' || browser || '/' || artifact || ' ' || domain || '  ' || description"
+_HOSTS = f"SELECT domain AS host, count(*) AS total, min(nullif(timestamp_ns, 0)) AS first, max(nullif(timestamp_ns, 0)) AS last, string_agg(DISTINCT browser, ', ' ORDER BY browser) AS browsers FROM dm GROUP BY 1"
+_STAMP_OF = lambda c: STAMP.replace("timestamp_ns", c)
+
+
+@query(
+    SQL + f""", dm AS (SELECT *, {DOMAIN.format('fullhost')} AS domain FROM (SELECT *, {HOST.format('url')} AS fullhost FROM ev2)), kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url, timestamp_ns, artifact ORDER BY seq) AS rn FROM dm) WHERE rn = 1),
+c AS (SELECT count(*) FILTER (WHERE timestamp_ns <> 0) AS timed, count(*) FILTER (WHERE timestamp_ns = 0) AS untimed, (SELECT count(*) FROM ev2) - count(*) AS dups FROM kept), r AS ({_HOSTS}),
+k AS (SELECT domain AS host, string_agg(artifact || '=' || n, ' ' ORDER BY artifact) AS kinds FROM (SELECT domain, artifact, count(*) AS n FROM dm GROUP BY 1, 2) GROUP BY 1),
+l AS (SELECT 0 AS s, 0 AS a, 0 AS b, '' AS h, '== Unified cross-artifact timeline (' || (timed + untimed) || ' event(s): ' || timed || ' timed, ' || untimed || ' untimed, ' || dups || ' duplicate(s) removed) ==' AS line FROM c
+UNION ALL SELECT CASE WHEN timestamp_ns <> 0 THEN 1 ELSE 3 END, timestamp_ns, seq, '', {_LINE} FROM kept UNION ALL SELECT 2, 0, 0, '', '-- untimed (' || untimed || ') --' FROM c WHERE untimed > 0
+UNION ALL SELECT 4, 0, 0, '', '' UNION ALL SELECT 4, 1, 0, '', '== Per-host rollup (' || count(*) || ' host(s)) ==' FROM r
+UNION ALL SELECT 5, -total, 0, host, '  ' || host || '  total=' || total || '  ' || {_STAMP_OF('first')} || '..' || {_STAMP_OF('last')} || '  [' || browsers || ']  ' || kinds FROM r JOIN k USING (host))
+SELECT row_number() OVER (ORDER BY s, a, b, h) - 1 AS rank, line FROM l"""
+)
+def correlation_text(spark, sf_dir):
+    return _ordered(spark, reports.correlation_lines(with_copies(activity(spark, sf_dir))), reports.CORRELATION_ORDER)
+
+
+@query(
+    SQL + f""", kept AS (SELECT *, {DOMAIN.format('fullhost')} AS domain FROM (SELECT *, {HOST.format('url')} AS fullhost FROM (SELECT *, row_number() OVER (PARTITION BY url, timestamp_ns, artifact ORDER BY seq) AS rn FROM ev2) WHERE rn = 1))
+SELECT CAST(0 AS BIGINT) AS rank, '{reports.TIMELINE_HEADER}' AS line UNION ALL SELECT row_number() OVER (ORDER BY timestamp_ns = 0, timestamp_ns, seq), concat_ws(',', {STAMP}, browser, artifact, domain, source, {QUOTED.format('description')}, {QUOTED.format('url')}) FROM kept"""
+)
+def correlation_csv(spark, sf_dir):
+    return _ordered(spark, reports.correlation_lines(with_copies(activity(spark, sf_dir)), "csv"), reports.CORRELATION_ORDER, header=reports.TIMELINE_HEADER, suffix="csv")
+
+
+@query("SELECT row_number() OVER (ORDER BY seq, \"offset\", kind, value) - 1 AS rank, seq || ' ' || \"offset\" || ' ' || kind || ' ' || value AS line FROM (" + _planted(*PARTS) + ")")
+def indicators_in_order(spark, sf_dir):
+    found = indicators.all_indicators(evidence.select(spark, sf_dir, TEXTS))
+    line = F.concat_ws(" ", F.col("seq").cast("string"), F.col("offset").cast("string"), "kind", "value")
+    return _ordered(spark, found.withColumn("line", line), ["seq", "offset", "kind", "value"])
+
+
+# Safari's cache
+
+#: Responses, some without a receiver or a blob; half of the bodies stand in files of their own, some of which are gone.
+SAFARI = {
+    "cfurl_cache_response": f"SELECT CAST(floor(page_id / 100) AS BIGINT) AS store, page_id AS entry_ID, url AS request_key FROM {{pages}}",
+    "cfurl_cache_receiver_data": "SELECT CAST(floor(page_id / 100) AS BIGINT) AS store, page_id AS entry_ID, page_id % 2 AS isDataOnFS, CASE WHEN page_id % 2 = 1 THEN concat('UUID-', CAST(page_id AS STRING)) ELSE html END AS receiver_data FROM {pages} WHERE page_id % 9 > 0",
+    "cfurl_cache_blob_data": "SELECT CAST(floor(page_id / 100) AS BIGINT) AS store, page_id AS entry_ID, concat('<plist version=\"1.0\"><dict><key>Array</key><array><string>a</string><string>b</string><real>1.5</real><integer>', CAST(200 + page_id % 3 AS STRING), '</integer><dict><key>Content-Encoding</key><string>', CASE WHEN page_id % 4 = 0 THEN 'gzip' ELSE 'identity' END, '</string></dict><string>-</string><string>text/html</string></array></dict></plist>') AS response_object FROM {pages} WHERE page_id % 8 > 0",
+}
+
+
+@query(
+    "WITH p AS (SELECT *, page_id % 9 > 0 AS received, page_id % 8 > 0 AS answered, page_id % 2 = 1 AND page_id % 9 > 0 AS beside FROM pages), b AS (SELECT *, CASE WHEN NOT received THEN '' WHEN beside AND page_id % 11 = 0 THEN '' ELSE html END AS body FROM p) "
+    "SELECT page_id AS entry, url, CASE WHEN answered THEN CAST(200 + page_id % 3 AS INT) END AS status, CASE WHEN answered THEN 'text/html' END AS content_type, CASE WHEN answered THEN CASE WHEN page_id % 4 = 0 THEN 'gzip' ELSE 'identity' END END AS content_encoding, sha256(body) AS body_sha256, sha256(body) AS decoded_sha256, "
+    "CASE WHEN beside AND page_id % 11 = 0 THEN 'no file UUID-' || page_id WHEN answered AND page_id % 4 = 0 AND body <> '' THEN 'stored unpacked though its encoding is gzip' END AS note FROM b"
+)
+def safari_cache_entries(spark, sf_dir):
+    folder = scratch_path(spark, "safari")
+    stores = evidence.sqlite_stores({t: evidence.select(spark, sf_dir, sql) for t, sql in SAFARI.items()}, "s").withColumn("path", F.concat("path", F.lit("/Cache.db")))
+    pages = table(spark, sf_dir, "pages").where("page_id % 2 = 1 AND page_id % 11 > 0")
+    beside = pages.select(F.concat(F.lit("s/"), F.floor(F.col("page_id") / 100).cast("string"), F.lit("/fsCachedData/UUID-"), F.col("page_id").cast("string")).alias("path"), F.col("html").cast("binary").alias("content"))
+    evidence.write_files(stores.unionByName(beside), folder)
+    databases = evidence_files(spark, folder + "/s/*/Cache.db")
+    found = safari_cache.safari_cache(databases)
+    return found.select("entry", "url", "status", "content_type", "content_encoding", F.sha2("body", 256).alias("body_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.regexp_replace("note", "no file .*/", "no file ").alias("note"))
+
+
+# catalog and schemas
+
+_KEYS = {"chain_end": "BOOLEAN", "from_visit": "BIGINT", "is_redirect": "BOOLEAN", "k": "BIGINT", "profile": "BIGINT", "redirect_kind": "STRING", "url": "STRING", "visit_id": "BIGINT"}
+_KEY_SQL = SQL + ", n AS (SELECT artifact, count(*) AS events FROM ev GROUP BY 1), a AS (" + " UNION ALL ".join(f"SELECT artifact, '{k}' AS key, '{t}' AS type, count({k}) AS n FROM ev GROUP BY 1" for k, t in _KEYS.items()) + ")"
+
+
+@query(_KEY_SQL + " SELECT artifact, key, type, n, events, n = events AS required FROM a JOIN n USING (artifact) WHERE n > 0")
+def artifact_keys(spark, sf_dir):
+    return catalog.artifact_keys(activity(spark, sf_dir))
+
+
+_KNOWN = ", ".join(f"('{a[0]}', '{a[1]}', '{a[2]}')" for a in ARTIFACTS)
+
+
+@query(
+    _KEY_SQL + f", q AS (SELECT artifact, string_agg(key, ',' ORDER BY key) AS keys FROM a WHERE n > 0 GROUP BY 1), k(artifact, evidence_source, state) AS (VALUES {_KNOWN}) SELECT artifact, evidence_source, state, coalesce(events, 0) AS events, coalesce(keys, '') AS keys FROM k FULL JOIN n USING (artifact) LEFT JOIN q USING (artifact)"
+)
+def artifact_catalog(spark, sf_dir):
+    return catalog.catalog(activity(spark, sf_dir)).withColumn("keys", F.array_join("keys", ","))
+
+
+_COMMON = ",".join(f'"{k}":{{"type":"{t}"}}' for k, t in catalog.COMMON.items())
+
+
+@query(
+    _KEY_SQL + ", p AS (SELECT artifact, string_agg('\"' || key || '\":{\"type\":\"' || CASE type WHEN 'BIGINT' THEN 'integer' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'string' END || '\"}', ',' ORDER BY key) AS properties, string_agg('\"' || key || '\"', ',' ORDER BY key) FILTER (WHERE n = events) AS needed FROM a JOIN n USING (artifact) WHERE n > 0 GROUP BY 1) "
+    f"SELECT artifact, '{{\"title\":\"' || artifact || '\",\"type\":\"object\",\"properties\":{{{_COMMON},\"attrs\":{{\"type\":\"object\",\"properties\":{{' || properties || '}},\"required\":[' || coalesce(needed, '') || ']}}}}}}' AS line FROM p"
+)
+def artifact_schemas(spark, sf_dir):
+    return catalog.json_schemas(activity(spark, sf_dir))
 
 
 @query("SELECT sha256(html) || '  p' || page_id AS line FROM pages")
@@ -334,36 +488,121 @@ def resolved_references(spark, sf_dir):
 PAGES = "SELECT page_id, concat('https://h', CAST(page_id AS STRING), '.example/d/') AS url, concat('<html><link rel=\"stylesheet\" href=\"s', CAST(page_id AS STRING), '.css\"><link rel=\"next\" href=\"n\"><script src=\"/j.js\"></script><img src=\"i.png\" srcset=\"a.png 1x, b.png 2x\"><p style=\"background:url(../bg.png)\">', CAST(page_id AS STRING), '</p><a href=\"away\">x</a>') AS html FROM {pages}"
 
 
+#: A page's style sheet, which has an image of its own.
+STYLE = "concat('p{{background:url(\"i.png\")}} /* ', CAST(page_id AS STRING), ' */')".replace("{{", "{").replace("}}", "}")
+
+
 def _resources(spark, sf_dir):
-    made = evidence.select(spark, sf_dir, PAGES).where("page_id % 2 = 0")
-    return cache.resource_index(made.select(F.col("page_id").alias("seq"), F.concat("url", F.lit("i.png#z")).alias("url"), F.lit("image/png").alias("content_type"), F.lit("PNG").cast("binary").alias("body")))
+    made = evidence.select(spark, sf_dir, PAGES)
+    images = made.where("page_id % 2 = 0").select(F.col("page_id").alias("seq"), F.concat("url", F.lit("i.png#z")).alias("url"), F.lit("image/png").alias("content_type"), F.lit("PNG").cast("binary").alias("body"))
+    sheets = made.where("page_id % 3 = 0").select(F.col("page_id").alias("seq"), F.concat("url", F.lit("s"), F.col("page_id").cast("string"), F.lit(".css")).alias("url"), F.lit("text/css").alias("content_type"), F.expr(STYLE).cast("binary").alias("body"))
+    return cache.resource_index(images.unionByName(sheets))
 
 
-@query("SELECT page_id, k.kind, replace(k.ref, '@', CAST(page_id AS VARCHAR)) AS ref, 'https://h' || page_id || '.example' || replace(k.path, '@', CAST(page_id AS VARCHAR)) AS url, k.ref = 'i.png' AND page_id % 2 = 0 AS found FROM pages, (VALUES ('link', 's@.css', '/d/s@.css'), ('script', '/j.js', '/j.js'), ('media', 'i.png', '/d/i.png'), ('media', 'a.png', '/d/a.png'), ('media', 'b.png', '/d/b.png'), ('style_url', '../bg.png', '/bg.png')) k(kind, ref, path)")
+@query("SELECT page_id, k.kind, replace(k.ref, '@', CAST(page_id AS VARCHAR)) AS ref, 'https://h' || page_id || '.example' || replace(k.path, '@', CAST(page_id AS VARCHAR)) AS url, (k.ref = 'i.png' AND page_id % 2 = 0) OR (k.kind = 'link' AND page_id % 3 = 0) AS found FROM pages, (VALUES ('link', 's@.css', '/d/s@.css'), ('script', '/j.js', '/j.js'), ('media', 'i.png', '/d/i.png'), ('media', 'a.png', '/d/a.png'), ('media', 'b.png', '/d/b.png'), ('style_url', '../bg.png', '/bg.png')) k(kind, ref, path)")
 def page_resources(spark, sf_dir):
     return cache.rebuilt(evidence.select(spark, sf_dir, PAGES), _resources(spark, sf_dir))
 
 
-@query(f"WITH p AS ({PAGES}) SELECT page_id, CASE WHEN page_id % 2 = 0 THEN replace(html, '\"i.png\"', '\"data:image/png;base64,' || base64('PNG'::BLOB) || '\"') ELSE html END AS html FROM p")
+_PNG = "'data:image/png;base64,' || base64('PNG'::BLOB)"
+
+
+@query(
+    f"WITH p AS ({PAGES}), r AS (SELECT page_id, html, CASE WHEN page_id % 2 = 0 THEN replace({STYLE}, 'i.png', {_PNG}) ELSE {STYLE} END AS style FROM p), s AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN replace(html, '\"s' || page_id || '.css\"', '\"data:text/css;base64,' || base64(encode(style)) || '\"') ELSE html END AS html FROM r) "
+    f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN replace(html, '\"i.png\"', '\"' || {_PNG} || '\"') ELSE html END AS html FROM s".replace("STRING", "VARCHAR")
+)
 def rebuilt_pages(spark, sf_dir):
     return cache.with_local_copies(evidence.select(spark, sf_dir, PAGES), _resources(spark, sf_dir))
 
 
+#: Ten sheets a site, each importing the next; in every third site the last imports the first. Half of the images are there.
+SHEETS = (
+    "SELECT g, k, concat('https://s.example/', CAST(g AS STRING), '/') AS base, concat(CASE WHEN k < 9 THEN concat('@import \"', CAST(k + 1 AS STRING), '.css\"; ') WHEN g % 3 = 0 THEN '@import url(0.css); ' ELSE '' END, 'a[url(i', CAST(k % 4 AS STRING), '.png)] b[url( gone.gif )]') AS text "
+    "FROM (SELECT CAST(floor(page_id / 10) AS BIGINT) AS g, CAST(page_id % 10 AS BIGINT) AS k FROM {pages})"
+)
+_SHEET_SQL = f"""WITH RECURSIVE s0 AS ({SHEETS.replace('STRING', 'VARCHAR')}), s1 AS (SELECT *, count(*) OVER (PARTITION BY g) = 10 AND g % 3 = 0 AS ring, max(k) OVER (PARTITION BY g) AS top FROM s0),
+s AS (SELECT *, replace(replace(text, '(i0.png)', '(data:image/png;base64,' || base64('PNG0'::BLOB) || ')'), '(i1.png)', '(data:image/png;base64,' || base64('PNG1'::BLOB) || ')') AS own FROM s1),
+t AS (SELECT g, k, own AS made FROM s WHERE ring OR k = top UNION ALL SELECT s.g, s.k, replace(s.own, '"' || t.k || '.css"', '"data:text/css;base64,' || base64(encode(t.made)) || '"') FROM t JOIN s ON s.g = t.g AND s.k = t.k - 1 AND NOT s.ring)"""
+
+
+def _sheets(spark, sf_dir):
+    made = evidence.select(spark, sf_dir, SHEETS)
+    sheets = made.select(F.concat("base", F.col("k").cast("string"), F.lit(".css")).alias("url"), F.lit("text/css").alias("content_type"), F.col("text").cast("binary").alias("body"))
+    images = made.where("k < 2").select(F.concat("base", F.lit("i"), F.col("k").cast("string"), F.lit(".png")).alias("url"), F.lit("image/png").alias("content_type"), F.concat(F.lit("PNG"), F.col("k").cast("string")).cast("binary").alias("body"))
+    return stylesheets.inlined_sheets(cache.resource_index(sheets.unionByName(images).withColumn("seq", F.lit(0))))
+
+
+@query(_SHEET_SQL + " SELECT 'https://s.example/' || g || '/' || k || '.css' AS key, made AS text FROM t")
+def inlined_sheets(spark, sf_dir):
+    return _sheets(spark, sf_dir)[0].select("key", "text")
+
+
 @query(
-    "WITH " + ", ".join(f"{t} AS ({evidence.duckdb(sql)})" for t, sql in (("urls", rq.URLS), ("visits", rq.VISITS), ("moz_places", rq.PLACES), ("cookies", rq.COOKIES))) + ", f AS (SELECT 'Chromium' AS browser, 'History' AS artifact FROM visits v JOIN urls u ON u.id = v.url AND u.store = v.store WHERE visit_time > 0 "
-    "UNION ALL SELECT 'Chromium', 'Cookies' FROM cookies WHERE creation_utc > 0) SELECT browser, artifact, count(*) AS events FROM f GROUP BY 1, 2"
+    _SHEET_SQL + " SELECT 'https://s.example/' || g || '/' || k || '.css' AS sheet, ref, reason FROM (SELECT g, k, 'gone.gif' AS ref, 'missing' AS reason FROM s UNION ALL SELECT g, k, 'i' || k % 4 || '.png', 'missing' FROM s WHERE k % 4 > 1 OR k % 4 > top "
+    "UNION ALL SELECT g, k, (k + 1) % 10 || '.css', 'cycle' FROM s WHERE ring UNION ALL SELECT g, k, (k + 1) || '.css', 'missing' FROM s WHERE k = top AND k < 9)"
+)
+def sheet_gaps(spark, sf_dir):
+    return _sheets(spark, sf_dir)[1].select("sheet", "ref", "reason")
+
+
+# profiles anywhere in a tree
+
+#: Ten files a home: in the usual places of browsers, or too deep, or without what marks a profile; some are links.
+HOMES = (
+    "SELECT concat('/img/', CASE WHEN g % 2 = 0 THEN 'Users' ELSE 'home' END, '/u', CAST(g AS STRING), '/', CASE k WHEN 0 THEN 'AppData/Local/Google/Chrome/User Data/Default/History' WHEN 1 THEN '.config/vivaldi/Profile 1/History' WHEN 2 THEN '.config/vivaldi/Profile 1/Cache/History' WHEN 3 THEN '.mozilla/firefox/x.default/places.sqlite' "
+    "WHEN 4 THEN 'Library/Safari/History.db' WHEN 5 THEN 'AppData/Local/Microsoft/Windows/WebCache/WebCacheV01.dat' WHEN 6 THEN '.config/opera/History' WHEN 7 THEN '.config/chromium/Profile 2/History' WHEN 8 THEN 'Library/Application Support/Arc/User Data/Default/History' ELSE 'x/.mozilla/firefox/y/History' END) AS path, k = 7 AND g % 4 = 1 AS link "
+    "FROM (SELECT CAST(floor(event_id / 10) AS BIGINT) AS g, CAST(event_id % 10 AS BIGINT) AS k FROM {events})"
 )
+
+
+@query(
+    f"WITH h AS ({HOMES.replace('STRING', 'VARCHAR')}), p AS (SELECT *, row_number() OVER () AS i FROM h), m(mark, browser, brand, profile) AS (VALUES ('/Google/Chrome/User Data/Default/History', 'Chromium', 'Chrome', 'Default'), ('/vivaldi/Profile 1/History', 'Chromium', 'Vivaldi', 'Profile 1'), ('/x.default/places.sqlite', 'Firefox', 'Firefox', 'x.default'), "
+    "('/Safari/History.db', 'Safari', 'Safari', 'Default'), ('/WebCacheV01.dat', 'InternetExplorer', 'IE', 'WebCache'), ('/chromium/Profile 2/History', 'Chromium', 'Chromium', 'Profile 2'), ('/Arc/User Data/Default/History', 'Chromium', 'Arc', 'Default')) "
+    "SELECT DISTINCT browser, brand, profile, regexp_replace(path, '/[^/]*$', '') AS path, array_to_string(string_split(path, '/')[1:4], '/') AS home, string_split(path, '/')[4] AS \"user\" FROM p JOIN m ON ends_with(path, mark) WHERE NOT link"
+)
+def home_profiles(spark, sf_dir):
+    return discovery.home_profiles(evidence.select(spark, sf_dir, HOMES))
+
+
+#: Ten entries a tree, three folders deeper each: files that mark a profile (which ones differs by tree), embedded browsers, links, and others.
+TREES = (
+    "SELECT g, k, concat('/ev/t', CAST(g AS STRING), CASE WHEN g % 5 = 4 THEN '/Slack' ELSE '' END, repeat('/d', CAST(k * 3 AS INT)), CASE WHEN k < g % 7 THEN '/notes.txt' WHEN k % 3 = 0 THEN '/Network/Cookies' WHEN k % 3 = 1 THEN '/places.sqlite' WHEN g % 2 = 0 THEN '/old.jsonlz4' ELSE '/IndexedDB/x/1' END) AS path, g % 11 = 3 AND k = g % 7 AS link "
+    "FROM (SELECT CAST(floor(event_id / 10) AS BIGINT) AS g, CAST(event_id % 10 AS BIGINT) AS k FROM {events}) UNION ALL SELECT CAST(floor(event_id / 10) AS BIGINT), -1, concat('/ev/t', CAST(floor(event_id / 10) AS BIGINT), '/d/d/d/d'), true FROM {events} WHERE event_id % 130 = 0"
+)
+
+
+@query(
+    f"""WITH f AS ({TREES.replace('STRING', 'VARCHAR')}), l AS (SELECT g, path FROM f WHERE link), v AS (SELECT f.g, f.path FROM f WHERE NOT link AND NOT EXISTS (SELECT 1 FROM l WHERE l.g = f.g AND starts_with(f.path, l.path || '/'))),
+c AS (SELECT g, regexp_replace(path, '/[^/]*$', '') AS dir, CASE WHEN ends_with(path, '/Cookies') THEN 0 ELSE 1 END AS rank FROM v WHERE regexp_matches(path, '/(Cookies|places.sqlite|old.jsonlz4)$') UNION ALL SELECT g, regexp_replace(path, '/Network/Cookies$', ''), 0 FROM v WHERE ends_with(path, '/Network/Cookies')
+  UNION ALL SELECT g, regexp_replace(path, '/IndexedDB/x/1$', ''), 2 FROM v WHERE ends_with(path, '/IndexedDB/x/1') AND contains(path, '/Slack')),
+d AS (SELECT g, dir, min(rank) AS rank FROM c WHERE len(string_split(dir, '/')) - 2 <= 24 GROUP BY 1, 2)
+SELECT dir AS path, CASE rank WHEN 1 THEN 'Firefox' ELSE 'Chromium' END AS browser, string_split(dir, '/')[-1] AS name, CASE WHEN contains(dir, '/Slack') THEN 'Slack' END AS app, CASE WHEN contains(dir, '/Slack') THEN 'Slack' END AS vendor, CASE WHEN contains(dir, '/Slack') THEN 'Electron' END AS kind
+FROM d WHERE NOT EXISTS (SELECT 1 FROM d u WHERE u.g = d.g AND starts_with(d.dir, u.dir || '/'))"""
+)
+def swept_containers(spark, sf_dir):
+    return discovery.swept_containers(evidence.select(spark, sf_dir, TREES), "/ev")
+
+
+PROFILE = (*rq.NAMES, *rq.PLACED)
+
+
+@query(rq.expected_profile(PROFILE))
 def read_profile(spark, sf_dir):
-    made = lambda name, **t: evidence.sqlite_stores({k: evidence.select(spark, sf_dir, sql) for k, sql in t.items()}).withColumn("path", F.concat("path", F.lit(f"/{name}")))
-    files = made("History", urls=rq.URLS, visits=rq.VISITS).unionByName(made("Cookies", cookies=rq.COOKIES)).unionByName(made("unknown.db", urls=rq.URLS))
-    files = files.withColumn("modificationTime", F.timestamp_seconds(F.lit(1_700_000_000)))
-    return dispatch.read_all(files, ("History", "Cookies")).groupBy("browser", "artifact").agg(F.count("*").alias("events"))
+    """Every reader of the dispatch, over a profile of all stores, row by row; files of other names are there too."""
+    files = rq.profile_files(spark, sf_dir, PROFILE)
+    other = files.where(F.col("path").endswith("/History")).withColumn("path", F.concat("path", F.lit(".bak")))
+    return rq.shown(dispatch.read_all(files.unionByName(other)))
+
 
+RESIDUE = ("chromium_network_state", "chromium_reporting", "chromium_transport_security", "chromium_bounces", "firefox_site_security")
 
-@query(f"WITH b AS ({evidence.duckdb(rq._BOUNCE)}) SELECT site AS domain, 'bounces' AS source_artifact, count(*) AS n FROM b WHERE site <> '' GROUP BY 1")
+
+@query(
+    f"WITH e AS ({rq.expected_profile(RESIDUE)}), k AS (SELECT CASE WHEN regexp_matches(attrs, '(^|; )domain=') THEN regexp_extract(attrs, '(?:^|; )domain=([^;]*)', 1) WHEN regexp_matches(attrs, '(^|; )host=') THEN regexp_extract(attrs, '(?:^|; )host=([^;]*)', 1) END AS domain, "
+    "regexp_extract(attrs, '(?:^|; )source_artifact=([^;]*)', 1) AS source_artifact FROM e) SELECT domain, source_artifact, count(*) AS n FROM k WHERE domain IS NOT NULL GROUP BY 1, 2"
+)
 def recovered_domains(spark, sf_dir):
-    files = evidence.sqlite_stores({"bounces": evidence.select(spark, sf_dir, rq._BOUNCE)}).withColumn("path", F.concat("path", F.lit("/DIPS")))
-    return dispatch.recovered_domains(files).groupBy("domain", "source_artifact").agg(F.count("*").alias("n"))
+    return dispatch.recovered_domains(rq.profile_files(spark, sf_dir, RESIDUE)).groupBy("domain", "source_artifact").agg(F.count("*").alias("n"))
 
 
 # interpretations
@@ -440,3 +679,11 @@ def detect_files(spark, sf_dir):
 @query(f"SELECT folder AS path, CASE min(CASE name WHEN 'History' THEN 1 WHEN 'places.sqlite' THEN 2 WHEN 'History.db' THEN 3 END) WHEN 1 THEN 'Chromium profile' WHEN 2 THEN 'Firefox profile' WHEN 3 THEN 'Safari profile' ELSE 'browser evidence directory (home/image layout)' END AS kind, CASE WHEN count(*) FILTER (WHERE name IN ('History', 'places.sqlite', 'History.db')) > 0 THEN 'high' ELSE 'medium' END AS confidence FROM (SELECT regexp_replace(path, '/[^/]+$', '') AS folder, list_last(string_split(path, '/')) AS name FROM ({evidence.duckdb(rq.PATHS)})) GROUP BY 1")
 def detect_folders(spark, sf_dir):
     return detection.detect_folders(evidence.select(spark, sf_dir, rq.PATHS))
+
+
+@query(
+    SQL + f", t AS ({ORACLE_SQL['tamper_indicators']}) SELECT (SELECT count(*) FROM ({ORACLE_SQL['home_profiles']})) AS profiles, (SELECT count(*) FROM ev) AS events, (SELECT count(*) FROM t) AS integrity, (SELECT count(*) FROM ({ORACLE_SQL['carved_hits']})) AS carved"
+)
+def triage_counts(spark, sf_dir):
+    carved = QUERIES["carved_hits"](spark, sf_dir)
+    return reports.triage_counts(activity(spark, sf_dir), QUERIES["home_profiles"](spark, sf_dir), QUERIES["tamper_indicators"](spark, sf_dir), carved)

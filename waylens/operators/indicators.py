@@ -2,47 +2,120 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from waylens.functions import arrays
 from waylens.functions import urls as ur
 from waylens.operators.search import URL, text_fields
+from waylens.plans.scratch import spread
+from waylens.sources.windows import scan, whole_files
 
 EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IPV4 = r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"
 CARD = r"\b[0-9]{13,19}\b"
 ETHEREUM = r"\b0x[0-9a-fA-F]{40}\b"
-IPV6 = r"(?<![0-9A-Fa-f:])(?=[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:)[0-9A-Fa-f:]{2,39}(?![0-9A-Fa-f:])"
+IPV6 = r"(?<![0-9A-Fa-f:])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{2,39}(?![0-9A-Fa-f:])"
 BASE58 = r"\b[13][1-9A-HJ-NP-Za-km-z]{25,34}\b"
 BECH32 = r"\b(?i:bc1)[0-9A-Za-z]{11,87}\b"
+OCTETS = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}"
+#: Hits that a task holds before it passes them on.
+HELD = 1 << 16
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """Structs s, e, v of a pattern's matches; places are UTF-8 bytes."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return arrays.let(found, lambda m: F.when(F.size(m) > 0, arrays.spans(m, F.split(text, pattern, -1), F.octet_length)).otherwise(F.array().cast("array<struct<s:int,e:int,v:string>>")))
-
+def _found(rows: DataFrame, text: str, *kinds: str) -> DataFrame:
+    """``kind, value, offset`` beside the other columns: what holds of each kind in a text, in tasks over Arrow batches.
 
-def _found(rows: DataFrame, text: str, pattern: str) -> DataFrame:
-    """A row for each match: its value and byte offset."""
+    A text is asked for a sign that the kind can't do without before its pattern is tried, and candidates are tested right
+    away. A null text has no hits.
+    """
     rest = [c for c in rows.columns if c != text]
-    return rows.select(*rest, F.explode(_matches(F.col(text), pattern)).alias("__x")).select(*rest, F.col("__x.v").alias("value"), F.col("__x.s").cast("long").alias("offset"))
+    result = StructType([*[rows.schema[c] for c in rest], StructField("kind", StringType()), StructField("value", StringType()), StructField("offset", LongType())])
+
+    def run(batches):
+        tried = [(k, *KINDS[k]) for k in kinds]
+        for batch in batches:
+            at, hits = [], []
+
+            def out():
+                columns = [batch.column(c).take(pa.array(at, pa.int64())) for c in rest]
+                own = zip(*hits, strict=True) if hits else ((), (), ())
+                made = [pa.array(list(x), t) for x, t in zip(own, (pa.string(), pa.string(), pa.int64()), strict=True)]
+                return pa.RecordBatch.from_arrays([*columns, *made], names=result.names)
+
+            for i, value in enumerate(batch.column(text)):
+                content = value.as_py()
+                if not content:
+                    continue
+                size = _sizes(content)
+                for kind, sign, find, holds in tried:
+                    if sign in content or (sign != sign.upper() and sign.upper() in content):
+                        for start, candidate in find(content):
+                            if holds is None or holds(candidate):
+                                at.append(i)
+                                hits.append((kind, candidate, size(start)))
+                if len(hits) > HELD:
+                    yield out()
+                    at, hits = [], []
+            yield out()
+
+    return spread(rows.select(*rest, text)).mapInArrow(run, result)
+
+
+def _sizes(text: str):
+    """A function from a place in the text to the UTF-8 bytes before it; fast for places that rise."""
+    if text.isascii():
+        return lambda at: at
+    last = [0, 0]
+
+    def size(at: int) -> int:
+        if at < last[0]:
+            last[:] = [0, 0]
+        last[1] += len(text[last[0] : at].encode("utf-8", "surrogatepass"))
+        last[0] = at
+        return last[1]
+
+    return size
+
+
+def _pattern(pattern: str):
+    found = re.compile(pattern).finditer
+    return lambda text: ((m.start(), m[0]) for m in found(text))
+
+
+LOCAL_PART = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+
+
+def _mails(text: str):
+    """What EMAIL matches, found from each ``@`` backwards, so that long runs without one cost nothing."""
+    done = 0
+    while (at := text.find("@", done)) >= 0:
+        start = done + len(text[done:at].rstrip(LOCAL_PART))
+        domain = _DOMAIN.match(text, at) if start < at else None
+        done = domain.end() if domain else at + 1
+        if domain:
+            yield start, text[start:done]
+
+
+def _luhn(digits: str) -> bool:
+    return (sum(map(int, digits[-1::-2])) + sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])) % 10 == 0
 
 
 def emails(rows: DataFrame, text: str = "text") -> DataFrame:
-    return _found(rows, text, EMAIL)
+    return _found(rows, text, "email").drop("kind")
 
 
 def ipv4(rows: DataFrame, text: str = "text") -> DataFrame:
     """Four octets up to 255 without leading zeros."""
-    return _found(rows, text, IPV4).where(F.col("value").rlike(OCTETS))
+    return _found(rows, text, "ipv4").drop("kind")
 
 
 def cards(rows: DataFrame, text: str = "text") -> DataFrame:
-    return _found(rows, text, CARD).where(F.call_function("luhn_check", "value"))
+    return _found(rows, text, "card").drop("kind")
 
 
 def _ethereum_note(value: Column) -> Column:
@@ -51,7 +124,7 @@ def _ethereum_note(value: Column) -> Column:
 
 
 def ethereum(rows: DataFrame, text: str = "text") -> DataFrame:
-    return _found(rows, text, ETHEREUM).withColumn("note", _ethereum_note(F.col("value")))
+    return _found(rows, text, "eth").drop("kind").withColumn("note", _ethereum_note(F.col("value")))
 
 
 def _is_ipv6(value: str) -> bool:
@@ -96,57 +169,41 @@ def _is_bech32(value: str) -> bool:
     return check == (BECH32_SUM if data[0] == "q" else BECH32M_SUM)
 
 
-TESTS = {"ipv6": _is_ipv6, "btc_base58": _is_base58, "btc_bech32": _is_bech32}
-
-
-@F.pandas_udf(BooleanType())
-def _passes(kinds: pd.Series, values: pd.Series) -> pd.Series:
-    """Whether a value passes the test of its kind; null values of other kinds aren't looked at."""
-    return pd.Series([None if v is None else TESTS[k](v) for k, v in zip(kinds, values, strict=True)], dtype="object")
-
-
 def ipv6(rows: DataFrame, text: str = "text") -> DataFrame:
     """IPv6 addresses that the standard parser accepts."""
-    return _found(rows, text, IPV6).where(_passes(F.lit("ipv6"), F.col("value")))
+    return _found(rows, text, "ipv6").drop("kind")
 
 
 def bitcoin(rows: DataFrame, text: str = "text") -> DataFrame:
     """Base58 addresses with a right double-SHA-256 checksum, and Bech32 or Bech32m ones with a right polynomial."""
-    kinds = {"btc_base58": BASE58, "btc_bech32": BECH32}
-    out = None
-    for kind, pattern in kinds.items():
-        found = _found(rows, text, pattern).where(_passes(F.lit(kind), F.col("value"))).withColumn("kind", F.lit(kind))
-        out = found if out is None else out.unionByName(found)
-    return out
+    return _found(rows, text, "btc_base58", "btc_bech32")
 
 
-#: What each kind looks like; some are tested further.
-KINDS = {"email": EMAIL, "ipv4": IPV4, "ipv6": IPV6, "card": CARD, "btc_base58": BASE58, "btc_bech32": BECH32, "eth": ETHEREUM}
-OCTETS = r"^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$"
+#: Of each kind: what a text must contain to have one (in any case of the letters), how candidates are found, and their test.
+KINDS = {
+    "email": ("@", _mails, None), "ipv4": (".", _pattern(IPV4), re.compile(OCTETS).fullmatch), "ipv6": (":", _pattern(IPV6), _is_ipv6), "card": ("", _pattern(CARD), _luhn),
+    "btc_base58": ("", _pattern(BASE58), _is_base58), "btc_bech32": ("1", _pattern(BECH32), _is_bech32), "eth": ("0x", _pattern(ETHEREUM), None), "search_term": ("://", _pattern(URL.replace(r"\s", r" \t-\r")), None),
+}
 
 
 def all_indicators(rows: DataFrame, text: str = "text", kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
-    """Indicators of all ``kinds`` and search terms of URLs: the other columns, ``kind, value, offset, note``.
+    """Indicators of ``kinds``, search terms of URLs among them: the other columns, ``kind, value, offset, note``.
 
-    A text is read once: its matches of every kind become one array, which is exploded and tested.
+    A text is read once for all kinds. URLs are interpreted, and notes made, as columns afterwards. Null and empty texts have
+    no indicators, repeated rows have theirs each.
     """
-    rest = [c for c in rows.columns if c != text]
-
-    def tagged(kind: str) -> Column:
-        return F.transform(_matches(F.col(text), KINDS[kind]), lambda x: F.struct(F.lit(kind).alias("kind"), x["v"].alias("value"), x["s"].cast("long").alias("offset"), F.lit(None).cast("string").alias("note")))
+    found = _found(rows, text, *kinds)
+    kind, value = F.col("kind"), F.col("value")
+    if "search_term" in kinds:
+        term = F.when(kind == "search_term", ur.search_query(value))
+        found = found.withColumn("__term", term).withColumn("value", F.when(kind == "search_term", F.col("__term.term")).otherwise(value)).where("value IS NOT NULL")
+    note = F.when(kind == "card", "Luhn-valid").when(kind == "eth", _ethereum_note(value)).when(kind.isin("btc_base58", "btc_bech32"), "checksum-valid")
+    return found.withColumn("note", F.coalesce(note, F.col("__term.engine")) if "search_term" in kinds else note).drop("__term")
 
-    def searched(x: Column) -> Column:
-        found = ur.search_query(x["v"])
-        return F.struct(F.lit("search_term").alias("kind"), found["term"].alias("value"), x["s"].cast("long").alias("offset"), found["engine"].alias("note"))
 
-    terms = F.when(F.contains(F.col(text), F.lit("://")), F.transform(_matches(F.col(text), URL), searched)).otherwise(F.array().cast("array<struct<kind:string,value:string,offset:bigint,note:string>>"))
-    found = rows.select(*rest, F.explode(F.concat(*[tagged(k) for k in kinds], terms)).alias("__x")).select(*rest, "__x.*").where("value IS NOT NULL")
-    kind, value = F.col("kind"), F.col("value")
-    found = found.where(F.when(kind == "ipv4", value.rlike(OCTETS)).when(kind == "card", F.call_function("luhn_check", value)).otherwise(True))
-    if set(kinds) & set(TESTS):
-        found = found.where(F.coalesce(_passes(kind, F.when(kind.isin(*TESTS), value)), F.lit(True)))
-    note = F.when(kind == "card", "Luhn-valid").when(kind == "eth", _ethereum_note(value)).otherwise(F.col("note"))
-    return found.withColumn("note", note)
+def in_order(found: DataFrame, *keys: str) -> DataFrame:
+    """Indicators sorted by ``keys`` and their place; of those at one place, by kind and value."""
+    return found.orderBy(*keys, "offset", "kind", "value")
 
 
 def event_indicators(events: DataFrame, limit: int | None = None) -> DataFrame:
@@ -155,18 +212,27 @@ def event_indicators(events: DataFrame, limit: int | None = None) -> DataFrame:
     return all_indicators(texts)
 
 
+def url_matches(files: DataFrame) -> DataFrame:
+    """``source, offset, url`` of every URL in raw bytes: windows of ``sources.windows``, or whole files ``path, content``. A URL inside
+    another one is found too; a zero byte ends one."""
+    windows = files if "owned" in files.columns else whole_files(files)
+    return scan(windows, rb"(?=(https?://[^\s\"'<>\x00]+))", "url").where(ur.host_of(F.col("url")).isNotNull())
+
+
 def scanned_urls(files: DataFrame) -> DataFrame:
-    """``source, url`` of raw bytes (``path, content``), once each; a URL inside another one is found too. Zero bytes end one."""
-    text = F.translate(F.make_valid_utf8(F.col("content")), "\0", " ")
-    found = F.regexp_extract_all(text, F.lit(r"(?=(https?://[^\s\"'<>]+))"), F.lit(1))
-    return files.select(F.col("path").alias("source"), F.explode(found).alias("url")).where(ur.host_of(F.col("url")).isNotNull()).distinct()
+    """``source, url`` of what ``url_matches`` finds, once each."""
+    return url_matches(files).select("source", "url").distinct()
+
+
+def cookie_matches(files: DataFrame) -> DataFrame:
+    """``source, offset, cookie`` of what follows each ``Cookie: `` in raw bytes, to the line's end, without blanks around it."""
+    windows = files if "owned" in files.columns else whole_files(files)
+    return scan(windows, rb"(?=Cookie: ([^\r\n]*))", "cookie").withColumn("cookie", F.trim("cookie")).where("cookie <> ''")
 
 
 def scanned_cookies(files: DataFrame) -> DataFrame:
-    """``source, cookie`` of what follows ``Cookie: `` in raw bytes, to the line's end, once each."""
-    text = F.translate(F.make_valid_utf8(F.col("content")), "\0", " ")
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"Cookie: ([^\r\n]*)"), F.lit(1)), lambda x: F.trim(x))
-    return files.select(F.col("path").alias("source"), F.explode(found).alias("cookie")).where("cookie <> ''").distinct()
+    """``source, cookie`` of what ``cookie_matches`` finds, once each."""
+    return cookie_matches(files).select("source", "cookie").distinct()
 
 
 def processes(memory_events: DataFrame) -> DataFrame:

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waylens.functions.text import csv_field
 from waylens.functions.times import rfc3339
-from waylens.functions.urls import host_of
+from waylens.functions.urls import HOST_FIELDS, URL_FIELDS, domain_of, host_of
+from waylens.operators.correlate import host_rollup
+from waylens.operators.timeline import deduplicated
 from waylens.plans.model import attribute
+from waylens.plans.scratch import cut
 
 TOP_DOMAINS, TIMELINE_ROWS = 10, 1000
 
@@ -66,6 +70,57 @@ def html_report(events: DataFrame, findings: DataFrame | None = None, title: str
     return "\n".join(out)
 
 
+#: Fixed value: the header of a unified timeline in CSV.
+TIMELINE_HEADER = "timestamp,browser,artifact,host,source,description,url"
+#: How the lines of a correlation are ordered; see ``correlation_lines``.
+CORRELATION_ORDER = ("section", "first", "second", "third")
+
+
+def correlation_lines(events: DataFrame, form: str = "text", zone: str = "UTC") -> DataFrame:
+    """``section, first, second, third, line`` of the unified timeline and the rollup by registrable domain, in text, JSON (``jsonl``)
+    or CSV (timeline only, without its header ``TIMELINE_HEADER``).
+
+    In the order of the other columns: a head with counts, timed events by time (equal times by ``seq``), untimed ones by
+    ``seq`` (in text behind a head of their own), and hosts by falling number of events. The counts come from one aggregation.
+    """
+    host = F.coalesce(*[domain_of(attribute(events, k)) for k in (*URL_FIELDS, *HOST_FIELDS)], F.lit(""))
+    rows = events.select("seq", "timestamp_ns", "browser", "artifact", "source", "description", F.coalesce(attribute(events, "url"), F.lit("")).alias("url"), host.alias("host"))
+    rows = cut(rows, "correlated")
+    kept = cut(deduplicated(rows), "timeline")
+    counts = kept.agg(F.count_if("timed").alias("timed"), F.count_if(~F.col("timed")).alias("untimed"), F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicates"))
+    none = F.lit(0).cast("long")
+    at = lambda section, first, second, third, line: [F.lit(section).alias("section"), first.alias("first"), second.alias("second"), third.alias("third"), line.alias("line")]
+    place = (F.when(F.col("timed"), F.col("timestamp_ns")).otherwise(none), F.col("seq"), F.lit(""))
+    section = F.when(F.col("timed"), 1).otherwise(3)
+    time = rfc3339(F.col("timestamp_ns"), zone)
+    if form == "csv":
+        line = F.concat_ws(",", *[csv_field(c) for c in (time, F.col("browser"), F.col("artifact"), F.col("host"), F.col("source"), F.col("description"), F.col("url"))])
+        return kept.select(section.alias("section"), *at(0, *place, line)[1:])
+    rollup = host_rollup(rows.where("host <> ''"), F.col("host"))
+    behind = (-F.col("total"), none, F.col("host"))
+    if form == "jsonl":
+        line = F.to_json(F.struct("artifact", "browser", "description", "host", F.lit("event").alias("record"), "source", time.alias("timestamp"), "timestamp_ns", "url"))
+        head = F.to_json(F.struct(F.col("duplicates").alias("duplicates_removed"), F.lit("timeline_summary").alias("record"), "timed", (F.col("timed") + F.col("untimed")).alias("total"), "untimed"))
+        last = F.to_json(F.struct("browsers", "counts", "first_seen_ns", "host", "last_seen_ns", F.lit("host").alias("record"), "total"))
+        parts = [counts.select(*at(0, none, none, F.lit(""), head)), rollup.select(*at(5, *behind, last))]
+    else:
+        line = F.concat(F.lit("["), time, F.lit("] "), "browser", F.lit("/"), "artifact", F.lit(" "), "host", F.lit("  "), "description")
+        number = lambda c: F.col(c).cast("string")
+        head = F.concat(F.lit("== Unified cross-artifact timeline ("), (F.col("timed") + F.col("untimed")).cast("string"), F.lit(" event(s): "), number("timed"), F.lit(" timed, "), number("untimed"), F.lit(" untimed, "), number("duplicates"), F.lit(" duplicate(s) removed) =="))
+        span = F.when(F.col("first_seen_ns").isNull(), "(untimed)").otherwise(F.concat(rfc3339(F.col("first_seen_ns"), zone), F.lit(".."), rfc3339(F.col("last_seen_ns"), zone)))
+        kinds = F.array_join(F.transform(F.array_sort(F.map_entries("counts")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), " ")
+        last = F.concat(F.lit("  "), "host", F.lit("  total="), number("total"), F.lit("  "), span, F.lit("  ["), F.array_join("browsers", ", "), F.lit("]  "), kinds)
+        hosts = rollup.agg(F.count("*").alias("n"))
+        parts = [
+            counts.select(*at(0, none, none, F.lit(""), head)), counts.where("untimed > 0").select(*at(2, none, none, F.lit(""), F.concat(F.lit("-- untimed ("), number("untimed"), F.lit(") --")))),
+            hosts.select(*at(4, none, none, F.lit(""), F.lit(""))), hosts.select(*at(4, none + 1, none, F.lit(""), F.concat(F.lit("== Per-host rollup ("), number("n"), F.lit(" host(s)) ==")))), rollup.select(*at(5, *behind, last)),
+        ]
+    out = kept.select(section.alias("section"), *at(0, *place, line)[1:])
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
 def bundle_sums(files: DataFrame) -> DataFrame:
     """``line``: SHA-256 and path of each file (``path, content``), as checking tools read them."""
     return files.select(F.concat(F.sha2("content", 256), F.lit("  "), "path").alias("line"))

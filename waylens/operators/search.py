@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waylens.functions.urls import domain_suffixes, host_of
 from waylens.plans.model import ENVELOPE, attribute, with_kinds
+from waylens.plans.scratch import cut
 
 #: A URL in running text.
 URL = r"https?://[^\s\"'<>]+"
 
 #: A bound that callers may give for a field, in UTF-8 bytes.
 FIELD_LIMIT = 1 << 20
+#: Characters of the grams that terms are indexed by, and rows of terms or grams that are broadcast at most (some 50 bytes each).
+GRAM, BROADCAST_ROWS = 4, 400_000
 #: Attributes that name what an event is about, the most telling first, and those that hold bare hosts.
 LOCATORS = ("url", "domain", "origin", "target_path")
 BARE_HOSTS = ("host", "domain", "report_to_host")
@@ -84,8 +87,65 @@ def best_match(events: DataFrame) -> Column:
     return F.coalesce(*[F.when(c != "", c) for c in held], F.col("description"))
 
 
+def read_terms(spark: SparkSession, *paths: str) -> DataFrame:
+    """``term``: the lines of text files without the blanks around them, once each; empty lines and comments go."""
+    line = F.regexp_replace("value", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    return spark.read.text(list(paths)).select(line.alias("term")).where((F.col("term") != "") & ~F.col("term").startswith("#")).distinct()
+
+
+def grams(text: Column, size: int = GRAM) -> Column:
+    """The distinct runs of ``size`` characters of a text, found in one pass over it; a shorter text has none."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+
+def few_rows(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows``, which were written before, to be broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
+def term_matches(texts: DataFrame, terms: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``seq, field, term`` of every text ``seq, field, text`` and ``term`` that it contains, case-sensitively.
+
+    An inverted index over the terms: each is known by its rarest gram of GRAM characters (counted over all texts; a term
+    with a gram that no text has matches nothing), texts are joined by their grams, and what meets is verified. So the plan
+    doesn't grow with the terms, and a text meets few of them in vain. Terms of fewer than GRAM characters are
+    grams themselves. Terms and grams are broadcast if there are at most ``most``; with more, rows of text numbers
+    and grams are shuffled, never the texts. Null texts and terms match nothing, an empty term neither; a repeated
+    term counts once, repeated texts each time.
+    """
+    listed = cut(terms.where("term <> ''").select("term").distinct(), "terms")
+    sizes = {r["size"] for r in listed.select(F.least(F.length("term"), F.lit(GRAM)).alias("size")).distinct().collect()}  # GRAM values
+    rows = texts.where("text IS NOT NULL").select("seq", "field", "text")
+    out = rows.limit(0).select("seq", "field", F.col("text").alias("term"))
+    for size in sorted(sizes - {GRAM}):
+        short = listed.where(F.length("term") == size)
+        out = out.unionByName(rows.select("seq", "field", F.explode(grams(F.col("text"), size)).alias("term")).join(few_rows(short, most), "term"))
+    if GRAM not in sizes:
+        return out
+    owned = cut(listed.where(F.length("term") >= GRAM).select("term", F.explode(grams(F.col("term"))).alias("gram")), "term-grams")
+    asked = few_rows(cut(owned.select("gram").distinct(), "asked-grams"), most)
+    seen = rows.select(F.explode(grams(F.col("text"))).alias("gram")).join(asked, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    counted = owned.join(seen, "gram", "left").select("term", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram").alias("g"))
+    rarest = cut(counted.groupBy("term").agg(F.min("g").alias("g")).where("g.n > 0").select("term", "g.gram"), "rarest-grams")
+    if rarest.count() <= most:
+        met = rows.select("seq", "field", "text", F.explode(grams(F.col("text"))).alias("gram")).join(F.broadcast(rarest), "gram")
+    else:
+        placed = cut(rows.withColumn("__row", F.monotonically_increasing_id()), "numbered-texts")
+        pairs = placed.select("__row", F.explode(grams(F.col("text"))).alias("gram")).join(rarest, "gram").select("__row", "term")
+        met = pairs.join(placed, "__row")
+    return out.unionByName(met.where(F.contains(F.col("text"), F.col("term"))).select("seq", "field", "term"))
+
+
+def find_many(events: DataFrame, terms: DataFrame, fields: list[str] | None = None, limit: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
+    """What ``find_hits`` gives, for a table of terms of any size: a row for each event and ``term`` that it contains."""
+    texts = events.select("seq", F.explode(text_fields(events, fields, limit)).alias("x")).select("seq", "x.field", "x.text")
+    found = term_matches(texts, terms, most).select("seq", "term").distinct()
+    return _hits(events.join(found, "seq"), "term", best_match(events), None)
+
+
 def find_hits(events: DataFrame, terms: list[str], fields: list[str] | None = None, limit: int | None = None) -> DataFrame:
-    """A row for each event and term that it contains, with the provenance of its artifact. One pass for all terms."""
+    """A row for each event and term that it contains, with the provenance of its artifact. One pass for a few terms, each a
+    condition of the plan; ``find_many`` takes any number."""
     if fields and all(f in events.columns for f in fields):
         held = [F.when(matches(t, fields, limit=limit), F.lit(t)) for t in terms]
         rows = events.withColumn("term", F.explode(F.filter(F.array(*held), lambda x: x.isNotNull())))

@@ -55,10 +55,10 @@ def sqlite_bytes(rows: Iterable[tuple[str, list[str], str]]) -> bytes:
     return data
 
 
-def sqlite_stores(tables: dict[str, DataFrame], folder: str = "profile") -> DataFrame:
+def sqlite_stores(tables: dict[str, DataFrame] | list[tuple[str, DataFrame]], folder: str = "profile") -> DataFrame:
     """``path, content``: a SQLite file for each value of ``store``, of the tables' other columns."""
     rows = None
-    for name, df in tables.items():
+    for name, df in tables.items() if isinstance(tables, dict) else tables:
         columns = [c for c in df.columns if c != "store"]
         own = df.select(F.col("store").cast("string").alias("store"), F.lit(name).alias("name"), F.array(*[F.lit(c) for c in columns]).alias("columns"), F.to_json(F.struct(*columns)).alias("row"))
         rows = own if rows is None else rows.unionByName(own)
@@ -131,3 +131,21 @@ def leveldb_logs(rows: DataFrame, folder: str = "store") -> DataFrame:
         return pa.Table.from_arrays([pa.array([f"{folder}/{key[0].as_py()}/000003.log"]), pa.array([bytes(out)], pa.binary())], schema=arrow)
 
     return cut(rows.select(F.col("store").cast("string").alias("store"), "seq", "key", "value").groupBy("store").applyInArrow(make, schema), "leveldb")
+
+
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Writes each ``path, content`` as a file below ``folder``, in tasks; its ``path``. A task that runs twice writes the same."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        from waylens.sources.ordered import store_of
+
+        for batch in batches:
+            made = []
+            for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                store, place = store_of(f"{folder}/{path}")
+                store.create_dir(place.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(place) as out:
+                    out.write(content)
+                made.append(f"{folder}/{path}")
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], names=["path"])
+
+    return cut(files.select("path", "content").mapInArrow(run, "path string"), "written")

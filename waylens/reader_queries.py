@@ -17,6 +17,9 @@ from waylens.sources import binary, json_readers, leveldb, readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: The stores of the cases: SQL of a database's tables, or a function that makes other files.
+STORES: dict[str, dict[str, str]] = {}
+FILES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 STORE = "CAST(floor(event_id / 2500) AS BIGINT) AS store"
 #: A time in WebKit and Unix microseconds and seconds, and in seconds since 2001, of an event.
@@ -48,6 +51,7 @@ def case(name: str, tables: dict[str, str], rows: str, browser: str, artifact: s
         files = evidence.sqlite_stores({t: evidence.select(spark, sf_dir, sql) for t, sql in tables.items()})
         return shown(readers.read_files(files, name))
 
+    STORES[name] = tables
     QUERIES[f"read_{name}"] = run
     ORACLE_SQL[f"read_{name}"] = expected(tables, rows, browser, artifact, ns, description, attrs)
 
@@ -206,12 +210,15 @@ def file_case(name: str, reader: Callable[[DataFrame], DataFrame], tables: dict[
     rows of one store come as the array ``r``; ``more`` is further DuckDB SQL of expected events."""
     first = next(iter(tables.values()))
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         made = evidence.select(spark, sf_dir, first)
         grouped = made.groupBy("store").agg(F.sort_array(F.collect_list(F.struct(*[c for c in made.columns if c != "store"]))).alias("r"))
-        files = grouped.select(F.expr(located).alias("path"), F.expr(content).alias("content"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("modificationTime"))
-        return shown(reader(files))
+        return grouped.select(F.expr(located).alias("path"), F.expr(content).alias("content"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("modificationTime"))
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return shown(reader(files(spark, sf_dir)))
 
+    FILES[name] = files
     QUERIES[f"read_{name}"] = run
     sql = expected(tables, rows, browser, artifact, ns, description, attrs)
     ORACLE_SQL[f"read_{name}"] = sql if more is None else f"{sql} UNION ALL {more}"
@@ -300,15 +307,18 @@ file_case(
 _BOUNCE = f"{_SITE} AS site, CASE WHEN event_id % 2 = 0 THEN {WEBKIT} END AS first_site_storage_time, CASE WHEN event_id % 3 = 0 THEN {WEBKIT} + 7 END AS last_user_interaction_time, event_id AS other FROM {{events}}"
 
 
+STORES["chromium_bounces"] = {"bounces": _BOUNCE}
+
+
 def read_chromium_bounces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = readers.chromium_bounces(evidence.sqlite_stores({"bounces": evidence.select(spark, sf_dir, _BOUNCE)}))
-    return found.select("timestamp_ns", "artifact", "description", F.get_json_object("attrs_json", "$.host").alias("host"))
+    return shown(readers.chromium_bounces(evidence.sqlite_stores({"bounces": evidence.select(spark, sf_dir, _BOUNCE)})))
 
 
 QUERIES["read_chromium_bounces"] = read_chromium_bounces
+_TIMES = "concat_ws(',', '\"first_site_storage_time\":\"' || first_site_storage_time || '\"', '\"last_user_interaction_time\":\"' || last_user_interaction_time || '\"')"
 ORACLE_SQL["read_chromium_bounces"] = (
-    f"WITH b AS ({evidence.duckdb(_BOUNCE)}), w AS (SELECT site, coalesce(last_user_interaction_time, first_site_storage_time, 0) AS t FROM b WHERE site <> '') "
-    f"SELECT CAST(CASE WHEN t > 0 THEN {ns_of_webkit('t')} ELSE 0 END AS BIGINT) AS timestamp_ns, 'RecoveredDomain' AS artifact, 'site state ' || site AS description, site AS host FROM w"
+    f"WITH b AS ({evidence.duckdb(_BOUNCE)}), w AS (SELECT *, coalesce(last_user_interaction_time, first_site_storage_time, 0) AS t FROM b WHERE site <> '') "
+    f"SELECT CAST(CASE WHEN t > 0 THEN {ns_of_webkit('t')} ELSE 0 END AS BIGINT) AS timestamp_ns, 'Chromium' AS browser, 'RecoveredDomain' AS artifact, 'site state ' || site AS description, 'host=' || site || '; source_artifact=bounces; times={{' || {_TIMES} || '}}' AS attrs FROM w"
 )
 
 
@@ -319,6 +329,11 @@ def line_case(name: str, reader: Callable[[SparkSession, str], DataFrame], line:
         evidence.select(spark, sf_dir, line).write.text(path)
         return shown(reader(spark, path))
 
+    def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+        made = evidence.select(spark, sf_dir, line).groupBy((F.abs(F.hash("line")) % 5).alias("store")).agg(F.array_join(F.collect_list("line"), "\n").alias("text"))
+        return made.select(F.concat(F.lit("profile/"), F.col("store").cast("string")).alias("path"), F.col("text").cast("binary").alias("content"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("modificationTime"))
+
+    FILES[name] = files
     QUERIES[f"read_{name}"] = run
     ORACLE_SQL[f"read_{name}"] = expected({"l": line}, rows, browser, artifact, ns, description, attrs)
 
@@ -355,7 +370,7 @@ _WEB = f"SELECT {STORE}, event_id, user_id % 40 AS site, event_type, CASE WHEN e
 _ORIGIN = "concat('https://h', CAST(site AS STRING), '.example')"
 
 
-def read_chromium_local_storage(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _local_storage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of changing length and encoding, deleted ones, times of origins that change, and records of other shapes."""
     web = evidence.select(spark, sf_dir, _WEB)
     number = F.col("event_id")
@@ -365,10 +380,14 @@ def read_chromium_local_storage(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = lambda n: F.hex((F.shiftright(number, 7 * n).bitwiseAND(127) + 128).cast("long"))
     times = web.where("event_id % 3 = 0").select("store", (number + 1_000_000).alias("seq"), F.concat(F.lit("META:").cast("binary"), F.expr(_ORIGIN).cast("binary")).alias("key"), F.unhex(F.concat(F.lit("08"), low(0), low(1), low(2), F.lit("8080808018"))).alias("value"))
     other = web.where("event_id % 100 = 1").select("store", (number + 2_000_000).alias("seq"), F.lit("VERSION").cast("binary").alias("key"), F.lit("1").cast("binary").alias("value"))
-    found = leveldb.local_storage(evidence.leveldb_logs(data.unionByName(times).unionByName(other)))
-    return shown(found)
+    return evidence.leveldb_logs(data.unionByName(times).unionByName(other))
+
+
+def read_chromium_local_storage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(leveldb.local_storage(_local_storage(spark, sf_dir)))
 
 
+FILES["chromium_local_storage"] = _local_storage
 QUERIES["read_chromium_local_storage"] = read_chromium_local_storage
 ORACLE_SQL["read_chromium_local_storage"] = (
     f"WITH w AS ({evidence.duckdb(_WEB)}), m AS (SELECT store, site, max(event_id) AS meta FROM w WHERE event_id % 3 = 0 GROUP BY 1, 2), d AS (SELECT w.*, meta, 'https://h' || site || '.example' AS origin, CASE WHEN gone = 1 THEN '' ELSE repeat(event_type, CAST(event_id % 50 + 1 AS INT)) END AS v FROM w LEFT JOIN m USING (store, site)) "
@@ -377,16 +396,58 @@ ORACLE_SQL["read_chromium_local_storage"] = (
 )
 
 
-def read_chromium_session_storage(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _session_storage(spark: SparkSession, sf_dir: str) -> DataFrame:
     web = evidence.select(spark, sf_dir, _WEB)
     number = F.col("event_id")
     data = web.select("store", number.alias("seq"), F.concat(F.lit("map-"), F.col("site").cast("string"), F.lit("-k"), number.cast("string")).cast("binary").alias("key"), F.when(F.col("gone") == 0, F.encode(F.concat(F.col("event_type"), F.lit("é")), "UTF-16LE")).alias("value"))
     owners = web.where("event_id % 50 = 7").select("store", (number + 1_000_000).alias("seq"), F.concat(F.lit("namespace-a_b-h"), number.cast("string"), F.lit(".example")).cast("binary").alias("key"), F.col("site").cast("string").cast("binary").alias("value"))
-    return shown(leveldb.session_storage(evidence.leveldb_logs(data.unionByName(owners))))
+    return evidence.leveldb_logs(data.unionByName(owners))
+
+
+def read_chromium_session_storage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(leveldb.session_storage(_session_storage(spark, sf_dir)))
 
 
+FILES["chromium_session_storage"] = _session_storage
 QUERIES["read_chromium_session_storage"] = read_chromium_session_storage
 ORACLE_SQL["read_chromium_session_storage"] = (
     f"WITH w AS ({evidence.duckdb(_WEB)}), o AS (SELECT store, site, 'h' || max(event_id) || '.example' AS host FROM w WHERE event_id % 50 = 7 GROUP BY 1, 2), d AS (SELECT w.*, host, CASE WHEN gone = 1 THEN '' ELSE event_type || 'é' END AS v FROM w LEFT JOIN o USING (store, site)) "
     "SELECT CAST(0 AS BIGINT) AS timestamp_ns, 'Chromium' AS browser, 'LocalStorage' AS artifact, coalesce(host, '<unknown host>') || ' — k' || event_id || ' = ' || v AS description, concat_ws('; ', 'deleted=' || (gone = 1), 'host=' || host, 'key=k' || event_id, 'map_id=' || site, 'record=map', 'seq=' || event_id, 'storage_type=session_storage', 'value=' || v) AS attrs FROM d"
 )
+
+# whole profiles
+
+#: What the stores of each case are called in a profile; the history without visits isn't read there.
+NAMES = {
+    "chromium_visits": "History", "chromium_downloads": "History", "chromium_cookies": "Network/Cookies", "extension_cookies": "Extension Cookies", "chromium_autofill": "Web Data", "chromium_logins": "Login Data", "chromium_favicons": "Favicons",
+    "chromium_top_sites": "Top Sites", "chromium_shortcuts": "Shortcuts", "chromium_predictions": "Network Action Predictor", "chromium_cards": "Web Data", "chromium_server_cards": "Web Data", "chromium_tokens": "Web Data", "chromium_profiles": "Web Data",
+    "chromium_media": "Media History", "chromium_reporting": "Network/Reporting and NEL", "chromium_bounces": "DIPS", "chromium_bookmarks": "Bookmarks", "chromium_network_state": "Network/Network Persistent State",
+    "chromium_transport_security": "TransportSecurity", "chromium_local_state": "Local State", "firefox_visits": "places.sqlite", "firefox_bookmarks": "places.sqlite", "firefox_downloads": "places.sqlite", "firefox_annotations": "places.sqlite", "firefox_typed": "places.sqlite",
+    "firefox_cookies": "cookies.sqlite", "firefox_autofill": "formhistory.sqlite", "firefox_permissions": "permissions.sqlite", "firefox_local_storage": "webappsstore.sqlite", "firefox_logins": "logins.json", "firefox_extensions": "extensions.json",
+    "firefox_session": "recovery.js", "firefox_preferences": "prefs.js", "firefox_site_security": "SiteSecurityServiceState.txt", "safari_history": "History.db", "safari_cookies": "Cookies.db", "safari_bookmarks": "Bookmarks.plist", "safari_downloads": "Downloads.plist",
+    "safari_extensions": "Extensions.plist", "safari_top_sites": "TopSites.plist",
+}
+#: Cases whose files keep their names, below what folder.
+PLACED = {"chromium_extensions": "", "chromium_local_storage": "Local Storage/leveldb/", "chromium_session_storage": "Session Storage/"}
+
+
+def profile_files(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> DataFrame:
+    """The stores of the cases ``names`` in folders of their own, as ``path, content, modificationTime``. All databases are made in
+    one job."""
+    # both readers of annotations read every places.sqlite, so theirs is made once
+    names = tuple(n for n in names if n != "firefox_annotations" or "firefox_downloads" not in names)
+    tables = [(t, evidence.select(spark, sf_dir, sql).withColumn("store", F.concat_ws("/", F.lit(n), F.col("store").cast("string"), F.lit(NAMES[n])))) for n in names if n in STORES for t, sql in STORES[n].items()]
+    files = None
+    if tables:
+        files = evidence.sqlite_stores(tables).withColumn("modificationTime", F.timestamp_seconds(F.lit(1_700_000_000)))
+    for n in (n for n in names if n in FILES):
+        own = FILES[n](spark, sf_dir)
+        path = F.concat(F.lit(f"{n}/"), "path", F.lit("/" + NAMES[n])) if n in NAMES else F.concat(F.lit(f"{n}/"), F.regexp_replace("path", "/([^/]+)$", f"/{PLACED[n]}$1"))
+        own = own.select(path.alias("path"), "content", F.timestamp_seconds(F.lit(1_700_000_000)).alias("modificationTime"))
+        files = own if files is None else files.unionByName(own)
+    return files
+
+
+def expected_profile(names: tuple[str, ...]) -> str:
+    """What SQL says about these cases: the columns of ``shown``."""
+    return " UNION ALL ".join(f"SELECT timestamp_ns, browser, artifact, description, attrs FROM ({ORACLE_SQL[f'read_{n}']})" for n in names)

@@ -12,6 +12,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from waylens.functions.urls import normalize_url, resolve_ref
+from waylens.plans.scratch import cut
+from waylens.sources.stylesheets import BUDGET, base64, inlined_sheets, replaced, within_budget
 
 #: The numbers that an entry file begins with and that end each of its streams, and flags of an end.
 HEADER, END = 0xFCFB6D1BA7725C30, 0xF4FA6F45970D41D8
@@ -149,17 +151,20 @@ def rebuilt(pages: DataFrame, index: DataFrame) -> DataFrame:
     return needed.join(held, "key", "left").select("page_id", "kind", "ref", "url", F.coalesce("__held", F.lit(False)).alias("found"))
 
 
-def with_local_copies(pages: DataFrame, index: DataFrame) -> DataFrame:
+def with_local_copies(pages: DataFrame, index: DataFrame, budget: int = BUDGET) -> DataFrame:
     """``page_id, html``: pages whose script, style and media references to resources in the cache are data URLs, so that a page
-    is one file; references without a resource stay. A page's resources meet in one row, as its file does."""
-    data = F.concat(F.lit("data:"), F.coalesce("content_type", F.lit("application/octet-stream")), F.lit(";base64,"), F.base64("body"))
-    needed = page_resources(pages).withColumn("key", normalize_url(F.col("url"))).join(index.select("key", data.alias("data")), "key")
-    own = needed.groupBy("page_id").agg(F.collect_set(F.struct("ref", "data")).alias("r"))
-
-    def put(html: Column, x: Column) -> Column:
-        for a, b in (('"', '"'), ("'", "'"), ("(", ")")):
-            html = F.replace(html, F.concat(F.lit(a), x["ref"], F.lit(b)), F.concat(F.lit(a), x["data"], F.lit(b)))
-        return html
+    is one file; references without a resource stay.
 
+    Style sheets come with their own references inlined (``stylesheets.inlined_sheets``). A page takes resources in the order of
+    their places as long as they stay within ``budget`` bytes, which bounds what meets in its row; later ones stay as they are.
+    """
+    sheets, _ = inlined_sheets(index, budget)
+    content = index.join(sheets, "key", "left").select("key", F.coalesce("content_type", F.lit("application/octet-stream")).alias("type"), F.coalesce(F.col("text").cast("binary"), "body").alias("body"))
+    content = cut(content.withColumn("size", F.octet_length("body").cast("long")), "contents")
+    needed = page_resources(pages).withColumn("key", normalize_url(F.col("url")))
+    places = needed.join(pages.select("page_id", "html"), "page_id").select("page_id", "ref", "key", F.instr("html", F.col("ref")).alias("at")).distinct()
+    fits = within_budget(places.join(content.select("key", "size"), "key"), "page_id", budget).where("fits")
+    data = F.concat(F.lit("data:"), "type", F.lit(";base64,"), base64("body"))
+    own = fits.join(content, "key").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("at", "ref", data.alias("data")))).alias("taken"))
     rows = pages.select("page_id", "html").join(own, "page_id", "left")
-    return rows.select("page_id", F.when(F.col("r").isNull(), F.col("html")).otherwise(F.aggregate("r", F.col("html"), put)).alias("html"))
+    return rows.select("page_id", F.when(F.col("taken").isNull(), F.col("html")).otherwise(replaced(F.col("html"), F.col("taken"))).alias("html"))

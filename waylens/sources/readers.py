@@ -238,21 +238,39 @@ def safari_cookies(t: Tables) -> DataFrame:
     return events(rows, tm.core_data_seconds(c("creation")), "Safari", "Cookies", F.concat(c("domain"), F.lit(" — "), c("name")), host=c("domain"), name=c("name"), path=c("path"), expiry=c("expiry"), is_secure=c("is_secure") != 0, is_httponly=c("is_httponly") != 0)
 
 
-def firefox_preferences(spark: SparkSession, path: str) -> DataFrame:
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``source, value``: the lines of text files below a path."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("source"), "value")
+
+
+def lines_of(files: DataFrame) -> DataFrame:
+    """The same of files whose content is a column."""
+    return files.select(F.col("path").alias("source"), F.explode(F.split(F.make_valid_utf8("content"), "\r?\n")).alias("value"))
+
+
+def preference_lines(lines: DataFrame) -> DataFrame:
     """``user_pref("name", value);`` lines."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("source"), F.regexp_extract("value", r'^\s*user_pref\("([^"]+)",\s*(.*)\);\s*$', 1).alias("name"), F.regexp_extract("value", r'^\s*user_pref\("([^"]+)",\s*(.*)\);\s*$', 2).alias("setting"))
-    rows = lines.where("name <> ''")
+    shape = r'^\s*user_pref\("([^"]+)",\s*(.*)\);\s*$'
+    rows = lines.select("source", F.regexp_extract("value", shape, 1).alias("name"), F.regexp_extract("value", shape, 2).alias("setting")).where("name <> ''")
     return events(rows, F.lit(0), "Firefox", "Preferences", F.concat(c("name"), F.lit(" = "), c("setting")), name=c("name"), value=F.regexp_replace("setting", '^"|"$', ""))
 
 
-def firefox_site_security(spark: SparkSession, path: str) -> DataFrame:
+def site_security_lines(lines: DataFrame) -> DataFrame:
     """Tab-separated lines whose key ends in ``:HSTS``; last access in days, expiry in ms."""
     parts = F.split("value", "\t")
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("source"), F.get(parts, F.lit(0)).alias("key"), F.get(parts, F.lit(2)).try_cast("long").alias("days"), F.get(F.split(F.get(parts, F.lit(3)), ","), F.lit(0)).try_cast("long").alias("expiry"))
+    rows = lines.select("source", F.get(parts, F.lit(0)).alias("key"), F.get(parts, F.lit(2)).try_cast("long").alias("days"), F.get(F.split(F.get(parts, F.lit(3)), ","), F.lit(0)).try_cast("long").alias("expiry"))
     rows = rows.where(F.col("key").endswith(":HSTS")).withColumn("host", F.regexp_replace("key", "(\\^.*)?:HSTS$", ""))
     return events(rows, tm.unix_seconds(F.coalesce(c("days"), F.lit(0)) * 86400), "Firefox", "RecoveredDomain", F.concat(F.lit("HSTS "), c("host")), host=c("host"), expiry_ms=c("expiry"), source_artifact=F.lit("site_security"))
 
 
+def firefox_preferences(spark: SparkSession, path: str) -> DataFrame:
+    return preference_lines(text_lines(spark, path))
+
+
+def firefox_site_security(spark: SparkSession, path: str) -> DataFrame:
+    return site_security_lines(text_lines(spark, path))
+
+
 def chromium_bookmarks(files: DataFrame) -> DataFrame:
     """URL nodes of Chromium's bookmark trees (``path, content``), walked in tasks file by file."""
     import json

@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
-from waylens.plans.scratch import cut
+from waylens.plans.scratch import cut, scratch_path
 
 ROWS = 4096
+#: A file's content of more bytes goes on at once.
+RAW_BYTES = 1 << 20
 #: A database's first bytes, and the two magic numbers of a write-ahead log, whose last bit is the byte order of its sums.
 MAGIC, WAL_MAGIC = b"SQLite format 3", (0x377F0682, 0x377F0683)
 
@@ -30,12 +32,15 @@ def evidence_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
 
-def _with_logs(files: DataFrame) -> DataFrame:
-    """``path, content, wal`` of the files that are no companions. Only databases with a log travel to it."""
+def _with_logs(files: DataFrame, *more: str) -> DataFrame:
+    """``path, content, wal`` and the columns ``more`` of the files that are no companions. Only databases with a log travel to it;
+    which ones have one is read from the listing, so without logs the files are scanned once."""
     wal = files.where(F.col("path").endswith("-wal")).select(F.regexp_replace("path", "-wal$", "").alias("path"), F.col("content").alias("wal"))
-    own = files.where(~F.col("path").rlike("-(wal|shm|journal)$")).select("path", "content")
+    own = files.where(~F.col("path").rlike("-(wal|shm|journal)$")).select("path", "content", *more)
     logged = wal.select("path").distinct()
-    alone = own.join(logged, "path", "left_anti").withColumn("wal", F.lit(None).cast("binary"))
+    if logged.isEmpty():
+        return own.select("path", "content", F.lit(None).cast("binary").alias("wal"), *more)
+    alone = own.join(logged, "path", "left_anti").select("path", "content", F.lit(None).cast("binary").alias("wal"), *more)
     return alone.unionByName(own.join(logged, "path", "left_semi").join(wal, "path"))
 
 
@@ -111,6 +116,25 @@ def _cast(value, kind: pa.DataType):
     return value if isinstance(value, str) else value.decode("utf-8", "replace") if isinstance(value, bytes) else str(value)
 
 
+def _table_rows(db, name: str, columns: StructType, kind: pa.StructType) -> Iterator[list[dict]]:
+    """The rows of a table in lists: missing columns are null, rows of another type are left out."""
+    have = {r[1].decode() for r in db.execute(f'PRAGMA table_info("{name}")')}
+    if not have:
+        return
+    picked = ", ".join(f'"{f.name}"' if f.name in have else "NULL" for f in columns.fields)
+    kinds = [f.type for f in kind]
+    cursor = db.execute(f'SELECT {picked} FROM "{name}"')
+    while rows := cursor.fetchmany(ROWS):
+        kept = []
+        for row in rows:
+            try:
+                kept.append({f.name: _cast(v, k) for f, v, k in zip(columns.fields, row, kinds, strict=True)})
+            except (TypeError, ValueError):
+                continue
+        if kept:
+            yield kept
+
+
 def sqlite_tables(files: DataFrame, tables: dict[str, str]) -> dict[str, DataFrame]:
     """Rows of each table in each of ``files``: ``source`` (the file's path) and the columns of its DDL.
 
@@ -126,22 +150,9 @@ def sqlite_tables(files: DataFrame, tables: dict[str, str]) -> dict[str, DataFra
         for path, db in _opened(batches):
             for at, (name, columns) in enumerate(wanted.items(), 1):
                 try:
-                    have = {r[1].decode() for r in db.execute(f'PRAGMA table_info("{name}")')}
-                    if not have:
-                        continue
-                    kinds = [f.type for f in arrow.field(at).type]
-                    picked = ", ".join(f'"{f.name}"' if f.name in have else "NULL" for f in columns.fields)
-                    cursor = db.execute(f'SELECT {picked} FROM "{name}"')
-                    while rows := cursor.fetchmany(ROWS):
-                        kept = []
-                        for row in rows:
-                            try:
-                                kept.append({f.name: _cast(v, k) for f, v, k in zip(columns.fields, row, kinds, strict=True)})
-                            except (TypeError, ValueError):
-                                continue
-                        if kept:
-                            cells = [pa.array([path] * len(kept)), *[pa.array(kept if i == at else [None] * len(kept), arrow.field(i).type) for i in range(1, len(arrow))]]
-                            yield pa.RecordBatch.from_arrays(cells, schema=arrow)
+                    for kept in _table_rows(db, name, columns, arrow.field(at).type):
+                        cells = [pa.array([path] * len(kept)), *[pa.array(kept if i == at else [None] * len(kept), arrow.field(i).type) for i in range(1, len(arrow))]]
+                        yield pa.RecordBatch.from_arrays(cells, schema=arrow)
                 except sqlite3.Error:
                     continue
 
@@ -151,6 +162,57 @@ def sqlite_tables(files: DataFrame, tables: dict[str, str]) -> dict[str, DataFra
     return {t: rows.where(F.col(t).isNotNull()).select("source", f"{t}.*") for t in tables}
 
 
+def routed(files: DataFrame, tables: dict[str, tuple[int, str, str]], raw: set[int]) -> tuple[dict[str, DataFrame], dict[int, DataFrame]]:
+    """Files of many kinds in one scan, by their column ``route``: rows of tables, and whole files for other readers.
+
+    ``tables`` has, by a key, the route of the databases, a table and its DDL; each key's rows come back as ``sqlite_tables`` has
+    them. Files of the routes ``raw`` come back as ``path, content, modificationTime``, a database with its log laid over it.
+    All of it is written once, a folder a key, and whoever asks for a key reads that folder.
+    """
+    wanted = {k: (route, t, StructType.fromDDL(ddl)) for k, (route, t, ddl) in tables.items()}
+    keys = list(wanted)
+    fixed = StructType.fromDDL("source string, content binary, modificationTime timestamp")
+    schema = StructType([StructField("kind", StringType()), *fixed.fields, *[StructField(k, s) for k, (_, _, s) in wanted.items()]])
+    arrow = to_arrow_schema(schema)
+
+    def batch_of(kinds: list[str], sources: list[str], whole: list | None = None, at: int | None = None, values: list | None = None) -> pa.RecordBatch:
+        n = len(sources)
+        cells = [pa.array(kinds), pa.array(sources), *[pa.array([w[i] for w in whole], arrow.field(2 + i).type) if whole else pa.nulls(n, arrow.field(2 + i).type) for i in (0, 1)]]
+        cells += [pa.array(values, f.type) if i == at else pa.nulls(n, f.type) for i, f in enumerate(list(arrow)[4:])]
+        return pa.RecordBatch.from_arrays(cells, schema=arrow)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import sqlite3
+
+        databases = {w[0] for w in wanted.values()}
+        for batch in batches:
+            held: list[tuple] = []
+            for i, (path, route, changed) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("path", "route", "modificationTime")), strict=True)):
+                if route in raw:
+                    data, log = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+                    held.append((f"file{route}", path, overlaid(data, log) if log and data else data, changed))
+                if len(held) == ROWS or sum(len(h[2] or b"") for h in held[-1:]) > RAW_BYTES:
+                    yield batch_of([h[0] for h in held], [h[1] for h in held], [h[2:] for h in held])
+                    held = []
+                for _, db in _opened([batch.slice(i, 1)]) if route in databases else ():
+                    for at, key in enumerate(keys):
+                        if wanted[key][0] != route:
+                            continue
+                        try:
+                            for kept in _table_rows(db, *wanted[key][1:], arrow.field(4 + at).type):
+                                yield batch_of([key] * len(kept), [path] * len(kept), None, at, kept)
+                        except sqlite3.Error:
+                            continue
+            if held:  # contents of one batch, which Spark bounds
+                yield batch_of([h[0] for h in held], [h[1] for h in held], [h[2:] for h in held])
+
+    place = scratch_path(files.sparkSession, "routed")
+    _with_logs(files, "modificationTime", "route").mapInArrow(run, schema).write.partitionBy("kind").parquet(place)
+    rows = files.sparkSession.read.schema(schema).parquet(place)
+    found = {k: rows.where(F.col("kind") == k).select("source", f"{k}.*") for k in keys}
+    return found, {r: rows.where(F.col("kind") == f"file{r}").select(F.col("source").alias("path"), "content", "modificationTime") for r in raw}
+
+
 def sqlite_table(files: DataFrame, table: str, columns: str) -> DataFrame:
     return sqlite_tables(files, {table: columns})[table]
 
