@@ -54,23 +54,53 @@ def test_window_stays_short():
     assert sum(sizes) == 20_000 and max(sizes) <= 6 * own.longest
 
 
+def test_commits_of_usual_and_long_texts(documents, library):
+    own = pieces.Pieces(piece_model())
+    usual = [r.text for r in documents.limit(40).collect()]
+    words = sum(len(own.segments.findall(own.normalized(t))) for t in usual)
+    assert [x.tolist() for x in own.encode(usual)] == library.encode(usual)
+    assert own.commits > 500 and own.widest <= 4 * own.longest + pieces.CHUNK  # what is remembered isn't committed again
+    runs = ["ab1-" * 40_000, "x" * 100_000, "ab1-" * 39_999 + " y"]
+    before, own.widest = own.commits, 0
+    assert [x.tolist() for x in own.encode(runs)] == library.encode(runs)
+    assert own.commits - before > 10_000 and own.widest <= 4 * own.longest + pieces.CHUNK and words > 1000
+    part = " ".join(usual)
+    long = (part + "\n") * (1 + 50_000_000 // len(part))
+    found = own.encode([long])[0]
+    assert len(long) >= 50_000_000 and own.widest <= 4 * own.longest + pieces.CHUNK
+    once = library.encode(part + "\n" + part)
+    assert found[: len(once) - 40].tolist() == once[: len(once) - 40] and own.decode(found[:5000].tolist()) == long[: len(own.decode(found[:5000].tolist()))]
+
+
+def test_one_object_for_both_uses(documents, library):
+    own = pieces.Pieces(piece_model())
+    texts = some_texts(documents)[:60]
+    for _ in range(2):
+        assert [int(c[-1]) if len(c) else 0 for c in token_counts.prefix_counts(own, texts)] == [len(x) for x in library.encode(texts)]
+        assert [x.tolist() for x in own.encode(texts)] == library.encode(texts)
+
+
 def test_prefix_counts(documents, library):
     texts = some_texts(documents)
     own = pieces.Pieces(piece_model())
     rng = random.Random(2)
     for text, counts in zip(texts, token_counts.prefix_counts(own, texts), strict=True):
         assert len(counts) == len(text)
+        stored = token_counts.packed(counts)
         for n in rng.sample(range(1, len(text) + 1), min(8, len(text))):
-            assert counts[n - 1] == len(library.encode(text[:n])) == token_counts.tokens_of(counts.tobytes(), n)
-        keep = token_counts.longest_prefix(counts.tobytes(), 20)
+            assert counts[n - 1] == len(library.encode(text[:n])) == token_counts.tokens_of(stored, n)
+        keep = token_counts.longest_prefix(stored, 20)
         assert keep == max((n for n in range(len(text) + 1) if n == 0 or counts[n - 1] <= 20), default=0)
 
 
 def test_count_tokens_and_encode(odd, library):
     want = sorted(((r.doc_id or -1), len((r.text or "").encode()), len(library.encode(r.text or ""))) for r in odd.collect())
-    got = token_counts.count_tokens(odd, piece_model(), limit=100).collect()
+    got = token_counts.budgeted(token_counts.count_tokens(odd, piece_model()), 100).collect()
     assert sorted(((r.doc_id or -1), r.n_bytes, r.n_tokens) for r in got) == want
-    assert all(r.over_limit == (r.n_tokens > 100) for r in got)
+    texts = {((r.doc_id or -1), len((r.text or "").encode())): r.text or "" for r in odd.collect()}
+    for r in got:
+        text = texts[(r.doc_id or -1), r.n_bytes]
+        assert r.over_limit == (r.n_tokens > 100) and len(library.encode(text[: r.limit_chars])) <= 100 and (r.limit_chars == len(text) or len(library.encode(text[: r.limit_chars + 1])) > 100)
     ids = pieces.encode_documents(odd, piece_model()).collect()
     assert sorted(((r.doc_id or -1), r.n_tokens) for r in ids) == sorted((a, c) for a, _, c in want)
     assert all(r.round_trip is None for r in ids if r.ids is None) and sum(r.round_trip is False for r in ids) == 1

@@ -66,20 +66,25 @@ def unit(key: Column) -> Column:
     return (F.conv(F.substring(key, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def text_slices(batch, rows: int):
-    """Slices of an Arrow batch, whose second column is a text, of at most ``rows`` texts and, but for a single longer one,
-    LIST_BYTES of them."""
-    import pyarrow.compute as pc
-
-    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+def size_cuts(sizes: list[int], rows: int):
+    """Start and number of runs of at most ``rows`` sizes that, but for a single larger one, add up to LIST_BYTES at most."""
     start, held = 0, 0
     for i, size in enumerate(sizes):
         if i > start and (i - start == rows or held + size > LIST_BYTES):
-            yield batch.slice(start, i - start)
+            yield start, i - start
             start, held = i, 0
         held += size
-    if start < batch.num_rows:
-        yield batch.slice(start)
+    if start < len(sizes):
+        yield start, len(sizes) - start
+
+
+def text_slices(batch, rows: int, column: int = 1):
+    """Slices of an Arrow batch, whose ``column`` is a text or binary, of at most ``rows`` of them and, but for a single longer one,
+    LIST_BYTES of them."""
+    import pyarrow.compute as pc
+
+    for start, n in size_cuts(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist(), rows):
+        yield batch.slice(start, n)
 
 
 def map_texts(docs: DataFrame, make, columns: str, id_col: str = "doc_id", text_col: str = "text", rows: int = 256) -> DataFrame:

@@ -13,8 +13,9 @@ What makes a path best depends on the kind of model:
   before it: the surviving path into each position is the BPE encoding of that prefix, and ids equal the library's.
 
 Spaces become U+2581, one is put in front, and characters without a piece become their UTF-8 bytes' pieces. No piece has
-U+2581 after another character, so all paths pass the boundary in front of a word. The stream commits there too, and what
-it commits for a word is kept in a bounded cache.
+U+2581 after another character, so in front of a mark only that boundary can still be pointed at: all paths have converged
+there, and the stream commits up to it. A text is taken in parts of bounded size from one such boundary to another, inside of
+words in chunks. What was committed between two boundaries is remembered, so a lattice runs once for each word met lately.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -32,6 +34,8 @@ from waylens.llm.common import map_texts
 SPACE_MARK = "▁"
 #: Characters that go into the stream at a time, and the most of a word that the cache keeps.
 CHUNK, KEPT = 64, 256
+#: Words of a text that are held at a time, and words that are looked up together.
+PART, TOGETHER = 1 << 16, 1 << 20
 #: A text that other normalizations change: spaces to fold, compositions, compatibility forms, controls.
 PROBE = "  Ａ ﬁ  e\u0301 é ½ ①\t\u200b\u00a0A\n "
 
@@ -72,7 +76,10 @@ class Pieces:
             raise ValueError("a piece has a space mark inside; words can't be encoded apart")
         self.segments = re.compile(f"{SPACE_MARK}+[^{SPACE_MARK}{apart}]*|[^{SPACE_MARK}{apart}]+" + (f"|[{apart}]" if apart else ""))
         self.apart: dict[tuple[str, str], bool] = {}
-        self.size, self.young, self.old = cache, {}, {}
+        #: What is remembered of words, by what it is used for: two generations each, of at most ``cache`` words.
+        self.size, self.memory = cache, {}
+        #: How often the stream has committed, and the widest window it held.
+        self.commits, self.widest = 0, 0
 
     def merged(self, text: str) -> list[str]:
         """BPE of a short string, merge by merge: the best score first, the leftmost of equals."""
@@ -144,7 +151,7 @@ class Pieces:
         """Commits pieces of a normalized text that comes in chunks; the window never exceeds a few times ``longest`` and a
         chunk. ``text``, ``last`` and ``best`` are a prefix that a lattice has passed; it runs on in those lists."""
         bpe, step, longest = self.algorithm == "bpe", self._last_bpe, self.longest
-        last, best, full = [""] if last is None else last, [0.0] if best is None else best, 4 * longest
+        last, best, full = [""] if last is None else last, [0.0] if best is None else best, 2 * longest
         for chunk in chunks:
             text += chunk
             i, n = len(last), len(text)
@@ -156,12 +163,14 @@ class Pieces:
                     last.append(text[i - k : i])
                     best.append(s)
                 if i >= full and i % longest == 0 and (edge := self._converged(last)):
+                    self.commits, self.widest = self.commits + 1, max(self.widest, len(text))
                     yield self._path(last, edge)
                     # what lies before the edge is no longer pointed at by any live position
                     text, i, n = text[edge:], i - edge, n - edge
                     del last[:edge], best[:edge]
                 i += 1
-        if text:
+        if text:  # the next mark, or the text's end: only this boundary is live
+            self.commits, self.widest = self.commits + 1, max(self.widest, len(text))
             yield self._path(last, len(text))
 
     def ids_of(self, piece: str) -> list[int]:
@@ -170,23 +179,49 @@ class Pieces:
             return [i]
         return [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
 
+    def parts(self, text: str) -> Iterator[list[str]]:
+        """The words of a normalized text, from one boundary where all paths meet to the next, PART at a time."""
+        if len(text) <= PART:
+            yield self.segments.findall(text)
+            return
+        found = (m[0] for m in self.segments.finditer(text))
+        while held := list(islice(found, PART)):
+            yield held
+
     def values(self, texts: list, passed) -> list[list]:
         """For each text, ``passed(word, last, out, best)`` for each of its words: a lattice that begins at the word's start,
-        where all paths meet, or has passed a prefix of it.
+        where all paths meet, or has passed a prefix of it. Each ``passed`` has a memory of its own.
 
-        Words not in the cache are taken in sorted order, so that one run of the lattice serves the prefix that neighbours
-        share. The cache has two generations: what is asked for again outlives the clearing of the older one.
+        Words go through TOGETHER at a time, so what is held of a text beside its results has a bound.
+        """
+        rows: list[list] = [[] for _ in texts]
+        waiting, n = [], 0
+        for row, t in zip(rows, texts, strict=True):
+            for own in self.parts(self.normalized(t)) if t else ():
+                waiting.append((row, own))
+                n += len(own)
+                if n >= TOGETHER:
+                    self._answer(waiting, passed)
+                    waiting, n = [], 0
+        self._answer(waiting, passed)
+        return rows
+
+    def _answer(self, waiting: list, passed) -> None:
+        """Adds what ``passed`` gives for each word to the rows that wait for it.
+
+        Words not in the memory are taken in sorted order, so that one run of the lattice serves the prefix that neighbours
+        share. The memory has two generations: what is asked for again outlives the clearing of the older one.
         """
-        young, old, words = self.young, self.old, self.segments.findall
-        found, open_rows, missing = [], [], set()
-        for t in texts:
-            own = words(self.normalized(t)) if t else []
-            row = list(map(young.get, own))
-            new = [(k, own[k]) for k, v in enumerate(row) if v is None]
+        name = passed.__qualname__
+        young, old = self.memory.setdefault(name, ({}, {}))
+        open_rows, missing = [], set()
+        for row, own in waiting:
+            at = len(row)
+            row.extend(map(young.get, own))
+            new = [(at + k, s) for k, s in enumerate(own) if row[at + k] is None]
             if new:  # only words that aren't known yet are held on to
                 open_rows.append((row, new))
                 missing.update(s for _, s in new)
-            found.append(row)
         for s in missing & old.keys():
             young[s] = old.pop(s)
             missing.discard(s)
@@ -210,8 +245,7 @@ class Pieces:
         for s in longer:
             del young[s]
         if len(young) > self.size:
-            self.young, self.old = {}, young
-        return found
+            self.memory[name] = ({}, young)
 
     def _committed(self, word: str, last: list[str], out: list[int], best: list[float]) -> bytes:
         """Ids of a word as the stream commits them."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waylens.llm import importance, jaccard, media, mixing, oracle, pieces, pii, quality, sharding, simhash, token_counts, toxicity, warc, whitening
-from waylens.llm.common import table
+from waylens.llm.common import materialize, table
 
 
 def piece_model() -> str:
@@ -51,8 +51,8 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), piece_model())
-    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit", "limit_chars")
+    counted = materialize(token_counts.count_tokens(table(spark, sf_dir, "documents"), piece_model()), "token-counts")
+    return token_counts.budgeted(counted, 4096).select("doc_id", "n_bytes", "n_tokens", "over_limit", "limit_chars")
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-from waylens.llm.common import materialize, scratch_path, utf8_size
+from waylens.llm.common import materialize, scratch_path, size_cuts, text_slices, utf8_size
 
 #: Fixed values of the seekable format: skippable frame, end of the seek table.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BUNDLE_BYTES, FRAME_BYTES = 16 << 20, 256 << 10
+#: Bundles that one task writes or reads one after the other at most (512 MiB).
+TASK_BUNDLES = 32
 #: Payloads that occur more than once are broadcast (some 60 bytes each) up to this number.
 BROADCAST_ROWS = 500_000
 DATE = "1970-01-01T00:00:00Z"
@@ -146,6 +148,11 @@ def _open(path: str, mode: str):
     return store.open_output_stream(inner, compression=None)
 
 
+def _share(spark, bundles: int) -> int:
+    """How many of so many bundles a task takes: few while they would leave cores idle, at most TASK_BUNDLES."""
+    return max(1, min(TASK_BUNDLES, bundles // (2 * spark.sparkContext.defaultParallelism)))
+
+
 def write_bundles(pages: DataFrame, folder: str, min_revisit: int = 0, bundle_bytes: int = BUNDLE_BYTES, frame_bytes: int = FRAME_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes a record for each row to bundles below ``folder`` (a URI all executors share) and returns the index:
     ``page_id, record_id, bundle, frame, offset, length``.
@@ -174,9 +181,9 @@ def write_bundles(pages: DataFrame, folder: str, min_revisit: int = 0, bundle_by
         at, path, writer = None, "", None
         attempt = TaskContext.get().taskAttemptId()
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
+            for part in text_slices(batch, 256, 2):
                 index = []
-                for page_id, url, payload, size, sha1, refers_to, bundle in zip(*(c.to_pylist() for c in batch.slice(start, 256).columns), strict=True):
+                for page_id, url, payload, size, sha1, refers_to, bundle in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     if bundle != at:
                         if writer:
                             writer.close()
@@ -188,7 +195,9 @@ def write_bundles(pages: DataFrame, folder: str, min_revisit: int = 0, bundle_by
         if writer:
             writer.close()
 
-    spread = rows.repartitionById(n, "bundle").sortWithinPartitions("bundle", "page_id")
+    # a task writes its bundles one after the other
+    share = _share(pages.sparkSession, n)
+    spread = rows.repartitionById(-(-n // share), F.floor(F.col("bundle") / share).cast("int")).sortWithinPartitions("bundle", "page_id")
     return materialize(spread.mapInArrow(write, schema), "warc-index")
 
 
@@ -202,9 +211,9 @@ def read_records(index: DataFrame) -> DataFrame:
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, reader = None, None
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
+            for start, n in size_cuts(batch.column("length").to_pylist(), 256):
                 out = []
-                for page_id, rid, bundle, frame, offset, length in zip(*(c.to_pylist() for c in batch.slice(start, 256).columns), strict=True):
+                for page_id, rid, bundle, frame, offset, length in zip(*(c.to_pylist() for c in batch.slice(start, n).columns), strict=True):
                     if bundle != path:
                         path, reader = bundle, BundleReader(_open(bundle, "r"))
                     fields, payload = parse_record(reader.read(frame, offset, length))
@@ -214,7 +223,11 @@ def read_records(index: DataFrame) -> DataFrame:
                     out.append((page_id, int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"][5:], fields["WARC-Type"], refers and refers[10:-1], fields["WARC-Target-URI"], payload))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
-    ordered = index.select("page_id", "record_id", "bundle", "frame", "offset", "length").repartition(max(1, index.select("bundle").distinct().count()), "bundle").sortWithinPartitions("bundle", "frame", "offset")
+    number = F.coalesce(F.regexp_extract("bundle", "bundle-([0-9]+)-[0-9]+[.]warc", 1).try_cast("int"), F.pmod(F.xxhash64("bundle"), F.lit(1 << 16)).cast("int"))
+    rows = index.select("page_id", "record_id", "bundle", "frame", "offset", "length").withColumn("number", number)
+    n = (rows.agg(F.max("number")).first()[0] or 0) + 1
+    share = _share(index.sparkSession, n)
+    ordered = rows.repartitionById(-(-n // share), F.floor(F.col("number") / share).cast("int")).sortWithinPartitions("bundle", "frame", "offset").drop("number")
     found = ordered.mapInArrow(read, schema)
     return found.withColumn("refers_to", F.col("refers_to").cast(id_type))
 
