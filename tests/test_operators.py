@@ -129,7 +129,8 @@ def test_sessions_over_ranges(spark):
     rng = random.Random(6)
     rows = [(i, rng.choice((1, 1, 1, 1, 2, 3)), rng.randrange(0, 200_000)) for i in range(3000)]
     e = spark.createDataFrame(rows, "seq bigint, profile bigint, timestamp_ns bigint")
-    got = {r.seq: r.session_id for r in timeline.sessionize(e, 100).collect()}
+    got = {r.seq: r.session_id for r in timeline.sessionize(e, 100, most=500).collect()}
+    assert got == {r.seq: r.session_id for r in timeline.sessionize(e, 100).collect()}
     want = {}
     for p in (1, 2, 3):
         own, n = sorted((t, i) for i, q, t in rows if q == p), 0

@@ -18,8 +18,8 @@ from waylens.plans.activity import SQL, activity, table, with_copies
 from waylens.plans.model import ARTIFACTS
 from waylens.plans.scratch import scratch_path
 from waylens.queries import DOMAIN, HOST, KINDS_SQL, QUOTED, STAMP
-from waylens.sources import cache, detection, discovery, dispatch, manifest, ordered, readers, safari_cache, stylesheets, windows
-from waylens.sources.sqlite import evidence_files
+from waylens.sources import cache, detection, discovery, dispatch, manifest, ordered, readers, safari_cache, stylesheets, windows, writers
+from waylens.sources.sqlite import evidence_files, integrity_failures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -74,6 +74,22 @@ for _kind in ("ipv6", "btc", "eth", "search_term"):
     ORACLE_SQL[f"ioc_planted_{_kind}"] = _planted(*_kinds)
 
 
+for _kind, _find in (("ipv6", indicators.ipv6), ("btc", indicators.bitcoin), ("eth", indicators.ethereum)):
+    _kinds = ("btc_base58", "btc_bech32") if _kind == "btc" else (_kind,)
+
+    def _alone(spark, sf_dir, find=_find):
+        return find(evidence.select(spark, sf_dir, TEXTS)).select("seq", "value", "offset")
+
+    QUERIES[f"ioc_{_kind}"] = _alone
+    ORACLE_SQL[f"ioc_{_kind}"] = f'SELECT seq, value, "offset" FROM ({_planted(*_kinds)})'
+
+
+@query("SELECT seq, 'description' AS field, kind, value, \"offset\", note FROM (" + _planted(*PARTS) + ")")
+def event_indicators(spark, sf_dir):
+    rows = evidence.select(spark, sf_dir, TEXTS)
+    return indicators.event_indicators(rows.select("seq", F.lit(1).cast("long").alias("timestamp_ns"), F.lit("Chromium").alias("browser"), F.lit("History").alias("artifact"), F.col("text").alias("description")))
+
+
 @query(SQL + "SELECT seq, f.field, " + HOST.format("url") + " AS host FROM ev, (VALUES ('description'), ('url')) f(field) WHERE regexp_matches(url, '^https?://')")
 def event_hosts(spark, sf_dir):
     return search.event_hosts(activity(spark, sf_dir))
@@ -223,22 +239,36 @@ def logs_present(spark, sf_dir):
 _STORES = {
     "urls": rq.URLS, "visits": rq.VISITS, "sqlite_sequence": f"SELECT DISTINCT {rq.STORE}, 'urls' AS name, CAST(CASE WHEN event_id < 2500 THEN 99999999 ELSE 5 END AS BIGINT) AS seq FROM {{events}}",
     "history_tombstones": f"SELECT {rq.STORE}, concat('https://gone', CAST(event_id AS STRING), '.example/') AS url FROM {{events}} WHERE event_id % 100 = 3",
+    "cookies": f"SELECT {rq.STORE}, event_id AS rowid, {rq.WEBKIT} AS creation_utc, {rq.WEBKIT} + CASE WHEN event_id % 50 = 7 THEN -9 ELSE 9 END AS last_access_utc FROM {{events}}",
 }
+#: When the files were last written: 900 s after the first visit.
+_WRITTEN = 1_705_527_300
 _TAMPER = ", ".join(f"{t} AS ({evidence.duckdb(sql)})" for t, sql in _STORES.items())
 
 
 @query(
     f"WITH {_TAMPER}, v AS (SELECT store, url, count(*) AS n, max(visit_time) AS latest FROM visits GROUP BY 1, 2), r AS (SELECT store, id, visit_time, lag(visit_time) OVER (PARTITION BY store ORDER BY id) AS before FROM visits) "
-    "SELECT 'profile/' || store AS path, tag, 'profile/' || store || ': ' || said AS observation FROM ("
+    f"SELECT 'profile/' || store AS path, tag, 'profile/' || store || ': ' || said AS observation, alternative FROM ("
     "SELECT u.store, 'VisitCountMismatch' AS tag, 'URL ' || u.id || ' claims ' || visit_count || ' visits, ' || coalesce(n, 0) || ' are left' AS said FROM urls u LEFT JOIN v ON v.store = u.store AND v.url = u.id WHERE visit_count > coalesce(n, 0) UNION ALL "
     "SELECT u.store, 'LastVisitMismatch', 'URL ' || u.id || ' claims a last visit at ' || last_visit_time || ', the latest left is at ' || latest FROM urls u JOIN v ON v.store = u.store AND v.url = u.id WHERE last_visit_time > 0 AND last_visit_time <> latest UNION ALL "
     "SELECT store, 'TimestampNonMonotonic', 'row ' || min(id) || ' has time ' || arg_min(visit_time, id) || ', before the time ' || arg_min(before, id) || ' of the row in front of it' FROM r WHERE visit_time < before GROUP BY 1 UNION ALL "
+    f"SELECT store, 'TimestampInFuture', 'row ' || id || ' has time ' || visit_time || ', after the file was last written' FROM visits WHERE visit_time > {_WRITTEN * 1_000_000 + 11_644_473_600_000_000} UNION ALL "
+    "SELECT store, 'CookieTimestampAnomaly', 'cookie ' || rowid || ' was created at ' || (creation_utc - 11644473600000000) * 1000 || ', after its last access at ' || (last_access_utc - 11644473600000000) * 1000 FROM cookies WHERE creation_utc > last_access_utc UNION ALL "
     "SELECT store, 'HistoryTombstoneFound', 'a deletion record names ' || url FROM history_tombstones UNION ALL "
-    "SELECT s.store, 'AutoIncrementGap', seq || ' rows were numbered, the highest left is ' || m FROM sqlite_sequence s JOIN (SELECT store, max(id) AS m FROM urls GROUP BY 1) USING (store) WHERE seq > 5 * m)"
+    "SELECT s.store, 'AutoIncrementGap', seq || ' rows were numbered, the highest left is ' || m FROM sqlite_sequence s JOIN (SELECT store, max(id) AS m FROM urls GROUP BY 1) USING (store) WHERE seq > 5 * m) JOIN (VALUES " + ", ".join(f"('{t}', '{a.replace(chr(39), chr(39) * 2)}')" for t, (_, a) in integrity.TEXTS.items()) + ") x(tag, alternative) USING (tag)"
 )
 def tamper_indicators(spark, sf_dir):
-    files = evidence.sqlite_stores({t: evidence.select(spark, sf_dir, sql) for t, sql in _STORES.items()}).withColumn("modificationTime", F.timestamp_seconds(F.lit(4_000_000_000)))
-    return integrity.tamper_indicators(files).select("path", "tag", "observation")
+    files = evidence.sqlite_stores({t: evidence.select(spark, sf_dir, sql) for t, sql in _STORES.items()}).withColumn("modificationTime", F.timestamp_seconds(F.lit(_WRITTEN)))
+    return integrity.tamper_indicators(files).select("path", "tag", "observation", "alternative")
+
+
+@query(f"SELECT DISTINCT 'profile/' || store AS source FROM ({evidence.duckdb(rq.URLS)}) WHERE store % 2 = 1 AND (SELECT count(*) FROM events) > 2500")
+def broken_databases(spark, sf_dir):
+    """Files whose second page is overwritten in every other store."""
+    files = evidence.sqlite_stores({"urls": evidence.select(spark, sf_dir, rq.URLS)})
+    odd = F.regexp_extract("path", "([0-9]+)$", 1).cast("int") % 2 == 1
+    broken = F.concat(F.expr("substring(content, 1, 4096)"), F.unhex(F.repeat(F.lit("FF"), 64)), F.expr("substring(content, 4161)"))
+    return integrity_failures(files.withColumn("content", F.when(odd, broken).otherwise(F.col("content")))).select("source").distinct()
 
 
 @query("WITH c AS (SELECT user_id % 3 AS f, CASE WHEN event_type = 'click' THEN 'urls' WHEN event_type = 'view' THEN 'visits' ELSE 'other' END AS t, event_id % 2 AS kept FROM events) SELECT 'f' || f AS path, 'RecoveredDeletedHistory' AS tag, t AS \"table\", count(*) FILTER (WHERE kept = 0) AS recovered_rows, count(*) FILTER (WHERE kept = 1 AND t = 'urls') AS live_rows FROM c WHERE t <> 'other' GROUP BY 1, 3")
@@ -594,6 +624,17 @@ def read_profile(spark, sf_dir):
     return rq.shown(dispatch.read_all(files.unionByName(other)))
 
 
+ON_DISK = ("chromium_visits", "firefox_cookies", "chromium_bookmarks", "safari_history")
+
+
+@query(rq.expected_profile(ON_DISK))
+def parse_profile(spark, sf_dir):
+    """A folder of files, read by its path."""
+    folder = scratch_path(spark, "profile")
+    evidence.write_files(rq.profile_files(spark, sf_dir, ON_DISK), folder)
+    return rq.shown(dispatch.parse_profile(spark, folder))
+
+
 RESIDUE = ("chromium_network_state", "chromium_reporting", "chromium_transport_security", "chromium_bounces", "firefox_site_security")
 
 
@@ -624,6 +665,31 @@ def interpreted_urls(spark, sf_dir):
     return evidence.select(spark, sf_dir, SEARCHES).select("event_id", ur.interpret_url(F.col("url")).alias("said"))
 
 
+@query("SELECT page_id, 'Generic' AS engine, 'w' || page_id || ' x' AS term FROM pages WHERE url LIKE '%?%'")
+def search_terms(spark, sf_dir):
+    """Searches on the sites of the pages, which no known engine runs."""
+    rows = table(spark, sf_dir, "pages").where(F.contains("url", F.lit("?")))
+    asked = F.concat(F.regexp_replace("url", "#.*$", ""), F.lit("&q=w"), F.col("page_id").cast("string"), F.lit("+x"))
+    return rows.select("page_id", ur.search_query(asked).alias("s")).where("s IS NOT NULL").select("page_id", "s.engine", "s.term")
+
+
+#: Every option of a search, with what it says.
+OPTIONS = {
+    "'&pws=1'": "'Google personalization turned on'", "'&pws=0'": "'Google personalization turned off'", "concat('&num=', CAST(event_id % 90 + 10 AS STRING))": "'Showing ' || (event_id % 90 + 10) || ' results per page'", "'&filter=1'": "'Omitted results filter on'", "'&filter=0'": "'Similar results filter on'",
+    "'&btnl=1'": "'\"I''m Feeling Lucky\" search on'", "'&safe=active'": "'SafeSearch: active'", "concat('&as_qdr=w', CAST(event_id % 7 + 1 AS STRING))": "'Results in the past ' || (event_id % 7 + 1) || ' weeks'", "'&as_qdr=y'": "'Results in the past year'", "'&tbs=dfn:1'": "'Dictionary definition'", "'&tbs=img'": "'Sites with images'",
+    "concat('&tbs=cdr:1,cd_min:1/2/', CAST(2000 + event_id % 20 AS STRING), ',cd_max:3/4/2030')": "'Results in custom range 1/2/' || (2000 + event_id % 20) || ' - 3/4/2030'", "concat('&biw=', CAST(event_id AS STRING), '&bih=600')": "'Browser screen ' || event_id || 'x600'", "concat('&pq=p', CAST(event_id AS STRING))": "'Previous query: \"p' || event_id || '\"'",
+    "concat('&oq=o', CAST(event_id AS STRING), '&aq=3')": "'Typed \"o' || event_id || '\" before clicking on the third suggestion'", "concat('&oq=o', CAST(event_id AS STRING), '&aq=f')": "'Typed \"o' || event_id || '\" before clicking on a suggestion'", "concat('&as_sitesearch=s', CAST(user_id AS STRING), '.example')": "'Search only s' || user_id || '.example'",
+    "'&as_filetype=pdf'": "'Show only pdf files'", "concat('&sourceid=', event_type)": "'Using ' || event_type", "''": "NULL",
+}
+_CASES_OF = lambda values: f"CASE event_id % {len(OPTIONS)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+SEARCHED = f"SELECT event_id, concat('https://www.google.com/search?q=', {_Q}, {_CASES_OF(OPTIONS)}) AS url FROM {{events}}"
+
+
+@query(f"SELECT event_id, 'Searched for \"w' || event_id || '\"' || coalesce(' [ ' || {_CASES_OF(OPTIONS.values())} || ']', '') AS said FROM events")
+def search_options(spark, sf_dir):
+    return evidence.select(spark, sf_dir, SEARCHED).select("event_id", ur.interpret_url(F.col("url")).alias("said"))
+
+
 _AT = "(1300000000 + event_id * 7)"
 COOKIES = f"SELECT event_id, CAST(event_id % 7 AS INT) AS k, CASE event_id % 7 WHEN 0 THEN '_ga' WHEN 1 THEN '__utmc' WHEN 2 THEN '__qca' WHEN 3 THEN 'BIGipServer' WHEN 4 THEN '__utma' ELSE 't' END AS name, CASE event_id % 7 WHEN 0 THEN concat('GA1.2.', CAST(user_id AS STRING), '.', CAST({_AT} AS STRING)) WHEN 1 THEN CAST(event_id AS STRING) WHEN 2 THEN concat('P0-12-', CAST({_AT} AS STRING), '000') WHEN 3 THEN concat(CAST(67305985 + event_id AS STRING), '.20480.0000') WHEN 4 THEN concat('1.2.', CAST({_AT} AS STRING), '.', CAST({_AT} AS STRING), '.', CAST({_AT} AS STRING), '.5') WHEN 5 THEN concat('x timestamp=', CAST({_AT} AS STRING), '123;') ELSE event_type END AS value, {_AT} AS at_s, user_id FROM {{events}}"
 _SHOWN = "strftime(make_timestamp(at_s * 1000000), '%Y-%m-%d %H:%M:%S.000')"
@@ -638,6 +704,29 @@ def interpreted_cookies(spark, sf_dir):
     return evidence.select(spark, sf_dir, COOKIES).select("event_id", interpret_cookie(F.col("name"), F.col("value")).alias("said"))
 
 
+#: Page views, custom values, and campaigns of four kinds.
+CAMPAIGNS = (
+    f"SELECT event_id, CAST(event_id % 6 AS INT) AS k, {_AT} AS at_s, user_id, CASE event_id % 6 WHEN 0 THEN '__utmb' WHEN 1 THEN '__utmv' ELSE '__utmz' END AS name, CASE event_id % 6 WHEN 0 THEN concat(CAST(event_id AS STRING), '.', CAST(user_id AS STRING), '.10.', CAST({_AT} AS STRING)) WHEN 1 THEN concat(CAST(event_id AS STRING), '.|1=', event_type, '=x.y') "
+    f"ELSE concat(CAST(event_id AS STRING), '.', CAST({_AT} AS STRING), '.2.3.', CASE event_id % 6 WHEN 2 THEN concat('utmcsr=google|utmccn=(organic)|utmcmd=organic|utmctr=w', CAST(user_id AS STRING)) WHEN 3 THEN concat('utmcsr=h', CAST(user_id AS STRING), '.example|utmccn=(referral)|utmcmd=referral|utmcct=/p') WHEN 4 THEN 'utmcsr=news|utmccn=spring|utmctr=cats' ELSE 'utmcsr=x|utmccn=sale|utmcmd=email' END) END AS value, event_type FROM {{events}}"
+)
+_CAMPAIGN = (
+    f"CASE k WHEN 0 THEN 'Domain Hash: ' || event_id || ' | Pages Viewed: ' || user_id || ' | Last Visit: ' || {_SHOWN} || ' | [Google Analytics Cookie]' WHEN 1 THEN 'Domain Hash: ' || event_id || ' | Custom Values: 1=' || event_type || '=x.y | [Google Analytics Cookie]' ELSE 'Domain Hash: ' || event_id || ' | Last Visit: ' || {_SHOWN} || ' | Sessions: 2 | Sources: 3 | ' "
+    "|| CASE k WHEN 2 THEN 'Last Type of Access: organic | Search keywords: w' || user_id WHEN 3 THEN 'Referrer: h' || user_id || '.example/p' WHEN 4 THEN 'Last Source Site: news | Ad Campaign Info: spring | Keyword(s) from Search that Found Site: cats' ELSE 'Last Type of Access: sale' END || ' [Google Analytics Cookie]' END"
+)
+
+
+@query(f"SELECT event_id, {_CAMPAIGN} AS said FROM ({evidence.duckdb(CAMPAIGNS)})")
+def campaign_cookies(spark, sf_dir):
+    return evidence.select(spark, sf_dir, CAMPAIGNS).select("event_id", interpret_cookie(F.col("name"), F.col("value")).alias("said"))
+
+
+@query(f"SELECT CAST(event_id AS VARCHAR) AS description, {_CAMPAIGN} AS interpretation FROM ({evidence.duckdb(CAMPAIGNS)})")
+def export_cookies(spark, sf_dir):
+    """Cookies in the export: an event without a URL is interpreted by its name and value."""
+    rows = evidence.select(spark, sf_dir, CAMPAIGNS).select(F.col("event_id").alias("seq"), (F.col("at_s") * 1_000_000_000).alias("timestamp_ns"), F.lit("Chromium").alias("browser"), F.lit("Cookies").alias("artifact"), F.lit("p").alias("source"), F.col("event_id").cast("string").alias("description"), "name", "value")
+    return writers.export_rows(rows).select("description", "interpretation")
+
+
 TERMS = "SELECT event_id, CASE event_id % 9 WHEN 0 THEN concat('https://x.example/', CAST(event_id AS STRING)) WHEN 1 THEN concat('10.0.0.', CAST(event_id % 300 AS STRING)) WHEN 2 THEN concat('fe80::', CAST(event_id % 9999 AS STRING)) WHEN 3 THEN lpad(CAST(event_id AS STRING), 32, 'a') WHEN 4 THEN lpad(CAST(event_id AS STRING), 40, 'B') WHEN 5 THEN lpad(CAST(event_id AS STRING), 64, '0') WHEN 6 THEN concat('h', CAST(event_id AS STRING), '.example.com') WHEN 7 THEN concat('-h', CAST(event_id AS STRING), '.com') ELSE concat('two words ', event_type) END AS term FROM {events}"
 
 

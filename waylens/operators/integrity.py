@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waylens.functions.times import webkit_micros
 from waylens.operators.ordering import with_previous
 from waylens.sources.sqlite import integrity_failures, sqlite_tables
 
@@ -180,7 +181,7 @@ def tamper_indicators(files: DataFrame) -> DataFrame:
     named = lambda rows, tag: rows.withColumnRenamed("db", "path").withColumn("tag", F.lit(tag))
     written = files.select(F.col("path").alias("db"), (F.unix_micros("modificationTime") + 11_644_473_600_000_000).alias("limit"))
     future = visits.join(written, "db").where(F.col("ts") > F.col("limit")).drop("limit", "url_id")
-    cookies = tables["cookies"].where("last_access_utc > 0 AND creation_utc > last_access_utc").select(F.col("source").alias("path"), F.lit("CookieTimestampAnomaly").alias("tag"), F.col("rowid").alias("id"), (F.col("creation_utc") * 1000).alias("created_ns"), (F.col("last_access_utc") * 1000).alias("last_access_ns"))
+    cookies = tables["cookies"].where("last_access_utc > 0 AND creation_utc > last_access_utc").select(F.col("source").alias("path"), F.lit("CookieTimestampAnomaly").alias("tag"), F.col("rowid").alias("id"), webkit_micros(F.col("creation_utc")).alias("created_ns"), webkit_micros(F.col("last_access_utc")).alias("last_access_ns"))
     found = [
         page_anomalies(files), header_anomalies(files), logs_present(files), tombstones(tables["history_tombstones"]), cookies,
         integrity_failures(files).select(F.col("source").alias("path"), F.lit("SqliteIntegrityFailure").alias("tag"), "message"),

@@ -26,9 +26,20 @@ def ranked(rows: DataFrame, *order: str) -> DataFrame:
     return placed.withColumn("__i", inside).join(F.broadcast(before), "__p").withColumn("rank", F.col("__before") + F.col("__i") - 1).drop("__p", "__i", "__before")
 
 
-def with_previous(rows: DataFrame, by: str, order: list[str], what: list[str]) -> DataFrame:
-    """``rows`` with ``__p`` and ``previous``, a struct of ``what`` of the row before in the order of ``by`` and ``order``; null
-    for the first row of a key. Only the first row of a key in a range looks beyond it."""
+#: Rows of a key that one task takes in a window; keys with more are cut into ranges.
+KEY_ROWS = 2_000_000
+
+
+def with_previous(rows: DataFrame, by: str, order: list[str], what: list[str], most: int = KEY_ROWS) -> DataFrame:
+    """``rows`` with ``previous``, a struct of ``what`` of the row before in the order of ``by`` and ``order``; null for the first row of a
+    key.
+
+    One aggregation tells the largest key. If no key has more than ``most`` rows that is a window over the key; otherwise
+    rows are dealt by ranges, whose number ``__p`` they keep, and only the first row of a key in a range looks beyond it.
+    """
+    largest = rows.groupBy(by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= most:
+        return rows.withColumn("previous", F.lag(F.struct(*what)).over(Window.partitionBy(by).orderBy(*order)))
     placed = ranged(rows, by, *order)
     inside = Window.partitionBy("__p", by).orderBy(*order)
     own = placed.withColumn("__i", F.row_number().over(inside)).withColumn("previous", F.lag(F.struct(*what)).over(inside))
@@ -39,7 +50,9 @@ def with_previous(rows: DataFrame, by: str, order: list[str], what: list[str]) -
 
 
 def running_total(rows: DataFrame, by: str, order: list[str], value: str, name: str) -> DataFrame:
-    """Adds the sum of ``value`` up to and with each row of its key; ``rows`` have ``__p`` of their ranges of ``by`` and ``order``."""
+    """Adds the sum of ``value`` up to and with each row of its key; ``rows`` are those of ``with_previous``."""
+    if "__p" not in rows.columns:
+        return rows.withColumn(name, F.sum(value).over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     inside = Window.partitionBy("__p", by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     totals = rows.groupBy("__p", by).agg(F.sum(value).alias("__t"))
     before = totals.select(F.col("__p").alias("__q"), F.col(by).alias("__by"), F.coalesce(F.sum("__t").over(Window.partitionBy(by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waylens.operators.ordering import running_total, with_previous
+from waylens.operators.ordering import KEY_ROWS, running_total, with_previous
 
 
 def deduplicated(events: DataFrame) -> DataFrame:
@@ -24,14 +24,15 @@ def timeline_stats(events: DataFrame) -> DataFrame:
     return deduplicated(events).agg(F.count_if("timed").alias("timed"), F.count_if(~F.col("timed")).alias("untimed"), F.sum(F.col("copies") - 1).alias("duplicates_removed"))
 
 
-def sessionize(events: DataFrame, idle_ns: int = 30 * 60 * 10**9, by: str = "profile", recorded: Column | None = None) -> DataFrame:
+def sessionize(events: DataFrame, idle_ns: int = 30 * 60 * 10**9, by: str = "profile", recorded: Column | None = None, most: int = KEY_ROWS) -> DataFrame:
     """Adds ``session_id`` from 0 in each profile: a gap above ``idle_ns``, or another recorded session, begins a new one.
 
-    Events are cut into ranges of profile and time, so a profile with a third of all events is many tasks' work.
+    If some profile has more than ``most`` events, events are cut into ranges of profile and time, so that a profile with a
+    third of all events is many tasks' work.
     """
     order = ["timestamp_ns", "seq"]
     marked = events.withColumn("__recorded", F.lit(None) if recorded is None else recorded)
-    rows = with_previous(marked, by, order, ["timestamp_ns", "__recorded"])
+    rows = with_previous(marked, by, order, ["timestamp_ns", "__recorded"], most)
     starts = (F.col("timestamp_ns") - F.col("previous.timestamp_ns") > idle_ns) | (F.col("__recorded") != F.col("previous.__recorded"))
     if recorded is None:
         starts = F.col("timestamp_ns") - F.col("previous.timestamp_ns") > idle_ns

@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 
 from waylens.functions import text as tx
 from waylens.functions import urls as ur
-from waylens.functions.cookies import interpret_cookie
 from waylens.functions.times import friendly_date
-from waylens.operators import correlate, findings, indicators, integrity, search, timeline, views, visits
+from waylens.operators import correlate, findings, indicators, integrity, reports, search, timeline, views, visits
 from waylens.plans.activity import SQL, activity, table, with_copies
 from waylens.plans.scratch import scratch_path
 from waylens.sources import writers
-from waylens.sources.sqlite import evidence_files, sqlite_table
+from waylens.sources.sqlite import evidence_files, sqlite_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -220,15 +219,6 @@ def find_by_source(spark, sf_dir):
     return hits.groupBy("evidence_source", "state").agg(F.count("*").alias("hits"))
 
 
-TERMS = ["https://a.example/x", "10.0.0.1", "256.1.1.1", "::1", "fe80::1:2", "d41d8cd98f00b204e9800998ecf8427e", "da39a3ee5e6b4b0d3255bfef95601890afd80709", "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855", "evil.com", "-bad.com", "hello world", "a.b", ""]
-KINDS_OF_TERMS = ["url", "ipv4", "literal", "ipv6", "ipv6", "md5", "sha1", "sha256", "domain", "literal", "literal", "literal", "literal"]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{k}')" for t, k in zip(TERMS, KINDS_OF_TERMS, strict=True)) + ") t(term, kind)")
-def classify_terms(spark, sf_dir):
-    return spark.createDataFrame([(t,) for t in TERMS], "term string").select("term", ur.classify_term(F.col("term")).alias("kind"))
-
-
 BLOCKED = ["# comment", "example.org", " Blog.THINON.example.com.", "", "example.org", "spam-farm.example.org"]
 
 
@@ -269,76 +259,17 @@ def ioc_card(spark, sf_dir):
     return _counted(indicators.cards(_texts(spark, sf_dir)))
 
 
-@query(_found_sql(r"\b0x[0-9a-fA-F]{40}\b"))
-def ioc_eth(spark, sf_dir):
-    return _counted(indicators.ethereum(_texts(spark, sf_dir)))
-
-
-@query()
-def ioc_ipv6(spark, sf_dir):
-    return indicators.ipv6(_texts(spark, sf_dir))
-
-
-@query()
-def ioc_btc(spark, sf_dir):
-    return indicators.bitcoin(_texts(spark, sf_dir))
-
-
 @query("WITH " + ", ".join(f"{k} AS ({_found_sql(p, w)})" for k, p, w in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"), ("ipv4", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", f"regexp_full_match(value, '{OCTET}(\\.{OCTET}){{3}}')"), ("card", r"\b[0-9]{13,19}\b", LUHN), ("eth", r"\b0x[0-9a-fA-F]{40}\b", "true"))) + " " + " UNION ALL ".join(f"SELECT '{k}' AS kind, CAST(sum(n) AS BIGINT) AS found, count(DISTINCT doc_id) AS documents FROM {k} HAVING count(*) > 0" for k in ("email", "ipv4", "card", "eth")))
 def ioc_all(spark, sf_dir):
     return indicators.all_indicators(_texts(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("found"), F.count_distinct("doc_id").alias("documents"))
 
 
-@query(r"SELECT page_id, 'Generic' AS engine, regexp_extract(url, '[?&#](?:q|p|query|search)=([^&#]+)', 1) AS term FROM pages WHERE regexp_matches(url, '[?&#](?:q|p|query|search)=[^&#]+')")
-def search_terms(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", ur.search_query(F.col("url")).alias("s")).where("s IS NOT NULL").select("page_id", "s.engine", "s.term")
-
-
 @query(r"""SELECT page_id, string_agg(replace(x, '=', ': '), ' | ' ORDER BY i) || ' [Query String Parser]' AS text FROM (
 SELECT page_id, unnest(string_split(regexp_extract(url, '\?([^#]*)', 1), '&')) AS x, generate_subscripts(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), 1) AS i FROM pages WHERE regexp_matches(url, '\?[^#]')) WHERE x LIKE '%=_%' GROUP BY 1""")
 def query_string_interp(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", ur.query_string(F.col("url")).alias("text")).where("text IS NOT NULL")
 
 
-SEARCHES = [
-    ("https://www.google.com/search?q=hello+world", 'Searched for "hello world"'),
-    ("https://www.google.com/search?q=a&num=20&safe=off", 'Searched for "a" [ Showing 20 results per page | SafeSearch: off]'),
-    ("https://www.google.com/search?q=a&tbs=qdr:d3&oq=b&aq=1", 'Searched for "a" [ Results in the past 3 days | Typed "b" before clicking on the first suggestion]'),
-    ("https://www.google.co.uk/webhp#q=x%20y", 'Searched for "x y"'),
-    ("https://example.com/p?a=1&b=hello%20world", "a: 1 | b: hello world [Query String Parser]"),
-    ("https://example.com/plain", None),
-]
-
-
-def _values(rows, names: str) -> str:
-    literal = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + f") t({names})"
-
-
-@query(_values(SEARCHES, "url, text"))
-def url_interpretation(spark, sf_dir):
-    return spark.createDataFrame([(u,) for u, _ in SEARCHES], "url string").select("url", ur.interpret_url(F.col("url")).alias("text"))
-
-
-COOKIES = [
-    ("__utma", "1.2.1300000000.1300000000.1300000000.5", "Domain Hash: 1 | Unique Visitor ID: 2 | First Visit: 2011-03-13 07:06:40.000 | Previous Visit: 2011-03-13 07:06:40.000 | Last Visit: 2011-03-13 07:06:40.000 | Number of Sessions: 5 | [Google Analytics Cookie]"),
-    ("__utmc", "123", "Domain Hash: 123 | [Google Analytics Cookie]"),
-    ("__utmz", "1.1300000000.2.3.utmcsr=google|utmccn=(organic)|utmcmd=organic|utmctr=cats", "Domain Hash: 1 | Last Visit: 2011-03-13 07:06:40.000 | Sessions: 2 | Sources: 3 | Last Type of Access: organic | Search keywords: cats [Google Analytics Cookie]"),
-    ("_ga", "GA1.2.111.1300000000", "Client ID: 111.1300000000 | First Visit: 2011-03-13 07:06:40.000 | [Google Analytics Cookie]"),
-    ("__qca", "P0-12-1300000000000", "2011-03-13 07:06:40.000 [Quantcast Cookie Timestamp]"),
-    ("BIGipServer", "67305985.20480.0000", "Server IP: 1.2.3.4 | Server Port: 80 [BIG-IP Cookie]"),
-    ("t", "1300000000", "2011-03-13 07:06:40.000 [potential timestamp]"),
-    ("t", "x timestamp=1300000000123;", "2011-03-13 07:06:40.123 [potential timestamp]"),
-    ("t", "plain", None),
-]
-
-
-@query(_values(COOKIES, "name, value, text"))
-def cookie_interpretation(spark, sf_dir):
-    rows = spark.createDataFrame([c[:2] for c in COOKIES], "name string, value string")
-    return rows.select("name", "value", interpret_cookie(F.col("name"), F.col("value")).alias("text"))
-
-
 @query(SQL + "SELECT seq, strftime(make_timestamp(timestamp_ns // 1000000 * 1000), '%Y-%m-%d %H:%M:%S.%g') AS shown FROM ev WHERE timestamp_ns <> 0")
 def friendly_dates(spark, sf_dir):
     rows = activity(spark, sf_dir).where("timestamp_ns <> 0")
@@ -584,12 +515,68 @@ def find_hits_csv(spark, sf_dir):
     return writers.hit_lines(search.find_hits(activity(spark, sf_dir), ["blog."]), "csv")
 
 
-@query(SQL + "SELECT CAST(sum(n) AS BIGINT) AS n, count(DISTINCT shown) AS times FROM (SELECT count(*) AS n, " + STAMP + " AS shown FROM ev GROUP BY 2)")
+@query(SQL + f"SELECT {STAMP} AS timestamp, browser, artifact, ev.url, '' AS title, description, coalesce(said, '') AS interpretation, source FROM ev LEFT JOIN {SAID} s ON s.url = ev.url")
 def export_sqlite(spark, sf_dir):
+    """The export written as SQLite files in tasks, and read back from them."""
     folder = scratch_path(spark, "export")
     writers.write_sqlite(writers.export_rows(activity(spark, sf_dir)), folder)
-    back = sqlite_table(evidence_files(spark, folder), "timeline", "timestamp string")
-    return back.agg(F.count("*").alias("n"), F.count_distinct("timestamp").alias("times"))
+    return sqlite_rows(evidence_files(spark, folder), "timeline").select(F.from_json("row", ", ".join(f"{c} string" for c in writers.EXPORT)).alias("r")).select("r.*")
+
+
+@query(FINDINGS + " SELECT seq, priority, rule_id, evidence, CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS rank_key FROM al ORDER BY rank_key, seq LIMIT 7")
+def visible_findings(spark, sf_dir):
+    return findings.visible(_findings(spark, sf_dir)).select("seq", "priority", "rule_id", "evidence", "rank_key")
+
+
+@query(SQL + "SELECT seq, url FROM ev WHERE contains(url[1:22], 'www') OR contains(('visit ' || url)[1:22], 'www')")
+def filter_bounded(spark, sf_dir):
+    """Only the first bytes of a field count."""
+    return search.filter_events(activity(spark, sf_dir), "www", ["url", "description"], limit=22).select("seq", "url")
+
+
+def _escaped(c: str) -> str:
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = f"replace({c}, '{sign}', '{name}')"
+    return c
+
+
+def _row(*cells: str) -> str:
+    return "'<tr>' || " + " || ".join(f"'<td>' || {_escaped(c)} || '</td>'" for c in cells) + " || '</tr>'"
+
+
+_FIXED = [
+    "<!DOCTYPE html>", '<html lang="en"><head><meta charset="utf-8"><title>Case &lt;1&gt;</title></head><body>', "<h1>Case &lt;1&gt;</h1>", "<h2>Ranked findings</h2>", "<table><tr><th>Priority</th><th>Confidence</th><th>Rule</th><th>Evidence</th></tr>", *["</table>"] * 4,
+    "<h2>Artifacts observed</h2>", "<table><tr><th>Artifact</th><th>Count</th></tr>", "<h2>Top domains</h2>", "<table><tr><th>Domain</th><th>Events</th></tr>", "<h2>Observations</h2>", "<ul>", "<li>a &amp; b</li>", "</ul>", "<h2>Timeline</h2>",
+    "<table><tr><th>Time</th><th>Browser</th><th>Artifact</th><th>Description</th></tr>", "</body></html>",
+]
+
+
+@query(
+    FINDINGS + f", hh AS (SELECT *, {HOST.format('url')} AS host FROM ev) SELECT line FROM (VALUES " + ", ".join(f"('{x}')" for x in _FIXED) + f") t(line) UNION ALL (SELECT {_row('priority', 'confidence', 'rule_id', 'evidence')} FROM al ORDER BY CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, seq LIMIT 1000) "
+    f"UNION ALL SELECT {_row('artifact', 'CAST(n AS VARCHAR)')} FROM (SELECT artifact, count(*) AS n FROM ev GROUP BY 1) UNION ALL (SELECT {_row('host', 'CAST(n AS VARCHAR)')} FROM (SELECT host, count(*) AS n FROM hh GROUP BY 1) ORDER BY n DESC, host LIMIT 10) "
+    f"UNION ALL (SELECT {_row(STAMP, 'browser', 'artifact', 'description')} FROM ev WHERE timestamp_ns <> 0 ORDER BY timestamp_ns, seq LIMIT 1000)"
+)
+def html_report(spark, sf_dir):
+    html = reports.html_report(activity(spark, sf_dir), findings.ranked(_findings(spark, sf_dir)), "Case <1>", flags=("a & b",))
+    return spark.createDataFrame([(x,) for x in html.split("\n")], "line string")
+
+
+@query(EDGES + f", kept AS (SELECT src, dst, kind, weight FROM edges WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes) ORDER BY weight DESC, src, dst, kind LIMIT {correlate.MAX_EDGES}) SELECT 'digraph hosts ' || chr(123) AS line UNION ALL SELECT chr(125) UNION ALL SELECT '  \"' || id || '\" [events=' || events || '];' FROM nodes UNION ALL SELECT '  \"' || src || '\" -> \"' || dst || '\" [kind=' || kind || ', weight=' || weight || '];' FROM kept")
+def graph_dot(spark, sf_dir):
+    nodes, edges, _ = _graph(spark, sf_dir)
+    return spark.createDataFrame([(x,) for x in writers.graph_dot(nodes, edges).split("\n")], "line string")
+
+
+@query(EDGES + " SELECT 'node' AS part, id AS a, array_to_string(browsers, ',') AS b, events AS n FROM nodes UNION ALL SELECT kind, src, dst, weight FROM edges UNION ALL SELECT 'window', '', '', 600 UNION ALL SELECT 'truncated', '', '', 0")
+def graph_json(spark, sf_dir):
+    """The graph as JSON, taken apart again."""
+    text = writers.graph_json(*_graph(spark, sf_dir), 600)
+    made = spark.createDataFrame([(text,)], "text string").select(F.from_json("text", "nodes array<struct<id:string,event_count:bigint,browsers:array<string>>>, edges array<struct<from:string,to:string,kind:string,weight:bigint>>, cooccurrence_window_secs bigint, nodes_truncated boolean, edges_truncated boolean").alias("g")).select("g.*")
+    nodes = made.select(F.explode("nodes").alias("x")).select(F.lit("node").alias("part"), F.col("x.id").alias("a"), F.array_join("x.browsers", ",").alias("b"), F.col("x.event_count").alias("n"))
+    edges = made.select(F.explode("edges").alias("x")).select(F.col("x.kind").alias("part"), F.col("x.from").alias("a"), F.col("x.to").alias("b"), F.col("x.weight").alias("n"))
+    cuts = (F.col("nodes_truncated") | F.col("edges_truncated")).cast("bigint")
+    facts = made.select(F.explode(F.array(F.struct(F.lit("window").alias("part"), F.col("cooccurrence_window_secs").alias("n")), F.struct(F.lit("truncated").alias("part"), cuts.alias("n")))).alias("x")).select("x.part", F.lit("").alias("a"), F.lit("").alias("b"), "x.n")
+    return nodes.unionByName(edges).unionByName(facts)
 
 
 @query("SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5, octet_length(encode(text)) AS bytes FROM documents")

@@ -121,6 +121,12 @@ def _table_rows(db, name: str, columns: StructType, kind: pa.StructType) -> Iter
     have = {r[1].decode() for r in db.execute(f'PRAGMA table_info("{name}")')}
     if not have:
         return
+    if "rowid" in columns.names and "rowid" not in have:
+        try:
+            db.execute(f'SELECT rowid FROM "{name}" LIMIT 0')
+            have.add("rowid")
+        except Exception:  # noqa: BLE001 - a table that has none
+            pass
     picked = ", ".join(f'"{f.name}"' if f.name in have else "NULL" for f in columns.fields)
     kinds = [f.type for f in kind]
     cursor = db.execute(f'SELECT {picked} FROM "{name}"')

@@ -12,9 +12,11 @@ from waylens.functions.cookies import interpret_cookie
 from waylens.functions.text import bodyfile_field, csv_field
 from waylens.functions.times import rfc3339
 from waylens.functions.urls import interpret_url
-from waylens.plans.model import ENVELOPE, attribute, attributes, with_kinds
+from waylens.plans.model import ENVELOPE, attribute, with_kinds
 from waylens.plans.scratch import cut
 
+#: What a graph has at most.
+MAX_NODES, MAX_EDGES = 10_000, 50_000
 #: The columns of the export, of the l2t table, and of find hits.
 EXPORT = ("timestamp", "browser", "artifact", "url", "title", "description", "interpretation", "source")
 L2T_HEADER = "date,time,timezone,MACB,source,sourcetype,type,user,host,short,desc,version,filename,inode,notes,format,extra"
@@ -34,12 +36,15 @@ def bodyfile(events: DataFrame) -> DataFrame:
 def l2t_csv(events: DataFrame, zone: str = "UTC") -> DataFrame:
     """``line``: seventeen CSV columns (see ``L2T_HEADER``); times in ``zone``, ``extra`` has all attributes by key. Events
     without a time get zeros."""
-    rows = with_kinds(events.withColumns({f"__{k}": attribute(events, k) for k in ("url", "user", "host")}).withColumn("__attrs", attributes(events)), "slot", "label")
-    text = rfc3339(F.col("timestamp_ns"), zone)
+    if "attrs" in events.columns:
+        extra = F.array_join(F.transform(F.array_sort(F.map_entries("attrs")), lambda e: F.concat_ws("=", e["key"], e["value"])), "; ")
+    else:  # columns are known by name: no map is built
+        extra = F.concat_ws("; ", *[F.concat(F.lit(f"{c}="), F.col(f"`{c}`").cast("string")) for c in sorted(events.columns) if c not in ENVELOPE])
+    rows = events.withColumns({f"__{k}": attribute(events, k) for k in ("url", "user", "host")} | {"__time": rfc3339(F.col("timestamp_ns"), zone), "__extra": extra})
+    rows, text, extra = with_kinds(rows, "slot", "label"), F.col("__time"), F.col("__extra")
     date = F.concat_ws("/", F.substring(text, 6, 2), F.substring(text, 9, 2), F.substring(text, 1, 4))
     macb = F.when(F.col("slot") == "A", ".A..").when(F.col("slot") == "B", "...B").otherwise("M...")
     desc = F.when(F.col("__url") != "", F.concat("description", F.lit(" ["), F.col("__url"), F.lit("]"))).otherwise(F.col("description"))
-    extra = F.array_join(F.transform(F.array_sort(F.map_entries("__attrs")), lambda e: F.concat_ws("=", e["key"], e["value"])), "; ")
     untimed = F.col("timestamp_ns").isNull()
     fields = [
         F.when(untimed, "00/00/0000").otherwise(date), F.when(untimed, "00:00:00").otherwise(F.substring(text, 12, 8)), F.lit(zone), macb, F.lit("WEBHIST"), F.concat("browser", F.lit(" "), F.col("artifact")), F.col("label"),
@@ -164,10 +169,19 @@ def write_sqlite(rows: DataFrame, folder: str, name: str = "timeline") -> DataFr
     return cut(texts.mapInArrow(run, schema), "sqlite-files")
 
 
+def _bounded(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The frames, written once, if they are within the graph's caps; what is larger isn't sent to the driver."""
+    nodes, edges = cut(nodes, "graph-nodes"), cut(edges, "graph-edges")
+    if nodes.count() > MAX_NODES or edges.count() > MAX_EDGES:
+        raise ValueError(f"a graph of more than {MAX_NODES} nodes or {MAX_EDGES} edges: take those of entity_graph")
+    return nodes, edges
+
+
 def graph_json(nodes: DataFrame, edges: DataFrame, flags: DataFrame, window_seconds: int) -> str:
     """The graph (at most 10,000 nodes and 50,000 edges) as JSON text."""
     import json
 
+    nodes, edges = _bounded(nodes, edges)
     cut_nodes, cut_edges = flags.first()
     made = {
         "nodes": [{"id": r["id"], "event_count": r["events"], "browsers": r["browsers"]} for r in nodes.collect()],
@@ -180,6 +194,7 @@ def graph_json(nodes: DataFrame, edges: DataFrame, flags: DataFrame, window_seco
 def graph_dot(nodes: DataFrame, edges: DataFrame) -> str:
     """The graph (at most 10,000 nodes and 50,000 edges) as DOT text."""
     quote = lambda s: '"' + s.replace("\\", "\\\\").replace('"', '\\"') + '"'
+    nodes, edges = _bounded(nodes, edges)
     lines = [f"  {quote(r['id'])} [events={r['events']}];" for r in nodes.collect()]
     lines += [f"  {quote(r['src'])} -> {quote(r['dst'])} [kind={r['kind']}, weight={r['weight']}];" for r in edges.collect()]
     return "\n".join(["digraph hosts {", *lines, "}"])
