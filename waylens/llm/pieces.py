@@ -216,9 +216,9 @@ class Pieces:
         young, old = self.memory.setdefault(name, ({}, {}))
         open_rows, missing = [], set()
         for row, own in waiting:
-            at = len(row)
-            row.extend(map(young.get, own))
-            new = [(at + k, s) for k, s in enumerate(own) if row[at + k] is None]
+            at, known = len(row), list(map(young.get, own))
+            row += known
+            new = [(at + k, own[k]) for k, v in enumerate(known) if v is None]
             if new:  # only words that aren't known yet are held on to
                 open_rows.append((row, new))
                 missing.update(s for _, s in new)

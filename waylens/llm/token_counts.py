@@ -62,6 +62,11 @@ def unpacked(stored: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(raw, np.int8 if stored[:1] == b"\1" else "<i4"), dtype=np.int64)
 
 
+def n_prefixes(stored: bytes) -> int:
+    """How many characters there are counts for, as the frame's head says."""
+    return zstandard.frame_content_size(stored[1:24]) // (1 if stored[:1] == b"\1" else 4)
+
+
 def tokens_of(stored: bytes, n_chars: int) -> int:
     """Tokens of the first ``n_chars`` characters."""
     own = unpacked(stored)
@@ -103,8 +108,8 @@ def budgeted(counted: DataFrame, limit: int) -> DataFrame:
         for batch in batches:
             total = np.asarray(batch.column("n_tokens"))
             over = total > limit
-            stored = batch.column(whole)
-            chars = [longest_prefix(x.as_py(), limit) for x in stored]
+            # a text within the limit fits whole
+            chars = [longest_prefix(x, limit) if o else n_prefixes(x) for x, o in zip(batch.column(whole).to_pylist(), over.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(over), pa.array(chars, pa.int64())], names=result.names)
 
     return counted.mapInArrow(answer, result)
