@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fixtures import stores as evidence
 from waylens import reader_queries as rq
 from waylens.functions import text as tx
 from waylens.functions import urls as ur
 from waylens.functions.cookies import interpret_cookie
 from waylens.operators import catalog, findings, indicators, integrity, profiles, reports, search
 from waylens.operators.ordering import ranked
-from waylens.plans import evidence
 from waylens.plans.activity import SQL, activity, table, with_copies
 from waylens.plans.model import ARTIFACTS
 from waylens.plans.scratch import scratch_path

@@ -35,10 +35,26 @@ def deduplicated(findings: DataFrame) -> DataFrame:
     return first.select("f.*", "evidence", "evidence_source", "state")
 
 
+def with_rank(findings: DataFrame) -> DataFrame:
+    """Adds ``rank_key``, the priority's place."""
+    return findings.withColumn("rank_key", F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv])[F.col("priority")])
+
+
 def ranked(findings: DataFrame) -> DataFrame:
     """By priority, then in their order; ``rank_key`` sorts so without collecting anything."""
-    key = F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv])[F.col("priority")]
-    return findings.withColumn("rank_key", key).orderBy("rank_key", "seq")
+    return with_rank(findings).orderBy("rank_key", "seq")
+
+
+def assembled(events: DataFrame, indicators: DataFrame) -> DataFrame:
+    """All findings of events and explained integrity indicators (``seq, tag, observation``), by priority and then in the order of
+    their kinds: executable downloads, integrity, encrypted cookies, extensions. ``place`` sorts so."""
+    danger = attribute(events, "danger_type").try_cast("int")
+    parts = [executable_downloads(events, attribute(events, "target_path"), danger), integrity_findings(indicators), cookie_finding(events), extension_findings(events)]
+    out = None
+    for i, part in enumerate(parts):
+        own = with_rank(part).withColumn("kind", F.lit(i))
+        out = own if out is None else out.unionByName(own)
+    return out.withColumn("place", F.struct("rank_key", "kind", "seq"))
 
 
 def visible(findings: DataFrame, most: int = 7) -> DataFrame:

@@ -11,6 +11,7 @@ from waylens.functions import text as tx
 from waylens.functions import urls as ur
 from waylens.functions.times import friendly_date
 from waylens.operators import correlate, findings, indicators, integrity, reports, search, timeline, views, visits
+from waylens.operators.ordering import ranked
 from waylens.plans.activity import SQL, activity, table, with_copies
 from waylens.plans.scratch import scratch_path
 from waylens.sources import writers
@@ -523,6 +524,20 @@ def export_sqlite(spark, sf_dir):
     return sqlite_rows(evidence_files(spark, folder), "timeline").select(F.from_json("row", ", ".join(f"{c} string" for c in writers.EXPORT)).alias("r")).select("r.*")
 
 
+@query(FINDINGS.replace(", al AS", ", aq AS (SELECT seq, priority, rule_id, evidence, 0 AS kind FROM f UNION ALL SELECT seq, priority, rule_id, evidence, 1 FROM i UNION ALL SELECT 0, 'info', 'investigate.encrypted_cookies.v1', count(*) || ' cookie value(s) stored encrypted (not recoverable without keys)', 2 FROM ev WHERE artifact = 'Cache' AND k % 2 = 0 HAVING count(*) > 0), al AS")
+       + " SELECT seq, priority, rule_id, evidence, CAST(row_number() OVER (ORDER BY CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END, kind, seq) - 1 AS BIGINT) AS rank FROM aq")
+def assembled_findings(spark, sf_dir):
+    """Findings of all kinds in one order, which ranks over ranges number."""
+    e = activity(spark, sf_dir)
+    name = F.element_at(F.array(*[F.lit(x) for x in ("setup.exe", "notes.txt", "tool.SH", "a.pdf")]), (F.col("k") % 4 + 1).cast("int"))
+    rows = e.withColumns({
+        "target_path": F.when(F.col("artifact") == "Downloads", F.concat(F.lit("/home/u/"), name)), "danger_type": F.when(F.col("k") % 10 == 3, "2").otherwise("0"),
+        "encrypted_value": F.when((F.col("artifact") == "Cache") & (F.col("k") % 2 == 0), "ENCRYPTED"), "artifact": F.when(F.col("artifact") == "Cache", "Cookies").otherwise(F.col("artifact")),
+    })
+    tags = e.where("artifact = 'Autofill'").select("seq", F.element_at(F.array(*[F.lit(t) for t in TAGS]), (F.col("k") % 4 + 1).cast("int")).alias("tag"), F.concat(F.lit("profile "), F.col("profile").cast("string")).alias("observation"))
+    return ranked(findings.assembled(rows, tags), "place").select("seq", "priority", "rule_id", "evidence", "rank")
+
+
 @query(FINDINGS + " SELECT seq, priority, rule_id, evidence, CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS rank_key FROM al ORDER BY rank_key, seq LIMIT 7")
 def visible_findings(spark, sf_dir):
     return findings.visible(_findings(spark, sf_dir)).select("seq", "priority", "rule_id", "evidence", "rank_key")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waylens.plans import evidence
+from fixtures import stores as evidence
 from waylens.plans.scratch import scratch_path
 from waylens.sources import binary, json_readers, leveldb, readers
 
@@ -415,6 +415,34 @@ ORACLE_SQL["read_chromium_session_storage"] = (
     "SELECT CAST(0 AS BIGINT) AS timestamp_ns, 'Chromium' AS browser, 'LocalStorage' AS artifact, coalesce(host, '<unknown host>') || ' — k' || event_id || ' = ' || v AS description, concat_ws('; ', 'deleted=' || (gone = 1), 'host=' || host, 'key=k' || event_id, 'map_id=' || site, 'record=map', 'seq=' || event_id, 'storage_type=session_storage', 'value=' || v) AS attrs FROM d"
 )
 
+file_case(
+    "reporting_json", readers.reporting_json, {"l": f"SELECT {STORE}, {URL} AS origin, event_type AS grp, event_id AS i FROM {{events}}"},
+    _json("named_struct('net', named_struct('nel', named_struct('policies', transform(r, x -> named_struct('origin', x.origin, 'report_to', x.grp))), 'reporting', named_struct('endpoints', transform(r, x -> named_struct('origin', x.origin, 'url', concat('https://To', cast(x.i as string), '.example/r'), 'group', x.grp)))))"),
+    "(SELECT *, regexp_extract(origin, '//([^/]*)', 1) AS host FROM l)", "Chromium", "RecoveredDomain", "0", "'NEL policy ' || host", host="host", group_name="grp", source_artifact="'nel'",
+    more="SELECT 0, 'Chromium', 'RecoveredDomain', 'reporting endpoint ' || h, 'group_name=' || grp || '; host=' || h || '; report_to_host=to' || i || '.example; source_artifact=reporting; url=https://To' || i || '.example/r' FROM (SELECT *, regexp_extract(origin, '//([^/]*)', 1) AS h FROM l)",
+)
+#: Backups of a day each; some bookmarks are in several, some are bookmarks still.
+BACKUPS = f"SELECT CAST(event_id % 7 AS BIGINT) AS store, concat('https://b', CAST(user_id % 300 AS STRING), '.example/') AS url, concat('t', CAST(event_id AS STRING)) AS title, {UNIX} AS added, event_id FROM {{events}}"
+
+
+def _backups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = evidence.select(spark, sf_dir, BACKUPS).groupBy("store").agg(F.sort_array(F.collect_list(F.struct("event_id", "url", "title", "added"))).alias("r"))
+    tree = F.expr("CAST(to_json(named_struct('children', array(named_struct('title', 'menu', 'children', transform(r, x -> named_struct('uri', x.url, 'title', x.title, 'dateAdded', x.added)))))) AS BINARY)")
+    return made.select(F.concat(F.lit("p/bookmarkbackups/bookmarks-2024-01-0"), (F.col("store") + 1).cast("string"), F.lit("_9_x.json")).alias("path"), tree.alias("content"))
+
+
+def read_firefox_backups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bookmarks of backups that are none now, newest backup first."""
+    current = evidence.select(spark, sf_dir, BACKUPS).where("event_id % 50 = 1").select("url")
+    return shown(readers.recovered_bookmarks(readers.firefox_backups(_backups(spark, sf_dir)), current))
+
+
+QUERIES["read_firefox_backups"] = read_firefox_backups
+ORACLE_SQL["read_firefox_backups"] = (
+    f"WITH b AS ({evidence.duckdb(BACKUPS)}), n AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY store DESC, added DESC) AS k FROM b), o AS (SELECT *, 'bookmarks-2024-01-0' || (store + 1) || '_9_x.json' AS name FROM n WHERE k = 1 AND url NOT IN (SELECT url FROM b WHERE event_id % 50 = 1)) "
+    "SELECT CAST(added * 1000 AS BIGINT) AS timestamp_ns, 'Firefox' AS browser, 'RecoveredBookmark' AS artifact, 'bookmark of backup ' || name || ' that is none now: ' || title AS description, 'backup_date=2024-01-0' || (store + 1) || '; source_backup=' || name || '; title=' || title || '; url=' || url AS attrs FROM o"
+)
+
 # whole profiles
 
 #: What the stores of each case are called in a profile; the history without visits isn't read there.

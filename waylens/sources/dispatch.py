@@ -17,7 +17,7 @@ Reader = str | Callable[[DataFrame], DataFrame]
 DISPATCH: dict[str, list[Reader]] = {
     r"History": ["chromium_visits", "chromium_downloads"], r"Cookies": ["chromium_cookies"], r"Extension Cookies": ["extension_cookies"], r"Login Data": ["chromium_logins"],
     r"Web Data": ["chromium_autofill", "chromium_cards", "chromium_server_cards", "chromium_tokens", "chromium_profiles"], r"Favicons": ["chromium_favicons"], r"Top Sites": ["chromium_top_sites"],
-    r"Shortcuts": ["chromium_shortcuts"], r"Network Action Predictor": ["chromium_predictions"], r"Media History": ["chromium_media"], r"Reporting and NEL": ["chromium_reporting"],
+    r"Shortcuts": ["chromium_shortcuts"], r"Network Action Predictor": ["chromium_predictions"], r"Media History": ["chromium_media"], r"Reporting and NEL": ["chromium_reporting", readers.reporting_json],
     r"DIPS": [readers.chromium_bounces], r"Bookmarks": [readers.chromium_bookmarks], r"Preferences": [json_readers.preferences, json_readers.permissions], r"Network Persistent State": [json_readers.network_state],
     r"TransportSecurity": [json_readers.transport_security], r"Local State": [json_readers.profiles], r"manifest\.json": [json_readers.chromium_extensions], r"(Session|Tabs)_[0-9]+": [binary.chromium_session],
     r"places\.sqlite": ["firefox_visits", "firefox_bookmarks", "firefox_downloads", "firefox_annotations", "firefox_typed"], r"cookies\.sqlite": ["firefox_cookies"], r"formhistory\.sqlite": ["firefox_autofill"],

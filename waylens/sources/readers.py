@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from waylens.functions import text as tx
 from waylens.functions import times as tm
+from waylens.functions.urls import host_of
 from waylens.sources.sqlite import evidence_files, sqlite_rows, sqlite_tables
 
 Tables = dict[str, DataFrame]
@@ -385,6 +386,59 @@ def chromium_reporting(t: Tables) -> DataFrame:
     return policies.unionByName(ends)
 
 
+def reporting_json(files: DataFrame) -> DataFrame:
+    """The older form of the same store, JSON: policies and endpoints of origins. Databases are left to ``chromium_reporting``."""
+    texts = files.where(~F.startswith(F.hex(F.substring("content", 1, 15)), F.lit(b"SQLite format 3".hex().upper()))).select(F.col("path").alias("source"), F.make_valid_utf8("content").alias("json"))
+    listed = lambda path, shape: texts.select("source", F.explode(F.from_json(F.get_json_object("json", path), f"array<struct<{shape}>>")).alias("x")).select("source", "x.*").withColumn("host", host_of(c("origin"))).where("host <> ''")
+    policies = listed("$.net.nel.policies", "origin:string,report_to:string")
+    policies = events(policies, F.lit(0), "Chromium", "RecoveredDomain", F.concat(F.lit("NEL policy "), c("host")), host=c("host"), group_name=text("report_to"), source_artifact=F.lit("nel"))
+    ends = listed("$.net.reporting.endpoints", "origin:string,url:string,`group`:string")
+    ends = events(ends, F.lit(0), "Chromium", "RecoveredDomain", F.concat(F.lit("reporting endpoint "), c("host")), host=c("host"), group_name=text("group"), url=c("url"), report_to_host=host_of(c("url")), source_artifact=F.lit("reporting"))
+    return policies.unionByName(ends)
+
+
+def firefox_backups(files: DataFrame) -> DataFrame:
+    """``source, name, url, title, added, backup_date`` of the bookmarks in backups (``path, content``), packed or plain; the date is that
+    of the file's name, null if it has none. Trees are walked in tasks file by file; files that don't parse are left out."""
+    import json
+
+    import pyarrow as pa
+
+    from waylens.sources.binary import unpacked
+
+    schema = "source string, name string, url string, title string, added bigint"
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    todo, out = [json.loads(content)], []
+                except (ValueError, TypeError):
+                    continue
+                while todo:
+                    node = todo.pop()
+                    if isinstance(node, dict):
+                        if isinstance(node.get("uri"), str):
+                            added = node.get("dateAdded")
+                            out.append((path, path.rpartition("/")[2], node["uri"], str(node.get("title") or ""), added if isinstance(added, int) else 0))
+                        children = node.get("children")
+                        todo += children if isinstance(children, list) else []
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*out, strict=True)], names=["source", "name", "url", "title", "added"])
+
+    rows = unpacked(files.select("path", "content")).mapInArrow(run, schema)
+    day = F.regexp_extract("name", "^bookmarks-([0-9]{4}-[0-9]{2}-[0-9]{2})", 1)
+    return rows.withColumn("backup_date", F.when(day != "", day))
+
+
+def recovered_bookmarks(backups: DataFrame, current: DataFrame) -> DataFrame:
+    """Events of bookmarks that some backup has and ``current`` (``url``) hasn't: each URL once, from its newest backup by date, then name."""
+    newest = backups.groupBy("url").agg(F.max_by(F.struct("source", "name", "title", "added", "backup_date"), F.struct("backup_date", "name", "added")).alias("b")).select("url", "b.*")
+    rows = newest.join(current.select("url"), "url", "left_anti")
+    label = F.concat(F.lit("bookmark of backup "), c("name"), F.lit(" that is none now: "), or_else(c("title"), c("url")))
+    return events(rows, F.when(c("added") > 0, c("added") * 1000).otherwise(0), "Firefox", "RecoveredBookmark", label, url=c("url"), title=c("title"), source_backup=c("name"), backup_date=c("backup_date"))
+
+
 def chromium_bounces(files: DataFrame) -> DataFrame:
     """Sites of the bounce-tracking table, whose columns vary: the latest activation or interaction, else the latest of any
     of its times."""
