@@ -34,6 +34,8 @@ from waylens.llm.common import map_texts
 SPACE_MARK = "▁"
 #: Characters that go into the stream at a time, and the most of a word that the cache keeps.
 CHUNK, KEPT = 64, 256
+#: The score of two parts that make no piece.
+NEVER = float("-inf")
 #: Words of a text that are held at a time, and words that are looked up together.
 PART, TOGETHER = 1 << 16, 1 << 20
 #: A text that other normalizations change: spaces to fold, compositions, compatibility forms, controls.
@@ -83,13 +85,16 @@ class Pieces:
 
     def merged(self, text: str) -> list[str]:
         """BPE of a short string, merge by merge: the best score first, the leftmost of equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            found = [(-self.score[m], i) for i in range(len(parts) - 1) if (m := parts[i] + parts[i + 1]) in self.score]
-            if not found:
-                break
-            i = min(found)[1]
+        parts, score = list(text), self.score.get
+        pairs = [score(x + y, NEVER) for x, y in zip(parts, parts[1:])]  # noqa: B905
+        while pairs and (best := max(pairs)) > NEVER:
+            i = pairs.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = score(parts[i - 1] + parts[i], NEVER)
+            if i < len(pairs):
+                pairs[i] = score(parts[i] + parts[i + 1], NEVER)
         return parts
 
     def fits(self, left: str, right: str) -> bool:
@@ -101,26 +106,24 @@ class Pieces:
             ok = self.apart[left, right] = self.merged(left + right) == [left, right]
         return ok
 
-    def _last_bpe(self, text: str, i: int, last: list[str]) -> str:
-        """Last piece of the encoding of ``text[:i]``; ``last`` has it for the prefixes before, at 0 the piece in front."""
-        usable, apart = self.usable, self.apart
-        if i > 2:
-            for k in self.lengths.get(text[i - 3 : i], ()):
+    def pass_bpe(self, text: str, last: list[str], until: int) -> None:
+        """Runs the lattice on to ``text[:until]``: ``last`` has the last piece of the encoding of each prefix it has passed, at 0 an
+        empty one, and gets those of the following prefixes."""
+        usable, apart, fits, lengths, push = self.usable, self.apart, self.fits, self.lengths.get, last.append
+        for i in range(len(last), until + 1):
+            for k in lengths(text[i - 3 : i], ()) if i > 2 else ():
                 if k <= i and (piece := text[i - k : i]) in usable:
                     left = last[i - k]
-                    if not left:
-                        return piece
-                    ok = apart.get((left, piece))
-                    if ok or ok is None and self.fits(left, piece):
-                        return piece
-        if i > 1 and (piece := text[i - 2 : i]) in usable:
-            left = last[i - 2]
-            if not left:
-                return piece
-            ok = apart.get((left, piece))
-            if ok or ok is None and self.fits(left, piece):
-                return piece
-        return text[i - 1]
+                    if not left or (ok := apart.get((left, piece))) or ok is None and fits(left, piece):
+                        push(piece)
+                        break
+            else:
+                if i > 1 and (piece := text[i - 2 : i]) in usable:
+                    left = last[i - 2]
+                    if not left or (ok := apart.get((left, piece))) or ok is None and fits(left, piece):
+                        push(piece)
+                        continue
+                push(text[i - 1])
 
     def _last_unigram(self, text: str, i: int, best: list[float]) -> tuple[int, float]:
         k, top = 1, best[i - 1] + self.score.get(text[i - 1], self.worst)
@@ -150,25 +153,26 @@ class Pieces:
     def stream(self, chunks: Iterable[str], text: str = "", last: list[str] | None = None, best: list[float] | None = None) -> Iterator[list[str]]:
         """Commits pieces of a normalized text that comes in chunks; the window never exceeds a few times ``longest`` and a
         chunk. ``text``, ``last`` and ``best`` are a prefix that a lattice has passed; it runs on in those lists."""
-        bpe, step, longest = self.algorithm == "bpe", self._last_bpe, self.longest
-        last, best, full = [""] if last is None else last, [0.0] if best is None else best, 2 * longest
+        bpe, longest = self.algorithm == "bpe", self.longest
+        last, best = [""] if last is None else last, [0.0] if best is None else best
         for chunk in chunks:
             text += chunk
-            i, n = len(last), len(text)
-            while i <= n:
+            while len(last) <= len(text):
+                # to the next place where the paths are asked whether they have converged
+                until = min(len(text), max(2 * longest, (len(last) // longest + 1) * longest))
                 if bpe:
-                    last.append(step(text, i, last))
+                    self.pass_bpe(text, last, until)
                 else:
-                    k, s = self._last_unigram(text, i, best)
-                    last.append(text[i - k : i])
-                    best.append(s)
-                if i >= full and i % longest == 0 and (edge := self._converged(last)):
+                    for i in range(len(last), until + 1):
+                        k, score = self._last_unigram(text, i, best)
+                        last.append(text[i - k : i])
+                        best.append(score)
+                if until >= 2 * longest and until % longest == 0 and (edge := self._converged(last)):
                     self.commits, self.widest = self.commits + 1, max(self.widest, len(text))
                     yield self._path(last, edge)
                     # what lies before the edge is no longer pointed at by any live position
-                    text, i, n = text[edge:], i - edge, n - edge
+                    text = text[edge:]
                     del last[:edge], best[:edge]
-                i += 1
         if text:  # the next mark, or the text's end: only this boundary is live
             self.commits, self.widest = self.commits + 1, max(self.widest, len(text))
             yield self._path(last, len(text))
@@ -248,9 +252,14 @@ class Pieces:
             self.memory[name] = ({}, young)
 
     def _committed(self, word: str, last: list[str], out: list[int], best: list[float]) -> bytes:
-        """Ids of a word as the stream commits them."""
-        at = len(last) - 1
-        chunks = (word[i : i + CHUNK] for i in range(at, len(word), CHUNK))
+        """Ids of a word as the stream commits them; a word that ends before the first question has one commit, at its end."""
+        at, n = len(last) - 1, len(word)
+        if n < 2 * self.longest and self.algorithm == "bpe":
+            self.pass_bpe(word, last, n)
+            self.commits += 1
+            self.widest = max(self.widest, n)
+            return self._path_ids(self._path(last, n))
+        chunks = (word[i : i + CHUNK] for i in range(at, n, CHUNK))
         done = [self._path_ids(p) for p in self.stream(chunks, word[:at], last, best)]
         return done[0] if len(done) == 1 else b"".join(done)
 

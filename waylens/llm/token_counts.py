@@ -35,15 +35,16 @@ def prefix_counts(pieces: Pieces, texts: list) -> list[np.ndarray]:
     def passed(word: str, last: list[str], out: list[int], best: list[float]) -> bytes:
         """Runs the lattice on. ``out`` has the tokens of each prefix: one (or a character's bytes) more than the prefix that
         its last piece follows."""
-        bpe, single, step = pieces.algorithm == "bpe", pieces.id, pieces._last_bpe
-        for i in range(len(last), len(word) + 1):
-            if bpe:
-                piece = step(word, i, last)
-            else:
+        single, known = pieces.id, len(last)
+        if pieces.algorithm == "bpe":
+            pieces.pass_bpe(word, last, len(word))
+        else:
+            for i in range(known, len(word) + 1):
                 k, score = pieces._last_unigram(word, i, best)
-                piece = word[i - k : i]
+                last.append(word[i - k : i])
                 best.append(score)
-            last.append(piece)
+        for i in range(known, len(word) + 1):
+            piece = last[i]
             out.append(out[i - len(piece)] + (1 if piece in single else len(pieces.ids_of(piece))))
         return array("i", out[1:]).tobytes()
 
