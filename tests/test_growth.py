@@ -47,3 +47,16 @@ def test_extension_version_order(spark):
 
 def test_local_storage_times_of_large_numbers(spark, with_events):
     assert len(same(spark, with_events(list(range(2_097_100, 2_097_200))), "read_chromium_local_storage")) == 101
+
+
+def test_routed_reads_only_what_is_there(spark, with_events):
+    """A profile's tables are read from folders of their own, and absent files cost no scan."""
+    import re
+
+    from waylens import reader_queries as rq
+    from waylens.sources.dispatch import read_all
+
+    events = read_all(rq.profile_files(spark, with_events(list(range(20_000))), ("chromium_visits",)))
+    plan = events._jdf.queryExecution().optimizedPlan()
+    assert len(re.findall("Relation ", plan.toString())) == 2
+    assert events.count() > 15_000
