@@ -60,3 +60,18 @@ def test_routed_reads_only_what_is_there(spark, with_events):
     plan = events._jdf.queryExecution().optimizedPlan()
     assert len(re.findall("Relation ", plan.toString())) == 2
     assert events.count() > 15_000
+
+
+def test_readers_of_files_pass_on_as_they_go():
+    """A task holds one content and a bounded batch of results, however many files Spark hands it at once."""
+    from waylens.sources.batches import BYTES, contents, gathered
+
+    schema = pa.schema([("path", pa.string()), ("content", pa.binary())])
+    batch = pa.record_batch([pa.array([f"p{i}" for i in range(40)]), pa.array([bytes([i]) * 300_000 for i in range(40)])], schema=schema)
+    out = []
+    for made in gathered(contents([batch]), schema):
+        assert made.nbytes < 2 * BYTES
+        out += made.to_pylist()
+    assert out == batch.to_pylist()
+    many = list(gathered(((str(i), None) for i in range(10_000)), schema))
+    assert [b.num_rows for b in many] == [4096, 4096, 1808]

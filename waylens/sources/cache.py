@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from waylens.functions.urls import normalize_url, resolve_ref
 from waylens.plans.scratch import cut
+from waylens.sources.batches import contents, gathered
 from waylens.sources.stylesheets import BUDGET, base64, inlined_sheets, replaced, within_budget
 
 #: The numbers that an entry file begins with and that end each of its streams, and flags of an end.
@@ -96,17 +97,18 @@ def simple_cache(files: DataFrame) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                entry = simple_entry(content.as_py() or b"")
+        def parsed():
+            for path, content in contents(batches):
+                entry = simple_entry(content or b"")
                 if entry is None:
                     continue
                 key, head, body = entry
                 status, headers = response_head(head)
                 named = {k.lower(): v for k, v in headers}
                 decoded, note = decode_body(body, named.get("content-encoding", ""))
-                row = (path, key.rpartition(" ")[2], status, [{"name": k, "value": v} for k, v in headers], named.get("content-type"), named.get("content-encoding"), len(body), decoded, note)
-                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, arrow, strict=True)], schema=arrow)
+                yield path, key.rpartition(" ")[2], status, [{"name": k, "value": v} for k, v in headers], named.get("content-type"), named.get("content-encoding"), len(body), decoded, note
+
+        return gathered(parsed(), arrow)
 
     return files.where(F.col("path").rlike("_0$")).select("path", "content").mapInArrow(run, schema)
 
