@@ -75,3 +75,48 @@ def test_readers_of_files_pass_on_as_they_go():
     assert out == batch.to_pylist()
     many = list(gathered(((str(i), None) for i in range(10_000)), schema))
     assert [b.num_rows for b in many] == [4096, 4096, 1808]
+
+
+def test_sqlite_files_of_bounded_size(spark, tmp_path):
+    """A large partition is several files, and equal rows in several files are all kept."""
+    import sqlite3
+
+    from waylens.sources.writers import write_sqlite
+
+    rows = spark.range(0, 80_000, 1, 2).selectExpr("repeat('x', 50) AS a")
+    found = write_sqlite(rows, str(tmp_path / "out"), most=1 << 19).collect()
+    files = sorted((tmp_path / "out").iterdir())
+    assert len(files) == len(found) > 4 and max(f.stat().st_size for f in files) < 1 << 20
+    assert sum(sqlite3.connect(f).execute("SELECT count(*) FROM timeline").fetchone()[0] for f in files) == 80_000
+
+
+def test_deep_safari_bookmarks(spark):
+    """A tree of 100 folders: before, levels beyond the 64th were left out, and each level parsed all files again."""
+    from waylens.sources.binary import safari_bookmarks
+
+    leaf = "<dict><key>WebBookmarkType</key><string>WebBookmarkTypeLeaf</string><key>URLString</key><string>https://a/</string><key>URIDictionary</key><dict><key>title</key><string>t</string></dict></dict>"
+    tree = leaf
+    for _ in range(100):
+        tree = f"<dict><key>WebBookmarkType</key><string>WebBookmarkTypeList</string><key>Children</key><array>{tree}{leaf}</array></dict>"
+    files = spark.createDataFrame([("p", bytearray(f"<plist>{tree}</plist>".encode())), ("q", bytearray(b"<plist><dict>"))], "path string, content binary")
+    events = safari_bookmarks(files)
+    assert events.count() == 101
+    assert events._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_terms_are_looked_for_once_in_a_text(spark):
+    """Many events of few texts: the index sees each text once, and one searched column needs no table of hits."""
+    from waylens.operators import search
+
+    events = spark.range(0, 2000, 1, 4).selectExpr("id AS seq", "id AS timestamp_ns", "'Firefox' AS browser", "'History' AS artifact", "concat('https://h', id % 10, '.example/') AS url", "concat('h', id % 10, '.example page') AS description", "'p' AS source")
+    terms = spark.createDataFrame([("h1.exam",), ("example",), ("/",), ("nowhere",)], "term string")
+    seen = []
+    own, search.term_matches = search.term_matches, lambda texts, *a: seen.append(texts.count()) or own(texts, *a)
+    try:
+        one = search.find_many(events, terms, ["url"])
+        two = search.find_many(events, terms, ["url", "description"])
+        none = search.find_many(events, terms, ["browser"])
+    finally:
+        search.term_matches = own
+    assert (one.count(), two.count(), none.count()) == (4200, 4200, 0) and one.select("seq", "term").distinct().count() == 4200
+    assert seen == [10, 20, 0]
