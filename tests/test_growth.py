@@ -120,3 +120,15 @@ def test_terms_are_looked_for_once_in_a_text(spark):
         search.term_matches = own
     assert (one.count(), two.count(), none.count()) == (4200, 4200, 0) and one.select("seq", "term").distinct().count() == 4200
     assert seen == [10, 20, 0]
+
+
+def test_top_folder_is_dealt_out(spark):
+    """All paths have the topmost folder above them: what lies below it isn't one task's rows."""
+    from waylens.sources import discovery
+
+    rows = spark.range(0, 6400, 1, 4).selectExpr("concat('/ev/', id) AS path", "IF(id % 2 = 0, '/ev', '/other') AS up")
+    kept = discovery._below(rows, spark.createDataFrame([("/ev",)], "path string"))
+    assert kept.count() == 3200 and kept.groupBy("up", "__part").count().selectExpr("max(count)").first()[0] < 100
+
+    files = spark.createDataFrame([("/ev/a/places.sqlite", False), ("/ev/l", True), ("/ev/l/places.sqlite", False), ("/ev/a/b/Cookies", False)], "path string, link boolean")
+    assert [(r["path"], r["browser"]) for r in discovery.swept_containers(files, "/ev").collect()] == [("/ev/a", "Firefox")]

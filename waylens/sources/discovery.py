@@ -33,17 +33,25 @@ APPS = (
     ("code", "Visual Studio Code", "Microsoft", "Electron"), ("obsidian", "Obsidian", "Obsidian", "Electron"), ("steam", "Steam", "Valve", "Cef"),
 )
 DEPTH = 24
+#: Tasks that what lies below one folder is dealt to: all paths have the topmost folders above them.
+SPREAD = 64
 
 
 def _without_links(files: DataFrame) -> DataFrame:
     """Entries that neither are links nor lie below one, by their path and its ancestors."""
     if "link" not in files.columns:
         return files.select("path")
-    links = files.where("link").select(F.col("path").alias("__up")).distinct()
-    below = files.select("path", F.explode(F.array_append(ancestors(F.col("path")), F.col("path"))).alias("__up")).join(links, "__up", "left_semi")
+    links = files.where("link").select("path").distinct()
+    below = _below(files.select("path", F.explode(F.array_append(ancestors(F.col("path")), F.col("path"))).alias("up")), links)
     return files.where(~F.coalesce("link", F.lit(False))).select("path").join(below.select("path").distinct(), "path", "left_anti")
 
 
+def _below(rows: DataFrame, folders: DataFrame) -> DataFrame:
+    """``rows`` (``path, up``) whose ``up`` is a ``path`` of ``folders``, which are few beside them."""
+    dealt = folders.select(F.col("path").alias("up"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("__part"))
+    return rows.withColumn("__part", F.pmod(F.xxhash64("path"), F.lit(SPREAD)).cast("int")).join(dealt, ["up", "__part"], "left_semi")
+
+
 def ancestors(path: Column) -> Column:
     """The folders above a path, the topmost first; ``/`` and the empty path aren't among them."""
     parts = F.split(path, "/")
@@ -101,6 +109,6 @@ def swept_containers(files: DataFrame, root: str, apps: DataFrame | None = None,
     segments = found.select("path", F.posexplode(F.split(F.lower("path"), "/")).alias("at", "token"))
     named = segments.join(F.broadcast(apps) if apps.count() <= 100_000 else apps, "token").groupBy("path").agg(F.min_by("of", "at").alias("of"))
     matches = found.join(named, "path", "left").where("rank < 2 OR of IS NOT NULL")
-    inside = matches.select("path", F.explode(ancestors(F.col("path"))).alias("up")).join(matches.select(F.col("path").alias("up")), "up", "left_semi").select("path").distinct()
+    inside = _below(matches.select("path", F.explode(ancestors(F.col("path"))).alias("up")), matches.select("path")).select("path").distinct()
     browser = F.when(F.col("rank") == 1, "Firefox").otherwise("Chromium")
     return matches.join(inside, "path", "left_anti").select("path", browser.alias("browser"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "of.app", "of.vendor", "of.kind")
