@@ -132,3 +132,13 @@ def test_top_folder_is_dealt_out(spark):
 
     files = spark.createDataFrame([("/ev/a/places.sqlite", False), ("/ev/l", True), ("/ev/l/places.sqlite", False), ("/ev/a/b/Cookies", False)], "path string, link boolean")
     assert [(r["path"], r["browser"]) for r in discovery.swept_containers(files, "/ev").collect()] == [("/ev/a", "Firefox")]
+
+
+def test_options_of_a_search_are_taken_from_one_list_of_pairs():
+    """A URL is taken apart once, not for each option that may stand in it."""
+    from pyspark.sql import functions as F
+
+    from waylens.functions import urls as ur
+
+    assert str(ur.google_search(F.col("url"))).count("split(") <= 2
+    assert str(ur.search_query(F.col("url"))).count("split(") <= 2
