@@ -142,3 +142,33 @@ def test_options_of_a_search_are_taken_from_one_list_of_pairs():
 
     assert str(ur.google_search(F.col("url"))).count("split(") <= 2
     assert str(ur.search_query(F.col("url"))).count("split(") <= 2
+
+
+def test_a_text_is_searched_from_signs():
+    """Each way to find candidates gives what the plain patterns give, and tests of sums what their definitions give."""
+    import random
+    import re
+
+    from waylens.operators import indicators as ind
+
+    plain = {
+        "ipv4": r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", "card": r"\b[0-9]{13,19}\b", "eth": r"\b0x[0-9a-fA-F]{40}\b", "btc_base58": r"\b[13][1-9A-HJ-NP-Za-km-z]{25,34}\b", "btc_bech32": r"\b(?i:bc1)[0-9A-Za-z]{11,87}\b",
+        "ipv6": r"(?<![0-9A-Fa-f:])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{2,39}(?![0-9A-Fa-f:])",
+    }
+    draw = random.Random(3)
+    parts = ["1", "3", "10.0.7", ".", "255", ":", "::", "fe80", "a", "0x", "bc1", "BC1", "é", "_", " ", "-", "١", "4" * 13, "q" * 25, "ab" * 20, "1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa", ":" * 39, "0"]
+    for _ in range(20_000):
+        text = "".join(draw.choices(parts, k=draw.randint(1, 9)))
+        for kind, pattern in plain.items():
+            assert list(ind.KINDS[kind][1](text)) == [(m.start(), m[0]) for m in re.finditer(pattern, text)], (kind, text)
+    for n in range(3000):
+        digits = str(n * 7919).zfill(13)
+        assert ind._luhn(digits) == ((sum(map(int, digits[-1::-2])) + sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])) % 10 == 0)
+
+
+def test_urls_of_indicators_are_interpreted_once(spark):
+    from waylens.operators import indicators
+
+    found = indicators.all_indicators(spark.createDataFrame([(1, "https://www.bing.com/?q=a 10.0.0.1")], "seq bigint, text string"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("duckduckgo") == 1
+    assert sorted((r["kind"], r["value"], r["offset"], r["note"]) for r in found.collect()) == [("ipv4", "10.0.0.1", 26, None), ("search_term", "a", 0, "Bing")]
