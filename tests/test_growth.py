@@ -172,3 +172,22 @@ def test_urls_of_indicators_are_interpreted_once(spark):
     found = indicators.all_indicators(spark.createDataFrame([(1, "https://www.bing.com/?q=a 10.0.0.1")], "seq bigint, text string"))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("duckduckgo") == 1
     assert sorted((r["kind"], r["value"], r["offset"], r["note"]) for r in found.collect()) == [("ipv4", "10.0.0.1", 26, None), ("search_term", "a", 0, "Bing")]
+
+
+def test_ordered_lines_are_made_and_sorted_once(spark, tmp_path):
+    """What makes the lines runs once, not for the sample of the ranges too, and their places need no second sort."""
+    from waylens.sources import ordered
+
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(0, 40_000, 1, 4).selectExpr("id * 7919 % 40000 AS k", "concat('l', id * 7919 % 40000) AS line").mapInArrow(run, "k bigint, line string")
+    ordered.write_ordered(rows, f"file://{tmp_path}/out", ["k"])
+    assert made.value == 40_000
+    placed = ordered.read_placed(spark, f"file://{tmp_path}/out")
+    assert "rangepartitioning" not in placed._jdf.queryExecution().executedPlan().toString()
+    assert placed.selectExpr("count(*)", "count_if(line = concat('l', rank))", "max(rank)").first() == (40_000, 40_000, 39_999)

@@ -14,10 +14,12 @@ from itertools import islice
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from waylens.plans.scratch import cut
+
 ATTEMPTS = "_attempts"
 #: Lines that a reader holds at a time.
 HELD = 1 << 14
@@ -102,8 +104,12 @@ class OrderedLines(DataSource):
 
 def write_ordered(rows: DataFrame, folder: str, order: list[str | Column], header: str | None = None, suffix: str = "txt") -> None:
     """Writes ``line`` of the rows to ``folder``, which should be new, in ``order``. Null lines are empty ones; line breaks inside a
-    line should be escaped before. Without rows there is a file only for a header."""
+    line should be escaped before. Without rows there is a file only for a header. Rows are written once before they are sorted,
+    as the ranges come from a sample of them: what makes them doesn't run for that too."""
     spark = rows.sparkSession
+    if all(isinstance(o, str) for o in order):
+        rows = rows.select(*dict.fromkeys(["line", *order]))
+    rows = cut(rows, "unordered")
     spark.dataSource.register(OrderedLines)
     options = {"folder": folder, "suffix": suffix} | ({"header": header} if header is not None else {})
     ordered = rows.orderBy(*order).select("line")
@@ -127,3 +133,12 @@ def read_ordered(spark: SparkSession, folder: str) -> DataFrame:
                         at += len(held)
 
     return listing.mapInArrow(run, "file string, at bigint, line string")
+
+
+def read_placed(spark: SparkSession, folder: str) -> DataFrame:
+    """``rank, line`` of ordered files, from 0: a line's place in its file and the lines of the files before, which a row a file
+    tells, so nothing is sorted again."""
+    lines = read_ordered(spark, folder)
+    sizes = lines.groupBy("file").agg(F.count("*").alias("n"))
+    before = sizes.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return lines.join(F.broadcast(before), "file").select((F.col("before") + F.col("at")).alias("rank"), "line")
