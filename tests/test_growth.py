@@ -191,3 +191,28 @@ def test_ordered_lines_are_made_and_sorted_once(spark, tmp_path):
     placed = ordered.read_placed(spark, f"file://{tmp_path}/out")
     assert "rangepartitioning" not in placed._jdf.queryExecution().executedPlan().toString()
     assert placed.selectExpr("count(*)", "count_if(line = concat('l', rank))", "max(rank)").first() == (40_000, 40_000, 39_999)
+
+
+def test_pairs_of_hosts_are_counted_in_blocks(spark, monkeypatch):
+    """No row a pair: blocks of events give counts, whether hosts are few or many, times dense, sparse or equal."""
+    import random
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from waylens.operators import correlate
+
+    monkeypatch.setattr(correlate, "BLOCK", 50)
+    monkeypatch.setattr(correlate, "CELLS", 400)
+    draw = random.Random(5)
+    for hosts, span in ((4, 300), (90, 300), (90, 100_000), (1, 300)):
+        rows = [(draw.randint(1, span), i, f"h{draw.randrange(hosts)}") for i in range(700)]
+        got = correlate.cooccurrence(spark.createDataFrame(rows, "timestamp_ns bigint, seq bigint, host string"), F.col("host"), 20, 30)
+        rows.sort()
+        expected = Counter()
+        for i, (t, _, h) in enumerate(rows):
+            for t2, _, h2 in rows[i + 1 : i + 31]:
+                if t2 - t <= 20 and h != h2:
+                    expected[min(h, h2), max(h, h2)] += 1
+        assert {(r["src"], r["dst"]): r["weight"] for r in got.collect()} == expected
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # the ranges' places
