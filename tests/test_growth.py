@@ -216,3 +216,23 @@ def test_pairs_of_hosts_are_counted_in_blocks(spark, monkeypatch):
                     expected[min(h, h2), max(h, h2)] += 1
         assert {(r["src"], r["dst"]): r["weight"] for r in got.collect()} == expected
         assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # the ranges' places
+
+
+def test_graph_follows_no_chains(spark):
+    """The graph needs each visit's referrer, not its depth: no round of doubling is written."""
+    from pyspark.sql import functions as F
+
+    from waylens.operators import correlate, visits
+    from waylens.plans import scratch
+
+    rows = [(i, i * 10, "Firefox", "p", i, (i - 1) if i % 40 else 39 + i, f"https://h{i % 7}.example/", i % 3 == 0) for i in range(1, 200)] + [(900, 5, "Firefox", "q", None, 7, None, False), (901, 6, "Firefox", "p", 12, 0, "https://again.example/", False)]
+    events = spark.createDataFrame(rows, "seq bigint, timestamp_ns bigint, browser string, profile string, visit_id bigint, from_visit bigint, url string, is_redirect boolean")
+    plain = visits.referrers(events)
+    assert sorted(map(tuple, plain.collect()), key=repr) == sorted(map(tuple, visits.referrer_chains(events).drop("nav_depth").collect()), key=repr)
+
+    from waylens import queries
+
+    before = len(scratch._written)
+    queries.QUERIES["entity_graph_edges"](spark, "/root/testdata/sf0.001")
+    names = {p.rpartition("/")[2].rpartition("-")[0] for p in scratch._written[before:]}
+    assert "graph-events" in names and not names & {"links", "hops"}
