@@ -236,3 +236,22 @@ def test_graph_follows_no_chains(spark):
     queries.QUERIES["entity_graph_edges"](spark, "/root/testdata/sf0.001")
     names = {p.rpartition("/")[2].rpartition("-")[0] for p in scratch._written[before:]}
     assert "graph-events" in names and not names & {"links", "hops"}
+
+
+def test_links_are_looked_up_at_their_depths(spark):
+    """Of the folders above a path only those as deep as a link travel, and only of files that may be a profile."""
+    from pyspark.sql import functions as F
+
+    from waylens.sources import discovery
+
+    paths = [("/h/a/.config/opera/Default/History", False), ("/h/b/.config/opera/Default/History", False), ("/h/b/.config", True), ("/h/c/.config/opera/Default/History", True), ("/h/c/.config/opera/Default/History", False), ("/h/d/.config/opera/Default/History", None)]
+    files = spark.createDataFrame(paths + [(f"/h/a/x/y/z/w/v/{i}", False) for i in range(50)], "path string, link boolean")
+    looked = []
+    own, discovery._below = discovery._below, lambda rows, folders: looked.append(rows.count()) or own(rows, folders)
+    try:
+        assert sorted(r["home"] for r in discovery.home_profiles(files).collect()) == ["/h/a", "/h/d"]
+        assert discovery.home_profiles(files.withColumn("link", F.lit(False))).count() == 4
+        assert {r["path"].split("/")[2] for r in discovery._without_links(files).where("path LIKE '%opera%'").collect()} == {"a", "d"}
+    finally:
+        discovery._below = own
+    assert looked[0] == 8  # the folder and the file itself of the four that aren't links

@@ -37,13 +37,24 @@ DEPTH = 24
 SPREAD = 64
 
 
-def _without_links(files: DataFrame) -> DataFrame:
-    """Entries that neither are links nor lie below one, by their path and its ancestors."""
+def _without_links(files: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """``rows`` of a listing (without them, its paths) whose ``path`` neither is a link nor lies below one.
+
+    Links stand at a few depths, which one aggregation tells: of the folders above a path only those at these depths are
+    looked up, and only paths that are as deep travel.
+    """
     if "link" not in files.columns:
-        return files.select("path")
+        return files.select("path") if rows is None else rows
+    if rows is None:
+        rows = files.where(~F.coalesce("link", F.lit(False))).select("path")
     links = files.where("link").select("path").distinct()
-    below = _below(files.select("path", F.explode(F.array_append(ancestors(F.col("path")), F.col("path"))).alias("up")), links)
-    return files.where(~F.coalesce("link", F.lit(False))).select("path").join(below.select("path").distinct(), "path", "left_anti")
+    depths = sorted(r[0] for r in links.select(F.size(F.split("path", "/"))).distinct().collect())  # a number a depth
+    if not depths:
+        return rows
+    parts = F.split("path", "/")
+    ups = F.filter(F.transform(F.array(*[F.lit(d) for d in depths]), lambda d: F.when(d <= F.size(parts), F.array_join(F.slice(parts, F.lit(1), d), "/"))), lambda p: p.isNotNull())
+    below = _below(rows.where(F.size(parts) >= depths[0]).select("path", F.explode(ups).alias("up")), links)
+    return rows.join(below.select("path").distinct(), "path", "left_anti")
 
 
 def _below(rows: DataFrame, folders: DataFrame) -> DataFrame:
@@ -69,7 +80,8 @@ def home_profiles(files: DataFrame) -> DataFrame:
     kinds += [(browser, brand, place, "folder", mark, profile) for browser, brand, profile, place, mark in SINGLE]
     places = files.sparkSession.createDataFrame(kinds, "browser string, brand string, place string, at string, name string, fixed string")
     longest = max(k[2].count("/") for k in kinds) + 1
-    own = _without_links(files).select("path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"))
+    listed = files.where(~F.coalesce("link", F.lit(False))) if "link" in files.columns else files
+    own = listed.select("path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"))
     own = own.where(F.col("name").isin(*{k[4] for k in kinds})).withColumn("base", F.regexp_extract("folder", "^(.*)/[^/]*$", 1))
     # the last folders of where it lies, one to as many as a place has: a place is looked up, not compared
     parts = own.select("*", F.posexplode(F.array("base", "folder")).alias("i", "lies")).select("*", F.element_at(F.array(F.lit("base"), F.lit("folder")), F.col("i") + 1).alias("at"), F.split("lies", "/").alias("parts"))
@@ -77,7 +89,9 @@ def home_profiles(files: DataFrame) -> DataFrame:
     found = ends.withColumn("place", F.expr("array_join(slice(parts, -k, k), '/')")).join(F.broadcast(places), ["place", "at", "name"])  # a row a place
     home = F.expr("array_join(slice(parts, 1, size(parts) - k), '/')")
     profile = F.coalesce("fixed", F.regexp_extract("folder", "([^/]*)$", 1))
-    return found.select("browser", "brand", profile.alias("profile"), F.col("folder").alias("path"), home.alias("home"), tx.user_of(F.col("folder")).alias("user")).distinct()
+    # links are looked up for the files at such places only
+    rows = found.select("browser", "brand", profile.alias("profile"), "path", "folder", home.alias("home"), tx.user_of(F.col("folder")).alias("user"))
+    return _without_links(files, rows).select("browser", "brand", "profile", F.col("folder").alias("path"), "home", "user").distinct()
 
 
 def swept_containers(files: DataFrame, root: str, apps: DataFrame | None = None, depth: int = DEPTH) -> DataFrame:
