@@ -255,3 +255,21 @@ def test_links_are_looked_up_at_their_depths(spark):
     finally:
         discovery._below = own
     assert looked[0] == 8  # the folder and the file itself of the four that aren't links
+
+
+def test_plain_files_pass_by_python(spark, monkeypatch):
+    """Of a profile's files only databases, and files with a log, are a task's Python objects."""
+    from waylens.sources import dispatch
+
+    files = spark.createDataFrame([("u/Network/Network Persistent State", bytearray(b'{"net":{"http_server_properties":{"servers":[{"server":"https://a.example"}]}}}')), ("u/SiteSecurityServiceState.txt", bytearray(b"b.example:HSTS\t0\t19000\t1,1,0")), ("u/SiteSecurityServiceState.txt-shm", bytearray(b"x")), ("u/DIPS", bytearray(b"SQLite format 3 broken"))], "path string, content binary")
+    seen = []
+    own = type(files).mapInArrow
+
+    def watched(self, function, schema, **options):
+        if "route" in self.columns:
+            seen.append([r["path"] for r in self.select("path").collect()])
+        return own(self, function, schema, **options)
+
+    monkeypatch.setattr(type(files), "mapInArrow", watched)
+    assert sorted((r["domain"], r["source"]) for r in dispatch.recovered_domains(files).collect()) == [("a.example", "u/Network/Network Persistent State"), ("b.example", "u/SiteSecurityServiceState.txt")]
+    assert seen == [[]]
