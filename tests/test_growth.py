@@ -273,3 +273,56 @@ def test_plain_files_pass_by_python(spark, monkeypatch):
     monkeypatch.setattr(type(files), "mapInArrow", watched)
     assert sorted((r["domain"], r["source"]) for r in dispatch.recovered_domains(files).collect()) == [("a.example", "u/Network/Network Persistent State"), ("b.example", "u/SiteSecurityServiceState.txt")]
     assert seen == [[]]
+
+
+def test_profiles_are_looked_up_without_a_row_a_folder(spark):
+    """A file is compared with the places of its last folder only, and odd signs in the folders above don't matter."""
+    from waylens.functions.text import user_of
+    from waylens.sources import discovery
+
+    paths = ["/h/a\nb/.config/opera/Default/History", ".config/opera/Default/History", "/.config/opera/Default/History", "/h/x.config/opera/Default/History", "/h/.config/opera//History", "/h/.config/opera/History", "opera/Default/History", "History", "", "/Users/ü/Library/Safari/History.db", "/q/Library/Safari/p/History.db", "/Users/n/home/m/AppData/Local/Chromium/User Data/P 1/History", "/z/.mozilla/firefox/History"]
+    files = spark.createDataFrame([(p,) for p in paths] * 2, "path string")
+    found = discovery.home_profiles(files)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("explode") == 0
+    assert sorted(map(tuple, found.collect())) == [
+        ("Chromium", "Chromium", "P 1", "/Users/n/home/m/AppData/Local/Chromium/User Data/P 1", "/Users/n/home/m", "m"), ("Chromium", "Opera", "", "/h/.config/opera/", "/h", None), ("Chromium", "Opera", "Default", "/.config/opera/Default", "", None),
+        ("Chromium", "Opera", "Default", "/h/a\nb/.config/opera/Default", "/h/a\nb", None), ("Safari", "Safari", "Default", "/Users/ü/Library/Safari", "/Users/ü", "ü"),
+    ]
+    from pyspark.sql import functions as F
+
+    texts = spark.createDataFrame([("C:\\Users\\a\\x",), ("home/b",), ("/xhome/b",), ("/HOME//b/users/c",), ("/users/",), ("/home/a\n/users/d",), ("",), (None,)], "p string")
+    plain = F.regexp_extract("p", r"(?i)^.*(?:^|[/\\])(?:users|home)[/\\]([^/\\]+)", 1)
+    assert texts.select(user_of(F.col("p")).eqNullSafe(F.when(plain != "", plain)).alias("x")).where("NOT x").count() == 0
+
+
+def test_tamper_rules_share_their_passes(spark, monkeypatch):
+    """One order of the visits, one join with the URLs, and headers of 100 bytes instead of the files."""
+    from waylens import case_queries
+    from waylens.operators import integrity
+
+    ordered, contents = [], []
+    previous, pages = integrity.with_previous, integrity.page_anomalies
+    monkeypatch.setattr(integrity, "with_previous", lambda *a, **k: ordered.append(a) or previous(*a, **k))
+    monkeypatch.setattr(integrity, "page_anomalies", lambda files: contents.extend(r[0] for r in files.selectExpr("max(length(content))").collect()) or pages(files))
+    found = case_queries.QUERIES["tamper_indicators"](spark, "/root/testdata/sf0.001")
+    assert len(ordered) == 1 and contents == [100]
+    urls, visits = spark.createDataFrame([("a", 1, 2, 5), ("a", 2, 0, 7), ("a", 3, 1, 0), ("b", 1, 1, 9)], "db string, id bigint, visit_count bigint, last_visit bigint"), spark.createDataFrame([("a", 1, 1, 5), ("a", 4, 2, 8), ("a", 5, 2, 3), ("b", 9, None, 1)], "db string, id bigint, url_id bigint, ts bigint")
+    for got, plain in zip((*integrity.visit_mismatches(urls, visits), *integrity.gaps_and_reversals(visits)), (integrity.visit_count_mismatches(urls, visits), integrity.last_visit_mismatches(urls, visits), integrity.id_gaps(visits), integrity.time_reversals(visits)), strict=True):
+        assert got.columns == plain.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect())) != []
+    assert found.count() > 0
+
+
+def test_stores_hold_values_of_all_types(spark):
+    """Whole numbers, beyond 2^53 too, and texts aren't made JSON; other types are what their JSON says."""
+    import sqlite3
+
+    from fixtures import stores
+
+    rows = spark.sql("SELECT 1 AS store, * FROM VALUES (9007199254740993L, 'é', true, 1.50BD, 2.5D, 3Y), (NULL, NULL, NULL, NULL, NULL, NULL) AS t(a, b, c, d, e, f)")
+    files = stores.sqlite_stores([("t", rows), ("u", spark.range(3).selectExpr("1 AS store", "CAST(id AS STRING) AS only")), ("t", rows), ("v", rows.where("store = 2"))])
+    [(path, content)] = [tuple(r) for r in files.collect()]
+    db = sqlite3.connect(":memory:")
+    db.deserialize(bytes(content))
+    assert path == "profile/1" and [r[0] for r in db.execute("SELECT name FROM sqlite_master ORDER BY 1")] == ["t", "u"]
+    assert sorted(db.execute("SELECT * FROM t"), key=repr) == [(9007199254740993, "é", 1, 1.5, 2.5, 3)] * 2 + [(None,) * 6] * 2
+    assert sorted(db.execute("SELECT * FROM u")) == [("0",), ("1",), ("2",)]

@@ -74,5 +74,4 @@ def csv_field(c: Column) -> Column:
 
 def user_of(path: Column) -> Column:
     """The folder below the last ``Users`` or ``home`` of a path."""
-    found = F.regexp_extract(path, r"(?i)^.*(?:^|[/\\])(?:users|home)[/\\]([^/\\]+)", 1)
-    return F.when(found != "", found)
+    return F.nullif(F.regexp_extract(path, r"(?i)^(?:.*[/\\])?(?:users|home)[/\\]([^/\\]+)", 1), F.lit(""))  # extracted once

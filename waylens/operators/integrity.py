@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waylens.functions.times import webkit_micros
 from waylens.operators.ordering import with_previous
+from waylens.plans.scratch import cut
 from waylens.sources.sqlite import integrity_failures, sqlite_tables
 
 
@@ -19,18 +20,31 @@ def cleared_history(urls: DataFrame, sequence: DataFrame) -> DataFrame:
     return rows.withColumn("tag", tag).where("tag IS NOT NULL").select("db", "tag", "seq", "max_id")
 
 
+def _gap() -> Column:
+    return F.when(F.col("id") - F.col("previous.id") > 1, F.struct(F.col("previous.id").alias("after_id"), F.col("id").alias("next_id")))
+
+
+def _reversal() -> Column:
+    return F.when(F.col("ts") < F.col("previous.ts"), F.struct("id", "ts", F.col("previous.ts").alias("before")))
+
+
 def id_gaps(visits: DataFrame) -> DataFrame:
     """The first gap of visit ids in each ``db``: ``after_id, next_id``."""
     rows = with_previous(visits.select("db", "id"), "db", ["id"], ["id"])
-    gaps = rows.select("db", F.col("previous.id").alias("after_id"), F.col("id").alias("next_id")).where("next_id - after_id > 1")
-    return gaps.groupBy("db").agg(F.min(F.struct("after_id", "next_id")).alias("g")).select("db", "g.*")
+    return rows.groupBy("db").agg(F.min(_gap()).alias("g")).where("g IS NOT NULL").select("db", "g.*")
 
 
 def time_reversals(visits: DataFrame) -> DataFrame:
     """The first visit of each ``db`` whose time lies before that of the visit with the id before."""
     rows = with_previous(visits.select("db", "id", "ts"), "db", ["id"], ["ts"])
-    found = rows.select("db", "id", "ts", F.col("previous.ts").alias("before")).where("ts < before")
-    return found.groupBy("db").agg(F.min(F.struct("id", "ts", "before")).alias("r")).select("db", "r.*")
+    return rows.groupBy("db").agg(F.min(_reversal()).alias("r")).where("r IS NOT NULL").select("db", "r.*")
+
+
+def gaps_and_reversals(visits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What ``id_gaps`` and ``time_reversals`` find, of one pass in the order of ids, written once: a row a ``db``."""
+    rows = with_previous(visits.select("db", "id", "ts"), "db", ["id"], ["id", "ts"])
+    found = cut(rows.groupBy("db").agg(F.min(_gap()).alias("g"), F.min(_reversal()).alias("r")), "gaps")
+    return found.where("g IS NOT NULL").select("db", "g.*"), found.where("r IS NOT NULL").select("db", "r.*")
 
 
 def visit_count_mismatches(urls: DataFrame, visits: DataFrame) -> DataFrame:
@@ -48,6 +62,14 @@ def last_visit_mismatches(urls: DataFrame, visits: DataFrame) -> DataFrame:
     return urls.join(latest, [*db, "id"]).where("last_visit > 0 AND last_visit <> latest").select(*db, "id", "last_visit", "latest")
 
 
+def visit_mismatches(urls: DataFrame, visits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What ``visit_count_mismatches`` and ``last_visit_mismatches`` find in each ``db``, of one join, written once."""
+    kept = visits.groupBy("db", F.col("url_id").alias("id")).agg(F.count("*").alias("found"), F.max("ts").alias("latest"))
+    rows = urls.join(kept, ["db", "id"], "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    rows = cut(rows.where("visit_count > found OR (last_visit > 0 AND last_visit <> latest)"), "mismatches")
+    return rows.where("visit_count > found").select("db", "id", "visit_count", "found"), rows.where("last_visit > 0 AND last_visit <> latest").select("db", "id", "last_visit", "latest")
+
+
 def future_times(rows: DataFrame, limit: Column) -> DataFrame:
     return rows.where(F.col("ts") > limit)
 
@@ -101,9 +123,11 @@ def header_anomalies(files: DataFrame) -> DataFrame:
 
 def page_anomalies(files: DataFrame) -> DataFrame:
     """``FreelistGrowth`` of files with free pages, and ``PageCountMismatch`` where the header's count of pages, if it is
-    valid, isn't what the file's length says: ``path, tag, free_pages, header_pages, file_pages``."""
+    valid, isn't what the file's length says: ``path, tag, free_pages, header_pages, file_pages``. Where a listing tells the
+    ``length``, 100 bytes of content are enough."""
+    length = F.col("length") if "length" in files.columns else F.octet_length("content")
     size = F.when(_number(17, 2) == 1, 65536).otherwise(_number(17, 2))
-    rows = _databases(files).select("path", _number(37, 4).alias("free_pages"), _number(29, 4).alias("header_pages"), F.floor(F.octet_length("content") / size).alias("file_pages"), (_number(25, 4) == _number(93, 4)).alias("valid"))
+    rows = _databases(files).select("path", _number(37, 4).alias("free_pages"), _number(29, 4).alias("header_pages"), F.floor(length / size).alias("file_pages"), (_number(25, 4) == _number(93, 4)).alias("valid"))
     tags = F.array(F.when(F.col("free_pages") > 0, "FreelistGrowth"), F.when(F.col("valid") & (F.col("header_pages") > 0) & (F.col("header_pages") != F.col("file_pages")), "PageCountMismatch"))
     return rows.withColumn("tag", F.explode(F.filter(tags, lambda x: x.isNotNull()))).drop("valid")
 
@@ -167,7 +191,8 @@ def explained(indicators: DataFrame) -> DataFrame:
 def tamper_indicators(files: DataFrame) -> DataFrame:
     """All rules over SQLite files (``path, modificationTime, content``): ``path, tag, observation, alternative, detail``.
 
-    Each file is opened once for its tables; header rules read bytes alone.
+    Each file is opened once for its tables; header rules read bytes alone, which are written once. Rules that need the same
+    order or join take it from one pass.
     """
     tables = sqlite_tables(files, {
         "urls": "id bigint, visit_count bigint, last_visit_time bigint", "visits": "id bigint, url bigint, visit_time bigint", "moz_historyvisits": "id bigint, visit_date bigint",
@@ -179,15 +204,18 @@ def tamper_indicators(files: DataFrame) -> DataFrame:
     every = visits.select("db", "id", "ts").unionByName(others)
     sequence = tables["sqlite_sequence"].select(F.col("source").alias("db"), "name", "seq")
     named = lambda rows, tag: rows.withColumnRenamed("db", "path").withColumn("tag", F.lit(tag))
-    written = files.select(F.col("path").alias("db"), (F.unix_micros("modificationTime") + 11_644_473_600_000_000).alias("limit"))
+    heads = cut(files.select("path", "modificationTime", F.octet_length("content").alias("length"), F.substring("content", 1, 100).alias("content")), "heads")
+    gaps, reversals = gaps_and_reversals(every)
+    counts, lasts = visit_mismatches(urls, visits)
+    written = heads.select(F.col("path").alias("db"), (F.unix_micros("modificationTime") + 11_644_473_600_000_000).alias("limit"))
     future = visits.join(written, "db").where(F.col("ts") > F.col("limit")).drop("limit", "url_id")
     cookies = tables["cookies"].where("last_access_utc > 0 AND creation_utc > last_access_utc").select(F.col("source").alias("path"), F.lit("CookieTimestampAnomaly").alias("tag"), F.col("rowid").alias("id"), webkit_micros(F.col("creation_utc")).alias("created_ns"), webkit_micros(F.col("last_access_utc")).alias("last_access_ns"))
     found = [
-        page_anomalies(files), header_anomalies(files), logs_present(files), tombstones(tables["history_tombstones"]), cookies,
+        page_anomalies(heads), header_anomalies(heads), logs_present(heads), tombstones(tables["history_tombstones"]), cookies,
         integrity_failures(files).select(F.col("source").alias("path"), F.lit("SqliteIntegrityFailure").alias("tag"), "message"),
         cleared_history(urls.select("db", "id"), sequence.where("name = 'urls'").select("db", "seq")).withColumnRenamed("db", "path"),
-        named(id_gaps(every.select("db", "id")), "VisitIdGap"), named(time_reversals(every), "TimestampNonMonotonic"),
-        named(visit_count_mismatches(urls, visits), "VisitCountMismatch"), named(last_visit_mismatches(urls, visits), "LastVisitMismatch"), named(future, "TimestampInFuture"),
+        named(gaps, "VisitIdGap"), named(reversals, "TimestampNonMonotonic"),
+        named(counts, "VisitCountMismatch"), named(lasts, "LastVisitMismatch"), named(future, "TimestampInFuture"),
     ]
     out = None
     for rows in found:

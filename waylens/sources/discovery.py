@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waylens.functions import text as tx
+from waylens.plans.scratch import cut
 
 #: The folders of browsers below a home, what they hold, and whose they are.
 CHROMIUM_BASES = {
@@ -47,10 +48,11 @@ def _without_links(files: DataFrame, rows: DataFrame | None = None) -> DataFrame
         return files.select("path") if rows is None else rows
     if rows is None:
         rows = files.where(~F.coalesce("link", F.lit(False))).select("path")
-    links = files.where("link").select("path").distinct()
+    links = cut(files.where("link").select("path").distinct(), "links")
     depths = sorted(r[0] for r in links.select(F.size(F.split("path", "/"))).distinct().collect())  # a number a depth
     if not depths:
         return rows
+    rows = cut(rows, "listed")  # read twice
     parts = F.split("path", "/")
     ups = F.filter(F.transform(F.array(*[F.lit(d) for d in depths]), lambda d: F.when(d <= F.size(parts), F.array_join(F.slice(parts, F.lit(1), d), "/"))), lambda p: p.isNotNull())
     below = _below(rows.where(F.size(parts) >= depths[0]).select("path", F.explode(ups).alias("up")), links)
@@ -78,20 +80,20 @@ def home_profiles(files: DataFrame) -> DataFrame:
     kinds = [("Chromium", brand, base, "base", "History", None) for base, brand in CHROMIUM_BASES.items()]
     kinds += [("Firefox", "Firefox", base, "base", "places.sqlite", None) for base in FIREFOX_BASES]
     kinds += [(browser, brand, place, "folder", mark, profile) for browser, brand, profile, place, mark in SINGLE]
-    places = files.sparkSession.createDataFrame(kinds, "browser string, brand string, place string, at string, name string, fixed string")
-    longest = max(k[2].count("/") for k in kinds) + 1
+    places = files.sparkSession.createDataFrame([(*k, k[2].rpartition("/")[2]) for k in kinds], "browser string, brand string, place string, at string, name string, fixed string, last string")
     listed = files.where(~F.coalesce("link", F.lit(False))) if "link" in files.columns else files
-    own = listed.select("path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"))
-    own = own.where(F.col("name").isin(*{k[4] for k in kinds})).withColumn("base", F.regexp_extract("folder", "^(.*)/[^/]*$", 1))
-    # the last folders of where it lies, one to as many as a place has: a place is looked up, not compared
-    parts = own.select("*", F.posexplode(F.array("base", "folder")).alias("i", "lies")).select("*", F.element_at(F.array(F.lit("base"), F.lit("folder")), F.col("i") + 1).alias("at"), F.split("lies", "/").alias("parts"))
-    ends = parts.select("path", "folder", "name", "at", "parts", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("parts") - 1))).alias("k")).where("k < size(parts)")
-    found = ends.withColumn("place", F.expr("array_join(slice(parts, -k, k), '/')")).join(F.broadcast(places), ["place", "at", "name"])  # a row a place
-    home = F.expr("array_join(slice(parts, 1, size(parts) - k), '/')")
-    profile = F.coalesce("fixed", F.regexp_extract("folder", "([^/]*)$", 1))
+    own = listed.select("path").where(F.substring_index("path", "/", -1).isin(*{k[4] for k in kinds}))
+    # split once: what is derived from a generated column isn't put into every filter that Spark infers
+    own = own.select(F.inline(F.array(F.struct("path", F.split("path", "/").alias("parts"))))).select("path", F.element_at("parts", -1).alias("name"), F.try_element_at("parts", F.lit(-2)).alias("inside"), F.try_element_at("parts", F.lit(-3)).alias("above"))
+    beside = F.col("name").isin(*{k[4] for k in kinds if k[3] == "folder"})
+    own = own.select("path", "name", "inside", F.when(beside, F.col("inside")).otherwise(F.col("above")).alias("last"))
+    # a place is looked up by its last folder, and all of it compared: no row for each folder above a file
+    end = F.when(F.col("at") == "folder", F.concat(F.lit("/"), "place", F.lit("/"), "name")).otherwise(F.concat(F.lit("/"), "place", F.lit("/"), "inside", F.lit("/"), "name"))
+    found = own.join(F.broadcast(places), ["name", "last"]).withColumn("end", end).where(F.endswith("path", "end"))
+    folder, home = F.expr("left(path, length(path) - length(name) - 1)"), F.expr("left(path, length(path) - length(end))")
+    found = found.select("browser", "brand", F.coalesce("fixed", "inside").alias("profile"), "path", folder.alias("folder"), home.alias("home"))
     # links are looked up for the files at such places only
-    rows = found.select("browser", "brand", profile.alias("profile"), "path", "folder", home.alias("home"), tx.user_of(F.col("folder")).alias("user"))
-    return _without_links(files, rows).select("browser", "brand", "profile", F.col("folder").alias("path"), "home", "user").distinct()
+    return _without_links(files, found).select("browser", "brand", "profile", F.col("folder").alias("path"), "home", tx.user_of(F.col("folder")).alias("user")).distinct()
 
 
 def swept_containers(files: DataFrame, root: str, apps: DataFrame | None = None, depth: int = DEPTH) -> DataFrame:
