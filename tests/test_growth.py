@@ -326,3 +326,35 @@ def test_stores_hold_values_of_all_types(spark):
     assert path == "profile/1" and [r[0] for r in db.execute("SELECT name FROM sqlite_master ORDER BY 1")] == ["t", "u"]
     assert sorted(db.execute("SELECT * FROM t"), key=repr) == [(9007199254740993, "é", 1, 1.5, 2.5, 3)] * 2 + [(None,) * 6] * 2
     assert sorted(db.execute("SELECT * FROM u")) == [("0",), ("1",), ("2",)]
+
+
+def test_no_folder_is_broadcast(spark, tmp_path):
+    """Folders that are dealt to 64 tasks are merged, though the file that names them is small, and only those above a path are."""
+    from waylens.sources import discovery
+
+    spark.range(2000).selectExpr("concat('/l/', id) AS path").write.parquet(f"{tmp_path}/links")
+    rows = spark.range(0, 40, 1, 4).selectExpr("concat('/l/', id % 2, '/', id) AS path", "concat('/l/', id % 2) AS up")
+    kept = discovery._below(rows, spark.read.parquet(f"{tmp_path}/links"))
+    assert kept.count() == 40 and "Broadcast" not in kept._jdf.queryExecution().sparkPlan().toString()
+    files = spark.sql("SELECT concat('/h/u', id, '/.config/opera/Default/History') AS path, id % 2 = 0 AS link FROM range(20) UNION ALL SELECT '/h/u1/.config', true")
+    assert sorted(r["home"] for r in discovery.home_profiles(files).collect()) == sorted(f"/h/u{i}" for i in range(3, 20, 2))
+
+
+def test_folders_are_told_by_order(spark, monkeypatch):
+    """What lies below a link or another match is told by the order of the paths, whatever signs stand around the slash: no row for each
+    folder above a path."""
+    import itertools
+    import random
+
+    from waylens.sources import discovery
+
+    monkeypatch.setattr(discovery, "_below", None)
+    draw = random.Random(3)
+    names = ("a", "a-", "a0", "a/b", "b", "é", "a.b", "\t", "aa")
+    folders = sorted({"/".join(p) for n in (1, 2, 3) for p in itertools.product(names, repeat=n)})
+    paths = [(f"/ev/{d}/places.sqlite", False) for d in draw.sample(folders, 250)] + [(f"/ev/{d}", True) for d in draw.sample(folders, 25)] + [("/ev/a/places.sqlite", True), ("/ev/aa/places.sqlite", None)]
+    links = [p for p, link in paths if link]
+    seen = {p.rpartition("/")[0] for p, link in paths if not link and not any(p == k or p.startswith(k + "/") for k in links)}
+    want = sorted(p for p in seen if not any(p.startswith(o + "/") for o in seen))
+    files = spark.createDataFrame(paths * 2, "path string, link boolean").repartition(7)
+    assert sorted(r["path"] for r in discovery.swept_containers(files, "/ev").collect()) == want and 20 < len(want) < len(seen)

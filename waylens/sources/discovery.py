@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waylens.functions import text as tx
+from waylens.operators.ordering import with_largest_before
 from waylens.plans.scratch import cut
 
 #: The folders of browsers below a home, what they hold, and whose they are.
@@ -41,14 +42,15 @@ SPREAD = 64
 def _without_links(files: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """``rows`` of a listing (without them, its paths) whose ``path`` neither is a link nor lies below one.
 
-    Links stand at a few depths, which one aggregation tells: of the folders above a path only those at these depths are
-    looked up, and only paths that are as deep travel.
+    Links stand at a few depths, which one aggregation tells: of the folders above one of ``rows`` only those at these depths
+    are looked up, and only paths that are as deep travel. All paths of a listing are put in order instead, no row a folder.
     """
     if "link" not in files.columns:
         return files.select("path") if rows is None else rows
-    if rows is None:
-        rows = files.where(~F.coalesce("link", F.lit(False))).select("path")
     links = cut(files.where("link").select("path").distinct(), "links")
+    if rows is None:
+        listed = files.where(~F.coalesce("link", F.lit(False))).select("path", F.lit(None).cast("string").alias("__end"))
+        return _outermost(listed.unionByName(links.select("path", _end(F.col("path")).alias("__end")))).where("__end IS NULL").drop("__end")
     depths = sorted(r[0] for r in links.select(F.size(F.split("path", "/"))).distinct().collect())  # a number a depth
     if not depths:
         return rows
@@ -56,13 +58,30 @@ def _without_links(files: DataFrame, rows: DataFrame | None = None) -> DataFrame
     parts = F.split("path", "/")
     ups = F.filter(F.transform(F.array(*[F.lit(d) for d in depths]), lambda d: F.when(d <= F.size(parts), F.array_join(F.slice(parts, F.lit(1), d), "/"))), lambda p: p.isNotNull())
     below = _below(rows.where(F.size(parts) >= depths[0]).select("path", F.explode(ups).alias("up")), links)
-    return rows.join(below.select("path").distinct(), "path", "left_anti")
+    return rows.join(below.select("path").distinct().hint("merge"), "path", "left_anti")  # texts that compress well: their size says little
 
 
 def _below(rows: DataFrame, folders: DataFrame) -> DataFrame:
-    """``rows`` (``path, up``) whose ``up`` is a ``path`` of ``folders``, which are few beside them."""
-    dealt = folders.select(F.col("path").alias("up"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("__part"))
-    return rows.withColumn("__part", F.pmod(F.xxhash64("path"), F.lit(SPREAD)).cast("int")).join(dealt, ["up", "__part"], "left_semi")
+    """``rows`` (``path, up``) whose ``up`` is a ``path`` of ``folders``. Only folders that are above one of ``rows`` are dealt out, and
+    merged: a broadcast would hold SPREAD rows of each, whose file tells nothing of that."""
+    above = folders.select(F.col("path").alias("up")).join(rows.select("up").distinct().hint("merge"), "up", "left_semi")
+    dealt = above.select("up", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("__part"))
+    return rows.withColumn("__part", F.pmod(F.xxhash64("path"), F.lit(SPREAD)).cast("int")).join(dealt.hint("merge"), ["up", "__part"], "left_semi")
+
+
+def _end(path: Column) -> Column:
+    """The first text behind all paths below ``path`` in the order of their bytes, each with a slash behind it."""
+    return F.concat(path, F.lit("0"))  # the sign after the slash
+
+
+def _outermost(rows: DataFrame) -> DataFrame:
+    """``rows`` whose ``path`` lies below no folder, nor is one of another row; those with ``__end`` are folders, once each.
+
+    What lies below a folder follows it in order, up to its end, so the largest end of what stands before a path tells.
+    """
+    start = F.concat("path", F.lit("/"))
+    placed = with_largest_before(rows.withColumns({"__start": start, "__plain": F.col("__end").isNull()}), ["__start", "__plain"], "__end", "__covered")
+    return placed.where(F.coalesce("__covered", F.lit("")) <= F.col("__start")).drop("__start", "__plain", "__covered")
 
 
 def ancestors(path: Column) -> Column:
@@ -102,7 +121,7 @@ def swept_containers(files: DataFrame, root: str, apps: DataFrame | None = None,
 
     Marks of Chromium count before those of Firefox; a folder of neither is a container if it has a folder that embedded
     browsers keep and its path names one of ``apps`` (``token, app, vendor, kind``). What lies below a match is part of it: a
-    match with another one among its ancestors goes, which an equi-join on the paths of all ancestors tells.
+    match with another one among its ancestors goes, which the order of the paths tells.
     """
     spark = files.sparkSession
     apps = spark.createDataFrame(APPS, "token string, app string, vendor string, kind string") if apps is None else apps
@@ -120,11 +139,11 @@ def swept_containers(files: DataFrame, root: str, apps: DataFrame | None = None,
     marks.append(F.struct(F.when(suffixed, F.regexp_extract("path", "^(.*)/[^/]*$", 1)).otherwise("").alias("path"), F.lit(1).alias("rank")))
     kept = F.filter(F.transform(ancestors(F.col("path")), lambda p: F.struct(F.when(F.lower(F.regexp_extract(p, "([^/]*)$", 1)).isin(*EMBEDDED), F.regexp_extract(p, "^(.*)/[^/]*$", 1)).otherwise("").alias("path"), F.lit(2).alias("rank"))), lambda m: m["path"] != "")
     found = own.select(F.explode(F.concat(F.array(*marks), kept)).alias("m")).select("m.*").where((F.col("path") == root) | F.startswith(F.col("path"), F.lit(root + "/")))
-    found = found.groupBy("path").agg(F.min("rank").alias("rank")).where(F.size(F.split("path", "/")) - len(root.split("/")) <= depth)
+    found = cut(found.groupBy("path").agg(F.min("rank").alias("rank")).where(F.size(F.split("path", "/")) - len(root.split("/")) <= depth), "marked")  # read twice
 
     segments = found.select("path", F.posexplode(F.split(F.lower("path"), "/")).alias("at", "token"))
     named = segments.join(F.broadcast(apps) if apps.count() <= 100_000 else apps, "token").groupBy("path").agg(F.min_by("of", "at").alias("of"))
-    matches = found.join(named, "path", "left").where("rank < 2 OR of IS NOT NULL")
-    inside = _below(matches.select("path", F.explode(ancestors(F.col("path"))).alias("up")), matches.select("path")).select("path").distinct()
+    matches = found.join(named.hint("merge"), "path", "left").where("rank < 2 OR of IS NOT NULL")
     browser = F.when(F.col("rank") == 1, "Firefox").otherwise("Chromium")
-    return matches.join(inside, "path", "left_anti").select("path", browser.alias("browser"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "of.app", "of.vendor", "of.kind")
+    kept = _outermost(matches.withColumn("__end", F.when(F.col("path") != "", _end(F.col("path")))))  # the empty path is above nothing
+    return kept.select("path", browser.alias("browser"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "of.app", "of.vendor", "of.kind")
