@@ -358,3 +358,27 @@ def test_folders_are_told_by_order(spark, monkeypatch):
     want = sorted(p for p in seen if not any(p.startswith(o + "/") for o in seen))
     files = spark.createDataFrame(paths * 2, "path string, link boolean").repartition(7)
     assert sorted(r["path"] for r in discovery.swept_containers(files, "/ev").collect()) == want and 20 < len(want) < len(seen)
+
+
+def test_lines_make_more_files(spark, with_events):
+    """A profile's text files hold 2,500 lines at most, however many there are, and its files are made once."""
+    from waylens import reader_queries as rq
+
+    files = rq.profile_files(spark, with_events(range(9000)), ("firefox_site_security",))
+    sizes = [r[0] for r in files.selectExpr("size(split(CAST(content AS STRING), '\n'))").collect()]
+    assert max(sizes) <= 2500 and sum(sizes) == 9000
+    assert "Aggregate" not in files._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_groups_of_files_are_small(spark):
+    """A task that reads files back holds a row group of them: contents that compress well don't make it large."""
+    import glob
+
+    from waylens.plans import scratch
+    from waylens.sources import sqlite
+
+    files = spark.range(0, 3000, 1, 1).selectExpr("concat('u/', id) AS path", "CAST(concat(repeat(sha2(CAST(id AS STRING), 512), 500), id) AS BINARY) AS content", "CAST(NULL AS TIMESTAMP) AS modificationTime", "0 AS route")
+    sqlite.routed(files, {"t": (1, "t", "a bigint")}, {0})
+    folder = next(p for p in reversed(scratch._written) if "/routed-" in p).removeprefix("file://")
+    groups = [m.row_group(i).total_byte_size for f in glob.glob(f"{folder}/kind=file0/*.parquet") for m in (pq.read_metadata(f),) for i in range(m.num_row_groups)]
+    assert sum(groups) > 150_000_000 and max(groups) < 100_000_000
