@@ -382,3 +382,32 @@ def test_groups_of_files_are_small(spark):
     folder = next(p for p in reversed(scratch._written) if "/routed-" in p).removeprefix("file://")
     groups = [m.row_group(i).total_byte_size for f in glob.glob(f"{folder}/kind=file0/*.parquet") for m in (pq.read_metadata(f),) for i in range(m.num_row_groups)]
     assert sum(groups) > 150_000_000 and max(groups) < 100_000_000
+
+
+def test_whole_graph_has_no_neighbour_cap(spark, monkeypatch):
+    """All pairs of a window count, in blocks far smaller than a window, for few and many hosts, dense, sparse and equal times."""
+    import random
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from waylens.operators import correlate
+
+    monkeypatch.setattr(correlate, "WHOLE_BLOCK", 16)
+    draw = random.Random(8)
+    for hosts, span, window in ((3, 2000, 300), (60, 900, 100), (5, 1, 10), (9, 10**6, 20), (4, 500, 10**6)):
+        times = [draw.randint(1, span) for _ in range(500)] + [span + 50] * 130 + [0]
+        rows = [(t, i, f"h{draw.randrange(hosts)}" if draw.random() > 0.05 else None) for i, t in enumerate(times)]
+        timed = sorted((t, h) for t, _, h in rows if t and h)
+        expected = Counter()
+        for i, (t, h) in enumerate(timed):
+            for u, g in timed[i + 1 :]:
+                if u - t > window:
+                    break
+                if g != h:
+                    expected[min(g, h), max(g, h)] += 1
+        events = spark.createDataFrame(rows, "timestamp_ns bigint, seq bigint, host string")
+        assert {(r["src"], r["dst"]): r["weight"] for r in correlate.cooccurrence_whole(events, F.col("host"), window).collect()} == expected
+    assert correlate.cooccurrence_whole(events.limit(0), F.col("host"), window).count() == 0
+    chained = spark.range(700).selectExpr("id AS seq", "5L AS timestamp_ns", "false AS is_redirect", "IF(id = 0, 'a', 'b') AS h", "CAST(NULL AS STRING) AS r")
+    assert [tuple(r) for r in correlate.whole_edges(chained, F.col("h"), F.col("r")).collect()] == [("a", "b", "co-occurrence", 699)]
