@@ -411,3 +411,16 @@ def test_whole_graph_has_no_neighbour_cap(spark, monkeypatch):
     assert correlate.cooccurrence_whole(events.limit(0), F.col("host"), window).count() == 0
     chained = spark.range(700).selectExpr("id AS seq", "5L AS timestamp_ns", "false AS is_redirect", "IF(id = 0, 'a', 'b') AS h", "CAST(NULL AS STRING) AS r")
     assert [tuple(r) for r in correlate.whole_edges(chained, F.col("h"), F.col("r")).collect()] == [("a", "b", "co-occurrence", 699)]
+
+
+def test_hits_become_rows_last(spark):
+    """What a hit says besides its term is computed once an event: the list of an event's terms becomes rows above all joins."""
+    from waylens.operators import search
+
+    events = spark.range(30).selectExpr("id AS seq", "1L AS timestamp_ns", "'Chromium' AS browser", "'History' AS artifact", "'s' AS source", "concat('abcdef', id % 3) AS description", "concat('abcdef', id % 3) AS url")
+    terms = spark.createDataFrame([("abcd",), ("bcdef",), ("ef1",), ("f",), ("zzzzz",)], "term string")
+    for fields, n in ((["url"], 100), (None, 100)):
+        found = search.find_many(events, terms, fields)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Generate explode") < plan.index("Join")
+        assert found.count() == found.select("seq", "term").distinct().count() == n
